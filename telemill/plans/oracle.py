@@ -65,6 +65,34 @@ windows AS (
 )"""
 
 
+SENSORS = ["laser_power_w", "temperature_c", "gas_pressure_psi", "beam_alignment_mm",
+           "feed_rate_mm_min", "coolant_flow_lpm"]
+_FRAME = ("OVER (PARTITION BY machine_id ORDER BY \"timestamp\" "
+          "RANGE BETWEEN INTERVAL 14399999999 MICROSECONDS PRECEDING AND CURRENT ROW)")
+_ROLL = ",\n    ".join(
+    f"avg({s}) {_FRAME} AS {s}_rolling_mean,\n    coalesce(stddev_samp({s}) {_FRAME}, 0) AS {s}_rolling_std"
+    for s in SENSORS)
+_Z = ",\n    ".join(
+    f"CASE WHEN {s}_rolling_std > 0 THEN abs({s} - {s}_rolling_mean) / {s}_rolling_std ELSE 0 END AS {s}_z"
+    for s in SENSORS)
+_FLAGS = ",\n    ".join(f"coalesce({s}_z > 2.5, false) AS {s}_anomaly" for s in SENSORS)
+_COUNT = " + ".join(f"cast({s}_anomaly AS integer)" for s in SENSORS)
+
+ENRICHED = f"""
+rolled AS (
+  SELECT *, {_ROLL}
+  FROM logs
+),
+zs AS (SELECT *, {_Z} FROM rolled),
+flagged AS (SELECT *, {_FLAGS} FROM zs),
+enriched AS (SELECT *, cast({_COUNT} AS integer) AS anomaly_count, ({_COUNT}) > 0 AS is_anomaly FROM flagged)"""
+
+
+def ts_text(c: str) -> str:
+    return (f"CASE WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%d %H:%M:%S') "
+            f"ELSE strftime({c}, '%Y-%m-%d %H:%M:%S.%f') END")
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
@@ -76,4 +104,81 @@ ORACLE: dict[str, str] = {
     "window_entries": _with(LOGS, FAILS) + """
 SELECT machine_id, window_start, seq, event_id, "timestamp", severity, error_code, failure_category,
        operator_notes FROM entries""",
+    "time_features": _with(LOGS) + """
+SELECT event_id, machine_id, "timestamp", cast(hour("timestamp") AS integer) AS hour,
+       cast(isodow("timestamp") - 1 AS integer) AS day_of_week, cast("timestamp" AS date) AS date,
+       coalesce((epoch_us("timestamp") - lag(epoch_us("timestamp"))
+                 OVER (PARTITION BY machine_id ORDER BY "timestamp", event_id)) / 1e6, 0) AS time_since_last
+FROM logs""",
+    "rolling_stats": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
+        f"floor({s}_rolling_mean * 1e6 + 0.499) / 1e6 AS {s}_rolling_mean, floor({s}_rolling_std * 1e6 + 0.499) / 1e6 AS {s}_rolling_std"
+        for s in SENSORS) + " FROM enriched",
+    "sensor_zscores": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
+        f"floor({s}_z * 1e6 + 0.499) / 1e6 AS {s}_z" for s in SENSORS) + " FROM enriched",
+    "anomaly_flags": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
+        f"{s}_anomaly" for s in SENSORS) + ", anomaly_count, is_anomaly FROM enriched",
+    "anomalies_by_sensor": _with(LOGS, ENRICHED) + "\n" + "\nUNION ALL\n".join(
+        f"SELECT machine_id, '{s}' AS sensor, cast(sum(cast({s}_anomaly AS bigint)) AS bigint) AS n_anomalies "
+        f"FROM enriched WHERE machine_id IS NOT NULL GROUP BY machine_id" for s in SENSORS),
+    "sensor_trend": _with(LOGS, ENRICHED) + """
+SELECT machine_id, "timestamp", event_id, temperature_c AS value,
+       floor(temperature_c_rolling_mean * 1e6 + 0.499) / 1e6 AS rolling_mean, temperature_c_anomaly AS is_anomaly
+FROM enriched""",
+    "sensor_anomalies_top20": _with(LOGS, ENRICHED) + """
+SELECT * FROM (
+  SELECT machine_id, row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp", event_id) AS rank,
+         "timestamp", event_id, severity, temperature_c AS value, operator_notes
+  FROM enriched WHERE temperature_c_anomaly AND machine_id IS NOT NULL) t
+WHERE rank <= 20""",
+    "severity_summary": _with(LOGS) + """
+SELECT machine_id, count(*) FILTER (WHERE severity = 'INFO') AS "INFO",
+       count(*) FILTER (WHERE severity = 'WARNING') AS "WARNING",
+       count(*) FILTER (WHERE severity = 'ERROR') AS "ERROR",
+       count(*) FILTER (WHERE severity = 'CRITICAL') AS "CRITICAL"
+FROM logs WHERE machine_id IS NOT NULL AND severity IS NOT NULL GROUP BY machine_id""",
+    "severity_counts": _with(LOGS) + """
+SELECT d.ord, d.severity, coalesce(c.n, 0) AS n
+FROM (VALUES (0, 'INFO'), (1, 'WARNING'), (2, 'ERROR'), (3, 'CRITICAL')) d(ord, severity)
+LEFT JOIN (SELECT severity, count(*) AS n FROM logs GROUP BY severity) c USING (severity)""",
+    "category_counts": _with(LOGS) + """
+SELECT failure_category, count(*) AS n FROM logs
+WHERE failure_category IS NOT NULL AND failure_category <> '' GROUP BY failure_category""",
+    "overview": _with(LOGS, ENRICHED) + """
+SELECT count(*) AS total_entries,
+       round(avg(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 1e0 ELSE 0e0 END) * 100, 1) AS error_rate,
+       count(DISTINCT machine_id) AS machines,
+       cast(sum(cast(is_anomaly AS bigint)) AS bigint) AS sensor_anomalies,
+       min("timestamp") AS time_start, max("timestamp") AS time_end,
+       string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS machine_list
+FROM enriched""",
+    "report_stats": _with(LOGS, FAILS, ENRICHED) + f""",
+o AS (SELECT count(*) AS n, avg(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 1e0 ELSE 0e0 END) AS err,
+             string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS ml,
+             sum(cast(is_anomaly AS bigint)) AS an, min("timestamp") AS t0, max("timestamp") AS t1
+      FROM enriched)
+SELECT 1 AS ord, 'Total entries' AS metric, cast(n AS varchar) AS value FROM o
+UNION ALL SELECT 2, 'Time range', {ts_text('t0')} || ' → ' || {ts_text('t1')} FROM o
+UNION ALL SELECT 3, 'Machines', ml FROM o
+UNION ALL SELECT 4, 'Failure windows', cast(count(*) AS varchar) FROM windows
+UNION ALL SELECT 5, 'Sensor anomalies', cast(an AS varchar) FROM o
+UNION ALL SELECT 6, 'Error rate', printf('%.1f%%', err * 100) FROM o""",
+    "failure_window_listing": _with(LOGS, FAILS) + """
+SELECT machine_id, start,
+       machine_id || ' — ' || strftime(start, '%Y-%m-%d %H:%M') || ' (' || cast(event_count AS varchar)
+         || ' events, ' || printf('%.0f', duration_minutes) || ' min)' AS title,
+       max_severity, event_count, printf('%.0f', duration_minutes) AS duration_text,
+       replace(error_codes, ',', ', ') AS error_codes_text,
+       replace(failure_categories, ',', ', ') AS categories_text
+FROM windows""",
+    "prepared_windows": _with(LOGS, FAILS) + f"""
+SELECT machine_id, {ts_text('start')} AS start, {ts_text('"end"')} AS "end",
+       round(duration_minutes, 1) AS duration_minutes, event_count, max_severity,
+       replace(error_codes, ',', ', ') AS error_codes
+FROM windows ORDER BY windows.start, machine_id LIMIT 10""",
+    "prepared_entries": _with(LOGS, FAILS) + f""",
+top AS (SELECT machine_id, start FROM windows ORDER BY start, machine_id LIMIT 10)
+SELECT e.machine_id, e.window_start, e.seq, {ts_text('e."timestamp"')} AS "timestamp", e.severity,
+       coalesce(e.error_code, '') AS error_code, {", ".join('e.' + s for s in SENSORS)},
+       coalesce(e.operator_notes, '') AS operator_notes
+FROM entries e JOIN top t ON e.machine_id = t.machine_id AND e.window_start = t.start""",
 }

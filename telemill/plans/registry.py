@@ -13,7 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.sources.events_adapter import load_machine_logs
-from telemill.operators import sessions
+from telemill.operators import anomaly, features, sessions, summary
+from telemill.schema import SENSORS, rolling_mean_col, rolling_std_col, anomaly_col, zscore_col
+
+
+
+def fix6(c):
+    """Compared float statistics keep 6 decimals, by the same IEEE steps as the SQL oracle.
+
+    The cut sits just off the half-way point: means of 4-decimal readings can
+    be exact ties, where two engines' summation orders differ by one ulp on
+    either side; no such mean can fall on the shifted cut.
+    """
+    col = F.col(c) if isinstance(c, str) else c
+    return F.floor(col * F.lit(1e6) + F.lit(0.499)) / F.lit(1e6)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +56,105 @@ def q_window_entries(spark, sf_dir):
                     "error_code", "failure_category", "operator_notes")
 
 
+def _enriched(spark, sf_dir):
+    return features.enrich(_logs(spark, sf_dir))
+
+
+def q_time_features(spark, sf_dir):
+    t = features.time_features(_logs(spark, sf_dir))
+    return t.select("event_id", "machine_id", "timestamp", "hour", "day_of_week", "date", "time_since_last")
+
+
+def q_rolling_stats(spark, sf_dir):
+    r = features.rolling_stats(_logs(spark, sf_dir))
+    stats = []
+    for s in SENSORS:
+        stats += [fix6(rolling_mean_col(s)).alias(rolling_mean_col(s)),
+                  fix6(rolling_std_col(s)).alias(rolling_std_col(s))]
+    return r.select("event_id", "machine_id", "timestamp", *stats)
+
+
+def q_sensor_zscores(spark, sf_dir):
+    z = anomaly.sensor_zscores(features.rolling_stats(_logs(spark, sf_dir)))
+    return z.select("event_id", "machine_id", "timestamp",
+                    *[fix6(zscore_col(s)).alias(zscore_col(s)) for s in SENSORS])
+
+
+def q_anomaly_flags(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    return e.select("event_id", "machine_id", "timestamp", *[anomaly_col(s) for s in SENSORS],
+                    "anomaly_count", "is_anomaly")
+
+
+def q_anomalies_by_sensor(spark, sf_dir):
+    return anomaly.anomalies_by_sensor(_enriched(spark, sf_dir))
+
+
+def q_sensor_trend(spark, sf_dir):
+    t = anomaly.sensor_trend(_enriched(spark, sf_dir), "temperature_c")
+    return t.select("machine_id", "timestamp", "event_id", "value",
+                    fix6("rolling_mean").alias("rolling_mean"), "is_anomaly")
+
+
+def q_sensor_anomalies_top20(spark, sf_dir):
+    return anomaly.sensor_anomalies_top(_enriched(spark, sf_dir), "temperature_c", n=20)
+
+
+def q_severity_summary(spark, sf_dir):
+    return summary.severity_summary(_logs(spark, sf_dir))
+
+
+def q_severity_counts(spark, sf_dir):
+    return summary.severity_counts(_logs(spark, sf_dir))
+
+
+def q_category_counts(spark, sf_dir):
+    return summary.category_counts(_logs(spark, sf_dir))
+
+
+def q_overview(spark, sf_dir):
+    return summary.overview(_enriched(spark, sf_dir)).drop("_error_share")
+
+
+def q_report_stats(spark, sf_dir):
+    logs = _logs(spark, sf_dir)
+    return summary.report_stats(features.enrich(logs), sessions.failure_windows(logs, ordered=False))
+
+
+def q_failure_window_listing(spark, sf_dir):
+    return sessions.failure_window_listing(sessions.failure_windows(_logs(spark, sf_dir), ordered=False))
+
+
+def q_prepared_windows(spark, sf_dir):
+    p = sessions.prepared_windows(_logs(spark, sf_dir), nested=False)
+    return p.select("machine_id", "start", "end", "duration_minutes", "event_count", "max_severity",
+                    F.array_join("error_codes", ", ").alias("error_codes"))
+
+
+def q_prepared_entries(spark, sf_dir):
+    entries = sessions.window_entries(_logs(spark, sf_dir))
+    top = sessions.first_windows(sessions.summarize_windows(entries))
+    return sessions.prepared_entries(entries, top)
+
+
 QUERIES: dict[str, Query] = {
     "machine_logs": q_machine_logs,
     "failure_events": q_failure_events,
     "failure_windows": q_failure_windows,
     "window_entries": q_window_entries,
+    "time_features": q_time_features,
+    "rolling_stats": q_rolling_stats,
+    "sensor_zscores": q_sensor_zscores,
+    "anomaly_flags": q_anomaly_flags,
+    "anomalies_by_sensor": q_anomalies_by_sensor,
+    "sensor_trend": q_sensor_trend,
+    "sensor_anomalies_top20": q_sensor_anomalies_top20,
+    "severity_summary": q_severity_summary,
+    "severity_counts": q_severity_counts,
+    "category_counts": q_category_counts,
+    "overview": q_overview,
+    "report_stats": q_report_stats,
+    "failure_window_listing": q_failure_window_listing,
+    "prepared_windows": q_prepared_windows,
+    "prepared_entries": q_prepared_entries,
 }
