@@ -90,10 +90,14 @@ def window_entries(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MINUTES,
         *cols)
 
 
-def summarize_windows(entries: DataFrame) -> DataFrame:
-    """One row per failure window from ``window_entries`` rows (all aggregates partial)."""
+def summarize_windows(entries: DataFrame, extra_aggs: list | None = None) -> DataFrame:
+    """One row per failure window from ``window_entries`` rows (all aggregates partial).
+
+    ``extra_aggs`` are computed in the same aggregation and passed through.
+    """
+    extra_aggs = extra_aggs or []
     g = (entries.groupBy("machine_id", "window_start")
-         .agg(F.max("timestamp").alias("end"),
+         .agg(*extra_aggs, F.max("timestamp").alias("end"),
               F.count(F.lit(1)).alias("event_count"),
               F.max((F.col("severity") == "CRITICAL").cast("int")).alias("_crit"),
               F.array_sort(F.collect_set(non_blank(F.col("failure_category")))).alias("failure_categories"),
@@ -107,6 +111,7 @@ def summarize_windows(entries: DataFrame) -> DataFrame:
         F.when(F.col("_crit") == 1, "CRITICAL").otherwise("ERROR").alias("max_severity"),
         "failure_categories",
         "error_codes",
+        *[c for c in g.columns if "__" in c],
     )
 
 

@@ -93,6 +93,76 @@ def ts_text(c: str) -> str:
             f"ELSE strftime({c}, '%Y-%m-%d %H:%M:%S.%f') END")
 
 
+def _sig_ctes() -> str:
+    from telemill.operators.catalog import SIGNATURES, CATEGORIES
+    sums = []
+    for cat in CATEGORIES:
+        sig = [(x, lo, hi) for c, x, lo, hi in SIGNATURES if c == cat]
+        inside = " + ".join(f"cast(coalesce({x} BETWEEN {lo!r} AND {hi!r}, false) AS integer)" for x, lo, hi in sig)
+        seen = " + ".join(f"cast({x} IS NOT NULL AS integer)" for x, _, _ in sig)
+        sums.append(f"cast(sum({inside}) AS bigint) AS {cat}_in, cast(sum({seen}) AS bigint) AS {cat}_nn")
+    cands = "\n  UNION ALL ".join(
+        f"SELECT machine_id, window_start, '{cat}' AS category, "
+        f"CASE WHEN {cat}_nn > 0 THEN cast({cat}_in AS double) / {cat}_nn ELSE 0e0 END AS score, "
+        f"{cat}_in AS matched, {cat}_nn AS considered FROM sigsum" for cat in CATEGORIES)
+    return f"""
+sigsum AS (SELECT machine_id, window_start, {", ".join(sums)} FROM entries GROUP BY machine_id, window_start),
+cand AS ({cands}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY machine_id, window_start ORDER BY score DESC, category) AS rn
+           FROM cand),
+sigm AS (
+  SELECT machine_id, window_start AS start,
+         CASE WHEN score > 0 THEN category ELSE 'UNKNOWN' END AS failure_mode,
+         CASE WHEN score > 0 THEN score ELSE 0e0 END AS confidence,
+         CASE WHEN score > 0 THEN matched ELSE 0 END AS n_matched,
+         CASE WHEN score > 0 THEN considered ELSE 0 END AS n_considered
+  FROM ranked WHERE rn = 1),
+ev AS (
+  SELECT machine_id, window_start AS start,
+         coalesce(string_agg(DISTINCT 'error code ' || nullif(error_code, ''), '|'
+                             ORDER BY 'error code ' || nullif(error_code, '')), '') AS evidence
+  FROM entries GROUP BY machine_id, window_start),
+diag AS (
+  SELECT w.machine_id, w.start AS start_ts, {ts_text('w.start')} AS start, {ts_text('w."end"')} AS "end",
+         CASE WHEN s.failure_mode <> 'UNKNOWN'
+              THEN s.failure_mode || ' signature: ' || s.n_matched || ' of ' || s.n_considered || ' readings in range'
+              ELSE 'No failure signature matched' END AS root_cause,
+         s.failure_mode, s.confidence,
+         CASE WHEN w.max_severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS severity_assessment,
+         ev.evidence,
+         CASE WHEN s.failure_mode <> 'UNKNOWN' THEN 1 ELSE 0 END AS n_actions,
+         '' AS parts_at_risk,
+         w.event_count || ' events in ' || printf('%.1f', w.duration_minutes) || ' min' AS pattern_notes,
+         'ok' AS status,
+         CASE WHEN w.max_severity = 'CRITICAL' THEN 'IMMEDIATE' ELSE 'NEXT_SHIFT' END AS priority,
+         'Inspect the ' || lower(s.failure_mode) || ' subsystem' AS action,
+         round(w.duration_minutes / 60e0, 1) AS downtime,
+         w.max_severity
+  FROM windows w JOIN sigm s ON w.machine_id = s.machine_id AND w.start = s.start
+  JOIN ev ON w.machine_id = ev.machine_id AND w.start = ev.start)"""
+
+
+def _section_sql() -> str:
+    nl = "chr(10)"
+    return f"""concat_ws({nl},
+    '### Machine `' || machine_id || '` — ' || start || ' → ' || "end", '',
+    '| Field | Value |', '|-------|-------|',
+    '| **Root Cause** | ' || root_cause || ' |',
+    '| **Failure Mode** | `' || failure_mode || '` |',
+    '| **Confidence** | ' || printf('%.0f', confidence * 100) || '% |',
+    '| **Severity** | ' || CASE severity_assessment WHEN 'CRITICAL' THEN '🔴 CRITICAL' WHEN 'HIGH' THEN '🟠 HIGH'
+                                WHEN 'MEDIUM' THEN '🟡 MEDIUM' WHEN 'LOW' THEN '🟢 LOW'
+                                ELSE '⚪ ' || severity_assessment END || ' |', '',
+    CASE WHEN evidence <> '' THEN concat_ws({nl}, '**Evidence:**',
+         '- ' || replace(evidence, '|', {nl} || '- '), '') END,
+    CASE WHEN n_actions > 0 THEN concat_ws({nl}, '**Recommended Actions:**', '',
+         '| Priority | Action | Est. Downtime |', '|----------|--------|---------------|',
+         '| ' || CASE priority WHEN 'IMMEDIATE' THEN '⚡ IMMEDIATE' ELSE '📋 NEXT SHIFT' END || ' | ' || action
+           || ' | ' || cast(downtime AS varchar) || 'h |', '') END,
+    CASE WHEN pattern_notes <> '' THEN concat_ws({nl}, '**Pattern Notes:** ' || pattern_notes, '') END,
+    '---', '')"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
@@ -181,4 +251,41 @@ SELECT e.machine_id, e.window_start, e.seq, {ts_text('e."timestamp"')} AS "times
        coalesce(e.error_code, '') AS error_code, {", ".join('e.' + s for s in SENSORS)},
        coalesce(e.operator_notes, '') AS operator_notes
 FROM entries e JOIN top t ON e.machine_id = t.machine_id AND e.window_start = t.start""",
+    "code_category": _with(LOGS, FAILS) + """
+SELECT f.event_id, f.machine_id, f."timestamp", f.error_code, f.failure_category, c.catalog_category,
+       coalesce(c.catalog_category = f.failure_category, false) AS category_matches
+FROM fails f LEFT JOIN (VALUES """ + ", ".join(
+        f"('{code}', '{cat}')" for cat, codes in __import__("telemill.operators.catalog", fromlist=["x"]).ERROR_CODES
+        for code in codes) + """) c(error_code, catalog_category) ON f.error_code = c.error_code""",
+    "out_of_range": _with(LOGS) + "\n" + "\nUNION ALL\n".join(
+        f"SELECT machine_id, '{x}' AS sensor, count({x}) AS n_readings, "
+        f"count(*) FILTER (WHERE {x} < {lo!r} OR {x} > {hi!r}) AS n_out_of_range "
+        f"FROM logs WHERE machine_id IS NOT NULL GROUP BY machine_id"
+        for x, lo, hi in __import__("telemill.operators.catalog", fromlist=["x"]).NORMAL_RANGES),
+    "signature_match": _with(LOGS, FAILS, _sig_ctes()) + "\nSELECT * FROM sigm",
+    "parsed_responses": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT machine_id, start_ts AS start, status, root_cause, failure_mode, severity_assessment FROM diag""",
+    "diagnoses": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT machine_id, start, "end", root_cause, failure_mode, confidence, severity_assessment, evidence,
+       n_actions, parts_at_risk, pattern_notes, status FROM diag""",
+    "recommended_actions": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT machine_id, start,
+       CASE WHEN n_actions > 0 THEN 1 END AS ord,
+       CASE WHEN n_actions > 0 THEN priority END AS priority,
+       CASE WHEN n_actions > 0 THEN action END AS action,
+       CASE WHEN n_actions > 0 THEN downtime END AS estimated_downtime_hours,
+       CASE WHEN n_actions > 0 THEN cast(downtime AS varchar) END AS estimated_downtime_text
+FROM diag""",
+    "fleet_issues": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT failure_mode, count(*) AS n_windows,
+       string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS affected_machines,
+       floor(avg(confidence) * 1e6 + 0.499) / 1e6 AS mean_confidence,
+       count(*) FILTER (WHERE severity_assessment = 'CRITICAL') AS n_critical
+FROM diag GROUP BY failure_mode""",
+    "fleet_prompt": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT machine_id, start || ' → ' || "end" AS time_range, root_cause, failure_mode,
+       severity_assessment AS severity, n_actions
+FROM diag ORDER BY start_ts, machine_id LIMIT 10""",
+    "report_sections": _with(LOGS, FAILS, _sig_ctes()) + f"""
+SELECT machine_id, start, {_section_sql()} AS text FROM diag""",
 }

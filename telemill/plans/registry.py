@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.sources.events_adapter import load_machine_logs
-from telemill.operators import anomaly, features, sessions, summary
+from telemill.operators import anomaly, catalog, diagnose, features, report, sessions, summary
 from telemill.schema import SENSORS, rolling_mean_col, rolling_std_col, anomaly_col, zscore_col
 
 
@@ -137,6 +137,64 @@ def q_prepared_entries(spark, sf_dir):
     return sessions.prepared_entries(entries, top)
 
 
+def q_code_category(spark, sf_dir):
+    return catalog.code_category(sessions.failure_events(_logs(spark, sf_dir)))
+
+
+def q_out_of_range(spark, sf_dir):
+    return catalog.out_of_range(_logs(spark, sf_dir))
+
+
+def q_signature_match(spark, sf_dir):
+    return catalog.signature_match(sessions.window_entries(_logs(spark, sf_dir)))
+
+
+def _diagnoses(spark, sf_dir):
+    return diagnose.diagnose(_logs(spark, sf_dir))
+
+
+def q_parsed_responses(spark, sf_dir):
+    scored = diagnose.scored_windows(sessions.window_entries(_logs(spark, sf_dir)))
+    p = diagnose.parse_responses(diagnose.signature_responses(scored))
+    return p.select("machine_id", "start", "status",
+                    F.col("_j.root_cause").alias("root_cause"),
+                    F.col("_j.failure_mode").alias("failure_mode"),
+                    F.col("_j.severity_assessment").alias("severity_assessment"))
+
+
+def q_diagnoses(spark, sf_dir):
+    d = _diagnoses(spark, sf_dir)
+    return d.select("machine_id", "start", "end", "root_cause", "failure_mode", "confidence",
+                    "severity_assessment", F.array_join("evidence", "|").alias("evidence"),
+                    F.size("recommended_actions").alias("n_actions"),
+                    F.array_join("parts_at_risk", "|").alias("parts_at_risk"), "pattern_notes", "status")
+
+
+def q_recommended_actions(spark, sf_dir):
+    return report.recommended_actions(_diagnoses(spark, sf_dir))
+
+
+def q_fleet_issues(spark, sf_dir):
+    f = diagnose.fleet_issues(_diagnoses(spark, sf_dir))
+    return f.select("failure_mode", "n_windows", "affected_machines",
+                    fix6("mean_confidence").alias("mean_confidence"), "n_critical")
+
+
+def q_fleet_prompt(spark, sf_dir):
+    rows = diagnose.fleet_prompt_rows(_diagnoses(spark, sf_dir)).orderBy("start", "machine_id").limit(10)
+    return rows.select("machine_id", "time_range", "root_cause", "failure_mode", "severity",
+                       F.size("recommended_actions").alias("n_actions"))
+
+
+def q_window_prompts(spark, sf_dir):
+    p = diagnose.window_prompts(sessions.prepared_windows(_logs(spark, sf_dir)))
+    return p.select("machine_id", "start", "end", "event_count", "prompt")
+
+
+def q_report_sections(spark, sf_dir):
+    return report.report_sections(_diagnoses(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "machine_logs": q_machine_logs,
     "failure_events": q_failure_events,
@@ -157,4 +215,14 @@ QUERIES: dict[str, Query] = {
     "failure_window_listing": q_failure_window_listing,
     "prepared_windows": q_prepared_windows,
     "prepared_entries": q_prepared_entries,
+    "code_category": q_code_category,
+    "out_of_range": q_out_of_range,
+    "signature_match": q_signature_match,
+    "parsed_responses": q_parsed_responses,
+    "diagnoses": q_diagnoses,
+    "recommended_actions": q_recommended_actions,
+    "fleet_issues": q_fleet_issues,
+    "fleet_prompt": q_fleet_prompt,
+    "window_prompts": q_window_prompts,
+    "report_sections": q_report_sections,
 }
