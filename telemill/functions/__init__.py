@@ -2,5 +2,5 @@
 
 from telemill.functions.exprs import (  # noqa: F401
     epoch_us, ts_text, minute_text, nan_to_null, null_if_token, strip_fence,
-    strip_ws, sorted_join, non_blank,
+    strip_ws, sorted_join, non_blank, fixed,
 )

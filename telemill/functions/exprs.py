@@ -73,3 +73,8 @@ def strip_fence(c: Column) -> Column:
         .when(t.startswith("```"), strip_ws(body))
         .otherwise(t)
     )
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """Python's ``f"{x:.{digits}f}"``: exact binary ties go to even (Java's formatter rounds them up)."""
+    return F.format_string(f"%.{digits}f", F.bround(c, digits))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.functions.exprs import strip_fence, ts_text
+from telemill.functions.exprs import fixed, strip_fence, ts_text
 from telemill.schema import DIAGNOSIS_JSON_SCHEMA, FLEET_JSON_SCHEMA, DEFAULT_MAX_WINDOWS
 from telemill.session import checkpoint_dir
 
@@ -250,7 +250,7 @@ def signature_responses(scored: DataFrame) -> DataFrame:
          .alias("recommended_actions"),
         F.array().cast("array<string>").alias("parts_at_risk"),
         F.concat(F.col("event_count").cast("string"), F.lit(" events in "),
-                 F.format_string("%.1f", F.col("duration_minutes")), F.lit(" min")).alias("pattern_notes"))
+                 fixed(F.col("duration_minutes"), 1), F.lit(" min")).alias("pattern_notes"))
     return scored.withColumn("response", F.to_json(body))
 
 

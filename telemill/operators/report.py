@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.functions.exprs import fixed
+
 # ---------------------------------------------------------------------------
 # Report badges by severity and by priority.
 SEVERITY_BADGES = {
@@ -44,7 +46,7 @@ def priority_badge(c: Column) -> Column:
 
 def percent0(c: Column) -> Column:
     """Python's ``{x:.0%}``: ties of the binary value go to even."""
-    return F.format_string("%.0f%%", F.bround(c * 100, 0))
+    return F.concat(fixed(c * 100, 0), F.lit("%"))
 
 
 def recommended_actions(diagnoses: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def fleet_section(fleet: DataFrame) -> DataFrame:
         _block(F.size("trend_alerts") > 0, F.lit("### Trend Alerts"), F.lit(""),
                F.array_join(alerts, "\n"), F.lit("")),
         _block(savings != 0, F.concat(F.lit("**Estimated Downtime Savings:** "),
-                                      F.format_string("%.1f", savings),
+                                      fixed(savings, 1),
                                       F.lit(" hours (if all recommended actions are completed)")), F.lit("")),
     )
     return fleet.select(text.alias("text"))

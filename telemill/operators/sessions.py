@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import epoch_us, non_blank, ts_text, minute_text
+from telemill.functions.exprs import epoch_us, fixed, non_blank, ts_text, minute_text
 from telemill.schema import FAILURE_SEVERITIES, SENSORS, DEFAULT_GAP_MINUTES, DEFAULT_MAX_WINDOWS
 
 US_PER_MINUTE = 60_000_000
@@ -203,7 +203,7 @@ def prepared_windows(logs: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS,
 
 def failure_window_listing(windows: DataFrame) -> DataFrame:
     """Dashboard listing line per window: title, severity, codes, categories."""
-    minutes = F.format_string("%.0f", F.bround("duration_minutes", 0))
+    minutes = fixed(F.col("duration_minutes"), 0)
     title = F.concat(F.col("machine_id"), F.lit(" — "), minute_text("start"), F.lit(" ("),
                      F.col("event_count").cast("string"), F.lit(" events, "), minutes, F.lit(" min)"))
     return windows.select(

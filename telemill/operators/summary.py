@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import ts_text
+from telemill.functions.exprs import fixed, ts_text
 from telemill.schema import SEVERITIES, FAILURE_SEVERITIES
 
 
@@ -77,7 +77,7 @@ def report_stats(enriched: DataFrame, windows: DataFrame) -> DataFrame:
     Two one-row aggregates are unioned, not joined.
     """
     o = overview(enriched)
-    pct = F.format_string("%.1f%%", F.bround(F.col("_error_share") * 100, 1))
+    pct = F.concat(fixed(F.col("_error_share") * 100, 1), F.lit("%"))
     def row(i, metric, value):
         return F.struct(F.lit(i).alias("ord"), F.lit(metric).alias("metric"), value.alias("value"))
 
