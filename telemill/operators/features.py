@@ -101,6 +101,7 @@ def _halo(df: DataFrame, frame_us: int, bucket_us: int) -> DataFrame:
 
 
 def _rolling_exprs(w) -> list[Column]:
+    """Sliding-frame form: exact, but Spark re-aggregates each frame (rows x frame size)."""
     out = []
     for s in SENSORS:
         out.append(F.when(_valid(), F.avg(s).over(w)).alias(rolling_mean_col(s)))
@@ -109,32 +110,79 @@ def _rolling_exprs(w) -> list[Column]:
     return out
 
 
+_EPS = 2.220446049250313e-16
+_NOISE_FACTOR = 64.0
+
+
+def _cumulative_rolling_exprs(part: list[str], frame_us: int) -> list[Column]:
+    """Running-sum form, O(rows): frame sums = sums up to t minus sums up to t - h.
+
+    Both frames are ``RANGE UNBOUNDED PRECEDING ... `` frames, which Spark
+    evaluates incrementally; peers (equal timestamps) are inside the frame as in
+    the sliding form. Values are centred on the partition minimum to keep the
+    sums small; a variance below the rounding-noise bound of the sums is 0, so
+    a constant run gives std exactly 0 (as the sliding form does).
+    """
+    order = Window.partitionBy(*part).orderBy(_TS)
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rangeBetween(Window.unboundedPreceding, -frame_us)
+    whole = Window.partitionBy(*part)
+    out = []
+    for s in SENSORS:
+        ref = F.min(s).over(whole)
+        d = F.col(s) - ref
+        n = F.count(s).over(upto) - F.count(s).over(before)
+        s1u, s1b = F.sum(d).over(upto), F.coalesce(F.sum(d).over(before), F.lit(0.0))
+        qu, qb = F.sum(d * d).over(upto), F.coalesce(F.sum(d * d).over(before), F.lit(0.0))
+        s1, q = s1u - s1b, qu - qb
+        mean = F.when(n > 0, s1 / n + ref)
+        var = (q - s1 * s1 / n) / (n - 1)
+        noise = (F.lit(_NOISE_FACTOR * _EPS)
+                 * (F.abs(qu) + F.abs(qb) + F.lit(2.0) * F.abs(s1) * (F.abs(s1u) + F.abs(s1b)) / n) / (n - 1))
+        std = F.when((n >= 2) & (var > noise), F.sqrt(var)).otherwise(F.lit(0.0))
+        out.append(F.when(_valid(), mean).alias(rolling_mean_col(s)))
+        out.append(F.when(_valid(), std).alias(rolling_std_col(s)))
+    return out
+
+
 def _frame_us(window_hours: float) -> int:
     # pandas' time frame is (t - h, t]: exclude a row exactly h old.
     return int(window_hours * US_PER_HOUR)
 
 
+def _stats(part: list[str], frame_us: int, method: str) -> list[Column]:
+    if method == "frame":
+        w = Window.partitionBy(*part).orderBy(_TS).rangeBetween(-(frame_us - 1), 0)
+        return _rolling_exprs(w)
+    if method == "cumulative":
+        return _cumulative_rolling_exprs(part, frame_us)
+    raise ValueError(f"unknown rolling method {method!r}")
+
+
 def rolling_stats(df: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
-                  bucket_hours: int = DEFAULT_BUCKET_HOURS, plain: bool = False) -> DataFrame:
+                  bucket_hours: int = DEFAULT_BUCKET_HOURS, plain: bool = False,
+                  method: str = "cumulative") -> DataFrame:
     """Rolling mean and sample std (NULL -> 0) per machine over (t - h, t], all sensors.
 
-    All twelve aggregates share one window spec: one exchange, one sort, one Window node.
+    ``plain`` partitions by machine only (no halo); ``method`` is ``cumulative``
+    (running sums, O(rows)) or ``frame`` (Spark's sliding frame, the exact
+    reference). All aggregates share one partitioning and ordering: one
+    exchange, one sort.
     """
     cols = df.columns
     frame_us = _frame_us(window_hours)
     x = _with_ts(df)
     if plain:
-        w = Window.partitionBy("machine_id").orderBy(_TS).rangeBetween(-(frame_us - 1), 0)
-        return x.select(*cols, *_rolling_exprs(w))
+        return x.select(*cols, *_stats(["machine_id"], frame_us, method))
     bucket_us = max(bucket_hours * US_PER_HOUR, frame_us)
     x = _halo(x, frame_us, bucket_us)
-    w = Window.partitionBy("machine_id", _B).orderBy(_TS).rangeBetween(-(frame_us - 1), 0)
-    return x.select(*cols, _SHIFT, *_rolling_exprs(w)).where(F.col(_SHIFT) == 0).drop(_SHIFT)
+    return (x.select(*cols, _SHIFT, *_stats(["machine_id", _B], frame_us, method))
+             .where(F.col(_SHIFT) == 0).drop(_SHIFT))
 
 
 def enrich(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
            z_threshold: float = DEFAULT_Z_THRESHOLD,
-           bucket_hours: int = DEFAULT_BUCKET_HOURS) -> DataFrame:
+           bucket_hours: int = DEFAULT_BUCKET_HOURS, method: str = "cumulative") -> DataFrame:
     """time features + rolling stats + anomaly flags in ONE shuffle of the log.
 
     The halo partition ``(machine_id, bucket)`` also serves ``lag``: a bucket's
@@ -149,9 +197,8 @@ def enrich(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
     edges = _edge_table(x, bucket_us)
     x = _halo(x, frame_us, bucket_us).join(edges, ["machine_id", _B], "left")
     w_lag = Window.partitionBy("machine_id", _B).orderBy(_TS, "event_id")
-    w_roll = Window.partitionBy("machine_id", _B).orderBy(_TS).rangeBetween(-(frame_us - 1), 0)
     tsl = _time_since_last(F.coalesce(F.lag(_TS).over(w_lag), F.col(_PREV))).alias("time_since_last")
-    y = (x.select(*cols, _TS, _SHIFT, tsl, *_rolling_exprs(w_roll))
+    y = (x.select(*cols, _TS, _SHIFT, tsl, *_stats(["machine_id", _B], frame_us, method))
           .where(F.col(_SHIFT) == 0))
     y = _calendar(y)
     ordered = [*cols, "hour", "day_of_week", "date", "time_since_last"]

@@ -10,52 +10,47 @@ scan to the events columns a query really needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _case(c: Column, cases: dict[int, Column], default: Column) -> Column:
-    out = None
-    for key, val in cases.items():
-        out = F.when(c == key, val) if out is None else out.when(c == key, val)
-    return out.otherwise(default)
+from pyspark.sql import DataFrame, SparkSession
+
+
+# The view as Spark SQL expressions: one parse on the JVM instead of hundreds
+# of Python-side Column calls. Double literals carry the D suffix (a bare
+# 0.15 would be DECIMAL).
+_BASE = [
+    "*",
+    "CAST(get_json_object(props, '$.k') AS INT) AS _k",
+]
+_DERIVED = [
+    "*",
+    "CASE WHEN event_type = 'error' THEN pmod(_k, 6) ELSE -1 END AS _c",
+    "(value % 10D) / 10D AS _u",
+    "_k / 100D AS _v",
+]
+_VIEW = [
+    "event_id",
+    "ts AS timestamp",
+    "concat('M-', CAST(pmod(user_id, 5) AS STRING)) AS machine_id",
+    """CASE WHEN _c >= 0 AND value >= 100 THEN 'CRITICAL' WHEN _c >= 0 THEN 'ERROR'
+            WHEN event_type = 'purchase' THEN 'WARNING' ELSE 'INFO' END AS severity""",
+    "CASE WHEN _c >= 0 THEN concat('E-', CAST(201 + 100 * _c AS STRING)) ELSE '' END AS error_code",
+    """CASE _c WHEN 0 THEN 'THERMAL' WHEN 1 THEN 'OPTICAL' WHEN 2 THEN 'PNEUMATIC' WHEN 3 THEN 'MECHANICAL'
+               WHEN 4 THEN 'MATERIAL' WHEN 5 THEN 'ELECTRICAL' ELSE '' END AS failure_category""",
+    """CASE _c WHEN 0 THEN 2300D + 300D * _u WHEN 1 THEN 1500D + 250D * _u WHEN 4 THEN 2100D + 400D * _u
+               WHEN 5 THEN 800D * _u ELSE 1800D + 400D * _u END AS laser_power_w""",
+    "CASE _c WHEN 0 THEN 55D + 30D * _v WHEN 5 THEN 15D + 5D * _v ELSE 20D + 15D * _v END AS temperature_c",
+    """CASE WHEN pmod(_k, 17) = 0 THEN CAST(NULL AS DOUBLE) WHEN _c = 2 THEN 80D + 30D * _u
+            ELSE 140D + 20D * _u END AS gas_pressure_psi""",
+    "CASE _c WHEN 1 THEN 0.15D + 0.3D * _v WHEN 3 THEN 0.08D + 0.12D * _v ELSE 0.05D * _v END AS beam_alignment_mm",
+    """CASE _c WHEN 2 THEN 1000D + 500D * _v WHEN 3 THEN 800D + 600D * _v WHEN 4 THEN 1200D + 400D * _v
+               ELSE 1800D + 600D * _v END AS feed_rate_mm_min""",
+    "CASE _c WHEN 0 THEN 3D + 2.5D * _u ELSE 10D + 0D * _u END AS coolant_flow_lpm",
+    """CASE WHEN pmod(_k, 5) = 0 THEN CAST(NULL AS STRING) WHEN pmod(_k, 7) = 0 THEN ''
+            ELSE concat(event_type, ' note ', CAST(_k AS STRING)) END AS operator_notes""",
+]
 
 
 def machine_logs_from_events(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    e = (events
-         .withColumn("_k", k)
-         .withColumn("_c", F.when(F.col("event_type") == "error", F.pmod(F.col("_k"), F.lit(6))).otherwise(F.lit(-1)))
-         .withColumn("_u", (F.col("value") % F.lit(10.0)) / F.lit(10.0))
-         .withColumn("_v", F.col("_k") / F.lit(100.0)))
-    c, u, v, kk = F.col("_c"), F.col("_u"), F.col("_v"), F.col("_k")
-    failing = c >= 0
-    return e.select(
-        F.col("event_id"),
-        F.col("ts").alias("timestamp"),
-        F.concat(F.lit("M-"), F.pmod(F.col("user_id"), F.lit(5)).cast("string")).alias("machine_id"),
-        F.when(failing & (F.col("value") >= 100), "CRITICAL")
-         .when(failing, "ERROR")
-         .when(F.col("event_type") == "purchase", "WARNING")
-         .otherwise("INFO").alias("severity"),
-        F.when(failing, F.concat(F.lit("E-"), (F.lit(201) + F.lit(100) * c).cast("string")))
-         .otherwise(F.lit("")).alias("error_code"),
-        _case(c, {0: F.lit("THERMAL"), 1: F.lit("OPTICAL"), 2: F.lit("PNEUMATIC"),
-                  3: F.lit("MECHANICAL"), 4: F.lit("MATERIAL"), 5: F.lit("ELECTRICAL")},
-              F.lit("")).alias("failure_category"),
-        _case(c, {0: 2300.0 + 300.0 * u, 1: 1500.0 + 250.0 * u, 4: 2100.0 + 400.0 * u, 5: 800.0 * u},
-              1800.0 + 400.0 * u).alias("laser_power_w"),
-        _case(c, {0: 55.0 + 30.0 * v, 5: 15.0 + 5.0 * v}, 20.0 + 15.0 * v).alias("temperature_c"),
-        F.when(F.pmod(kk, F.lit(17)) == 0, F.lit(None).cast("double"))
-         .when(c == 2, 80.0 + 30.0 * u).otherwise(140.0 + 20.0 * u).alias("gas_pressure_psi"),
-        _case(c, {1: 0.15 + 0.3 * v, 3: 0.08 + 0.12 * v}, 0.05 * v).alias("beam_alignment_mm"),
-        _case(c, {2: 1000.0 + 500.0 * v, 3: 800.0 + 600.0 * v, 4: 1200.0 + 400.0 * v},
-              1800.0 + 600.0 * v).alias("feed_rate_mm_min"),
-        _case(c, {0: 3.0 + 2.5 * u}, 10.0 + 0.0 * u).alias("coolant_flow_lpm"),
-        F.when(F.pmod(kk, F.lit(5)) == 0, F.lit(None).cast("string"))
-         .when(F.pmod(kk, F.lit(7)) == 0, F.lit(""))
-         .otherwise(F.concat(F.col("event_type"), F.lit(" note "), kk.cast("string"))).alias("operator_notes"),
-    )
+    return events.selectExpr(*_BASE).selectExpr(*_DERIVED).selectExpr(*_VIEW)
 
 
 def load_machine_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
