@@ -100,49 +100,71 @@ def _halo(df: DataFrame, frame_us: int, bucket_us: int) -> DataFrame:
               .withColumn(_B, home + F.col(_SHIFT)))
 
 
-def _rolling_exprs(w) -> list[Column]:
+# The statistics are written as Spark SQL text: each expression is parsed once
+# on the JVM instead of being assembled from hundreds of Python-side Column
+# calls, and every intermediate gets a name, so no window expression is
+# expanded twice into the plan.
+_VALID_SQL = "machine_id IS NOT NULL AND timestamp IS NOT NULL"
+
+
+def _over(part: list[str], order: str, frame: str) -> str:
+    return f"OVER (PARTITION BY {', '.join(part)} ORDER BY {order} {frame})"
+
+
+def _with_frame_stats(x: DataFrame, part: list[str], frame_us: int, keep: list[str]) -> DataFrame:
     """Sliding-frame form: exact, but Spark re-aggregates each frame (rows x frame size)."""
+    w = _over(part, _TS, f"RANGE BETWEEN {frame_us - 1} PRECEDING AND CURRENT ROW")
     out = []
     for s in SENSORS:
-        out.append(F.when(_valid(), F.avg(s).over(w)).alias(rolling_mean_col(s)))
-        out.append(F.when(_valid(), F.coalesce(F.stddev_samp(s).over(w), F.lit(0.0)))
-                   .alias(rolling_std_col(s)))
-    return out
+        out.append(f"CASE WHEN {_VALID_SQL} THEN avg({s}) {w} END AS {rolling_mean_col(s)}")
+        out.append(f"CASE WHEN {_VALID_SQL} THEN coalesce(stddev_samp({s}) {w}, 0D) END AS {rolling_std_col(s)}")
+    return x.selectExpr(*[f"`{c}`" for c in keep], *out)
 
 
 _EPS = 2.220446049250313e-16
 _NOISE_FACTOR = 64.0
 
 
-def _cumulative_rolling_exprs(part: list[str], frame_us: int) -> list[Column]:
+def _with_cumulative_stats(x: DataFrame, part: list[str], frame_us: int, keep: list[str],
+                           order: str = _TS) -> DataFrame:
     """Running-sum form, O(rows): frame sums = sums up to t minus sums up to t - h.
 
-    Both frames are ``RANGE UNBOUNDED PRECEDING ... `` frames, which Spark
-    evaluates incrementally; peers (equal timestamps) are inside the frame as in
-    the sliding form. Values are centred on the partition minimum to keep the
-    sums small; a variance below the rounding-noise bound of the sums is 0, so
-    a constant run gives std exactly 0 (as the sliding form does).
+    Three projections, all on one partitioning and one sort order (``order``
+    starts with the time, so the RANGE windows reuse its sort):
+
+    1. ``_r_<s>``: the partition minimum, the centre that keeps the sums small;
+    2. count, sum and sum of squares of the centred value over
+       ``RANGE UNBOUNDED PRECEDING`` up to the current row and up to ``t - h``
+       (both incremental frames; peers, equal timestamps, are inside the frame
+       as in the sliding form);
+    3. mean and sample std from the differences. A variance below the
+       rounding-noise bound of the sums is 0, so a constant run gives std
+       exactly 0, as the sliding form does. ``nullif`` keeps the divisions
+       defined for frames of 0 or 1 readings.
     """
-    order = Window.partitionBy(*part).orderBy(_TS)
-    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = order.rangeBetween(Window.unboundedPreceding, -frame_us)
-    whole = Window.partitionBy(*part)
+    whole = _over(part, order, "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+    upto = _over(part, _TS, "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    before = _over(part, _TS, f"RANGE BETWEEN UNBOUNDED PRECEDING AND {frame_us} PRECEDING")
+    x = x.selectExpr("*", *[f"min({s}) {whole} AS _r_{s}" for s in SENSORS])
+    sums = []
+    for s in SENSORS:
+        d = f"({s} - _r_{s})"
+        sums += [f"count({s}) {upto} AS _nu_{s}", f"count({s}) {before} AS _nb_{s}",
+                 f"sum({d}) {upto} AS _su_{s}", f"coalesce(sum({d}) {before}, 0D) AS _sb_{s}",
+                 f"sum({d} * {d}) {upto} AS _qu_{s}", f"coalesce(sum({d} * {d}) {before}, 0D) AS _qb_{s}"]
+    x = x.selectExpr("*", *sums)
     out = []
     for s in SENSORS:
-        ref = F.min(s).over(whole)
-        d = F.col(s) - ref
-        n = F.count(s).over(upto) - F.count(s).over(before)
-        s1u, s1b = F.sum(d).over(upto), F.coalesce(F.sum(d).over(before), F.lit(0.0))
-        qu, qb = F.sum(d * d).over(upto), F.coalesce(F.sum(d * d).over(before), F.lit(0.0))
-        s1, q = s1u - s1b, qu - qb
-        mean = F.when(n > 0, s1 / n + ref)
-        var = (q - s1 * s1 / n) / (n - 1)
-        noise = (F.lit(_NOISE_FACTOR * _EPS)
-                 * (F.abs(qu) + F.abs(qb) + F.lit(2.0) * F.abs(s1) * (F.abs(s1u) + F.abs(s1b)) / n) / (n - 1))
-        std = F.when((n >= 2) & (var > noise), F.sqrt(var)).otherwise(F.lit(0.0))
-        out.append(F.when(_valid(), mean).alias(rolling_mean_col(s)))
-        out.append(F.when(_valid(), std).alias(rolling_std_col(s)))
-    return out
+        n = f"nullif(_nu_{s} - _nb_{s}, 0)"
+        n1 = f"nullif(_nu_{s} - _nb_{s} - 1, 0)"
+        s1, q = f"(_su_{s} - _sb_{s})", f"(_qu_{s} - _qb_{s})"
+        var = f"(({q} - {s1} * {s1} / {n}) / {n1})"
+        noise = (f"({_NOISE_FACTOR * _EPS!r}D * (abs(_qu_{s}) + abs(_qb_{s})"
+                 f" + 2D * abs({s1}) * (abs(_su_{s}) + abs(_sb_{s})) / {n}) / {n1})")
+        out.append(f"CASE WHEN {_VALID_SQL} THEN {s1} / {n} + _r_{s} END AS {rolling_mean_col(s)}")
+        out.append(f"CASE WHEN NOT ({_VALID_SQL}) THEN NULL WHEN {var} > {noise} THEN sqrt({var}) "
+                   f"ELSE 0D END AS {rolling_std_col(s)}")
+    return x.selectExpr(*[f"`{c}`" for c in keep], *out)
 
 
 def _frame_us(window_hours: float) -> int:
@@ -150,12 +172,12 @@ def _frame_us(window_hours: float) -> int:
     return int(window_hours * US_PER_HOUR)
 
 
-def _stats(part: list[str], frame_us: int, method: str) -> list[Column]:
+def _with_stats(x: DataFrame, part: list[str], frame_us: int, method: str, keep: list[str],
+                order: str = _TS) -> DataFrame:
     if method == "frame":
-        w = Window.partitionBy(*part).orderBy(_TS).rangeBetween(-(frame_us - 1), 0)
-        return _rolling_exprs(w)
+        return _with_frame_stats(x, part, frame_us, keep)
     if method == "cumulative":
-        return _cumulative_rolling_exprs(part, frame_us)
+        return _with_cumulative_stats(x, part, frame_us, keep, order)
     raise ValueError(f"unknown rolling method {method!r}")
 
 
@@ -173,11 +195,11 @@ def rolling_stats(df: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
     frame_us = _frame_us(window_hours)
     x = _with_ts(df)
     if plain:
-        return x.select(*cols, *_stats(["machine_id"], frame_us, method))
+        return _with_stats(x, ["machine_id"], frame_us, method, cols)
     bucket_us = max(bucket_hours * US_PER_HOUR, frame_us)
     x = _halo(x, frame_us, bucket_us)
-    return (x.select(*cols, _SHIFT, *_stats(["machine_id", _B], frame_us, method))
-             .where(F.col(_SHIFT) == 0).drop(_SHIFT))
+    return (_with_stats(x, ["machine_id", _B], frame_us, method, [*cols, _SHIFT])
+            .where(F.col(_SHIFT) == 0).drop(_SHIFT))
 
 
 def enrich(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
@@ -198,8 +220,10 @@ def enrich(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
     x = _halo(x, frame_us, bucket_us).join(edges, ["machine_id", _B], "left")
     w_lag = Window.partitionBy("machine_id", _B).orderBy(_TS, "event_id")
     tsl = _time_since_last(F.coalesce(F.lag(_TS).over(w_lag), F.col(_PREV))).alias("time_since_last")
-    y = (x.select(*cols, _TS, _SHIFT, tsl, *_stats(["machine_id", _B], frame_us, method))
-          .where(F.col(_SHIFT) == 0))
+    x = x.select(*cols, _TS, _B, _SHIFT, tsl)
+    y = (_with_stats(x, ["machine_id", _B], frame_us, method, [*cols, _TS, _SHIFT, "time_since_last"],
+                     order=f"{_TS}, event_id")
+         .where(F.col(_SHIFT) == 0))
     y = _calendar(y)
     ordered = [*cols, "hour", "day_of_week", "date", "time_since_last"]
     for s in SENSORS:
