@@ -32,8 +32,8 @@ def test_analyze_end_to_end(spark, tmpdir_path):
     logs = load_machine_logs(spark, SF001)
     out = analyze(spark, logs, tmpdir_path, max_windows=5, generated_at="2025-01-01 00:00:00")
     assert out["diagnoses"].count() == 5
-    files = [f for f in os.listdir(f"{tmpdir_path}/diagnostic_report") if f.startswith("part-")]
-    text = open(f"{tmpdir_path}/diagnostic_report/{files[0]}", encoding="utf-8").read()
+    files = sorted(f for f in os.listdir(f"{tmpdir_path}/diagnostic_report") if f.startswith("part-"))
+    text = "".join(open(f"{tmpdir_path}/diagnostic_report/{f}", encoding="utf-8").read() for f in files)
     assert text.startswith("# Manufacturing Log Diagnostic Report\n\n*Generated: 2025-01-01 00:00:00*")
     assert "## Dataset Overview" in text and "| Total entries | 1000 |" in text
     assert "## Fleet Summary" in text and "## Detailed Failure Analysis" in text
