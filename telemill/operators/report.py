@@ -7,7 +7,7 @@ NULL parts, so empty blocks vanish). The assembled report is a set of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.exprs import fixed
@@ -139,34 +139,35 @@ def fleet_section(fleet: DataFrame) -> DataFrame:
 
 def assemble_report(diagnoses: DataFrame, generated_at: str, fleet: DataFrame | None = None,
                     stats: DataFrame | None = None) -> DataFrame:
-    """Report rows ``(section_ord, ord, text)``: header, stats, fleet, diagnoses in time order.
+    """Report rows ``(section_ord, ord, tie, text)``: header, stats, fleet, diagnoses in time order.
 
+    Diagnoses are ordered by ``ord`` = start (epoch microseconds) and ``tie`` =
+    machine, a global sort key, so no single task has to number them.
     ``generated_at`` is a parameter (not the wall clock) so runs are reproducible.
     """
     spark = diagnoses.sparkSession
-    head = spark.createDataFrame(
-        [(0, 0, REPORT_TITLE), (0, 1, ""), (0, 2, f"*Generated: {generated_at}*"), (0, 3, "")],
-        "section_ord int, ord int, text string")
-    parts = [head]
+    schema = "section_ord int, ord bigint, tie string, text string"
+
+    def fixed_rows(section: int, lines: list[tuple[int, str]]) -> DataFrame:
+        return spark.createDataFrame([(section, o, "", t) for o, t in lines], schema)
+
+    parts = [fixed_rows(0, [(0, REPORT_TITLE), (1, ""), (2, f"*Generated: {generated_at}*"), (3, "")])]
     if stats is not None:
-        parts.append(spark.createDataFrame(
-            [(1, 0, "## Dataset Overview"), (1, 1, ""), (1, 2, "| Metric | Value |"), (1, 3, "|--------|-------|")],
-            "section_ord int, ord int, text string"))
-        parts.append(stats.select(F.lit(1).alias("section_ord"), (F.col("ord") + 10).alias("ord"),
+        parts.append(fixed_rows(1, [(0, "## Dataset Overview"), (1, ""), (2, "| Metric | Value |"),
+                                    (3, "|--------|-------|")]))
+        parts.append(stats.select(F.lit(1).alias("section_ord"), (F.col("ord") + 10).cast("bigint").alias("ord"),
+                                  F.lit("").alias("tie"),
                                   F.concat(F.lit("| "), F.col("metric"), F.lit(" | "), F.col("value"),
                                            F.lit(" |")).alias("text")))
-        parts.append(spark.createDataFrame([(1, 1000, "")], "section_ord int, ord int, text string"))
+        parts.append(fixed_rows(1, [(1000, "")]))
     if fleet is not None:
-        parts.append(fleet_section(fleet).select(F.lit(2).alias("section_ord"), F.lit(0).alias("ord"), "text"))
-    parts.append(spark.createDataFrame([(3, 0, "## Detailed Failure Analysis"), (3, 1, "")],
-                                       "section_ord int, ord int, text string"))
-    # The report covers the analysed windows only (at most max_windows), so
-    # numbering them with one unpartitioned window is bounded.
-    secs = report_sections(diagnoses).select(
-        F.lit(4).alias("section_ord"),
-        F.row_number().over(Window.orderBy("start", "machine_id")).alias("ord"),
-        "text")
-    parts.append(secs)
+        parts.append(fleet_section(fleet).select(F.lit(2).alias("section_ord"), F.lit(0).cast("bigint").alias("ord"),
+                                                 F.lit("").alias("tie"), "text"))
+    parts.append(fixed_rows(3, [(0, "## Detailed Failure Analysis"), (1, "")]))
+    start = F.col("start").cast("timestamp_ntz").cast("timestamp")
+    parts.append(diagnoses.select(
+        F.lit(4).alias("section_ord"), F.unix_micros(start).alias("ord"),
+        F.col("machine_id").alias("tie"), diagnosis_section().alias("text")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

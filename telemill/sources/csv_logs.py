@@ -83,5 +83,5 @@ def write_report(sections: DataFrame, path: str, mode: str = "overwrite") -> str
     order give the report in order; no single task has to hold the whole
     report when every window is diagnosed.
     """
-    sections.orderBy("section_ord", "ord").select("text").write.mode(mode).text(path)
+    sections.orderBy("section_ord", "ord", "tie").select("text").write.mode(mode).text(path)
     return path
