@@ -129,7 +129,7 @@ def window_prompts(prepared: DataFrame) -> DataFrame:
         F.col("machine_id"), F.col("start"), F.col("end"), F.col("duration_minutes").cast("string"),
         F.col("event_count").cast("string"), F.array_join("error_codes", ", "), entries_json)
     return prepared.select("machine_id", "start", "end", "duration_minutes", "event_count",
-                           "max_severity", "error_codes", prompt.alias("prompt"))
+                           "max_severity", "error_codes", "part", "parts", prompt.alias("prompt"))
 
 
 def infer(prompts: DataFrame, call: ModelCall | Callable[[], ModelCall], key_cols: list[str],
@@ -337,6 +337,9 @@ def diagnose(logs: DataFrame, call: ModelCall | None = None, max_windows: int |
         responses = signature_responses(scored).select(
             "machine_id", ts_text("start").alias("start"), ts_text("end").alias("end"), "response")
     else:
+        # A window longer than the prompt bound is prompted in parts: one
+        # diagnosis per (window, part); a window within the bound has part 0 only.
+        keys = [*keys, "part"]
         prompts = window_prompts(prepared_windows(logs, max_windows or DEFAULT_MAX_WINDOWS))
         responses = infer(prompts, call, keys, factory=factory, concurrency=concurrency)
     return to_diagnoses(parse_responses(responses), keys)

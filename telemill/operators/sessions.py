@@ -171,12 +171,20 @@ def prepared_entries(entries: DataFrame, top: DataFrame) -> DataFrame:
     )
 
 
+DEFAULT_PROMPT_ENTRIES = 2000
+
+
 def prepared_windows(logs: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS,
-                     gap_minutes: int = DEFAULT_GAP_MINUTES, nested: bool = True) -> DataFrame:
+                     gap_minutes: int = DEFAULT_GAP_MINUTES, nested: bool = True,
+                     part_entries: int = DEFAULT_PROMPT_ENTRIES) -> DataFrame:
     """Context blocks for the model: the first N windows, times as text, duration to 1 dp.
 
     Category and note lists are left out (the label must not reach the prompt).
-    With ``nested`` the entries are an ordered ``ARRAY<STRUCT>`` per window.
+    With ``nested`` the entries are an ordered ``ARRAY<STRUCT>`` per window
+    *part*: entries ``seq`` 1..k go to part 0, k+1..2k to part 1, and so on
+    (k = ``part_entries``). A window of up to k entries is one row, exactly the
+    reference's context block; a failure storm becomes several bounded rows
+    (``part``, ``parts``) instead of one unbounded array, and no entry is dropped.
     """
     entries = window_entries(logs, gap_minutes)
     top = first_windows(summarize_windows(entries), max_windows)
@@ -189,16 +197,17 @@ def prepared_windows(logs: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS,
         "event_count", "max_severity", "error_codes")
     if not nested:
         return flat.drop("window_start")
-    pe = prepared_entries(entries, top)
+    pe = prepared_entries(entries, top).withColumn("part", F.expr(f"CAST((seq - 1) div {int(part_entries)} AS INT)"))
     fields = ["timestamp", "severity", "error_code", *SENSORS, "operator_notes"]
-    lists = (pe.groupBy("machine_id", "window_start")
+    lists = (pe.groupBy("machine_id", "window_start", "part")
              .agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_e")))
+    parts = F.expr(f"CAST((event_count + {int(part_entries) - 1}) div {int(part_entries)} AS INT)")
     return (flat.join(lists, ["machine_id", "window_start"], "left")
             .select("machine_id", "start", "end", "duration_minutes", "event_count", "max_severity",
-                    "error_codes",
+                    "error_codes", "part", parts.alias("parts"),
                     F.transform("_e", lambda e: F.struct(*[e[c].alias(c) for c in fields])).alias("entries"),
                     "window_start")
-            .orderBy("window_start", "machine_id").drop("window_start"))
+            .orderBy("window_start", "machine_id", "part").drop("window_start"))
 
 
 def failure_window_listing(windows: DataFrame) -> DataFrame:

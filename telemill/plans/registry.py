@@ -188,7 +188,7 @@ def q_fleet_prompt(spark, sf_dir):
 
 def q_window_prompts(spark, sf_dir):
     p = diagnose.window_prompts(sessions.prepared_windows(_logs(spark, sf_dir)))
-    return p.select("machine_id", "start", "end", "event_count", "prompt")
+    return p.select("machine_id", "start", "end", "event_count", "part", "prompt")
 
 
 def q_report_sections(spark, sf_dir):

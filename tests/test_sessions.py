@@ -54,6 +54,16 @@ def test_f4_prepared_windows(spark):
     assert "failure_categories" not in p[0].asDict()
 
 
+def test_prepared_windows_split_long_windows_into_parts(spark):
+    whole = sessions.prepared_windows(_f4(spark), max_windows=2).collect()
+    split = sessions.prepared_windows(_f4(spark), max_windows=2, part_entries=1).collect()
+    a = [r for r in split if r["machine_id"] == "A"]
+    assert [(r["part"], r["parts"]) for r in a] == [(0, 2), (1, 2)]
+    assert [len(r["entries"]) for r in a] == [1, 1]
+    assert [e for r in a for e in r["entries"]] == list(whole[0]["entries"])
+    assert all(r["part"] == 0 and r["parts"] == 1 for r in whole)
+
+
 def test_empty_and_no_failure_tables(spark):
     empty = make_logs(spark, [])
     assert sessions.failure_windows(empty).count() == 0
