@@ -7,8 +7,6 @@ as a broadcast table whose size is bounded by construction — never shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +66,6 @@ def range_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NORMAL_RANGES, "sensor string, lo double, hi double")
 
 
-def _between(sensor: str, lo: float, hi: float) -> Column:
-    x = F.col(sensor)
-    return x.isNotNull() & (x >= F.lit(lo)) & (x <= F.lit(hi))
-
-
 def code_category(failures: DataFrame) -> DataFrame:
     """Catalog category of each failure row's error code (NULL for unknown codes).
 
@@ -102,16 +95,21 @@ def out_of_range(logs: DataFrame) -> DataFrame:
                            f"stack({len(NORMAL_RANGES)}, {pairs}) as (sensor, n_readings, n_out_of_range)")
 
 
+def _between_sql(sensor: str, lo: float, hi: float) -> str:
+    return f"({sensor} IS NOT NULL AND {sensor} >= {lo!r}D AND {sensor} <= {hi!r}D)"
+
+
+# The scoring expressions are Spark SQL text, parsed once on the JVM.
 def signature_aggs() -> list[Column]:
     """Per-window partial sums: readings inside each category's signature ranges
     (``{cat}__in``) and non-NULL readings of the signature's sensors (``{cat}__nn``)."""
     out = []
     for cat in CATEGORIES:
         sig = [(s, lo, hi) for c, s, lo, hi in SIGNATURES if c == cat]
-        inside = reduce(lambda a, b: a + b, [_between(s, lo, hi).cast("int") for s, lo, hi in sig])
-        seen = reduce(lambda a, b: a + b, [F.col(s).isNotNull().cast("int") for s, _, _ in sig])
-        out.append(F.sum(inside).alias(f"{cat}__in"))
-        out.append(F.sum(seen).alias(f"{cat}__nn"))
+        inside = " + ".join(f"CAST({_between_sql(s, lo, hi)} AS INT)" for s, lo, hi in sig)
+        seen = " + ".join(f"CAST({s} IS NOT NULL AS INT)" for s, _, _ in sig)
+        out.append(F.expr(f"sum({inside}) AS `{cat}__in`"))
+        out.append(F.expr(f"sum({seen}) AS `{cat}__nn`"))
     return out
 
 
@@ -123,17 +121,17 @@ def best_signature(prefix: str = "") -> list[Column]:
     """
     cands = []
     for cat in CATEGORIES:
-        i, n = F.col(f"{prefix}{cat}__in"), F.col(f"{prefix}{cat}__nn")
-        score = F.when(n > 0, i / n).otherwise(F.lit(0.0))
-        cands.append(F.struct((-score).alias("k"), F.lit(cat).alias("category"),
-                              score.alias("score"), i.alias("matched"), n.alias("considered")))
-    best = F.sort_array(F.array(*cands))[0]
-    known = best["score"] > 0
+        i, n = f"`{prefix}{cat}__in`", f"`{prefix}{cat}__nn`"
+        score = f"CASE WHEN {n} > 0 THEN {i} / {n} ELSE 0D END"
+        cands.append(f"named_struct('k', -({score}), 'category', '{cat}', 'score', {score}, "
+                     f"'matched', {i}, 'considered', {n})")
+    best = f"sort_array(array({', '.join(cands)}))[0]"
+    known = f"{best}.score > 0"
     return [
-        F.when(known, best["category"]).otherwise(F.lit("UNKNOWN")).alias("failure_mode"),
-        F.when(known, best["score"]).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(known, best["matched"]).otherwise(F.lit(0)).cast("long").alias("n_matched"),
-        F.when(known, best["considered"]).otherwise(F.lit(0)).cast("long").alias("n_considered"),
+        F.expr(f"CASE WHEN {known} THEN {best}.category ELSE 'UNKNOWN' END AS failure_mode"),
+        F.expr(f"CASE WHEN {known} THEN {best}.score ELSE 0D END AS confidence"),
+        F.expr(f"CAST(CASE WHEN {known} THEN {best}.matched ELSE 0 END AS BIGINT) AS n_matched"),
+        F.expr(f"CAST(CASE WHEN {known} THEN {best}.considered ELSE 0 END AS BIGINT) AS n_considered"),
     ]
 
 
