@@ -286,6 +286,24 @@ FROM diag GROUP BY failure_mode""",
 SELECT machine_id, start || ' → ' || "end" AS time_range, root_cause, failure_mode,
        severity_assessment AS severity, n_actions
 FROM diag ORDER BY start_ts, machine_id LIMIT 10""",
+    "fleet_summary": _with(LOGS, FAILS, _sig_ctes()) + """,
+issues AS (
+  SELECT failure_mode, count(*) AS n,
+         count(*) FILTER (WHERE severity_assessment = 'CRITICAL') AS n_crit,
+         sum(CASE WHEN failure_mode <> 'UNKNOWN' THEN downtime ELSE 0e0 END) AS hours
+  FROM diag GROUP BY failure_mode),
+known AS (SELECT * FROM issues WHERE failure_mode <> 'UNKNOWN')
+SELECT (SELECT sum(n) FROM issues) || ' failure windows analysed; most frequent mode: '
+         || coalesce((SELECT failure_mode FROM known ORDER BY n DESC, failure_mode LIMIT 1), 'none')
+         || '.' AS executive_summary,
+       (SELECT count(*) FROM known)::INTEGER AS n_issues,
+       coalesce((SELECT string_agg(failure_mode || ' failures', '|' ORDER BY n DESC, failure_mode)
+                 FROM known), '') AS issues,
+       coalesce((SELECT string_agg(CASE WHEN n_crit > 0 THEN 'IMMEDIATE' ELSE 'THIS_WEEK' END, '|'
+                                   ORDER BY n DESC, failure_mode) FROM known), '') AS priorities,
+       0::INTEGER AS n_alerts,
+       round(coalesce((SELECT sum(hours) FROM issues), 0e0), 1) AS savings_hours,
+       'ok' AS status""",
     "report_sections": _with(LOGS, FAILS, _sig_ctes()) + f"""
 SELECT machine_id, start, {_section_sql()} AS text FROM diag""",
 }

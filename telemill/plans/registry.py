@@ -186,6 +186,18 @@ def q_fleet_prompt(spark, sf_dir):
                        F.size("recommended_actions").alias("n_actions"))
 
 
+def q_fleet_summary(spark, sf_dir):
+    from telemill.plans.analyze import fleet_summary
+    f = fleet_summary(_diagnoses(spark, sf_dir))
+    return f.select("executive_summary",
+                    F.size("top_issues").alias("n_issues"),
+                    F.array_join(F.transform("top_issues", lambda i: i["issue"]), "|").alias("issues"),
+                    F.array_join(F.transform("maintenance_priorities", lambda m: m["priority"]), "|")
+                    .alias("priorities"),
+                    F.size("trend_alerts").alias("n_alerts"),
+                    F.col("estimated_downtime_savings_hours").alias("savings_hours"), "status")
+
+
 def q_window_prompts(spark, sf_dir):
     p = diagnose.window_prompts(sessions.prepared_windows(_logs(spark, sf_dir)))
     return p.select("machine_id", "start", "end", "event_count", "part", "prompt")
@@ -223,6 +235,7 @@ QUERIES: dict[str, Query] = {
     "recommended_actions": q_recommended_actions,
     "fleet_issues": q_fleet_issues,
     "fleet_prompt": q_fleet_prompt,
+    "fleet_summary": q_fleet_summary,
     "window_prompts": q_window_prompts,
     "report_sections": q_report_sections,
 }
