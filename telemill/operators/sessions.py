@@ -26,7 +26,7 @@ windows that go into prompts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.exprs import epoch_us, fixed, non_blank, ts_text, minute_text
@@ -46,48 +46,48 @@ def failure_events(logs: DataFrame) -> DataFrame:
 
 def window_entries(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MINUTES,
                    bucket_minutes: int = DEFAULT_SESSION_BUCKET_MINUTES) -> DataFrame:
-    """Every failure row with its window key ``window_start`` and 1-based ``seq``."""
+    """Every failure row with its window key ``window_start`` and 1-based ``seq``.
+
+    The steps are Spark SQL text (one JVM parse each); see the module notes.
+    """
     cols = logs.columns
     gap_us = gap_minutes * US_PER_MINUTE
     bucket_us = bucket_minutes * US_PER_MINUTE
-    f = (failure_events(logs)
-         .withColumn(_TS, epoch_us("timestamp"))
-         .withColumn(_B, F.expr(f"{_TS} div {bucket_us}")))
+    f = failure_events(logs).selectExpr(
+        "*", f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) AS {_TS}",
+        f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) div {bucket_us} AS {_B}")
 
-    by_machine = Window.partitionBy("machine_id").orderBy(_B)
-    before = by_machine.rowsBetween(Window.unboundedPreceding, -1)
+    by_machine = f"PARTITION BY machine_id ORDER BY {_B}"
+    before = f"OVER ({by_machine} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     edges = (f.groupBy("machine_id", _B)
-             .agg(F.max(_TS).alias("_last"), F.count(F.lit(1)).alias("_n"))
-             .select("machine_id", _B,
-                     F.lag("_last").over(by_machine).alias("_prev_last"),
-                     F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+             .agg(F.expr(f"max({_TS}) AS _last"), F.expr("count(1) AS _n"))
+             .selectExpr("machine_id", _B, f"lag(_last) OVER ({by_machine}) AS _prev_last",
+                         f"coalesce(sum(_n) {before}, 0) AS _offset"))
 
-    w = Window.partitionBy("machine_id", _B).orderBy(_TS, "event_id")
-    prev = F.coalesce(F.lag(_TS).over(w), F.col("_prev_last"))
+    w = f"PARTITION BY machine_id, {_B} ORDER BY {_TS}, event_id"
     marked = (f.join(edges, ["machine_id", _B], "inner")
-              .select(*cols, _TS, _B,
-                      (F.col("_offset") + F.row_number().over(w)).alias(_ORD),
-                      (prev.isNull() | (F.col(_TS) - prev > F.lit(gap_us))).alias(_BRK)))
+              .selectExpr(*[f"`{c}`" for c in cols], _TS, _B,
+                          f"_offset + row_number() OVER ({w}) AS {_ORD}",
+                          f"coalesce(lag({_TS}) OVER ({w}), _prev_last) AS _prev"))
+    marked = marked.selectExpr("*", f"_prev IS NULL OR {_TS} - _prev > {gap_us} AS {_BRK}").drop("_prev")
 
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_bucket = marked.select(
+    upto = f"OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    in_bucket = marked.selectExpr(
         "*",
-        F.max(F.when(F.col(_BRK), F.col("timestamp"))).over(upto).alias("_start_in"),
-        F.max(F.when(F.col(_BRK), F.col(_ORD))).over(upto).alias("_start_ord_in"))
+        f"max(CASE WHEN {_BRK} THEN `timestamp` END) {upto} AS _start_in",
+        f"max(CASE WHEN {_BRK} THEN {_ORD} END) {upto} AS _start_ord_in")
 
     carry = (marked.groupBy("machine_id", _B)
-             .agg(F.max(F.when(F.col(_BRK), F.col("timestamp"))).alias("_lb"),
-                  F.max(F.when(F.col(_BRK), F.col(_ORD))).alias("_lbo"))
-             .select("machine_id", _B,
-                     F.max("_lb").over(before).alias("_carry_start"),
-                     F.max("_lbo").over(before).alias("_carry_ord")))
+             .agg(F.expr(f"max(CASE WHEN {_BRK} THEN `timestamp` END) AS _lb"),
+                  F.expr(f"max(CASE WHEN {_BRK} THEN {_ORD} END) AS _lbo"))
+             .selectExpr("machine_id", _B, f"max(_lb) {before} AS _carry_start",
+                         f"max(_lbo) {before} AS _carry_ord"))
 
     out = in_bucket.join(carry, ["machine_id", _B], "inner")
-    start_ord = F.coalesce(F.col("_start_ord_in"), F.col("_carry_ord"))
-    return out.select(
-        F.coalesce(F.col("_start_in"), F.col("_carry_start")).alias("window_start"),
-        (F.col(_ORD) - start_ord + 1).alias("seq"),
-        *cols)
+    return out.selectExpr(
+        "coalesce(_start_in, _carry_start) AS window_start",
+        f"{_ORD} - coalesce(_start_ord_in, _carry_ord) + 1 AS seq",
+        *[f"`{c}`" for c in cols])
 
 
 def summarize_windows(entries: DataFrame, extra_aggs: list | None = None) -> DataFrame:
