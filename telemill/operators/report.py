@@ -137,6 +137,29 @@ def fleet_section(fleet: DataFrame) -> DataFrame:
     return fleet.select(text.alias("text"))
 
 
+def fleet_issue_rows(fleet: DataFrame) -> DataFrame:
+    """Dashboard table of the fleet record's top issues, numbered from 1."""
+    return (fleet.select(F.posexplode("top_issues").alias("pos", "i"))
+            .select((F.col("pos") + 1).alias("rank"), F.col("i.issue").alias("issue"),
+                    F.coalesce(F.array_join("i.affected_machines", ", "), F.lit("")).alias("affected_machines"),
+                    F.col("i.frequency").alias("frequency"), F.col("i.business_impact").alias("business_impact")))
+
+
+def fleet_priority_rows(fleet: DataFrame) -> DataFrame:
+    """Dashboard table of maintenance priorities, in the record's order."""
+    return (fleet.select(F.posexplode("maintenance_priorities").alias("pos", "m"))
+            .select((F.col("pos") + 1).alias("rank"), F.col("m.priority").alias("priority"),
+                    F.col("m.action").alias("action"),
+                    F.coalesce(F.array_join("m.machines", ", "), F.lit("")).alias("machines"),
+                    F.col("m.rationale").alias("rationale")))
+
+
+def fleet_alert_rows(fleet: DataFrame) -> DataFrame:
+    """Dashboard list of trend alerts."""
+    return (fleet.select(F.posexplode("trend_alerts").alias("pos", "alert"))
+            .select((F.col("pos") + 1).alias("rank"), "alert"))
+
+
 def assemble_report(diagnoses: DataFrame, generated_at: str, fleet: DataFrame | None = None,
                     stats: DataFrame | None = None) -> DataFrame:
     """Report rows ``(section_ord, ord, tie, text)``: header, stats, fleet, diagnoses in time order.

@@ -167,6 +167,17 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
 
+# Fleet issue table from the diagnoses (the offline fleet responder's input).
+_FLEET_CTES = """
+issues AS (
+  SELECT failure_mode, count(*) AS n,
+         count(*) FILTER (WHERE severity_assessment = 'CRITICAL') AS n_crit,
+         sum(CASE WHEN failure_mode <> 'UNKNOWN' THEN downtime ELSE 0e0 END) AS hours,
+         string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS machines
+  FROM diag GROUP BY failure_mode),
+known AS (SELECT * FROM issues WHERE failure_mode <> 'UNKNOWN')"""
+
+
 ORACLE: dict[str, str] = {
     "machine_logs": _with(LOGS) + "\nSELECT * FROM logs",
     "failure_events": _with(LOGS, FAILS) + "\nSELECT * FROM fails",
@@ -286,13 +297,7 @@ FROM diag GROUP BY failure_mode""",
 SELECT machine_id, start || ' → ' || "end" AS time_range, root_cause, failure_mode,
        severity_assessment AS severity, n_actions
 FROM diag ORDER BY start_ts, machine_id LIMIT 10""",
-    "fleet_summary": _with(LOGS, FAILS, _sig_ctes()) + """,
-issues AS (
-  SELECT failure_mode, count(*) AS n,
-         count(*) FILTER (WHERE severity_assessment = 'CRITICAL') AS n_crit,
-         sum(CASE WHEN failure_mode <> 'UNKNOWN' THEN downtime ELSE 0e0 END) AS hours
-  FROM diag GROUP BY failure_mode),
-known AS (SELECT * FROM issues WHERE failure_mode <> 'UNKNOWN')
+    "fleet_summary": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + """
 SELECT (SELECT sum(n) FROM issues) || ' failure windows analysed; most frequent mode: '
          || coalesce((SELECT failure_mode FROM known ORDER BY n DESC, failure_mode LIMIT 1), 'none')
          || '.' AS executive_summary,
@@ -304,6 +309,17 @@ SELECT (SELECT sum(n) FROM issues) || ' failure windows analysed; most frequent
        0::INTEGER AS n_alerts,
        round(coalesce((SELECT sum(hours) FROM issues), 0e0), 1) AS savings_hours,
        'ok' AS status""",
+    "fleet_top_issues": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + """
+SELECT CAST(row_number() OVER (ORDER BY n DESC, failure_mode) AS INTEGER) AS rank,
+       failure_mode || ' failures' AS issue, machines AS affected_machines,
+       n || ' windows' AS frequency, n_crit || ' critical windows' AS business_impact
+FROM known""",
+    "fleet_priorities": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + """
+SELECT CAST(row_number() OVER (ORDER BY n DESC, failure_mode) AS INTEGER) AS rank,
+       CASE WHEN n_crit > 0 THEN 'IMMEDIATE' ELSE 'THIS_WEEK' END AS priority,
+       'Inspect the ' || lower(failure_mode) || ' subsystem' AS action, machines,
+       n || ' failure windows' AS rationale
+FROM known""",
     "report_sections": _with(LOGS, FAILS, _sig_ctes()) + f"""
 SELECT machine_id, start, {_section_sql()} AS text FROM diag""",
 }

@@ -186,9 +186,21 @@ def q_fleet_prompt(spark, sf_dir):
                        F.size("recommended_actions").alias("n_actions"))
 
 
-def q_fleet_summary(spark, sf_dir):
+def _fleet(spark, sf_dir):
     from telemill.plans.analyze import fleet_summary
-    f = fleet_summary(_diagnoses(spark, sf_dir))
+    return fleet_summary(_diagnoses(spark, sf_dir))
+
+
+def q_fleet_top_issues(spark, sf_dir):
+    return report.fleet_issue_rows(_fleet(spark, sf_dir))
+
+
+def q_fleet_priorities(spark, sf_dir):
+    return report.fleet_priority_rows(_fleet(spark, sf_dir))
+
+
+def q_fleet_summary(spark, sf_dir):
+    f = _fleet(spark, sf_dir)
     return f.select("executive_summary",
                     F.size("top_issues").alias("n_issues"),
                     F.array_join(F.transform("top_issues", lambda i: i["issue"]), "|").alias("issues"),
@@ -236,6 +248,8 @@ QUERIES: dict[str, Query] = {
     "fleet_issues": q_fleet_issues,
     "fleet_prompt": q_fleet_prompt,
     "fleet_summary": q_fleet_summary,
+    "fleet_top_issues": q_fleet_top_issues,
+    "fleet_priorities": q_fleet_priorities,
     "window_prompts": q_window_prompts,
     "report_sections": q_report_sections,
 }

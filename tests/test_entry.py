@@ -4,7 +4,8 @@ import __spark_entry__ as E
 SURVEY_KEYS = """time_features failure_events sensor_zscores anomaly_flags category_counts sensor_trend
 sensor_anomalies_top20 prepared_windows fleet_prompt failure_window_listing severity_counts rolling_stats
 code_category signature_match out_of_range severity_summary overview anomalies_by_sensor failure_windows
-window_prompts diagnoses parsed_responses fleet_issues fleet_summary report_stats report_sections
+window_prompts diagnoses parsed_responses fleet_issues fleet_summary fleet_top_issues fleet_priorities
+report_stats report_sections
 recommended_actions""".split()
 
 

@@ -56,6 +56,21 @@ def test_fleet_section_text(spark):
     assert "- ⚠️ a1" in t and "**Estimated Downtime Savings:** 2.2 hours" in t
 
 
+def test_fleet_tables(spark):
+    f = spark.createDataFrame(
+        [("sum", [("i1", ["M-1", "M-2"], "3 windows", "big"), ("i2", [], None, None)],
+          [("act", ["M-1"], "IMMEDIATE", "why")], ["a1", "a2"], 0.0)],
+        "executive_summary string, top_issues array<struct<issue:string,affected_machines:array<string>,"
+        "frequency:string,business_impact:string>>, maintenance_priorities array<struct<action:string,"
+        "machines:array<string>,priority:string,rationale:string>>, trend_alerts array<string>, "
+        "estimated_downtime_savings_hours double")
+    issues = [tuple(r) for r in report.fleet_issue_rows(f).orderBy("rank").collect()]
+    assert issues == [(1, "i1", "M-1, M-2", "3 windows", "big"), (2, "i2", "", None, None)]
+    prios = [tuple(r) for r in report.fleet_priority_rows(f).collect()]
+    assert prios == [(1, "IMMEDIATE", "act", "M-1", "why")]
+    assert [tuple(r) for r in report.fleet_alert_rows(f).orderBy("rank").collect()] == [(1, "a1"), (2, "a2")]
+
+
 def test_stats_and_windows_share_source(spark):
     logs = load_machine_logs(spark, SF001)
     st = summary.report_stats(features.enrich(logs), sessions.failure_windows(logs, ordered=False))
