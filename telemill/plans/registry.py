@@ -56,8 +56,14 @@ def q_window_entries(spark, sf_dir):
                     "error_code", "failure_category", "operator_notes")
 
 
+def _flagged(logs):
+    """Rolling stats + anomaly flags only. ``features.enrich`` adds the time
+    features too, whose edge-table join would stay in plans that never use them."""
+    return anomaly.flag_anomalies(features.rolling_stats(logs))
+
+
 def _enriched(spark, sf_dir):
-    return features.enrich(_logs(spark, sf_dir))
+    return _flagged(_logs(spark, sf_dir))
 
 
 def q_time_features(spark, sf_dir):
@@ -118,7 +124,7 @@ def q_overview(spark, sf_dir):
 
 def q_report_stats(spark, sf_dir):
     logs = _logs(spark, sf_dir)
-    return summary.report_stats(features.enrich(logs), sessions.failure_windows(logs, ordered=False))
+    return summary.report_stats(_flagged(logs), sessions.failure_windows(logs, ordered=False))
 
 
 def q_failure_window_listing(spark, sf_dir):
