@@ -153,16 +153,25 @@ def _with_cumulative_stats(x: DataFrame, part: list[str], frame_us: int, keep: l
                  f"sum({d}) {upto} AS _su_{s}", f"coalesce(sum({d}) {before}, 0D) AS _sb_{s}",
                  f"sum({d} * {d}) {upto} AS _qu_{s}", f"coalesce(sum({d} * {d}) {before}, 0D) AS _qb_{s}"]
     x = x.selectExpr("*", *sums)
+    # Small named steps: each expression is computed once and the generated
+    # code stays small enough for whole-stage codegen.
+    diffs = []
+    for s in SENSORS:
+        diffs += [f"nullif(_nu_{s} - _nb_{s}, 0) AS _n_{s}", f"_su_{s} - _sb_{s} AS _s1_{s}",
+                  f"_qu_{s} - _qb_{s} AS _q_{s}",
+                  f"abs(_qu_{s}) + abs(_qb_{s}) AS _qa_{s}", f"abs(_su_{s}) + abs(_sb_{s}) AS _sa_{s}"]
+    x = x.selectExpr(*[f"`{c}`" for c in keep], *[f"_r_{s}" for s in SENSORS], *diffs)
+    moments = []
+    for s in SENSORS:
+        n1 = f"nullif(_n_{s} - 1, 0)"
+        moments += [f"_s1_{s} / _n_{s} AS _m_{s}",
+                    f"(_q_{s} - _s1_{s} * _s1_{s} / _n_{s}) / {n1} AS _var_{s}",
+                    f"{_NOISE_FACTOR * _EPS!r}D * (_qa_{s} + 2D * abs(_s1_{s}) * _sa_{s} / _n_{s}) / {n1} AS _noise_{s}"]
+    x = x.selectExpr(*[f"`{c}`" for c in keep], *[f"_r_{s}" for s in SENSORS], *moments)
     out = []
     for s in SENSORS:
-        n = f"nullif(_nu_{s} - _nb_{s}, 0)"
-        n1 = f"nullif(_nu_{s} - _nb_{s} - 1, 0)"
-        s1, q = f"(_su_{s} - _sb_{s})", f"(_qu_{s} - _qb_{s})"
-        var = f"(({q} - {s1} * {s1} / {n}) / {n1})"
-        noise = (f"({_NOISE_FACTOR * _EPS!r}D * (abs(_qu_{s}) + abs(_qb_{s})"
-                 f" + 2D * abs({s1}) * (abs(_su_{s}) + abs(_sb_{s})) / {n}) / {n1})")
-        out.append(f"CASE WHEN {_VALID_SQL} THEN {s1} / {n} + _r_{s} END AS {rolling_mean_col(s)}")
-        out.append(f"CASE WHEN NOT ({_VALID_SQL}) THEN NULL WHEN {var} > {noise} THEN sqrt({var}) "
+        out.append(f"CASE WHEN {_VALID_SQL} THEN _m_{s} + _r_{s} END AS {rolling_mean_col(s)}")
+        out.append(f"CASE WHEN NOT ({_VALID_SQL}) THEN NULL WHEN _var_{s} > _noise_{s} THEN sqrt(_var_{s}) "
                    f"ELSE 0D END AS {rolling_std_col(s)}")
     return x.selectExpr(*[f"`{c}`" for c in keep], *out)
 
