@@ -2,7 +2,7 @@
 
 Each diagnosis becomes one text row built with ``concat_ws`` (which skips
 NULL parts, so empty blocks vanish). The assembled report is a set of
-``(section_ord, ord, text)`` rows; only the final text sink orders them.
+``(section_ord, ord, tie, text)`` rows; only the final text sink orders them.
 """
 
 from __future__ import annotations

@@ -194,6 +194,14 @@ FROM logs""",
     "rolling_stats": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
         f"floor({s}_rolling_mean * 1e6 + 0.499) / 1e6 AS {s}_rolling_mean, floor({s}_rolling_std * 1e6 + 0.499) / 1e6 AS {s}_rolling_std"
         for s in SENSORS) + " FROM enriched",
+    "processed_logs": _with(LOGS, ENRICHED) + """
+SELECT event_id, machine_id, "timestamp", severity, cast(hour("timestamp") AS integer) AS hour,
+       cast(isodow("timestamp") - 1 AS integer) AS day_of_week, cast("timestamp" AS date) AS date,
+       coalesce((epoch_us("timestamp") - lag(epoch_us("timestamp"))
+                 OVER (PARTITION BY machine_id ORDER BY "timestamp", event_id)) / 1e6, 0) AS time_since_last, """
+    + ", ".join(
+        f"floor({s}_rolling_mean * 1e6 + 0.499) / 1e6 AS {s}_rolling_mean, floor({s}_rolling_std * 1e6 + 0.499) / 1e6 AS {s}_rolling_std"
+        for s in SENSORS) + ", anomaly_count, is_anomaly FROM enriched",
     "sensor_zscores": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
         f"floor({s}_z * 1e6 + 0.499) / 1e6 AS {s}_z" for s in SENSORS) + " FROM enriched",
     "anomaly_flags": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(

@@ -71,6 +71,18 @@ def q_time_features(spark, sf_dir):
     return t.select("event_id", "machine_id", "timestamp", "hour", "day_of_week", "date", "time_since_last")
 
 
+def q_processed_logs(spark, sf_dir):
+    """The processed table of the analysis run: time features, rolling stats and
+    flags from ``features.enrich`` (one shuffle of the log)."""
+    e = features.enrich(_logs(spark, sf_dir))
+    stats = []
+    for s in SENSORS:
+        stats += [fix6(rolling_mean_col(s)).alias(rolling_mean_col(s)),
+                  fix6(rolling_std_col(s)).alias(rolling_std_col(s))]
+    return e.select("event_id", "machine_id", "timestamp", "severity", "hour", "day_of_week", "date",
+                    "time_since_last", *stats, "anomaly_count", "is_anomaly")
+
+
 def q_rolling_stats(spark, sf_dir):
     r = features.rolling_stats(_logs(spark, sf_dir))
     stats = []
@@ -232,6 +244,7 @@ QUERIES: dict[str, Query] = {
     "window_entries": q_window_entries,
     "time_features": q_time_features,
     "rolling_stats": q_rolling_stats,
+    "processed_logs": q_processed_logs,
     "sensor_zscores": q_sensor_zscores,
     "anomaly_flags": q_anomaly_flags,
     "anomalies_by_sensor": q_anomalies_by_sensor,
