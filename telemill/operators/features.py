@@ -80,12 +80,15 @@ def time_features(logs: DataFrame, bucket_hours: int = DEFAULT_BUCKET_HOURS,
         w = Window.partitionBy("machine_id").orderBy(_TS, "event_id")
         out = df.withColumn("time_since_last", _time_since_last(F.lag(_TS).over(w)))
     else:
+        # Window first, edge-table join after: the windowed rows are already
+        # partitioned and sorted by (machine, bucket), so the join adds no
+        # exchange or sort on the big side.
         bucket_us = bucket_hours * US_PER_HOUR
         df = df.withColumn(_B, F.expr(f"{_TS} div {bucket_us}"))
-        j = df.join(_edge_table(df, bucket_us), ["machine_id", _B], "left")
         w = Window.partitionBy("machine_id", _B).orderBy(_TS, "event_id")
-        out = j.withColumn("time_since_last",
-                           _time_since_last(F.coalesce(F.lag(_TS).over(w), F.col(_PREV))))
+        lagged = df.withColumn("_lag", F.lag(_TS).over(w))
+        out = (lagged.join(_edge_table(df, bucket_us), ["machine_id", _B], "left")
+               .withColumn("time_since_last", _time_since_last(F.coalesce(F.col("_lag"), F.col(_PREV)))))
     out = _calendar(out)
     return out.select(*cols, "hour", "day_of_week", "date", "time_since_last")
 
@@ -226,13 +229,17 @@ def enrich(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
     bucket_us = max(bucket_hours * US_PER_HOUR, frame_us)
     x = _with_ts(logs)
     edges = _edge_table(x, bucket_us)
-    x = _halo(x, frame_us, bucket_us).join(edges, ["machine_id", _B], "left")
+    # Windows first (lag and rolling share one exchange and one sort), then the
+    # small edge-table join on (machine, bucket), which the windowed rows
+    # already satisfy: no second sort of the log.
     w_lag = Window.partitionBy("machine_id", _B).orderBy(_TS, "event_id")
-    tsl = _time_since_last(F.coalesce(F.lag(_TS).over(w_lag), F.col(_PREV))).alias("time_since_last")
-    x = x.select(*cols, _TS, _B, _SHIFT, tsl)
-    y = (_with_stats(x, ["machine_id", _B], frame_us, method, [*cols, _TS, _SHIFT, "time_since_last"],
+    x = _halo(x, frame_us, bucket_us)
+    x = x.select(*cols, _TS, _B, _SHIFT, F.lag(_TS).over(w_lag).alias("_lag"))
+    y = (_with_stats(x, ["machine_id", _B], frame_us, method, [*cols, _TS, _B, _SHIFT, "_lag"],
                      order=f"{_TS}, event_id")
-         .where(F.col(_SHIFT) == 0))
+         .where(F.col(_SHIFT) == 0)
+         .join(edges, ["machine_id", _B], "left"))
+    y = y.withColumn("time_since_last", _time_since_last(F.coalesce(F.col("_lag"), F.col(_PREV))))
     y = _calendar(y)
     ordered = [*cols, "hour", "day_of_week", "date", "time_since_last"]
     for s in SENSORS:
