@@ -8,20 +8,24 @@ running sum over ``partitionBy(machine_id)``) — and Spark's batch
 machine to one task. Here the failure rows are partitioned by
 ``(machine_id, hour bucket)``:
 
-1. a per-bucket table (one row per machine and bucket) gives each bucket the
-   last timestamp and the row count of the machine's earlier buckets;
-2. inside a bucket, ``lag`` (falling back to that last timestamp) marks
-   window breaks, and running maxima give the latest break so far;
-3. a second per-bucket table carries the latest break of earlier buckets to
-   rows that precede the first break of their bucket.
+1. inside a bucket, ``row_number``, ``lag`` and the running maximum of the
+   bucket's *internal* breaks (gap to the previous row of the same bucket
+   over the limit) — one exchange, one sort;
+2. a small per-bucket table (one row per machine and bucket) adds what
+   crosses bucket borders: the previous bucket's last time (does the first
+   row start a window?), the row offset, and the latest break of the earlier
+   buckets;
+3. one join of the rows with that table on the key they are already
+   partitioned and sorted by.
 
 Each failure row thus gets its window key ``(machine_id, window_start)`` and
-its position ``seq`` without any task seeing more than one bucket. Window
-summaries are then a plain ``groupBy`` whose aggregates are all partial
-(map-side combined), so even a failure storm spanning a third of all rows is
-reduced in parallel. Unbounded per-window lists (entries, notes) stay a long
-table (``window_entries``); nested arrays are built only for the first N
-windows that go into prompts.
+its position ``seq`` without any task seeing more than one bucket; the log is
+read twice (all columns once, time/machine/severity once for the bucket
+table). Window summaries are then a plain ``groupBy`` whose aggregates are all
+partial (map-side combined), so even a failure storm spanning a third of all
+rows is reduced in parallel. Unbounded per-window lists (entries, notes) stay
+a long table (``window_entries``); nested arrays are built only for the first
+N windows that go into prompts, in bounded parts.
 """
 
 from __future__ import annotations
@@ -48,7 +52,16 @@ def window_entries(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MINUTES,
                    bucket_minutes: int = DEFAULT_SESSION_BUCKET_MINUTES) -> DataFrame:
     """Every failure row with its window key ``window_start`` and 1-based ``seq``.
 
-    The steps are Spark SQL text (one JVM parse each); see the module notes.
+    1. Inside each (machine, bucket), ordered by time and id: row number,
+       ``lag``, *internal* breaks (gap to the previous row of the same bucket
+       over the limit) and their running maximum (time and row number).
+    2. One small per-bucket table: count, first/last time, last internal
+       break; over a machine's buckets (one row each) it adds the previous
+       bucket's last time, the row offset, whether the bucket's first row
+       starts a window, and the latest break of the earlier buckets.
+    3. One join of the rows with that table on (machine, bucket) — the rows
+       are already partitioned and sorted on it, so the log is shuffled and
+       sorted once — and a projection.
     """
     cols = logs.columns
     gap_us = gap_minutes * US_PER_MINUTE
@@ -57,36 +70,32 @@ def window_entries(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MINUTES,
         "*", f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) AS {_TS}",
         f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) div {bucket_us} AS {_B}")
 
-    by_machine = f"PARTITION BY machine_id ORDER BY {_B}"
-    before = f"OVER ({by_machine} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    edges = (f.groupBy("machine_id", _B)
-             .agg(F.expr(f"max({_TS}) AS _last"), F.expr("count(1) AS _n"))
-             .selectExpr("machine_id", _B, f"lag(_last) OVER ({by_machine}) AS _prev_last",
-                         f"coalesce(sum(_n) {before}, 0) AS _offset"))
-
     w = f"PARTITION BY machine_id, {_B} ORDER BY {_TS}, event_id"
-    marked = (f.join(edges, ["machine_id", _B], "inner")
-              .selectExpr(*[f"`{c}`" for c in cols], _TS, _B,
-                          f"_offset + row_number() OVER ({w}) AS {_ORD}",
-                          f"coalesce(lag({_TS}) OVER ({w}), _prev_last) AS _prev"))
-    marked = marked.selectExpr("*", f"_prev IS NULL OR {_TS} - _prev > {gap_us} AS {_BRK}").drop("_prev")
-
     upto = f"OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    in_bucket = marked.selectExpr(
-        "*",
-        f"max(CASE WHEN {_BRK} THEN `timestamp` END) {upto} AS _start_in",
-        f"max(CASE WHEN {_BRK} THEN {_ORD} END) {upto} AS _start_ord_in")
-
-    carry = (marked.groupBy("machine_id", _B)
-             .agg(F.expr(f"max(CASE WHEN {_BRK} THEN `timestamp` END) AS _lb"),
-                  F.expr(f"max(CASE WHEN {_BRK} THEN {_ORD} END) AS _lbo"))
-             .selectExpr("machine_id", _B, f"max(_lb) {before} AS _carry_start",
-                         f"max(_lbo) {before} AS _carry_ord"))
-
-    out = in_bucket.join(carry, ["machine_id", _B], "inner")
-    return out.selectExpr(
-        "coalesce(_start_in, _carry_start) AS window_start",
-        f"{_ORD} - coalesce(_start_ord_in, _carry_ord) + 1 AS seq",
+    rows = (f.selectExpr("*", f"row_number() OVER ({w}) AS _rn", f"lag({_TS}) OVER ({w}) AS _lag")
+            .selectExpr("*", f"_lag IS NOT NULL AND {_TS} - _lag > {gap_us} AS _ib")
+            .selectExpr("*", f"max(CASE WHEN _ib THEN `timestamp` END) {upto} AS _ib_ts",
+                        f"max(CASE WHEN _ib THEN _rn END) {upto} AS _ib_rn"))
+
+    by_machine = f"PARTITION BY machine_id ORDER BY {_B}"
+    earlier = f"OVER ({by_machine} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    buckets = (rows.groupBy("machine_id", _B)
+               .agg(F.expr(f"max({_TS}) AS _last"), F.expr("count(1) AS _n"),
+                    F.expr(f"min({_TS}) AS _first_us"), F.expr("min(`timestamp`) AS _first_ts"),
+                    F.expr("max(_ib_ts) AS _lib_ts"), F.expr("max(_ib_rn) AS _lib_rn"))
+               .selectExpr("*", f"lag(_last) OVER ({by_machine}) AS _prev_last",
+                           f"coalesce(sum(_n) {earlier}, 0) AS _offset")
+               .selectExpr("*", f"_prev_last IS NULL OR _first_us - _prev_last > {gap_us} AS _fb")
+               .selectExpr("machine_id", _B, "_offset", "_fb", "_first_ts",
+                           "coalesce(_lib_ts, CASE WHEN _fb THEN _first_ts END) AS _blb_ts",
+                           "coalesce(_offset + _lib_rn, CASE WHEN _fb THEN _offset + 1 END) AS _blb_ord")
+               .selectExpr("machine_id", _B, "_offset", "_fb", "_first_ts",
+                           f"max(_blb_ts) {earlier} AS _carry_start",
+                           f"max(_blb_ord) {earlier} AS _carry_ord"))
+
+    return rows.join(buckets, ["machine_id", _B], "inner").selectExpr(
+        "coalesce(_ib_ts, CASE WHEN _fb THEN _first_ts END, _carry_start) AS window_start",
+        "_offset + _rn - coalesce(_offset + _ib_rn, CASE WHEN _fb THEN _offset + 1 END, _carry_ord) + 1 AS seq",
         *[f"`{c}`" for c in cols])
 
 
