@@ -58,14 +58,8 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def strip_fence(c: Column) -> Column:
-    """Remove a Markdown code fence around a model response.
-
-    Rule: strip; if the text starts with a triple backtick, drop the first line
-    and cut at the last triple backtick (keep the rest when there is none), strip
-    again. A fence line without a newline yields NULL (the reference raises).
-    """
-    t = strip_ws(c)
+def fence_body(t: Column) -> Column:
+    """``strip_fence`` for text that is already stripped (``strip_ws``)."""
     body = F.regexp_replace(t, r"^```[^\n]*\n", "")
     body = F.regexp_replace(body, r"(?s)```(?!.*```).*$", "")
     return (
@@ -75,6 +69,16 @@ def strip_fence(c: Column) -> Column:
     )
 
 
+def strip_fence(c: Column) -> Column:
+    """Remove a Markdown code fence around a model response.
+
+    Rule: strip; if the text starts with a triple backtick, drop the first line
+    and cut at the last triple backtick (keep the rest when there is none), strip
+    again. A fence line without a newline yields NULL (the reference raises).
+    """
+    return fence_body(strip_ws(c))
+
+
 def fixed(c: Column, digits: int) -> Column:
     """Python's ``f"{x:.{digits}f}"``: exact binary ties go to even (Java's formatter rounds them up)."""
     return F.format_string(f"%.{digits}f", F.bround(c, digits))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.functions.exprs import fixed, strip_fence, ts_text
+from telemill.functions.exprs import fence_body, fixed, strip_ws, ts_text
 from telemill.schema import DIAGNOSIS_JSON_SCHEMA, FLEET_JSON_SCHEMA, DEFAULT_MAX_WINDOWS
 from telemill.session import checkpoint_dir
 
@@ -178,10 +178,13 @@ def parse_responses(df: DataFrame, schema: T.StructType = DIAGNOSIS_JSON_SCHEMA,
     type), or a non-object text is a parse error; a parsed object with an
     ``error`` key is a model error.
     """
-    clean = strip_fence(F.col(text_col))
-    parsed = F.from_json(clean, schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "false",
-                                         "columnNameOfCorruptRecord": "_corrupt_record"})
-    x = df.withColumn("_clean", clean).withColumn("_j", parsed)
+    # Stripped text, fence-free text and the parsed struct are named columns,
+    # so each regex pass and the JSON parse run once per response.
+    parsed = F.from_json(F.col("_clean"), schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "false",
+                                                   "columnNameOfCorruptRecord": "_corrupt_record"})
+    x = (df.withColumn("_stripped", strip_ws(F.col(text_col)))
+           .withColumn("_clean", fence_body(F.col("_stripped"))).drop("_stripped")
+           .withColumn("_j", parsed))
     bad = (F.col("_clean").isNull() | F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
            | ~F.coalesce(_ok_text(F.col("_clean")), F.lit(False)))
     has_error = F.coalesce(F.array_contains(F.json_object_keys("_clean"), "error"), F.lit(False))
