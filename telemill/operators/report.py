@@ -137,9 +137,12 @@ def fleet_section(fleet: DataFrame) -> DataFrame:
     return fleet.select(text.alias("text"))
 
 
+# The fleet tables use ``posexplode_outer`` + a NULL filter: a plain
+# ``posexplode`` makes Spark infer a ``size(array) > 0`` filter on its input,
+# which copies the whole record-building expression into the plan.
 def fleet_issue_rows(fleet: DataFrame) -> DataFrame:
     """Dashboard table of the fleet record's top issues, numbered from 1."""
-    return (fleet.select(F.posexplode("top_issues").alias("pos", "i"))
+    return (fleet.select(F.posexplode_outer("top_issues").alias("pos", "i")).where(F.col("pos").isNotNull())
             .select((F.col("pos") + 1).alias("rank"), F.col("i.issue").alias("issue"),
                     F.coalesce(F.array_join("i.affected_machines", ", "), F.lit("")).alias("affected_machines"),
                     F.col("i.frequency").alias("frequency"), F.col("i.business_impact").alias("business_impact")))
@@ -147,7 +150,8 @@ def fleet_issue_rows(fleet: DataFrame) -> DataFrame:
 
 def fleet_priority_rows(fleet: DataFrame) -> DataFrame:
     """Dashboard table of maintenance priorities, in the record's order."""
-    return (fleet.select(F.posexplode("maintenance_priorities").alias("pos", "m"))
+    return (fleet.select(F.posexplode_outer("maintenance_priorities").alias("pos", "m"))
+            .where(F.col("pos").isNotNull())
             .select((F.col("pos") + 1).alias("rank"), F.col("m.priority").alias("priority"),
                     F.col("m.action").alias("action"),
                     F.coalesce(F.array_join("m.machines", ", "), F.lit("")).alias("machines"),
@@ -156,7 +160,7 @@ def fleet_priority_rows(fleet: DataFrame) -> DataFrame:
 
 def fleet_alert_rows(fleet: DataFrame) -> DataFrame:
     """Dashboard list of trend alerts."""
-    return (fleet.select(F.posexplode("trend_alerts").alias("pos", "alert"))
+    return (fleet.select(F.posexplode_outer("trend_alerts").alias("pos", "alert")).where(F.col("pos").isNotNull())
             .select((F.col("pos") + 1).alias("rank"), "alert"))
 
 
