@@ -106,3 +106,15 @@ def test_listing(spark):
     first = sessions.failure_window_listing(w).orderBy("start").first()
     assert first["title"] == "A — 2025-01-01 10:00 (2 events, 60 min)"
     assert first["error_codes_text"] == "E-201, E-202"
+
+
+def test_failure_window_plan_shape(spark):
+    """The log is read twice (full rows; narrow columns for the bucket table) and
+    the rows meet the bucket table in one join; no per-machine-only exchange."""
+    logs = load_machine_logs(spark, SF01)
+    plan = sessions.failure_windows(logs, ordered=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    assert plan.count("Join") == 1
+    assert "CartesianProduct" not in plan
+    big = [ln for ln in plan.split("\n") if "Exchange hashpartitioning(machine_id" in ln and "_bucket" in ln]
+    assert len(big) == 2
