@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
+from .repetition import op6_suffix_repetition
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op5_weighted_sampling": op5_weighted_sampling,
+    "op6_suffix_repetition": op6_suffix_repetition,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
