@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from . import minmax
 from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
 from .repetition import op6_suffix_repetition
@@ -12,6 +13,9 @@ QUERIES = {
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_suffix_repetition": op6_suffix_repetition,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_minmax_near_dedup": minmax.ORACLE_SQL,
+}
