@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,10 +61,14 @@ def written(df: DataFrame) -> DataFrame:
     It cuts the lineage (a lost executor costs no earlier stage) and lets
     several readers share one computation.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # the shuffle files behind the table go once nothing refers to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def total_bytes(df: DataFrame, text_col: str = "text") -> int:

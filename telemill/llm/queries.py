@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from .bpe import op7_byte_bpe
 from . import minmax
+from .automaton_dedup import op4_suffix_automaton_dedup
+from .bpe import op7_byte_bpe
 from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
 from .repetition import op6_suffix_repetition
+from .suffix_dedup import op3_suffix_array_dedup
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_suffix_automaton_dedup": op4_suffix_automaton_dedup,
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_suffix_repetition": op6_suffix_repetition,
     "op7_byte_bpe": op7_byte_bpe,
