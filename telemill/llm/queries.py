@@ -9,9 +9,11 @@ from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
 from .repetition import op6_suffix_repetition
 from .suffix_dedup import op3_suffix_array_dedup
+from .toxicity import op2_noisy_channel_toxicity
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_suffix_automaton_dedup": op4_suffix_automaton_dedup,
     "op5_weighted_sampling": op5_weighted_sampling,
