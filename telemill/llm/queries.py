@@ -7,6 +7,7 @@ from .automaton_dedup import op4_suffix_automaton_dedup
 from .bpe import op7_byte_bpe
 from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
+from .pii import op8_skip_chain_pii
 from .repetition import op6_suffix_repetition
 from .suffix_dedup import op3_suffix_array_dedup
 from .toxicity import op2_noisy_channel_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_suffix_repetition": op6_suffix_repetition,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
 }
 
