@@ -11,6 +11,7 @@ from .pii import op8_skip_chain_pii
 from .repetition import op6_suffix_repetition
 from .suffix_dedup import op3_suffix_array_dedup
 from .toxicity import op2_noisy_channel_toxicity
+from .weak_labels import op10_weak_label_quality
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
+    "op10_weak_label_quality": op10_weak_label_quality,
 }
 
 ORACLE: dict[str, str] = {
