@@ -274,14 +274,17 @@ def _by_bucket(df: DataFrame, n: int, fn: Callable) -> DataFrame:
 
 
 def _beside_texts(df: DataFrame, docs: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
-    """fn(entries of a bucket of documents, batches of its (doc_id, text)) -> batches, without a join.
+    """fn(entries of a bucket of documents, doc_ids, texts, rest) -> batches, without a join.
 
-    Rows without doc_id come with no entries, in buckets chosen by their text.
+    docs: doc_id, text and, where the caller wants other columns back, a struct
+    named rest. Rows without doc_id come with no entries, in buckets chosen by
+    their text.
     """
     place = F.coalesce(doc_bucket_column(n), F.pmod(F.xxhash64("text"), F.lit(n)).cast("int"))
-    text = docs.select(place.alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text")
-    both = df.select("bucket", "kind", "blob", F.lit(None).cast("long").alias("doc_id"),
-                     F.lit(None).cast("string").alias("text")).unionByName(text)
+    names = [c for c in ("doc_id", "text", "rest") if c in docs.columns]
+    text = docs.select(place.alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("blob"), *names)
+    both = df.select("bucket", "kind", "blob", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names)
+                     ).unionByName(text)
 
     def run(batches):
         at, held, entries = None, [], None
@@ -300,7 +303,7 @@ def _beside_texts(df: DataFrame, docs: DataFrame, n: int, fn: Callable, schema:
                     if entries is None:
                         e = np.concatenate(held) if held else np.zeros(0, ENTRY)
                         entries, held = e[np.lexsort((e["lo"], e["tag"], e["doc"]))], []
-                    yield from fn(entries, part.column(3), part.column(4))
+                    yield from fn(entries, *part.columns[3:])
 
     return map_batches(both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind"), run, schema)
 
@@ -431,19 +434,17 @@ def covered(entries: np.ndarray, doc: np.ndarray, toff: np.ndarray, width: int)
 
 
 def beside(spans: DataFrame, n: int, docs: DataFrame, rule: Windows, fn: Callable, schema: str) -> DataFrame:
-    """fn(ids, texts (Arrow), data, byte offsets, covered tokens, token offsets, starts, ends) -> batch, by slice of texts."""
-    def run(entries, ids, texts):
+    """fn(ids, texts and rest (Arrow), data, byte offsets, covered tokens, token offsets) -> batch, by slice of texts."""
+    def run(entries, ids, texts, rest=None):
         null = np.asarray(ids.is_null())
         number = ids.fill_null(0).to_numpy()
         for x, y, data, off in slices(texts):
             tags = text_tags(data, off)
-            if rule.words:
-                start, end, toff = word_spans(data, off)
-            else:
-                start, end, toff = None, None, off
+            toff = word_spans(data, off)[2] if rule.words else off
             a, b = of_documents(entries, number[x:y], null[x:y], tags)
             doc = np.repeat(np.arange(y - x), b - a)
             e = entries[np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a) + np.arange(len(doc))]
-            yield fn(ids.slice(x, y - x), texts.slice(x, y - x), data, off, covered(e, doc, toff, rule.width), toff, start, end)
+            yield fn(*(c if c is None else c.slice(x, y - x) for c in (ids, texts, rest)), data, off,
+                     covered(e, doc, toff, rule.width), toff)
 
     return _beside_texts(spans, docs, n, run, schema)

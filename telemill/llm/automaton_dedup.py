@@ -139,27 +139,63 @@ def repeated_segments(e: np.ndarray, content: np.ndarray, off: np.ndarray, width
     return joined(out)
 
 
+def _kept(data: np.ndarray, off: np.ndarray, gone: np.ndarray, toff: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Words removed, and the kept words joined by one space, of each document."""
+    c = np.concatenate(([0], np.cumsum(gone)))
+    removed = c[toff[1:]] - c[toff[:-1]]
+    raw, keep = data.tobytes(), []
+    for x, y, a, b, k in zip(toff[:-1].tolist(), toff[1:].tolist(), off[:-1].tolist(), off[1:].tolist(),
+                             removed.tolist(), strict=True):
+        words = raw[a:b].split()
+        if k:
+            words = [w for w, g in zip(words, gone[x:y].tolist(), strict=True) if not g]
+        keep.append(b" ".join(words).decode())
+    return removed, keep
+
+
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     docs, own = as_text(docs, id_col, text_col), rule(width, hot)
     spans, n = repeats(docs, own, lambda e, c, o: repeated_segments(e, c, o, width))
 
-    def result(ids, texts, data, off, gone, toff, start, end):
-        c = np.concatenate(([0], np.cumsum(gone)))
-        removed = c[toff[1:]] - c[toff[:-1]]
-        raw, keep = data.tobytes(), []
-        for x, y, a, b in zip(toff[:-1].tolist(), toff[1:].tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-            words = raw[a:b].split()
-            if c[y] > c[x]:
-                words = [w for w, g in zip(words, gone[x:y].tolist(), strict=True) if not g]
-            keep.append(b" ".join(words).decode())
+    def result(ids, texts, rest, data, off, gone, toff):
+        removed, keep = _kept(data, off, gone, toff)
         return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(toff)), pa.array(removed), pa.array(keep, pa.string())],
                                           ["doc_id", "n_words", "n_removed", "kept"])
 
     return beside(spans, n, docs, own, result, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+            hot: int = HOT) -> DataFrame:
+    """The documents with all their columns; a text that loses words is its kept words joined by one space."""
+    names, own = docs.columns, rule(width, hot)
+    kind = docs.schema[text_col].dataType
+    carried = as_text(docs, id_col, text_col, F.struct(*(docs[c] for c in names)).alias("rest"))
+    spans, n = repeats(carried.drop("rest"), own, lambda e, c, o: repeated_segments(e, c, o, width))
+
+    def result(ids, texts, rest, data, off, gone, toff):
+        removed, keep = _kept(data, off, gone, toff)
+        return pa.RecordBatch.from_arrays(
+            [rest, pa.array([t if k else None for t, k in zip(keep, removed.tolist(), strict=True)], pa.string())],
+            ["rest", "kept"])
+
+    # the text travels once: outside of rest
+    slim = F.struct(*(F.lit(None).cast(kind).alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names))
+    null = F.col("rest").getField(text_col).isNull()
+    carried = carried.select("doc_id", "text", F.struct(slim.alias("row"), null.alias("null")).alias("rest"))
+    schema = f"rest {carried.schema['rest'].dataType.simpleString()}, kept string, text string"
+
+    def with_text(ids, texts, rest, data, off, gone, toff):
+        b = result(ids, texts, rest, data, off, gone, toff)
+        return pa.RecordBatch.from_arrays([*b.columns, texts.cast(pa.string())], ["rest", "kept", "text"])
+
+    out = beside(spans, n, carried, own, with_text, schema)
+    text = F.when(F.col("kept").isNotNull(), F.col("kept")).when(~F.col("rest.null"), F.col("text"))
+    return out.select(*(text.cast(kind).alias(c) if c == text_col else F.col(f"rest.row.`{c}`").alias(c) for c in names))
+
+
 def op4_suffix_automaton_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_passages(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

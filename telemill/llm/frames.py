@@ -36,10 +36,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def as_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id long, text string), null text as empty; everything else is pruned."""
+def as_text(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """(doc_id long, text string, more columns), null text as empty; everything else is pruned."""
     return df.select(df[id_col].cast("long").alias("doc_id"),
-                     F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
+                     F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
 def shared_folder(spark: SparkSession) -> str:

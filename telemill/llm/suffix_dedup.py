@@ -132,7 +132,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs, own = as_text(docs, id_col, text_col), rule(width, hot)
     spans, n = repeats(docs, own, lambda e, c, o: repeated_segments(e, c, o, width))
 
-    def result(ids, texts, data, off, gone, toff, start, end):
+    def result(ids, texts, rest, data, off, gone, toff):
         edge = np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1
         first = off[:-1][np.diff(off) > 0]
         edge[first] = gone[first]
