@@ -5,18 +5,24 @@ Scale design
 A window partitioned by ``machine_id`` alone gives one task per machine: with
 few machines and long histories (or one machine holding a third of the rows)
 that is a handful of huge, skewed tasks. All operators here partition by
-``(machine_id, time bucket)`` instead:
-
-* rolling frames use a *halo*: the rows of a bucket's last ``window`` hours are
-  copied into the next bucket (one ``explode``, no second scan), the frame is
-  evaluated inside ``(machine_id, bucket)`` and only the home rows are kept;
+``(machine_id, time block)`` instead:
+
+* rolling frames ``(t - h, t]`` are cut at block borders. With blocks as long
+  as the frame, a frame is a suffix of the block before and a prefix of its
+  own. Each row is copied into the block that needs it as suffix (one
+  ``explode``, no second scan); prefix moments run up in time order, suffix
+  moments run down, and the two are merged by count, mean and sum of squared
+  deviations. Nothing is ever subtracted, so one glitch of any size is
+  forgotten as soon as it leaves the frame. ``sub_blocks`` cuts blocks finer
+  for dense machines: whole blocks between the two ends then come from a table
+  of one row per machine and block;
 * the look-back of ``time_since_last`` is unbounded, so the first row of a
-  bucket takes the last timestamp of the machine's previous non-empty bucket
-  from a small per-bucket edge table (one row per machine and bucket).
+  block takes the last timestamp of the machine's previous non-empty block
+  from a small edge table (one row per machine and block).
 
-Both give exactly the plain per-machine result (checked in the tests). The
-bucket length is a parameter: shorter buckets split hot machines finer, at
-the price of a larger halo share (``window / bucket``).
+Rows without machine or time have no history; they are spread by their id and
+keep NULL statistics. All forms give exactly the plain per-machine result
+(checked in the tests).
 """
 
 from __future__ import annotations
@@ -34,8 +40,18 @@ DEFAULT_BUCKET_HOURS = 24
 
 _TS = "_ts_us"
 _B = "_bucket"
-_SHIFT = "_halo_shift"
+_SHIFT = "_shift"
+_V = "_v"
 _PREV = "_prev_bucket_last_us"
+#: Groups that rows without machine or time are spread over.
+_SPREAD = 4096
+_VALID_SQL = "machine_id IS NOT NULL AND timestamp IS NOT NULL"
+
+
+def _block(width_us: int) -> str:
+    """Block number of a row, rounded down also before 1970; rows without history are spread by id."""
+    return (f"CASE WHEN {_VALID_SQL} THEN ({_TS} - pmod({_TS}, {width_us})) div {width_us} "
+            f"ELSE pmod(event_id, {_SPREAD}) END")
 
 
 def _valid() -> Column:
@@ -53,7 +69,7 @@ def _edge_table(df: DataFrame, bucket_us: int) -> DataFrame:
     the number of events, so the per-machine window below stays small.
     """
     per_bucket = (df.where(_valid())
-                  .groupBy("machine_id", F.expr(f"{_TS} div {bucket_us}").alias(_B))
+                  .groupBy("machine_id", F.expr(_block(bucket_us)).alias(_B))
                   .agg(F.max(_TS).alias("_last_us")))
     return per_bucket.select(
         "machine_id", _B,
@@ -84,7 +100,7 @@ def time_features(logs: DataFrame, bucket_hours: int = DEFAULT_BUCKET_HOURS,
         # partitioned and sorted by (machine, bucket), so the join adds no
         # exchange or sort on the big side.
         bucket_us = bucket_hours * US_PER_HOUR
-        df = df.withColumn(_B, F.expr(f"{_TS} div {bucket_us}"))
+        df = df.withColumn(_B, F.expr(_block(bucket_us)))
         w = Window.partitionBy("machine_id", _B).orderBy(_TS, "event_id")
         lagged = df.withColumn("_lag", F.lag(_TS).over(w))
         out = (lagged.join(_edge_table(df, bucket_us), ["machine_id", _B], "left")
@@ -93,30 +109,25 @@ def time_features(logs: DataFrame, bucket_hours: int = DEFAULT_BUCKET_HOURS,
     return out.select(*cols, "hour", "day_of_week", "date", "time_since_last")
 
 
-def _halo(df: DataFrame, frame_us: int, bucket_us: int) -> DataFrame:
-    """Add the halo copies: rows within ``frame_us`` of the next bucket's start
-    are also placed into that bucket (``_halo_shift`` = 1)."""
-    home = F.expr(f"{_TS} div {bucket_us}")
-    near_next = F.col(_TS) > (home + 1) * F.lit(bucket_us) - F.lit(frame_us)
-    shifts = F.when(near_next, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return (df.withColumn(_SHIFT, F.explode(shifts))
-              .withColumn(_B, home + F.col(_SHIFT)))
-
-
 # The statistics are written as Spark SQL text: each expression is parsed once
 # on the JVM instead of being assembled from hundreds of Python-side Column
 # calls, and every intermediate gets a name, so no window expression is
 # expanded twice into the plan.
-_VALID_SQL = "machine_id IS NOT NULL AND timestamp IS NOT NULL"
+def _frame_us(window_hours: float) -> int:
+    # pandas' time frame is (t - h, t]: exclude a row exactly h old.
+    return int(window_hours * US_PER_HOUR)
 
 
-def _over(part: list[str], order: str, frame: str) -> str:
-    return f"OVER (PARTITION BY {', '.join(part)} ORDER BY {order} {frame})"
+def _block_us(frame_us: int, sub_blocks: int) -> int:
+    if sub_blocks < 1 or frame_us % sub_blocks:
+        raise ValueError("sub_blocks must divide the frame into whole microseconds")
+    return frame_us // sub_blocks
 
 
 def _with_frame_stats(x: DataFrame, part: list[str], frame_us: int, keep: list[str]) -> DataFrame:
-    """Sliding-frame form: exact, but Spark re-aggregates each frame (rows x frame size)."""
-    w = _over(part, _TS, f"RANGE BETWEEN {frame_us - 1} PRECEDING AND CURRENT ROW")
+    """Sliding-frame form, the reference: Spark re-aggregates each frame (rows x frame size)."""
+    w = (f"OVER (PARTITION BY {', '.join(part)} ORDER BY {_TS} "
+         f"RANGE BETWEEN {frame_us - 1} PRECEDING AND CURRENT ROW)")
     out = []
     for s in SENSORS:
         out.append(f"CASE WHEN {_VALID_SQL} THEN avg({s}) {w} END AS {rolling_mean_col(s)}")
@@ -124,121 +135,130 @@ def _with_frame_stats(x: DataFrame, part: list[str], frame_us: int, keep: list[s
     return x.selectExpr(*[f"`{c}`" for c in keep], *out)
 
 
-_EPS = 2.220446049250313e-16
-_NOISE_FACTOR = 64.0
-
-
-def _with_cumulative_stats(x: DataFrame, part: list[str], frame_us: int, keep: list[str],
-                           order: str = _TS) -> DataFrame:
-    """Running-sum form, O(rows): frame sums = sums up to t minus sums up to t - h.
-
-    Three projections, all on one partitioning and one sort order (``order``
-    starts with the time, so the RANGE windows reuse its sort):
+def _copied(x: DataFrame, frame_us: int, sub_blocks: int) -> DataFrame:
+    """Each row in its own block (``_shift`` 0) and, as suffix, one frame later.
 
-    1. ``_r_<s>``: the partition minimum, the centre that keeps the sums small;
-    2. count, sum and sum of squares of the centred value over
-       ``RANGE UNBOUNDED PRECEDING`` up to the current row and up to ``t - h``
-       (both incremental frames; peers, equal timestamps, are inside the frame
-       as in the sliding form);
-    3. mean and sample std from the differences. A variance below the
-       rounding-noise bound of the sums is 0, so a constant run gives std
-       exactly 0, as the sliding form does. ``nullif`` keeps the divisions
-       defined for frames of 0 or 1 readings.
+    ``_v`` is the time, for copies moved on by the frame: a copy belongs to the
+    frame of a row exactly if its ``_v`` is greater than the row's.
     """
-    whole = _over(part, order, "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
-    upto = _over(part, _TS, "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
-    before = _over(part, _TS, f"RANGE BETWEEN UNBOUNDED PRECEDING AND {frame_us} PRECEDING")
-    x = x.selectExpr("*", *[f"min({s}) {whole} AS _r_{s}" for s in SENSORS])
-    sums = []
-    for s in SENSORS:
-        d = f"({s} - _r_{s})"
-        sums += [f"count({s}) {upto} AS _nu_{s}", f"count({s}) {before} AS _nb_{s}",
-                 f"sum({d}) {upto} AS _su_{s}", f"coalesce(sum({d}) {before}, 0D) AS _sb_{s}",
-                 f"sum({d} * {d}) {upto} AS _qu_{s}", f"coalesce(sum({d} * {d}) {before}, 0D) AS _qb_{s}"]
-    x = x.selectExpr("*", *sums)
-    # Small named steps: each expression is computed once and the generated
-    # code stays small enough for whole-stage codegen.
-    diffs = []
-    for s in SENSORS:
-        diffs += [f"nullif(_nu_{s} - _nb_{s}, 0) AS _n_{s}", f"_su_{s} - _sb_{s} AS _s1_{s}",
-                  f"_qu_{s} - _qb_{s} AS _q_{s}",
-                  f"abs(_qu_{s}) + abs(_qb_{s}) AS _qa_{s}", f"abs(_su_{s}) + abs(_sb_{s}) AS _sa_{s}"]
-    x = x.selectExpr(*[f"`{c}`" for c in keep], *[f"_r_{s}" for s in SENSORS], *diffs)
-    moments = []
-    for s in SENSORS:
-        n1 = f"nullif(_n_{s} - 1, 0)"
-        moments += [f"_s1_{s} / _n_{s} AS _m_{s}",
-                    f"(_q_{s} - _s1_{s} * _s1_{s} / _n_{s}) / {n1} AS _var_{s}",
-                    f"{_NOISE_FACTOR * _EPS!r}D * (_qa_{s} + 2D * abs(_s1_{s}) * _sa_{s} / _n_{s}) / {n1} AS _noise_{s}"]
-    x = x.selectExpr(*[f"`{c}`" for c in keep], *[f"_r_{s}" for s in SENSORS], *moments)
+    shifts = f"CASE WHEN {_VALID_SQL} THEN array(0, 1) ELSE array(0) END"
+    return (x.selectExpr("*", f"{_block(_block_us(frame_us, sub_blocks))} AS _own", f"explode({shifts}) AS {_SHIFT}")
+            .selectExpr("*", f"_own + {_SHIFT} * {sub_blocks} AS {_B}", f"{_TS} + {_SHIFT} * {frame_us} AS {_V}")
+            .drop("_own"))
+
+
+def _moments(value: str, over: str, tag: str) -> list[str]:
+    return [f"count({value}) {over} AS _n{tag}", f"coalesce(avg({value}) {over}, 0D) AS _a{tag}",
+            f"coalesce(var_pop({value}) {over}, 0D) AS _p{tag}"]
+
+
+def _merged(sensor: str, one: str, two: str, tag: str) -> list[list[str]]:
+    """Projections that merge (_n, _a, _q) of two parts into those named by ``tag``."""
+    n1, n2 = f"_n{one}", f"_n{two}"
+    return [[f"{n1} + {n2} AS _n{tag}", f"_a{two} - _a{one} AS _d{tag}"],
+            [f"CASE WHEN {n1} = 0 THEN _a{two} WHEN {n2} = 0 THEN _a{one} "
+             f"ELSE _a{one} + _d{tag} * ({n2} / _n{tag}) END AS _a{tag}",
+             f"_q{one} + _q{two} + CASE WHEN {n1} = 0 OR {n2} = 0 THEN 0D "
+             f"ELSE _d{tag} * _d{tag} * ({n1} * ({n2} / _n{tag})) END AS _q{tag}"]]
+
+
+def _middle(x: DataFrame, frame_us: int, sub_blocks: int) -> DataFrame:
+    """(machine_id, block) -> moments of the whole blocks between a frame's ends; one row per machine and block."""
+    aggs = [F.expr(e) for s in SENSORS for e in (
+        f"count({s}) AS _n_{s}", f"coalesce(avg({s}), 0D) AS _a_{s}", f"coalesce(var_pop({s}), 0D) * count({s}) AS _q_{s}")]
+    blocks = (x.where(_VALID_SQL).selectExpr("machine_id", f"{_block(_block_us(frame_us, sub_blocks))} AS {_B}", *SENSORS)
+              .groupBy("machine_id", _B).agg(*aggs))
+    w = (f"OVER (PARTITION BY machine_id ORDER BY {_B} "
+         f"RANGE BETWEEN {sub_blocks - 1} PRECEDING AND 1 PRECEDING)")  # at most sub_blocks - 1 rows
+    zero = "named_struct('n', 0L, 'a', 0D, 'q', 0D)"
+    lists = [f"collect_list(named_struct('n', _n_{s}, 'a', _a_{s}, 'q', _q_{s})) {w} AS _l_{s}" for s in SENSORS]
+    merge = ("CASE WHEN r.n = 0 THEN l WHEN l.n = 0 THEN r ELSE named_struct('n', l.n + r.n, "
+             "'a', l.a + (r.a - l.a) * (r.n / (l.n + r.n)), "
+             "'q', l.q + r.q + (r.a - l.a) * (r.a - l.a) * (l.n * (r.n / (l.n + r.n)))) END")
+    sums = [f"aggregate(_l_{s}, {zero}, (l, r) -> {merge}) AS _m_{s}" for s in SENSORS]
+    out = [f"_m_{s}.{k} AS _{k}m_{s}" for s in SENSORS for k in ("n", "a", "q")]
+    return blocks.selectExpr("machine_id", _B, *lists).selectExpr("machine_id", _B, *sums).selectExpr("machine_id", _B, *out)
+
+
+def _with_block_stats(x: DataFrame, frame_us: int, sub_blocks: int, keep: list[str]) -> DataFrame:
+    """Block form, O(rows), of rows from ``_copied``; home rows only come out.
+
+    Two window passes on one partitioning: prefix moments of home rows in time
+    order (peers, equal timestamps, are inside the frame as in the sliding
+    form), suffix moments of copies from the block's end down.
+    """
+    part = f"PARTITION BY machine_id, {_B}"
+    up = f"OVER ({part} ORDER BY {_V} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    down = f"OVER ({part} ORDER BY {_V} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    cols = [f"`{c}`" for c in keep]
+    middle = _middle(x, frame_us, sub_blocks) if sub_blocks > 1 else None
+    y = _copied(x, frame_us, sub_blocks)
+    y = y.selectExpr("*", *[e for s in SENSORS for e in _moments(f"CASE WHEN {_SHIFT} = 1 THEN {s} END", down, f"s_{s}")])
+    lag = f"last(CASE WHEN {_SHIFT} = 0 THEN {_TS} END, true) OVER ({part} ORDER BY {_V}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _lag"
+    y = y.selectExpr("*", lag, *[e for s in SENSORS for e in _moments(f"CASE WHEN {_SHIFT} = 0 THEN {s} END", up, f"p_{s}")])
+    y = y.where(f"{_SHIFT} = 0")
+    extra = [_B, "_lag"]
+    if middle is not None:
+        y = y.join(middle, ["machine_id", _B], "left")
+        y = y.selectExpr("*", *[f"coalesce(_nm_{s}, 0L) AS _nw_{s}" for s in SENSORS],
+                         *[f"coalesce(_am_{s}, 0D) AS _aw_{s}" for s in SENSORS],
+                         *[f"coalesce(_qm_{s}, 0D) AS _qw_{s}" for s in SENSORS])
+    y = y.selectExpr("*", *[f"_p{k}_{s} * _n{k}_{s} AS _q{k}_{s}" for s in SENSORS for k in ("s", "p")])
+    last = "sp"
+    for step in zip(*[_merged(s, f"s_{s}", f"p_{s}", f"sp_{s}") for s in SENSORS]):
+        y = y.selectExpr("*", *[e for part_ in step for e in part_])
+    if middle is not None:
+        last = "all"
+        for step in zip(*[_merged(s, f"w_{s}", f"sp_{s}", f"all_{s}") for s in SENSORS]):
+            y = y.selectExpr("*", *[e for part_ in step for e in part_])
     out = []
     for s in SENSORS:
-        out.append(f"CASE WHEN {_VALID_SQL} THEN _m_{s} + _r_{s} END AS {rolling_mean_col(s)}")
-        out.append(f"CASE WHEN NOT ({_VALID_SQL}) THEN NULL WHEN _var_{s} > _noise_{s} THEN sqrt(_var_{s}) "
-                   f"ELSE 0D END AS {rolling_std_col(s)}")
-    return x.selectExpr(*[f"`{c}`" for c in keep], *out)
+        n, a, q = (f"_{k}{last}_{s}" for k in "naq")
+        out.append(f"CASE WHEN {_VALID_SQL} AND {n} > 0 THEN {a} END AS {rolling_mean_col(s)}")
+        out.append(f"CASE WHEN NOT ({_VALID_SQL}) THEN NULL WHEN {n} > 1 THEN sqrt({q} / ({n} - 1)) ELSE 0D END "
+                   f"AS {rolling_std_col(s)}")
+    return y.selectExpr(*cols, *[c for c in extra if c not in keep], *out)
 
 
-def _frame_us(window_hours: float) -> int:
-    # pandas' time frame is (t - h, t]: exclude a row exactly h old.
-    return int(window_hours * US_PER_HOUR)
-
-
-def _with_stats(x: DataFrame, part: list[str], frame_us: int, method: str, keep: list[str],
-                order: str = _TS) -> DataFrame:
-    if method == "frame":
-        return _with_frame_stats(x, part, frame_us, keep)
-    if method == "cumulative":
-        return _with_cumulative_stats(x, part, frame_us, keep, order)
-    raise ValueError(f"unknown rolling method {method!r}")
-
-
-def rolling_stats(df: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
-                  bucket_hours: int = DEFAULT_BUCKET_HOURS, plain: bool = False,
-                  method: str = "cumulative") -> DataFrame:
+def rolling_stats(df: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS, sub_blocks: int = 1,
+                  plain: bool = False, method: str = "blocks") -> DataFrame:
     """Rolling mean and sample std (NULL -> 0) per machine over (t - h, t], all sensors.
 
-    ``plain`` partitions by machine only (no halo); ``method`` is ``cumulative``
-    (running sums, O(rows)) or ``frame`` (Spark's sliding frame, the exact
-    reference). All aggregates share one partitioning and ordering: one
-    exchange, one sort.
+    ``method`` is ``blocks`` (O(rows), groups of a machine and one
+    ``sub_blocks``-th of the frame) or ``frame`` (Spark's sliding frame);
+    ``plain`` is the sliding frame over whole machines, for comparison.
     """
     cols = df.columns
     frame_us = _frame_us(window_hours)
     x = _with_ts(df)
-    if plain:
-        return _with_stats(x, ["machine_id"], frame_us, method, cols)
-    bucket_us = max(bucket_hours * US_PER_HOUR, frame_us)
-    x = _halo(x, frame_us, bucket_us)
-    return (_with_stats(x, ["machine_id", _B], frame_us, method, [*cols, _SHIFT])
-            .where(F.col(_SHIFT) == 0).drop(_SHIFT))
+    if plain or method == "frame":
+        if plain:
+            return _with_frame_stats(x, ["machine_id"], frame_us, cols)
+        y = _copied(x, frame_us, 1)
+        # Copies keep their own time here: the frame reaches back to them.
+        return (_with_frame_stats(y, ["machine_id", _B], frame_us, [*cols, _SHIFT])
+                .where(F.col(_SHIFT) == 0).drop(_SHIFT))
+    if method != "blocks":
+        raise ValueError(f"unknown rolling method {method!r}")
+    return _with_block_stats(x, frame_us, sub_blocks, cols).drop(_B, "_lag")
 
 
 def enrich(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
-           z_threshold: float = DEFAULT_Z_THRESHOLD,
-           bucket_hours: int = DEFAULT_BUCKET_HOURS, method: str = "cumulative") -> DataFrame:
+           z_threshold: float = DEFAULT_Z_THRESHOLD, sub_blocks: int = 1) -> DataFrame:
     """time features + rolling stats + anomaly flags in ONE shuffle of the log.
 
-    The halo partition ``(machine_id, bucket)`` also serves ``lag``: a bucket's
-    first row finds its predecessor among the halo rows, else in the edge table.
+    The blocks also serve the look-back of ``time_since_last``: a block's
+    first row finds its predecessor in the edge table.
     """
     from telemill.operators.anomaly import flag_anomalies
 
     cols = logs.columns
     frame_us = _frame_us(window_hours)
-    bucket_us = max(bucket_hours * US_PER_HOUR, frame_us)
     x = _with_ts(logs)
-    edges = _edge_table(x, bucket_us)
-    # Windows first (lag and rolling share one exchange and one sort), then the
-    # small edge-table join on (machine, bucket), which the windowed rows
-    # already satisfy: no second sort of the log.
-    w_lag = Window.partitionBy("machine_id", _B).orderBy(_TS, "event_id")
-    x = _halo(x, frame_us, bucket_us)
-    x = x.select(*cols, _TS, _B, _SHIFT, F.lag(_TS).over(w_lag).alias("_lag"))
-    y = (_with_stats(x, ["machine_id", _B], frame_us, method, [*cols, _TS, _B, _SHIFT, "_lag"],
-                     order=f"{_TS}, event_id")
-         .where(F.col(_SHIFT) == 0)
-         .join(edges, ["machine_id", _B], "left"))
+    edges = _edge_table(x, _block_us(frame_us, sub_blocks))
+    # Windows first (one exchange), then the small edge-table join on
+    # (machine, block), which the windowed rows already satisfy.
+    y = _with_block_stats(x, frame_us, sub_blocks, [*cols, _TS]).join(edges, ["machine_id", _B], "left")
     y = y.withColumn("time_since_last", _time_since_last(F.coalesce(F.col("_lag"), F.col(_PREV))))
     y = _calendar(y)
     ordered = [*cols, "hour", "day_of_week", "date", "time_since_last"]

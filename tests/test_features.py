@@ -1,8 +1,10 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01, at, make_logs
-from telemill.operators import features
+from telemill.operators import anomaly, features
 from telemill.schema import SENSORS, rolling_mean_col, rolling_std_col
 from telemill.sources.events_adapter import load_machine_logs
 
@@ -53,12 +55,12 @@ def test_null_machine_gets_no_stats(spark):
     assert not any(x["is_anomaly"] for x in e)
 
 
-def test_halo_equals_plain_on_driver_data(spark):
+def test_blocks_equal_plain_on_driver_data(spark):
     logs = load_machine_logs(spark, SF01)
     cols = [c for s in SENSORS for c in (rolling_mean_col(s), rolling_std_col(s))]
     plain = _by_id(features.rolling_stats(logs, plain=True), cols)
-    for bucket_hours in (4, 24):
-        halo = _by_id(features.rolling_stats(logs, bucket_hours=bucket_hours), cols)
+    for kind in ({"sub_blocks": 1}, {"sub_blocks": 4}, {"method": "frame"}):
+        halo = _by_id(features.rolling_stats(logs, **kind), cols)
         assert halo.keys() == plain.keys()
         for k, v in plain.items():
             assert halo[k] == pytest.approx(v, rel=1e-9, abs=1e-9, nan_ok=True)
@@ -90,3 +92,45 @@ def test_enrich_plan_has_single_log_exchange(spark):
     # one exchange for the haloed log (plus small per-bucket edge-table exchanges)
     assert plan.count("Window [") >= 2
     assert "CartesianProduct" not in plan
+
+
+def _compare(spark, logs, **kind):
+    cols = [c for s in SENSORS for c in (rolling_mean_col(s), rolling_std_col(s))]
+    want = _by_id(features.rolling_stats(logs, plain=True), cols)
+    got = _by_id(features.rolling_stats(logs, **kind), cols)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        for a, b in zip(got[k], v):
+            assert (a is None) == (b is None) and (b is None or a == pytest.approx(b, rel=1e-9, abs=1e-9)), k
+
+
+@pytest.mark.parametrize("sub_blocks", [1, 3, 16])
+@pytest.mark.parametrize("start", [dt.datetime(2024, 1, 1), dt.datetime(1969, 12, 28)])
+def test_glitch_is_forgotten(spark, sub_blocks, start):
+    """One reading of 1e9 at row 5; a spike of 60 at row 300, long out of its frame, is still flagged."""
+    rows = [{"timestamp": start + dt.timedelta(minutes=3 * i),
+             "temperature_c": 1e9 if i == 5 else 60.0 if i == 300 else 25.0 + (i * 7919 % 11) / 2} for i in range(400)]
+    logs = make_logs(spark, rows)
+    _compare(spark, logs, sub_blocks=sub_blocks)
+    e = {r["event_id"]: r for r in features.enrich(logs, sub_blocks=sub_blocks).collect()}
+    assert e[300]["temperature_c_anomaly"] and e[300]["temperature_c_rolling_std"] > 1
+    assert sum(r["temperature_c_anomaly"] for r in e.values() if r["event_id"] > 100) == 1
+
+
+def test_dense_block(spark):
+    rows = [{"timestamp": at(seconds=i // 4), "temperature_c": 1e6 + (i * 31 % 17) * 1e-3} for i in range(3000)]
+    _compare(spark, make_logs(spark, rows), sub_blocks=1)
+    _compare(spark, make_logs(spark, rows), sub_blocks=16)
+
+
+def test_sub_blocks_must_divide_the_frame(spark):
+    with pytest.raises(ValueError):
+        features.rolling_stats(make_logs(spark, [{"timestamp": at(0)}]), sub_blocks=7)
+
+
+@pytest.mark.parametrize("window_hours,z", [(1, 1.05), (0.5, 3.05), (12, 2.5)])
+def test_other_parameters(spark, window_hours, z):
+    logs = load_machine_logs(spark, SF01)
+    a = _by_id(features.enrich(logs, window_hours=window_hours, z_threshold=z, sub_blocks=2), ["anomaly_count"])
+    b = _by_id(anomaly.flag_anomalies(features.rolling_stats(logs, window_hours=window_hours, plain=True), z), ["anomaly_count"])
+    assert a == b
