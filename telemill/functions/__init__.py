@@ -1,6 +1,6 @@
 """Column-expression helpers (all JVM-side, codegen friendly)."""
 
 from telemill.functions.exprs import (  # noqa: F401
-    epoch_us, ts_text, minute_text, nan_to_null, null_if_token, strip_fence, fence_body,
-    strip_ws, sorted_join, non_blank, fixed,
+    epoch_us, ts_text, minute_text, nan_to_null, null_if_token, fence_body,
+    strip_ws, non_blank, fixed, round1, thousands,
 )

@@ -48,18 +48,18 @@ def non_blank(c: Column) -> Column:
     return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
 
 
-def sorted_join(arr: Column, sep: str = ",") -> Column:
-    """Stable text of an unordered set: sorted, joined, '' when empty."""
-    return F.coalesce(F.array_join(F.array_sort(arr), sep), F.lit(""))
-
-
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace incl. newlines."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def fence_body(t: Column) -> Column:
-    """``strip_fence`` for text that is already stripped (``strip_ws``)."""
+    """Stripped text without the Markdown code fence around it.
+
+    If the text starts with a triple backtick, drop the first line and cut at
+    the last triple backtick (keep the rest when there is none), strip again.
+    A fence line without a newline yields NULL (no reply can be read).
+    """
     body = F.regexp_replace(t, r"^```[^\n]*\n", "")
     body = F.regexp_replace(body, r"(?s)```(?!.*```).*$", "")
     return (
@@ -69,16 +69,29 @@ def fence_body(t: Column) -> Column:
     )
 
 
-def strip_fence(c: Column) -> Column:
-    """Remove a Markdown code fence around a model response.
+def round1(x: str) -> Column:
+    """Python's ``round(x, 1)`` of a double column: the exact binary value decides, exact ties go to even.
 
-    Rule: strip; if the text starts with a triple backtick, drop the first line
-    and cut at the last triple backtick (keep the rest when there is none), strip
-    again. A fence line without a newline yields NULL (the reference raises).
+    10x = 8x + 2x, whose rounding error is recovered exactly (TwoSum), so a
+    value that only looks like a tie after multiplication is told apart.
     """
-    return fence_body(strip_ws(c))
-
-
-def fixed(c: Column, digits: int) -> Column:
-    """Python's ``f"{x:.{digits}f}"``: exact binary ties go to even (Java's formatter rounds them up)."""
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+    s = f"(8D * {x} + 2D * {x})"
+    b = f"({s} - 8D * {x})"
+    e = f"((8D * {x} - ({s} - {b})) + (2D * {x} - {b}))"
+    tie = f"{s} - floor({s}) = 0.5D"
+    return F.expr(f"CASE WHEN {tie} AND {e} > 0D THEN floor({s}) + 1D WHEN {tie} AND {e} < 0D THEN floor({s}) + 0D "
+                  f"ELSE rint({s}) END / 10D")
+
+
+def fixed(x: str, digits: int) -> Column:
+    """Python's ``f"{x:.0f}"`` or ``f"{x:.1f}"`` of a double column, by its exact binary value."""
+    if digits == 0:
+        return F.format_string("%.0f", F.expr(f"rint({x})"))
+    if digits == 1:
+        return F.format_string("%.1f", round1(x))
+    raise ValueError("0 or 1 digits")
+
+
+def thousands(c: Column) -> Column:
+    """Python's ``f"{n:,}"`` of a whole number."""
+    return F.format_number(c, 0)

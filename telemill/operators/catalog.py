@@ -58,14 +58,6 @@ def code_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "error_code string, catalog_category string")
 
 
-def signature_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SIGNATURES, "category string, sensor string, lo double, hi double")
-
-
-def range_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NORMAL_RANGES, "sensor string, lo double, hi double")
-
-
 def code_category(failures: DataFrame) -> DataFrame:
     """Catalog category of each failure row's error code (NULL for unknown codes).
 
@@ -143,5 +135,3 @@ def signature_match(entries: DataFrame) -> DataFrame:
     """
     sums = entries.groupBy("machine_id", "window_start").agg(*signature_aggs())
     return sums.select("machine_id", F.col("window_start").alias("start"), *best_signature())
-
-

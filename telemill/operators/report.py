@@ -28,6 +28,18 @@ PRIORITY_BADGES = {
     "THIS_MONTH": "📅 THIS MONTH",
 }
 REPORT_TITLE = "# Manufacturing Log Diagnostic Report"
+STATS_HEAD = ["## Dataset Overview", "", "| Metric | Value |", "|--------|-------|"]
+DETAILS_HEAD = ["## Detailed Failure Analysis", ""]
+FIELDS_HEAD = ["| Field | Value |", "|-------|-------|"]
+EVIDENCE_HEAD = ["**Evidence:**"]
+ACTIONS_HEAD = ["**Recommended Actions:**", "", "| Priority | Action | Est. Downtime |",
+                "|----------|--------|---------------|"]
+FLEET_HEAD = ["## Fleet Summary", ""]
+ISSUES_HEAD = ["### Top Issues", ""]
+PRIORITIES_HEAD = ["### Maintenance Priorities", "", "| Priority | Action | Machines | Rationale |",
+                   "|----------|--------|----------|-----------|"]
+ALERTS_HEAD = ["### Trend Alerts", ""]
+SAVINGS = ("**Estimated Downtime Savings:** ", " hours (if all recommended actions are completed)")
 # ---------------------------------------------------------------------------
 
 
@@ -45,8 +57,8 @@ def priority_badge(c: Column) -> Column:
 
 
 def percent0(c: Column) -> Column:
-    """Python's ``{x:.0%}``: ties of the binary value go to even."""
-    return F.concat(fixed(c * 100, 0), F.lit("%"))
+    """Python's ``{x:.0%}``: 100 x, rounded half to even."""
+    return F.concat(F.format_string("%.0f", F.rint(c * 100)), F.lit("%"))
 
 
 def recommended_actions(diagnoses: DataFrame) -> DataFrame:
@@ -65,6 +77,10 @@ def _block(cond: Column, *lines: Column) -> Column:
     return F.when(cond, F.concat_ws("\n", *lines))
 
 
+def _fixed_lines(lines: list[str]) -> list[Column]:
+    return [F.lit(x) for x in lines]
+
+
 def diagnosis_section(d: Column | None = None) -> Column:
     """Markdown section of one diagnosis row (column names of ``to_diagnoses``)."""
     ev = F.col("evidence")
@@ -79,18 +95,15 @@ def diagnosis_section(d: Column | None = None) -> Column:
         F.concat(F.lit("### Machine `"), F.col("machine_id"), F.lit("` — "), F.col("start"), F.lit(" → "),
                  F.col("end")),
         F.lit(""),
-        F.lit("| Field | Value |"),
-        F.lit("|-------|-------|"),
+        *_fixed_lines(FIELDS_HEAD),
         F.concat(F.lit("| **Root Cause** | "), F.col("root_cause"), F.lit(" |")),
         F.concat(F.lit("| **Failure Mode** | `"), F.col("failure_mode"), F.lit("` |")),
         F.concat(F.lit("| **Confidence** | "), percent0(F.col("confidence")), F.lit(" |")),
         F.concat(F.lit("| **Severity** | "), severity_badge(F.col("severity_assessment")), F.lit(" |")),
         F.lit(""),
-        _block(F.size(ev) > 0, F.lit("**Evidence:**"),
+        _block(F.size(ev) > 0, *_fixed_lines(EVIDENCE_HEAD),
                F.array_join(F.transform(ev, lambda e: F.concat(F.lit("- "), e)), "\n"), F.lit("")),
-        _block(F.size(acts) > 0, F.lit("**Recommended Actions:**"), F.lit(""),
-               F.lit("| Priority | Action | Est. Downtime |"),
-               F.lit("|----------|--------|---------------|"),
+        _block(F.size(acts) > 0, *_fixed_lines(ACTIONS_HEAD),
                F.array_join(act_rows, "\n"), F.lit("")),
         _block(F.size(parts) > 0, F.concat(F.lit("**Parts at Risk:** "), F.array_join(parts, ", ")), F.lit("")),
         _block(notes != "", F.concat(F.lit("**Pattern Notes:** "), notes), F.lit("")),
@@ -99,6 +112,22 @@ def diagnosis_section(d: Column | None = None) -> Column:
     )
 
 
+def diagnosis_titles(diagnoses: DataFrame) -> DataFrame:
+    """The dashboard's title line of each diagnosis: badge, machine, mode, whole-percent confidence."""
+    badge = F.when(F.col("severity_assessment") == "CRITICAL", "🔴").otherwise("🟠")
+    title = F.concat(badge, F.lit(" "), F.col("machine_id"), F.lit(" — "), F.col("failure_mode"), F.lit(" ("),
+                     percent0(F.col("confidence")), F.lit(" confidence)"))
+    return diagnoses.select("machine_id", "start", title.alias("title"))
+
+
+def action_lines(diagnoses: DataFrame) -> DataFrame:
+    """The dashboard's line of each recommended action; an unknown downtime is shown as ?."""
+    x = diagnoses.select("machine_id", "start", F.posexplode("recommended_actions").alias("pos", "a"))
+    line = F.concat(F.lit("- ["), F.coalesce("a.priority", F.lit("")), F.lit("] "), F.coalesce("a.action", F.lit("")),
+                    F.lit(" (~"), F.coalesce("a.estimated_downtime_text", F.lit("?")), F.lit("h downtime)"))
+    return x.select("machine_id", "start", (F.col("pos") + 1).alias("ord"), line.alias("line"))
+
+
 def report_sections(diagnoses: DataFrame) -> DataFrame:
     """One Markdown section per diagnosis."""
     return diagnoses.select("machine_id", "start", diagnosis_section().alias("text"))
@@ -121,18 +150,16 @@ def fleet_section(fleet: DataFrame) -> DataFrame:
     savings = F.col("estimated_downtime_savings_hours")
     text = F.concat_ws(
         "\n",
-        F.lit("## Fleet Summary"), F.lit(""),
+        *_fixed_lines(FLEET_HEAD),
         F.concat(F.lit("> "), F.col("executive_summary")), F.lit(""),
-        _block(F.size("top_issues") > 0, F.lit("### Top Issues"), F.lit(""), F.array_join(issues, "\n")),
-        _block(F.size("maintenance_priorities") > 0, F.lit("### Maintenance Priorities"), F.lit(""),
-               F.lit("| Priority | Action | Machines | Rationale |"),
-               F.lit("|----------|--------|----------|-----------|"),
+        _block(F.size("top_issues") > 0, *_fixed_lines(ISSUES_HEAD), F.array_join(issues, "\n")),
+        _block(F.size("maintenance_priorities") > 0, *_fixed_lines(PRIORITIES_HEAD),
                F.array_join(prios, "\n"), F.lit("")),
-        _block(F.size("trend_alerts") > 0, F.lit("### Trend Alerts"), F.lit(""),
+        _block(F.size("trend_alerts") > 0, *_fixed_lines(ALERTS_HEAD),
                F.array_join(alerts, "\n"), F.lit("")),
-        _block(savings != 0, F.concat(F.lit("**Estimated Downtime Savings:** "),
-                                      fixed(savings, 1),
-                                      F.lit(" hours (if all recommended actions are completed)")), F.lit("")),
+        _block(savings != 0, F.concat(F.lit(SAVINGS[0]),
+                                      fixed("estimated_downtime_savings_hours", 1),
+                                      F.lit(SAVINGS[1])), F.lit("")),
     )
     return fleet.select(text.alias("text"))
 
@@ -180,17 +207,16 @@ def assemble_report(diagnoses: DataFrame, generated_at: str, fleet: DataFrame |
 
     parts = [fixed_rows(0, [(0, REPORT_TITLE), (1, ""), (2, f"*Generated: {generated_at}*"), (3, "")])]
     if stats is not None:
-        parts.append(fixed_rows(1, [(0, "## Dataset Overview"), (1, ""), (2, "| Metric | Value |"),
-                                    (3, "|--------|-------|")]))
+        parts.append(fixed_rows(1, list(enumerate(STATS_HEAD))))
         parts.append(stats.select(F.lit(1).alias("section_ord"), (F.col("ord") + 10).cast("bigint").alias("ord"),
-                                  F.lit("").alias("tie"),
+                                  "tie",
                                   F.concat(F.lit("| "), F.col("metric"), F.lit(" | "), F.col("value"),
                                            F.lit(" |")).alias("text")))
         parts.append(fixed_rows(1, [(1000, "")]))
     if fleet is not None:
         parts.append(fleet_section(fleet).select(F.lit(2).alias("section_ord"), F.lit(0).cast("bigint").alias("ord"),
                                                  F.lit("").alias("tie"), "text"))
-    parts.append(fixed_rows(3, [(0, "## Detailed Failure Analysis"), (1, "")]))
+    parts.append(fixed_rows(3, list(enumerate(DETAILS_HEAD))))
     start = F.col("start").cast("timestamp_ntz").cast("timestamp")
     parts.append(diagnoses.select(
         F.lit(4).alias("section_ord"), F.unix_micros(start).alias("ord"),

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import epoch_us, fixed, non_blank, ts_text, minute_text
+from telemill.functions.exprs import epoch_us, fixed, minute_text, non_blank, round1, ts_text
 from telemill.schema import FAILURE_SEVERITIES, SENSORS, DEFAULT_GAP_MINUTES, DEFAULT_MAX_WINDOWS
 
 US_PER_MINUTE = 60_000_000
@@ -67,8 +67,8 @@ def window_entries(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MINUTES,
     gap_us = gap_minutes * US_PER_MINUTE
     bucket_us = bucket_minutes * US_PER_MINUTE
     f = failure_events(logs).selectExpr(
-        "*", f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) AS {_TS}",
-        f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) div {bucket_us} AS {_B}")
+        "*", f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) AS {_TS}").selectExpr(
+        "*", f"({_TS} - pmod({_TS}, {bucket_us})) div {bucket_us} AS {_B}")  # rounded down also before 1970
 
     w = f"PARTITION BY machine_id, {_B} ORDER BY {_TS}, event_id"
     upto = f"OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -155,21 +155,45 @@ def _session_window_summary(fails: DataFrame, gap_minutes: int) -> DataFrame:
         "failure_categories", "error_codes")
 
 
-def first_windows(windows: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS) -> DataFrame:
-    """The earliest ``max_windows`` windows by start (then machine): a bounded TakeOrdered."""
-    return windows.orderBy("start", "machine_id").limit(max_windows)
+def first_windows(windows: DataFrame, max_windows: int | None = DEFAULT_MAX_WINDOWS) -> DataFrame:
+    """The earliest ``max_windows`` windows by start (then machine), a bounded TakeOrdered; None: all."""
+    return windows if max_windows is None else windows.orderBy("start", "machine_id").limit(max_windows)
 
 
-_ENTRY_FIELDS = ["severity", "error_code", *SENSORS, "operator_notes"]
+#: Up to so many chosen windows are broadcast to the failure rows.
+BROADCAST_WINDOWS = 10_000
 
 
-def prepared_entries(entries: DataFrame, top: DataFrame) -> DataFrame:
-    """Entries of the chosen windows, projected to the 10 prompt fields (time as text).
+def _chosen_entries(logs: DataFrame, entries: DataFrame, top: DataFrame, max_windows: int | None) -> DataFrame:
+    """Failure rows of the chosen windows, with window_start and seq.
 
-    ``top`` holds at most ``max_windows`` keys, a proven bound, so it is broadcast.
+    A small bounded choice is matched to the failure rows by machine and time
+    range, and only those rows are numbered; otherwise the numbered entries
+    are joined on the window key.
     """
-    keys = F.broadcast(top.select("machine_id", F.col("start").alias("window_start")))
-    chosen = entries.join(keys, ["machine_id", "window_start"], "left_semi")
+    if max_windows is None:
+        return entries
+    if max_windows > BROADCAST_WINDOWS:
+        return entries.join(top.select("machine_id", F.col("start").alias("window_start")),
+                            ["machine_id", "window_start"], "left_semi")
+    keys = F.broadcast(top.select("machine_id", F.col("start").alias("window_start"), F.col("end").alias("_end")))
+    rows = (failure_events(logs).join(keys, "machine_id")
+            .where(F.col("timestamp").between(F.col("window_start"), F.col("_end"))).drop("_end"))
+    return rows.selectExpr("window_start", "row_number() OVER (PARTITION BY machine_id, window_start "
+                           "ORDER BY `timestamp`, event_id) AS seq", *[f"`{c}`" for c in logs.columns])
+
+
+_ENTRY_FIELDS = ["timestamp", "severity", "error_code", *SENSORS, "operator_notes"]
+
+
+def prepared_entries(logs: DataFrame, max_windows: int | None = DEFAULT_MAX_WINDOWS,
+                     gap_minutes: int = DEFAULT_GAP_MINUTES) -> DataFrame:
+    """Entries of the chosen windows, projected to the 10 prompt fields (time as text)."""
+    entries = window_entries(logs, gap_minutes)
+    return _entry_fields(_chosen_entries(logs, entries, first_windows(summarize_windows(entries), max_windows), max_windows))
+
+
+def _entry_fields(chosen: DataFrame) -> DataFrame:
     return chosen.select(
         "machine_id", "window_start", "seq",
         ts_text("timestamp").alias("timestamp"),
@@ -180,20 +204,21 @@ def prepared_entries(entries: DataFrame, top: DataFrame) -> DataFrame:
     )
 
 
+#: Entries in one prompt; a longer window is prompted in parts.
 DEFAULT_PROMPT_ENTRIES = 2000
 
 
-def prepared_windows(logs: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS,
+def prepared_windows(logs: DataFrame, max_windows: int | None = DEFAULT_MAX_WINDOWS,
                      gap_minutes: int = DEFAULT_GAP_MINUTES, nested: bool = True,
                      part_entries: int = DEFAULT_PROMPT_ENTRIES) -> DataFrame:
-    """Context blocks for the model: the first N windows, times as text, duration to 1 dp.
+    """Context blocks for the model: the first N windows (None: all), times as text, duration to 1 dp.
 
     Category and note lists are left out (the label must not reach the prompt).
     With ``nested`` the entries are an ordered ``ARRAY<STRUCT>`` per window
     *part*: entries ``seq`` 1..k go to part 0, k+1..2k to part 1, and so on
     (k = ``part_entries``). A window of up to k entries is one row, exactly the
     reference's context block; a failure storm becomes several bounded rows
-    (``part``, ``parts``) instead of one unbounded array, and no entry is dropped.
+    (``part`` of ``parts``), which ``diagnose`` merges into one diagnosis again.
     """
     entries = window_entries(logs, gap_minutes)
     top = first_windows(summarize_windows(entries), max_windows)
@@ -202,26 +227,25 @@ def prepared_windows(logs: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS,
         F.col("start").alias("window_start"),
         ts_text("start").alias("start"),
         ts_text("end").alias("end"),
-        F.round("duration_minutes", 1).alias("duration_minutes"),
+        round1("duration_minutes").alias("duration_minutes"),
         "event_count", "max_severity", "error_codes")
     if not nested:
         return flat.drop("window_start")
-    pe = prepared_entries(entries, top).withColumn("part", F.expr(f"CAST((seq - 1) div {int(part_entries)} AS INT)"))
-    fields = ["timestamp", "severity", "error_code", *SENSORS, "operator_notes"]
+    k = int(part_entries)
+    pe = (_entry_fields(_chosen_entries(logs, entries, top, max_windows))
+          .withColumn("part", F.expr(f"CAST((seq - 1) div {k} AS INT)")))
     lists = (pe.groupBy("machine_id", "window_start", "part")
-             .agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_e")))
-    parts = F.expr(f"CAST((event_count + {int(part_entries) - 1}) div {int(part_entries)} AS INT)")
+             .agg(F.array_sort(F.collect_list(F.struct("seq", *_ENTRY_FIELDS))).alias("_e")))
+    parts = F.expr(f"CAST((event_count + {k - 1}) div {k} AS INT)")
     return (flat.join(lists, ["machine_id", "window_start"], "left")
             .select("machine_id", "start", "end", "duration_minutes", "event_count", "max_severity",
                     "error_codes", "part", parts.alias("parts"),
-                    F.transform("_e", lambda e: F.struct(*[e[c].alias(c) for c in fields])).alias("entries"),
-                    "window_start")
-            .orderBy("window_start", "machine_id", "part").drop("window_start"))
+                    F.transform("_e", lambda e: F.struct(*[e[c].alias(c) for c in _ENTRY_FIELDS])).alias("entries")))
 
 
 def failure_window_listing(windows: DataFrame) -> DataFrame:
     """Dashboard listing line per window: title, severity, codes, categories."""
-    minutes = fixed(F.col("duration_minutes"), 0)
+    minutes = fixed("duration_minutes", 0)
     title = F.concat(F.col("machine_id"), F.lit(" — "), minute_text("start"), F.lit(" ("),
                      F.col("event_count").cast("string"), F.lit(" events, "), minutes, F.lit(" min)"))
     return windows.select(
@@ -229,3 +253,9 @@ def failure_window_listing(windows: DataFrame) -> DataFrame:
         minutes.alias("duration_text"),
         F.array_join("error_codes", ", ").alias("error_codes_text"),
         F.array_join("failure_categories", ", ").alias("categories_text"))
+
+
+def window_notes(entries: DataFrame) -> DataFrame:
+    """The listing's operator notes: non-empty ones in time order, a row each (``seq`` is the entry's)."""
+    return (entries.where(F.col("operator_notes").isNotNull() & (F.col("operator_notes") != ""))
+            .select("machine_id", F.col("window_start").alias("start"), "seq", F.col("operator_notes").alias("note")))

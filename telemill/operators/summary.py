@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import fixed, ts_text
+from telemill.functions.exprs import fixed, round1, thousands, ts_text
 from telemill.schema import SEVERITIES, FAILURE_SEVERITIES
 
 
@@ -48,46 +48,54 @@ def error_flag():
 
 
 def overview(enriched: DataFrame) -> DataFrame:
-    """One row: entries, error rate (% to 1 dp), machines, anomalous rows, time range, machine list.
-
-    The machine set is bounded by the fleet size, so ``collect_set`` gives both
-    the distinct count and the list without a separate distinct pass.
-    """
+    """One row: entries (also as text with thousands separators), error rate (% to 1 dp),
+    number of machines, anomalous rows, time range. The machines themselves are rows (``machine_list``)."""
     anomalies = (F.sum(F.col("is_anomaly").cast("long")) if "is_anomaly" in enriched.columns
                  else F.lit(0).cast("long"))
-    machines = F.array_sort(F.collect_set("machine_id"))
     return (enriched.agg(
                 F.count(F.lit(1)).alias("total_entries"),
-                F.avg(error_flag().cast("double")).alias("_err"),
-                machines.alias("_machines"),
+                (F.avg(error_flag().cast("double")) * 100).alias("_pct"),
+                F.count_distinct("machine_id").alias("machines"),
                 F.coalesce(anomalies, F.lit(0).cast("long")).alias("sensor_anomalies"),
                 F.min("timestamp").alias("time_start"),
                 F.max("timestamp").alias("time_end"))
-            .select("total_entries",
-                    F.round(F.col("_err") * 100, 1).alias("error_rate"),
-                    F.size("_machines").cast("long").alias("machines"),
-                    "sensor_anomalies", "time_start", "time_end",
-                    F.array_join("_machines", ", ").alias("machine_list"),
-                    F.col("_err").alias("_error_share")))
+            .select("total_entries", thousands(F.col("total_entries")).alias("entries_text"),
+                    round1("_pct").alias("error_rate"), "machines", "sensor_anomalies", "time_start", "time_end",
+                    F.concat(fixed("_pct", 1), F.lit("%")).alias("error_rate_text")))
+
+
+def machine_list(logs: DataFrame) -> DataFrame:
+    """The machines, one row each."""
+    return logs.where(F.col("machine_id").isNotNull()).select("machine_id").distinct()
 
 
-def report_stats(enriched: DataFrame, windows: DataFrame) -> DataFrame:
-    """Dataset-overview rows (ord, metric, value) as the report prints them.
+def report_stats(enriched: DataFrame, entries: DataFrame, diagnoses: DataFrame | None = None) -> DataFrame:
+    """Dataset-overview rows (ord, tie, metric, value) as the report prints them.
 
-    Two one-row aggregates are unioned, not joined.
+    Machines are one row each, ordered by ``tie``. ``entries`` are
+    ``window_entries`` rows: a window is counted at its first entry. With
+    ``diagnoses`` their number is added, as the exported report shows it.
     """
     o = overview(enriched)
-    pct = F.concat(fixed(F.col("_error_share") * 100, 1), F.lit("%"))
+
     def row(i, metric, value):
-        return F.struct(F.lit(i).alias("ord"), F.lit(metric).alias("metric"), value.alias("value"))
+        return F.struct(F.lit(i).alias("ord"), F.lit("").alias("tie"), F.lit(metric).alias("metric"),
+                        value.alias("value"))
 
     rows = o.select(F.explode(F.array(
         row(1, "Total entries", F.col("total_entries").cast("string")),
         row(2, "Time range", F.concat(ts_text("time_start"), F.lit(" → "), ts_text("time_end"))),
-        row(3, "Machines", F.col("machine_list")),
         row(5, "Sensor anomalies", F.col("sensor_anomalies").cast("string")),
-        row(6, "Error rate", pct),
+        row(6, "Error rate", F.col("error_rate_text")),
     )).alias("r")).select("r.*")
-    n_windows = windows.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
-        F.lit(4).alias("ord"), F.lit("Failure windows").alias("metric"), "value")
-    return rows.unionByName(n_windows)
+    machines = machine_list(enriched).select(F.lit(3).alias("ord"), F.col("machine_id").alias("tie"),
+                                             F.lit("Machines").alias("metric"), F.col("machine_id").alias("value"))
+
+    def counted(df, i, metric):
+        return df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+            F.lit(i).alias("ord"), F.lit("").alias("tie"), F.lit(metric).alias("metric"), "value")
+
+    rows = rows.unionByName(machines).unionByName(counted(entries.where("seq = 1"), 4, "Failure windows"))
+    if diagnoses is not None:
+        rows = rows.unionByName(counted(diagnoses, 7, "Failure windows analyzed"))
+    return rows

@@ -6,8 +6,8 @@ Stages (each a lazy plan; data crosses to the driver only at the sinks):
    write it as Parquet partitioned by date — the written table cuts the
    lineage, so every later output re-reads it instead of recomputing;
 2. failure windows, overview stats;
-3. diagnoses of the first ``max_windows`` windows (model call or the offline
-   signature responder), fleet summary, report rows;
+3. diagnoses of the first ``max_windows`` windows, None for all (model call or
+   the signature scores), fleet summary, report rows;
 4. report text sink.
 """
 
@@ -19,71 +19,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators import diagnose, features, report, sessions, summary
+from telemill.functions.exprs import round1
 from telemill.schema import DEFAULT_MAX_WINDOWS, FLEET_JSON_SCHEMA
 from telemill.sources.csv_logs import write_enriched, write_report
 
 
-def signature_fleet_responses(diagnoses: DataFrame) -> DataFrame:
-    """Offline fleet responder: the fleet JSON built from the per-mode issue table.
+def signature_fleet(diagnoses: DataFrame) -> DataFrame:
+    """Offline fleet record from the issue table, which has one row per failure mode.
 
-    The issue table has at most one row per failure mode, so collecting it
-    into one record is bounded.
+    Machines are given by number; who they are is in ``fleet_issue_machines``.
     """
-    issues = (diagnoses.groupBy("failure_mode")
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.array_sort(F.collect_set("machine_id")).alias("machines"),
-                   F.count(F.when(F.col("severity_assessment") == "CRITICAL", F.lit(1))).alias("n_crit"),
-                   F.sum(F.aggregate("recommended_actions", F.lit(0.0),
-                                     lambda acc, a: acc + F.coalesce(a["estimated_downtime_hours"], F.lit(0.0))))
-                   .alias("hours")))
+    issues = diagnose.fleet_issues(diagnoses)
     rec = issues.agg(
-        F.sum("n").alias("n"),
-        F.sum("hours").alias("hours"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "failure_mode", "n", "machines",
-                                             "n_crit"))).alias("items"))
+        F.sum("n_windows").alias("n"), F.sum("hours").alias("hours"),
+        F.array_sort(F.collect_list(F.struct((-F.col("n_windows")).alias("k"), "failure_mode", "n_windows", "n_machines",
+                                             "n_critical"))).alias("items"))
     items = F.filter("items", lambda i: i["failure_mode"] != "UNKNOWN")
-    body = F.struct(
-        F.concat(F.col("n").cast("string"), F.lit(" failure windows analysed; most frequent mode: "),
-                 F.coalesce(items[0]["failure_mode"], F.lit("none")), F.lit(".")).alias("executive_summary"),
+
+    def machines(i):
+        return F.array(F.concat(i["n_machines"].cast("string"), F.lit(" machines")))
+
+    return rec.select(
+        F.concat(F.coalesce(F.col("n"), F.lit(0)).cast("string"), F.lit(" failure windows analysed; most frequent mode: "),
+                 F.coalesce(F.try_element_at(items, F.lit(1))["failure_mode"], F.lit("none")), F.lit("."))
+         .alias("executive_summary"),
         F.transform(items, lambda i: F.struct(
             F.concat(i["failure_mode"], F.lit(" failures")).alias("issue"),
-            i["machines"].alias("affected_machines"),
-            F.concat(i["n"].cast("string"), F.lit(" windows")).alias("frequency"),
-            F.concat(i["n_crit"].cast("string"), F.lit(" critical windows")).alias("business_impact"))
+            machines(i).alias("affected_machines"),
+            F.concat(i["n_windows"].cast("string"), F.lit(" windows")).alias("frequency"),
+            F.concat(i["n_critical"].cast("string"), F.lit(" critical windows")).alias("business_impact"))
         ).alias("top_issues"),
         F.transform(items, lambda i: F.struct(
             F.concat(F.lit("Inspect the "), F.lower(i["failure_mode"]), F.lit(" subsystem")).alias("action"),
-            i["machines"].alias("machines"),
-            F.when(i["n_crit"] > 0, "IMMEDIATE").otherwise("THIS_WEEK").alias("priority"),
-            F.concat(i["n"].cast("string"), F.lit(" failure windows")).alias("rationale"))
+            machines(i).alias("machines"),
+            F.when(i["n_critical"] > 0, "IMMEDIATE").otherwise("THIS_WEEK").alias("priority"),
+            F.concat(i["n_windows"].cast("string"), F.lit(" failure windows")).alias("rationale"))
         ).alias("maintenance_priorities"),
-        F.array().cast("array<string>").alias("trend_alerts"),
-        F.round(F.coalesce(F.col("hours"), F.lit(0.0)), 1).alias("estimated_downtime_savings_hours"))
-    return rec.select(F.to_json(body).alias("response"))
+        F.transform(F.filter(items, lambda i: i["n_critical"] * 10 > i["n_windows"]), lambda i: F.concat(
+            F.lit("Over a tenth of "), i["failure_mode"], F.lit(" windows are critical"))).alias("trend_alerts"),
+        F.coalesce(F.col("hours"), F.lit(0.0)).alias("_hours"), F.lit("ok").alias("status"),
+    ).select("executive_summary", "top_issues", "maintenance_priorities", "trend_alerts",
+             round1("_hours").alias("estimated_downtime_savings_hours"), "status",
+             F.lit(None).cast("string").alias("raw_response"))
 
 
-def fleet_summary(diagnoses: DataFrame, call=None, max_windows: int = DEFAULT_MAX_WINDOWS,
+def fleet_summary(diagnoses: DataFrame, call=None, per_prompt: int = diagnose.FLEET_ITEMS,
                   factory: bool = False) -> DataFrame:
+    """The fleet record over all diagnoses given."""
     if call is None:
-        responses = signature_fleet_responses(diagnoses)
-    else:
-        prompt = diagnose.fleet_prompt(diagnoses, max_windows)
-        responses = diagnose.infer(prompt, call, ["key"], max_tokens=diagnose.FLEET_MAX_TOKENS, factory=factory)
-    return diagnose.to_fleet_summary(diagnose.parse_responses(responses, FLEET_JSON_SCHEMA))
+        return signature_fleet(diagnoses)
+    keys = ["key", "part"]
+    responses = diagnose.infer(diagnose.fleet_prompt(diagnoses, per_prompt), call, keys,
+                               max_tokens=diagnose.FLEET_MAX_TOKENS, factory=factory)
+    return diagnose.merge_fleet(diagnose.to_fleet_summary(
+        diagnose.parse_responses(responses, FLEET_JSON_SCHEMA), ("part",)))
 
 
-def analyze(spark: SparkSession, logs: DataFrame, out_dir: str, max_windows: int = DEFAULT_MAX_WINDOWS,
+def analyze(spark: SparkSession, logs: DataFrame, out_dir: str, max_windows: int | None = DEFAULT_MAX_WINDOWS,
             call=None, factory: bool = False, generated_at: str | None = None) -> dict:
     """Run the whole analysis; returns the output DataFrames (re-read from the sinks)."""
     out = out_dir.rstrip("/")
     write_enriched(features.enrich(logs), f"{out}/processed_logs")
     enriched = spark.read.parquet(f"{out}/processed_logs")
-    windows = sessions.failure_windows(enriched, ordered=False)
-    stats = summary.report_stats(enriched, windows)
+    entries = sessions.window_entries(enriched)
+    windows = sessions.summarize_windows(entries)
+    stats = summary.report_stats(enriched, entries)
     diagnoses = diagnose.diagnose(enriched, call, max_windows, factory=factory)
     diagnoses.write.mode("overwrite").parquet(f"{out}/diagnoses")
     diagnoses = spark.read.parquet(f"{out}/diagnoses")
-    fleet = fleet_summary(diagnoses, call, max_windows, factory)
+    fleet = fleet_summary(diagnoses, call, factory=factory)
     when = generated_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     rows = report.assemble_report(diagnoses, when, fleet, stats)
     write_report(rows, f"{out}/diagnostic_report")

@@ -2,20 +2,44 @@
 
 Every oracle restates the query from its definition, independently of the
 Spark code: the machine-log view, then plain window functions over whole
-machines (no buckets), so agreement checks the scalable Spark plans against
-the simple formulation.
+machines (no blocks), so agreement checks the scalable Spark plans against
+the simple formulation. Nothing is imported from the code under test.
 """
 
 from __future__ import annotations
 
+# ---------------------------------------------------------------------------
+# The domain catalog and report badges, written out.
+SENSORS = ["laser_power_w", "temperature_c", "gas_pressure_psi", "beam_alignment_mm",
+           "feed_rate_mm_min", "coolant_flow_lpm"]
+RANGES = [("laser_power_w", 1800, 2200), ("temperature_c", 20, 35), ("gas_pressure_psi", 140, 160),
+          ("beam_alignment_mm", 0, 0.05), ("feed_rate_mm_min", 1800, 2400), ("coolant_flow_lpm", 8, 12)]
+SIGNATURES = {
+    "THERMAL": [("temperature_c", 55, 85), ("laser_power_w", 2300, 2600), ("coolant_flow_lpm", 3, 5.5)],
+    "OPTICAL": [("beam_alignment_mm", 0.15, 0.45), ("laser_power_w", 1500, 1750)],
+    "PNEUMATIC": [("gas_pressure_psi", 80, 110), ("feed_rate_mm_min", 1000, 1500)],
+    "MECHANICAL": [("feed_rate_mm_min", 800, 1400), ("beam_alignment_mm", 0.08, 0.2)],
+    "MATERIAL": [("laser_power_w", 2100, 2500), ("feed_rate_mm_min", 1200, 1600)],
+    "ELECTRICAL": [("laser_power_w", 0, 800), ("temperature_c", 15, 20)],
+}
+CODES = {"THERMAL": ["E-201", "E-202", "E-210"], "OPTICAL": ["E-301", "E-302", "E-315"],
+         "PNEUMATIC": ["E-401", "E-402", "E-410"], "MECHANICAL": ["E-501", "E-502", "E-520"],
+         "MATERIAL": ["E-601", "E-602"], "ELECTRICAL": ["E-701", "E-702", "E-710"]}
+# ---------------------------------------------------------------------------
+
 LOGS = """
 logs AS (
-  SELECT event_id, ts AS "timestamp", concat('M-', cast(user_id % 5 AS varchar)) AS machine_id,
-    CASE WHEN c >= 0 AND value >= 100 THEN 'CRITICAL' WHEN c >= 0 THEN 'ERROR'
+  SELECT event_id, ts AS "timestamp",
+    CASE WHEN event_id % 97 = 5 THEN NULL ELSE concat('M-', cast(user_id % 5 AS varchar)) END AS machine_id,
+    CASE WHEN event_id % 101 = 7 THEN NULL WHEN c >= 0 AND value >= 100 THEN 'CRITICAL' WHEN c >= 0 THEN 'ERROR'
          WHEN event_type = 'purchase' THEN 'WARNING' ELSE 'INFO' END AS severity,
-    CASE WHEN c >= 0 THEN concat('E-', cast(201 + 100 * c AS varchar)) ELSE '' END AS error_code,
-    CASE c WHEN 0 THEN 'THERMAL' WHEN 1 THEN 'OPTICAL' WHEN 2 THEN 'PNEUMATIC' WHEN 3 THEN 'MECHANICAL'
-           WHEN 4 THEN 'MATERIAL' WHEN 5 THEN 'ELECTRICAL' ELSE '' END AS failure_category,
+    CASE c WHEN 0 THEN (['E-201', 'E-202', 'E-210'])[(k // 6) % 3 + 1] WHEN 1 THEN (['E-301', 'E-302', 'E-315'])[(k // 6) % 3 + 1]
+           WHEN 2 THEN (['E-401', 'E-402', 'E-410'])[(k // 6) % 3 + 1] WHEN 3 THEN (['E-501', 'E-502', 'E-520'])[(k // 6) % 3 + 1]
+           WHEN 4 THEN (['E-601', 'E-602'])[(k // 6) % 2 + 1] WHEN 5 THEN (['E-701', 'E-702', 'E-710'])[(k // 6) % 3 + 1]
+           ELSE '' END AS error_code,
+    CASE WHEN event_id % 103 = 9 THEN NULL ELSE
+      CASE c WHEN 0 THEN 'THERMAL' WHEN 1 THEN 'OPTICAL' WHEN 2 THEN 'PNEUMATIC' WHEN 3 THEN 'MECHANICAL'
+             WHEN 4 THEN 'MATERIAL' WHEN 5 THEN 'ELECTRICAL' ELSE '' END END AS failure_category,
     CASE c WHEN 0 THEN 2300 + 300 * u WHEN 1 THEN 1500 + 250 * u WHEN 4 THEN 2100 + 400 * u
            WHEN 5 THEN 800 * u ELSE 1800 + 400 * u END AS laser_power_w,
     CASE c WHEN 0 THEN 55 + 30 * v WHEN 5 THEN 15 + 5 * v ELSE 20 + 15 * v END AS temperature_c,
@@ -65,12 +89,11 @@ windows AS (
 )"""
 
 
-SENSORS = ["laser_power_w", "temperature_c", "gas_pressure_psi", "beam_alignment_mm",
-           "feed_rate_mm_min", "coolant_flow_lpm"]
 _FRAME = ("OVER (PARTITION BY machine_id ORDER BY \"timestamp\" "
           "RANGE BETWEEN INTERVAL 14399999999 MICROSECONDS PRECEDING AND CURRENT ROW)")
 _ROLL = ",\n    ".join(
-    f"avg({s}) {_FRAME} AS {s}_rolling_mean,\n    coalesce(stddev_samp({s}) {_FRAME}, 0) AS {s}_rolling_std"
+    f"CASE WHEN machine_id IS NOT NULL THEN avg({s}) {_FRAME} END AS {s}_rolling_mean,\n"
+    f"    CASE WHEN machine_id IS NOT NULL THEN coalesce(stddev_samp({s}) {_FRAME}, 0) END AS {s}_rolling_std"
     for s in SENSORS)
 _Z = ",\n    ".join(
     f"CASE WHEN {s}_rolling_std > 0 THEN abs({s} - {s}_rolling_mean) / {s}_rolling_std ELSE 0 END AS {s}_z"
@@ -94,17 +117,15 @@ def ts_text(c: str) -> str:
 
 
 def _sig_ctes() -> str:
-    from telemill.operators.catalog import SIGNATURES, CATEGORIES
     sums = []
-    for cat in CATEGORIES:
-        sig = [(x, lo, hi) for c, x, lo, hi in SIGNATURES if c == cat]
+    for cat, sig in SIGNATURES.items():
         inside = " + ".join(f"cast(coalesce({x} BETWEEN {lo!r} AND {hi!r}, false) AS integer)" for x, lo, hi in sig)
         seen = " + ".join(f"cast({x} IS NOT NULL AS integer)" for x, _, _ in sig)
         sums.append(f"cast(sum({inside}) AS bigint) AS {cat}_in, cast(sum({seen}) AS bigint) AS {cat}_nn")
     cands = "\n  UNION ALL ".join(
         f"SELECT machine_id, window_start, '{cat}' AS category, "
         f"CASE WHEN {cat}_nn > 0 THEN cast({cat}_in AS double) / {cat}_nn ELSE 0e0 END AS score, "
-        f"{cat}_in AS matched, {cat}_nn AS considered FROM sigsum" for cat in CATEGORIES)
+        f"{cat}_in AS matched, {cat}_nn AS considered FROM sigsum" for cat in SIGNATURES)
     return f"""
 sigsum AS (SELECT machine_id, window_start, {", ".join(sums)} FROM entries GROUP BY machine_id, window_start),
 cand AS ({cands}),
@@ -136,7 +157,7 @@ diag AS (
          'ok' AS status,
          CASE WHEN w.max_severity = 'CRITICAL' THEN 'IMMEDIATE' ELSE 'NEXT_SHIFT' END AS priority,
          'Inspect the ' || lower(s.failure_mode) || ' subsystem' AS action,
-         round(w.duration_minutes / 60e0, 1) AS downtime,
+         cast(printf('%.1f', w.duration_minutes / 60e0) AS double) AS downtime,
          w.max_severity
   FROM windows w JOIN sigm s ON w.machine_id = s.machine_id AND w.start = s.start
   JOIN ev ON w.machine_id = ev.machine_id AND w.start = ev.start)"""
@@ -170,12 +191,61 @@ def _with(*ctes: str) -> str:
 # Fleet issue table from the diagnoses (the offline fleet responder's input).
 _FLEET_CTES = """
 issues AS (
-  SELECT failure_mode, count(*) AS n,
+  SELECT failure_mode, count(*) AS n, count(DISTINCT machine_id) AS n_machines,
          count(*) FILTER (WHERE severity_assessment = 'CRITICAL') AS n_crit,
-         sum(CASE WHEN failure_mode <> 'UNKNOWN' THEN downtime ELSE 0e0 END) AS hours,
-         string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS machines
+         sum(CASE WHEN failure_mode <> 'UNKNOWN' THEN downtime ELSE 0e0 END) AS hours
   FROM diag GROUP BY failure_mode),
-known AS (SELECT * FROM issues WHERE failure_mode <> 'UNKNOWN')"""
+known AS (SELECT *, row_number() OVER (ORDER BY n DESC, failure_mode) AS rank FROM issues WHERE failure_mode <> 'UNKNOWN')"""
+
+_NL = "chr(10)"
+_FLEET_TEXT = f"""(SELECT (SELECT sum(n) FROM issues) || ' failure windows analysed; most frequent mode: '
+         || coalesce((SELECT failure_mode FROM known WHERE rank = 1), 'none') || '.')"""
+_FLEET_SECTION = f"""concat_ws({_NL}, '## Fleet Summary', '', '> ' || {_FLEET_TEXT}, '',
+  (SELECT concat_ws({_NL}, '### Top Issues', '', string_agg(concat_ws({_NL}, '**' || rank || '. ' || failure_mode || ' failures**',
+      '- Affected: `' || n_machines || ' machines`', '- Frequency: ' || n || ' windows',
+      '- Impact: ' || n_crit || ' critical windows', ''), {_NL} ORDER BY rank)) FROM known HAVING count(*) > 0),
+  (SELECT concat_ws({_NL}, '### Maintenance Priorities', '', '| Priority | Action | Machines | Rationale |',
+      '|----------|--------|----------|-----------|',
+      string_agg('| ' || CASE WHEN n_crit > 0 THEN '⚡ IMMEDIATE' ELSE '📋 THIS WEEK' END || ' | Inspect the ' || lower(failure_mode)
+        || ' subsystem | `' || n_machines || ' machines` | ' || n || ' failure windows |', {_NL} ORDER BY rank), '')
+   FROM known HAVING count(*) > 0),
+  (SELECT concat_ws({_NL}, '### Trend Alerts', '', string_agg('- ⚠️ Over a tenth of ' || failure_mode || ' windows are critical', {_NL}
+      ORDER BY rank), '') FROM known WHERE 10 * n_crit > n HAVING count(*) > 0),
+  (SELECT '**Estimated Downtime Savings:** ' || printf('%.1f', cast(printf('%.1f', sum(hours)) AS double))
+      || ' hours (if all recommended actions are completed)' || {_NL} FROM issues
+   HAVING cast(printf('%.1f', sum(hours)) AS double) <> 0))"""
+
+# Dataset-overview rows, from `o` and `windows`.
+_STATS_CTES = f"""
+o AS (SELECT count(*) AS n, avg(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 1e0 ELSE 0e0 END) AS err,
+             sum(cast(is_anomaly AS bigint)) AS an, min("timestamp") AS t0, max("timestamp") AS t1
+      FROM enriched),
+stats AS (
+  SELECT 1 AS ord, '' AS tie, 'Total entries' AS metric, cast(n AS varchar) AS value FROM o
+  UNION ALL SELECT 2, '', 'Time range', {ts_text('t0')} || ' → ' || {ts_text('t1')} FROM o
+  UNION ALL SELECT DISTINCT 3, machine_id, 'Machines', machine_id FROM logs WHERE machine_id IS NOT NULL
+  UNION ALL SELECT 4, '', 'Failure windows', cast(count(*) AS varchar) FROM windows
+  UNION ALL SELECT 5, '', 'Sensor anomalies', cast(an AS varchar) FROM o
+  UNION ALL SELECT 6, '', 'Error rate', printf('%.1f%%', err * 100) FROM o)"""
+
+_PROMPT_HEAD = f"""concat('Analyze the following failure window from machine ', machine_id, '.', {_NL}, {_NL}, '**Failure Window:**', {_NL},
+    '- Time range: ', start_text, ' → ', end_text, ' (', cast(minutes AS varchar), ' min)', {_NL},
+    '- Events: ', event_count, {_NL}, '- Error codes: ', replace(error_codes, ',', ', '), {_NL}, {_NL},
+    '**Log entries (chronological):**')"""
+
+_FRAME_1H = ("OVER (PARTITION BY machine_id ORDER BY \"timestamp\" "
+             "RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW)")
+_COUNT_1H = " + ".join(
+    f"CASE WHEN coalesce(stddev_samp({s}) {_FRAME_1H}, 0) > 0 AND abs({s} - avg({s}) {_FRAME_1H}) "
+    f"/ stddev_samp({s}) {_FRAME_1H} > 1.6e0 THEN 1 ELSE 0 END" for s in SENSORS)
+
+
+def _cell(i: int, s: str) -> str:
+    """A sensor cell of the typing step: token, text that is no number, or the reading."""
+    return (f"CASE WHEN event_id % {7 + i} = 0 THEN NULL WHEN event_id % {31 + i} = 1 THEN NULL ELSE {s} END AS {s}")
+
+
+_BAD_CELL = " OR ".join(f"(event_id % {7 + i} <> 0 AND event_id % {31 + i} = 1)" for i in range(len(SENSORS)))
 
 
 ORACLE: dict[str, str] = {
@@ -188,8 +258,8 @@ SELECT machine_id, window_start, seq, event_id, "timestamp", severity, error_cod
     "time_features": _with(LOGS) + """
 SELECT event_id, machine_id, "timestamp", cast(hour("timestamp") AS integer) AS hour,
        cast(isodow("timestamp") - 1 AS integer) AS day_of_week, cast("timestamp" AS date) AS date,
-       coalesce((epoch_us("timestamp") - lag(epoch_us("timestamp"))
-                 OVER (PARTITION BY machine_id ORDER BY "timestamp", event_id)) / 1e6, 0) AS time_since_last
+       CASE WHEN machine_id IS NULL THEN 0 ELSE coalesce((epoch_us("timestamp") - lag(epoch_us("timestamp"))
+                 OVER (PARTITION BY machine_id ORDER BY "timestamp", event_id)) / 1e6, 0) END AS time_since_last
 FROM logs""",
     "rolling_stats": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
         f"floor({s}_rolling_mean * 1e6 + 0.499) / 1e6 AS {s}_rolling_mean, floor({s}_rolling_std * 1e6 + 0.499) / 1e6 AS {s}_rolling_std"
@@ -197,8 +267,8 @@ FROM logs""",
     "processed_logs": _with(LOGS, ENRICHED) + """
 SELECT event_id, machine_id, "timestamp", severity, cast(hour("timestamp") AS integer) AS hour,
        cast(isodow("timestamp") - 1 AS integer) AS day_of_week, cast("timestamp" AS date) AS date,
-       coalesce((epoch_us("timestamp") - lag(epoch_us("timestamp"))
-                 OVER (PARTITION BY machine_id ORDER BY "timestamp", event_id)) / 1e6, 0) AS time_since_last, """
+       CASE WHEN machine_id IS NULL THEN 0 ELSE coalesce((epoch_us("timestamp") - lag(epoch_us("timestamp"))
+                 OVER (PARTITION BY machine_id ORDER BY "timestamp", event_id)) / 1e6, 0) END AS time_since_last, """
     + ", ".join(
         f"floor({s}_rolling_mean * 1e6 + 0.499) / 1e6 AS {s}_rolling_mean, floor({s}_rolling_std * 1e6 + 0.499) / 1e6 AS {s}_rolling_std"
         for s in SENSORS) + ", anomaly_count, is_anomaly FROM enriched",
@@ -233,24 +303,15 @@ LEFT JOIN (SELECT severity, count(*) AS n FROM logs GROUP BY severity) c USING (
 SELECT failure_category, count(*) AS n FROM logs
 WHERE failure_category IS NOT NULL AND failure_category <> '' GROUP BY failure_category""",
     "overview": _with(LOGS, ENRICHED) + """
-SELECT count(*) AS total_entries,
-       round(avg(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 1e0 ELSE 0e0 END) * 100, 1) AS error_rate,
+SELECT *, printf('%.1f%%', pct) AS error_rate_text, cast(printf('%.1f', pct) AS double) AS error_rate FROM (
+SELECT count(*) AS total_entries, format('{:,}', count(*)) AS entries_text,
+       avg(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 1e0 ELSE 0e0 END) * 100 AS pct,
        count(DISTINCT machine_id) AS machines,
        cast(sum(cast(is_anomaly AS bigint)) AS bigint) AS sensor_anomalies,
-       min("timestamp") AS time_start, max("timestamp") AS time_end,
-       string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS machine_list
-FROM enriched""",
-    "report_stats": _with(LOGS, FAILS, ENRICHED) + f""",
-o AS (SELECT count(*) AS n, avg(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 1e0 ELSE 0e0 END) AS err,
-             string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS ml,
-             sum(cast(is_anomaly AS bigint)) AS an, min("timestamp") AS t0, max("timestamp") AS t1
-      FROM enriched)
-SELECT 1 AS ord, 'Total entries' AS metric, cast(n AS varchar) AS value FROM o
-UNION ALL SELECT 2, 'Time range', {ts_text('t0')} || ' → ' || {ts_text('t1')} FROM o
-UNION ALL SELECT 3, 'Machines', ml FROM o
-UNION ALL SELECT 4, 'Failure windows', cast(count(*) AS varchar) FROM windows
-UNION ALL SELECT 5, 'Sensor anomalies', cast(an AS varchar) FROM o
-UNION ALL SELECT 6, 'Error rate', printf('%.1f%%', err * 100) FROM o""",
+       min("timestamp") AS time_start, max("timestamp") AS time_end
+FROM enriched)""".replace("SELECT *, printf", "SELECT * EXCLUDE (pct), printf"),
+    "machine_list": _with(LOGS) + "\nSELECT DISTINCT machine_id FROM logs WHERE machine_id IS NOT NULL",
+    "report_stats": _with(LOGS, FAILS, ENRICHED, _STATS_CTES) + "\nSELECT * FROM stats",
     "failure_window_listing": _with(LOGS, FAILS) + """
 SELECT machine_id, start,
        machine_id || ' — ' || strftime(start, '%Y-%m-%d %H:%M') || ' (' || cast(event_count AS varchar)
@@ -261,7 +322,7 @@ SELECT machine_id, start,
 FROM windows""",
     "prepared_windows": _with(LOGS, FAILS) + f"""
 SELECT machine_id, {ts_text('start')} AS start, {ts_text('"end"')} AS "end",
-       round(duration_minutes, 1) AS duration_minutes, event_count, max_severity,
+       cast(printf('%.1f', duration_minutes) AS double) AS duration_minutes, event_count, max_severity,
        replace(error_codes, ',', ', ') AS error_codes
 FROM windows ORDER BY windows.start, machine_id LIMIT 10""",
     "prepared_entries": _with(LOGS, FAILS) + f""",
@@ -274,13 +335,12 @@ FROM entries e JOIN top t ON e.machine_id = t.machine_id AND e.window_start = t.
 SELECT f.event_id, f.machine_id, f."timestamp", f.error_code, f.failure_category, c.catalog_category,
        coalesce(c.catalog_category = f.failure_category, false) AS category_matches
 FROM fails f LEFT JOIN (VALUES """ + ", ".join(
-        f"('{code}', '{cat}')" for cat, codes in __import__("telemill.operators.catalog", fromlist=["x"]).ERROR_CODES
-        for code in codes) + """) c(error_code, catalog_category) ON f.error_code = c.error_code""",
+        f"('{code}', '{cat}')" for cat, codes in CODES.items() for code in codes) + """) c(error_code, catalog_category) ON f.error_code = c.error_code""",
     "out_of_range": _with(LOGS) + "\n" + "\nUNION ALL\n".join(
         f"SELECT machine_id, '{x}' AS sensor, count({x}) AS n_readings, "
         f"count(*) FILTER (WHERE {x} < {lo!r} OR {x} > {hi!r}) AS n_out_of_range "
         f"FROM logs WHERE machine_id IS NOT NULL GROUP BY machine_id"
-        for x, lo, hi in __import__("telemill.operators.catalog", fromlist=["x"]).NORMAL_RANGES),
+        for x, lo, hi in RANGES),
     "signature_match": _with(LOGS, FAILS, _sig_ctes()) + "\nSELECT * FROM sigm",
     "parsed_responses": _with(LOGS, FAILS, _sig_ctes()) + """
 SELECT machine_id, start_ts AS start, status, root_cause, failure_mode, severity_assessment FROM diag""",
@@ -296,38 +356,95 @@ SELECT machine_id, start,
        CASE WHEN n_actions > 0 THEN cast(downtime AS varchar) END AS estimated_downtime_text
 FROM diag""",
     "fleet_issues": _with(LOGS, FAILS, _sig_ctes()) + """
-SELECT failure_mode, count(*) AS n_windows,
-       string_agg(DISTINCT machine_id, ', ' ORDER BY machine_id) AS affected_machines,
+SELECT failure_mode, count(*) AS n_windows, count(DISTINCT machine_id) AS n_machines,
        floor(avg(confidence) * 1e6 + 0.499) / 1e6 AS mean_confidence,
        count(*) FILTER (WHERE severity_assessment = 'CRITICAL') AS n_critical
 FROM diag GROUP BY failure_mode""",
+    "fleet_issue_machines": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT failure_mode, machine_id, count(*) AS n_windows FROM diag GROUP BY failure_mode, machine_id""",
     "fleet_prompt": _with(LOGS, FAILS, _sig_ctes()) + """
 SELECT machine_id, start || ' → ' || "end" AS time_range, root_cause, failure_mode,
-       severity_assessment AS severity, n_actions
-FROM diag ORDER BY start_ts, machine_id LIMIT 10""",
-    "fleet_summary": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + """
-SELECT (SELECT sum(n) FROM issues) || ' failure windows analysed; most frequent mode: '
-         || coalesce((SELECT failure_mode FROM known ORDER BY n DESC, failure_mode LIMIT 1), 'none')
-         || '.' AS executive_summary,
+       severity_assessment AS severity, n_actions, true AS counted
+FROM diag""",
+    "fleet_summary": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + f"""
+SELECT {_FLEET_TEXT} AS executive_summary,
        (SELECT count(*) FROM known)::INTEGER AS n_issues,
-       coalesce((SELECT string_agg(failure_mode || ' failures', '|' ORDER BY n DESC, failure_mode)
-                 FROM known), '') AS issues,
-       coalesce((SELECT string_agg(CASE WHEN n_crit > 0 THEN 'IMMEDIATE' ELSE 'THIS_WEEK' END, '|'
-                                   ORDER BY n DESC, failure_mode) FROM known), '') AS priorities,
-       0::INTEGER AS n_alerts,
-       round(coalesce((SELECT sum(hours) FROM issues), 0e0), 1) AS savings_hours,
+       coalesce((SELECT string_agg(failure_mode || ' failures', '|' ORDER BY rank) FROM known), '') AS issues,
+       coalesce((SELECT string_agg(CASE WHEN n_crit > 0 THEN 'IMMEDIATE' ELSE 'THIS_WEEK' END, '|' ORDER BY rank)
+                 FROM known), '') AS priorities,
+       (SELECT count(*) FROM known WHERE 10 * n_crit > n)::INTEGER AS n_alerts,
+       cast(printf('%.1f', coalesce((SELECT sum(hours) FROM issues), 0e0)) AS double) AS savings_hours,
        'ok' AS status""",
     "fleet_top_issues": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + """
-SELECT CAST(row_number() OVER (ORDER BY n DESC, failure_mode) AS INTEGER) AS rank,
-       failure_mode || ' failures' AS issue, machines AS affected_machines,
+SELECT CAST(rank AS INTEGER) AS rank, failure_mode || ' failures' AS issue, n_machines || ' machines' AS affected_machines,
        n || ' windows' AS frequency, n_crit || ' critical windows' AS business_impact
 FROM known""",
     "fleet_priorities": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + """
-SELECT CAST(row_number() OVER (ORDER BY n DESC, failure_mode) AS INTEGER) AS rank,
-       CASE WHEN n_crit > 0 THEN 'IMMEDIATE' ELSE 'THIS_WEEK' END AS priority,
-       'Inspect the ' || lower(failure_mode) || ' subsystem' AS action, machines,
+SELECT CAST(rank AS INTEGER) AS rank, CASE WHEN n_crit > 0 THEN 'IMMEDIATE' ELSE 'THIS_WEEK' END AS priority,
+       'Inspect the ' || lower(failure_mode) || ' subsystem' AS action, n_machines || ' machines' AS machines,
        n || ' failure windows' AS rationale
 FROM known""",
+    "fleet_alerts": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + """
+SELECT CAST(row_number() OVER (ORDER BY rank) AS INTEGER) AS rank, 'Over a tenth of ' || failure_mode || ' windows are critical' AS alert
+FROM known WHERE 10 * n_crit > n""",
+    "fleet_section": _with(LOGS, FAILS, _sig_ctes(), _FLEET_CTES) + f"""
+SELECT {_FLEET_SECTION} AS text""",
+    "diagnosis_titles": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT machine_id, start, CASE WHEN severity_assessment = 'CRITICAL' THEN '🔴' ELSE '🟠' END || ' ' || machine_id || ' — '
+       || failure_mode || ' (' || printf('%.0f', confidence * 100) || '% confidence)' AS title FROM diag""",
+    "action_lines": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT machine_id, start, 1 AS ord, '- [' || priority || '] ' || action || ' (~' || cast(downtime AS varchar)
+       || 'h downtime)' AS line FROM diag WHERE n_actions > 0""",
+    "window_notes": _with(LOGS, FAILS) + """
+SELECT machine_id, window_start AS start, seq, operator_notes AS note FROM entries WHERE operator_notes <> ''""",
+    "failure_windows_gap15": _with(LOGS, FAILS.replace("INTERVAL 60 MINUTES", "INTERVAL 15 MINUTES")) + """
+SELECT machine_id, start, "end", event_count, max_severity FROM windows""",
+    "anomaly_flags_1h": _with(LOGS) + f"""
+SELECT event_id, machine_id, cast(CASE WHEN machine_id IS NULL THEN 0 ELSE n END AS integer) AS anomaly_count,
+       machine_id IS NOT NULL AND n > 0 AS is_anomaly FROM (SELECT *, {_COUNT_1H} AS n FROM logs)""",
+    "machine_trend": _with(LOGS, ENRICHED) + """
+SELECT machine_id, "timestamp", event_id, gas_pressure_psi AS value,
+       floor(gas_pressure_psi_rolling_mean * 1e6 + 0.499) / 1e6 AS rolling_mean, gas_pressure_psi_anomaly AS is_anomaly
+FROM enriched WHERE machine_id = 'M-2'""",
+    "load_logs": _with(LOGS) + f"""
+SELECT cast(event_id AS varchar) AS source_row, CASE WHEN event_id % 19 = 3 THEN NULL ELSE "timestamp" END AS "timestamp",
+       CASE WHEN event_id % 23 = 4 THEN NULL ELSE machine_id END AS machine_id,
+       CASE WHEN event_id % 29 = 5 THEN NULL ELSE severity END AS severity, nullif(error_code, '') AS error_code,
+       nullif(failure_category, '') AS failure_category, {", ".join(_cell(i, s) for i, s in enumerate(SENSORS))},
+       CASE WHEN event_id % 13 = 6 THEN NULL ELSE nullif(operator_notes, '') END AS operator_notes,
+       cast(NULL AS varchar) AS material, event_id % 19 = 3 OR {_BAD_CELL} AS corrupt
+FROM logs""",
+    "reply_records": _with(LOGS, FAILS) + """,
+kinds AS (SELECT machine_id, start, cast((event_count * 5 + minute(start)) % 8 AS bigint) AS kind FROM windows)
+SELECT machine_id, start, kind,
+       CASE WHEN kind IN (0, 4, 6, 7) THEN 'ok' WHEN kind = 2 THEN 'model_error' ELSE 'parse_error' END AS status,
+       CASE WHEN kind IN (0, 6, 7) THEN 'cause ' || machine_id WHEN kind = 4 THEN 'typed'
+            WHEN kind = 2 THEN 'Analysis failed: over quota' ELSE 'Analysis failed: Failed to parse LLM response' END AS root_cause,
+       'UNKNOWN' AS failure_mode, CASE WHEN kind IN (0, 6, 7) THEN 0.25e0 ELSE 0e0 END AS confidence,
+       CASE WHEN kind IN (0, 6, 7) THEN 'a|b' ELSE '' END AS evidence,
+       CASE WHEN kind IN (0, 6, 7) THEN 1 ELSE 0 END AS n_actions
+FROM kinds""",
+    "window_prompts": _with(LOGS, FAILS) + f""",
+top AS (SELECT *, {ts_text('start')} AS start_text, {ts_text('"end"')} AS end_text,
+               cast(printf('%.1f', duration_minutes) AS double) AS minutes
+        FROM windows ORDER BY start, machine_id LIMIT 10)
+SELECT machine_id, start_text AS start, end_text AS "end", event_count, 0 AS part, {_PROMPT_HEAD} AS head,
+       'Respond with ONLY valid JSON in this exact schema:' AS ask FROM top""",
+    "window_prompt_entries": _with(LOGS, FAILS) + f""",
+top AS (SELECT machine_id, start FROM windows ORDER BY start, machine_id LIMIT 10)
+SELECT e.machine_id, {ts_text('e.window_start')} AS start, cast(e.seq AS integer) AS seq,
+       {ts_text('e."timestamp"')} AS "timestamp", e.severity, coalesce(e.error_code, '') AS error_code,
+       {", ".join('e.' + s for s in SENSORS)}, coalesce(e.operator_notes, '') AS operator_notes
+FROM entries e JOIN top t ON e.machine_id = t.machine_id AND e.window_start = t.start""",
+    "report_rows": _with(LOGS, FAILS, ENRICHED, _STATS_CTES, _sig_ctes(), _FLEET_CTES) + f"""
+SELECT * FROM (VALUES (0, 0, '', '# Manufacturing Log Diagnostic Report'), (0, 1, '', ''),
+  (0, 2, '', '*Generated: 2024-02-01 00:00:00*'), (0, 3, '', ''), (1, 0, '', '## Dataset Overview'), (1, 1, '', ''),
+  (1, 2, '', '| Metric | Value |'), (1, 3, '', '|--------|-------|'), (1, 1000, '', ''),
+  (3, 0, '', '## Detailed Failure Analysis'), (3, 1, '', '')) t(section_ord, ord, tie, text)
+UNION ALL SELECT 1, ord + 10, tie, '| ' || metric || ' | ' || value || ' |' FROM stats
+UNION ALL SELECT 1, 17, '', '| Failure windows analyzed | ' || count(*) || ' |' FROM diag
+UNION ALL SELECT 2, 0, '', {_FLEET_SECTION}
+UNION ALL SELECT 4, epoch_us(start_ts), machine_id, {_section_sql()} FROM diag""",
     "report_sections": _with(LOGS, FAILS, _sig_ctes()) + f"""
 SELECT machine_id, start, {_section_sql()} AS text FROM diag""",
 }

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.sources import csv_logs
 from telemill.sources.events_adapter import load_machine_logs
 from telemill.operators import anomaly, catalog, diagnose, features, report, sessions, summary
 from telemill.schema import SENSORS, rolling_mean_col, rolling_std_col, anomaly_col, zscore_col
@@ -21,7 +22,8 @@ from telemill.schema import SENSORS, rolling_mean_col, rolling_std_col, anomaly_
 def fix6(c):
     """Compared float statistics keep 6 decimals, by the same IEEE steps as the SQL oracle.
 
-    The cut sits just off the half-way point: means of 4-decimal readings can
+    The operators return full doubles; only these queries cut them, because the driver compares value hashes of
+    two engines that sum in different orders. The cut sits just off the half-way point: means of 4-decimal readings can
     be exact ties, where two engines' summation orders differ by one ulp on
     either side; no such mean can fall on the shifted cut.
     """
@@ -131,18 +133,61 @@ def q_category_counts(spark, sf_dir):
 
 
 def q_overview(spark, sf_dir):
-    return summary.overview(_enriched(spark, sf_dir)).drop("_error_share")
+    return summary.overview(_enriched(spark, sf_dir))
+
+
+def q_machine_list(spark, sf_dir):
+    return summary.machine_list(_logs(spark, sf_dir))
 
 
 def q_report_stats(spark, sf_dir):
     logs = _logs(spark, sf_dir)
-    return summary.report_stats(_flagged(logs), sessions.failure_windows(logs, ordered=False))
+    return summary.report_stats(_flagged(logs), sessions.window_entries(logs))
 
 
 def q_failure_window_listing(spark, sf_dir):
     return sessions.failure_window_listing(sessions.failure_windows(_logs(spark, sf_dir), ordered=False))
 
 
+def q_window_notes(spark, sf_dir):
+    """The operator notes of the listing's windows, a row each."""
+    return sessions.window_notes(sessions.window_entries(_logs(spark, sf_dir)))
+
+
+def q_failure_windows_gap15(spark, sf_dir):
+    """Failure windows with a gap of 15 minutes instead of 60."""
+    w = sessions.failure_windows(_logs(spark, sf_dir), gap_minutes=15, ordered=False)
+    return w.select("machine_id", "start", "end", "event_count", "max_severity")
+
+
+def q_anomaly_flags_1h(spark, sf_dir):
+    """Anomaly flags over a frame of one hour in quarters, above a z-score of 1.6."""
+    e = anomaly.flag_anomalies(features.rolling_stats(_logs(spark, sf_dir), window_hours=1, sub_blocks=4), 1.6)
+    return e.select("event_id", "machine_id", "anomaly_count", "is_anomaly")
+
+
+def q_machine_trend(spark, sf_dir):
+    """Pressure trend of one machine."""
+    t = anomaly.sensor_trend(_enriched(spark, sf_dir), "gas_pressure_psi", machine_id="M-2")
+    return t.select("machine_id", "timestamp", "event_id", "value", fix6("rolling_mean").alias("rolling_mean"), "is_anomaly")
+
+
+def q_load_logs(spark, sf_dir):
+    """The CSV reader's typing step over every row's cells as text, with missing-value tokens,
+    cells that don't cast, and a column of its own among them."""
+    cells = _logs(spark, sf_dir).selectExpr(
+        "CASE WHEN event_id % 19 = 3 THEN 'not a time' ELSE CAST(timestamp AS STRING) END AS timestamp",
+        "CASE WHEN event_id % 23 = 4 THEN '#NA' ELSE machine_id END AS machine_id",
+        "CASE WHEN event_id % 29 = 5 THEN '1.#IND' ELSE severity END AS severity", "error_code", "failure_category",
+        *[f"CASE WHEN event_id % {7 + i} = 0 THEN '-1.#QNAN' WHEN event_id % {31 + i} = 1 THEN 'high' "
+          f"ELSE CAST({c} AS STRING) END AS {c}" for i, c in enumerate(SENSORS)],
+        "CASE WHEN event_id % 13 = 6 THEN '#N/A N/A' ELSE operator_notes END AS operator_notes",
+        "CAST(event_id AS STRING) AS source_row")
+    out = csv_logs.type_cells(cells)
+    return out.select("source_row", "timestamp", "machine_id", "severity", "error_code", "failure_category", *SENSORS,
+                      "operator_notes", "material", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
 def q_prepared_windows(spark, sf_dir):
     p = sessions.prepared_windows(_logs(spark, sf_dir), nested=False)
     return p.select("machine_id", "start", "end", "duration_minutes", "event_count", "max_severity",
@@ -150,9 +195,7 @@ def q_prepared_windows(spark, sf_dir):
 
 
 def q_prepared_entries(spark, sf_dir):
-    entries = sessions.window_entries(_logs(spark, sf_dir))
-    top = sessions.first_windows(sessions.summarize_windows(entries))
-    return sessions.prepared_entries(entries, top)
+    return sessions.prepared_entries(_logs(spark, sf_dir))
 
 
 def q_code_category(spark, sf_dir):
@@ -192,16 +235,52 @@ def q_recommended_actions(spark, sf_dir):
     return report.recommended_actions(_diagnoses(spark, sf_dir))
 
 
+def q_reply_records(spark, sf_dir):
+    """Records parsed from replies written by a fixed rule: plain, fenced, broken, error, text after the
+    object, an ill-typed list, and a second object, by the window's number of events and start minute."""
+    w = sessions.failure_windows(_logs(spark, sf_dir), ordered=False)
+    kind = F.pmod(F.col("event_count") * 5 + F.minute("start"), F.lit(8)).alias("kind")
+    body = F.concat(F.lit('{"root_cause":"cause '), F.col("machine_id"), F.lit('","confidence":0.25,"evidence":["a","b"],'
+                    '"recommended_actions":[{"action":"act","priority":"SCHEDULED","estimated_downtime_hours":1.5}]}'))
+    fence = "`" * 3
+    reply = (F.when(F.col("kind") == 0, F.concat(F.lit(f"{fence}json\n"), body, F.lit(f"\n{fence}\n")))
+             .when(F.col("kind") == 1, F.substring(body, 1, 40))
+             .when(F.col("kind") == 2, F.lit('{"error":"over quota"}'))
+             .when(F.col("kind") == 3, F.concat(body, F.lit(" and more")))
+             .when(F.col("kind") == 4, F.concat(F.lit('{"evidence":"one","recommended_actions":["x"],"root_cause":"typed"}')))
+             .when(F.col("kind") == 5, F.concat(body, F.lit('{"x":1}')))
+             .when(F.col("kind") == 6, F.concat(F.lit(f"  {fence}\n"), body))
+             .otherwise(body))
+    rows = w.select("machine_id", "start", kind, "event_count").withColumn("response", reply)
+    d = diagnose.to_diagnoses(diagnose.parse_responses(rows), ["machine_id", "start", "kind"])
+    return d.select("machine_id", "start", "kind", "status", "root_cause", "failure_mode", "confidence",
+                    F.array_join("evidence", "|").alias("evidence"),
+                    F.size(F.filter("recommended_actions", lambda a: a["action"].isNotNull())).alias("n_actions"))
+
+
 def q_fleet_issues(spark, sf_dir):
     f = diagnose.fleet_issues(_diagnoses(spark, sf_dir))
-    return f.select("failure_mode", "n_windows", "affected_machines",
-                    fix6("mean_confidence").alias("mean_confidence"), "n_critical")
+    return f.select("failure_mode", "n_windows", "n_machines", fix6("mean_confidence").alias("mean_confidence"),
+                    "n_critical")
+
+
+def q_fleet_issue_machines(spark, sf_dir):
+    return diagnose.fleet_issue_machines(_diagnoses(spark, sf_dir))
+
+
+_FLEET_ITEM = ("array<struct<machine_id:string,time_range:string,root_cause:string,failure_mode:string,"
+               "severity:string,recommended_actions:array<struct<action:string>>>>")
 
 
 def q_fleet_prompt(spark, sf_dir):
-    rows = diagnose.fleet_prompt_rows(_diagnoses(spark, sf_dir)).orderBy("start", "machine_id").limit(10)
-    return rows.select("machine_id", "time_range", "root_cause", "failure_mode", "severity",
-                       F.size("recommended_actions").alias("n_actions"))
+    """Every diagnosis as it stands in the fleet prompts: the prompts' JSON read back."""
+    p = diagnose.fleet_prompt(_diagnoses(spark, sf_dir))
+    json_text = F.regexp_extract("prompt", r"(?s)individual diagnoses:\s*(\[.*\])\s*Provide a fleet-level", 1)
+    rows = p.select("num_windows", F.explode(F.from_json(json_text, _FLEET_ITEM)).alias("i"),
+                    F.col("prompt").contains(F.concat(F.lit("You have analyzed "), F.col("num_windows").cast("string"),
+                                                      F.lit(" failure windows"))).alias("counted"))
+    return rows.select("i.machine_id", "i.time_range", "i.root_cause", "i.failure_mode", "i.severity",
+                       F.size("i.recommended_actions").alias("n_actions"), "counted")
 
 
 def _fleet(spark, sf_dir):
@@ -217,6 +296,14 @@ def q_fleet_priorities(spark, sf_dir):
     return report.fleet_priority_rows(_fleet(spark, sf_dir))
 
 
+def q_fleet_alerts(spark, sf_dir):
+    return report.fleet_alert_rows(_fleet(spark, sf_dir))
+
+
+def q_fleet_section(spark, sf_dir):
+    return report.fleet_section(_fleet(spark, sf_dir))
+
+
 def q_fleet_summary(spark, sf_dir):
     f = _fleet(spark, sf_dir)
     return f.select("executive_summary",
@@ -228,9 +315,47 @@ def q_fleet_summary(spark, sf_dir):
                     F.col("estimated_downtime_savings_hours").alias("savings_hours"), "status")
 
 
+def _prompts(spark, sf_dir):
+    return diagnose.window_prompts(sessions.prepared_windows(_logs(spark, sf_dir)))
+
+
+_HEAD = r"(?s)^(.*?\n\*\*Log entries \(chronological\):\*\*)"
+
+
 def q_window_prompts(spark, sf_dir):
-    p = diagnose.window_prompts(sessions.prepared_windows(_logs(spark, sf_dir)))
-    return p.select("machine_id", "start", "end", "event_count", "part", "prompt")
+    """The prompts' text before the entries and after them."""
+    p = _prompts(spark, sf_dir)
+    return p.select("machine_id", "start", "end", "event_count", "part",
+                    F.regexp_extract("prompt", _HEAD, 1).alias("head"),
+                    F.regexp_extract("prompt", r"(?s)\n(Respond with ONLY valid JSON in this exact schema:)", 1).alias("ask"))
+
+
+_ENTRY = ("array<struct<timestamp:string,severity:string,error_code:string,"
+          + ",".join(f"{s}:double" for s in SENSORS) + ",operator_notes:string>>")
+
+
+def q_window_prompt_entries(spark, sf_dir):
+    """The entries as they stand in the prompts, read back from their JSON."""
+    text = F.regexp_extract("prompt", r"(?s)\(chronological\):\*\*\s*(\[.*\])\s*Respond with ONLY", 1)
+    e = _prompts(spark, sf_dir).select("machine_id", "start", F.posexplode(F.from_json(text, _ENTRY)).alias("pos", "e"))
+    return e.select("machine_id", "start", (F.col("pos") + 1).alias("seq"), "e.*")
+
+
+def q_diagnosis_titles(spark, sf_dir):
+    return report.diagnosis_titles(_diagnoses(spark, sf_dir))
+
+
+def q_action_lines(spark, sf_dir):
+    return report.action_lines(_diagnoses(spark, sf_dir))
+
+
+def q_report_rows(spark, sf_dir):
+    """The assembled report: title, overview, fleet section, and all diagnoses."""
+    from telemill.plans.analyze import fleet_summary
+    logs = _logs(spark, sf_dir)
+    d = _diagnoses(spark, sf_dir)
+    stats = summary.report_stats(_flagged(logs), sessions.window_entries(logs), d)
+    return report.assemble_report(d, "2024-02-01 00:00:00", fleet_summary(d), stats)
 
 
 def q_report_sections(spark, sf_dir):
@@ -271,4 +396,18 @@ QUERIES: dict[str, Query] = {
     "fleet_priorities": q_fleet_priorities,
     "window_prompts": q_window_prompts,
     "report_sections": q_report_sections,
+    "load_logs": q_load_logs,
+    "machine_list": q_machine_list,
+    "machine_trend": q_machine_trend,
+    "window_notes": q_window_notes,
+    "failure_windows_gap15": q_failure_windows_gap15,
+    "anomaly_flags_1h": q_anomaly_flags_1h,
+    "reply_records": q_reply_records,
+    "window_prompt_entries": q_window_prompt_entries,
+    "fleet_issue_machines": q_fleet_issue_machines,
+    "fleet_alerts": q_fleet_alerts,
+    "fleet_section": q_fleet_section,
+    "diagnosis_titles": q_diagnosis_titles,
+    "action_lines": q_action_lines,
+    "report_rows": q_report_rows,
 }

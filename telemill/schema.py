@@ -20,8 +20,9 @@ DEFAULT_WINDOW_HOURS = 4
 DEFAULT_Z_THRESHOLD = 2.5
 DEFAULT_GAP_MINUTES = 60
 DEFAULT_MAX_WINDOWS = 10
-# Strings pandas' CSV reader turns into missing values (subset that occurs in logs).
-NULL_TOKENS = ["", "NA", "N/A", "null", "NULL", "None", "NaN", "nan", "-NaN", "-nan", "#N/A", "n/a", "<NA>"]
+# Cells that pandas' CSV reader turns into missing values.
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+               "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 OPTIONAL_TEXT = ["operator", "shift", "material", "failure_category"]
 TEXT_COLUMNS = ["machine_id", "operator", "shift", "material", "severity", "error_code",
@@ -59,45 +60,13 @@ def zscore_col(sensor: str) -> str:
     return f"{sensor}_z"
 
 
-# Model-response shapes. Scalars are read as STRING and cast afterwards so a
-# single ill-typed value does not turn the whole record corrupt.
-ACTION_TYPE = T.StructType([
-    T.StructField("action", T.StringType()),
-    T.StructField("priority", T.StringType()),
-    T.StructField("estimated_downtime_hours", T.StringType()),
-])
-
-DIAGNOSIS_JSON_SCHEMA = T.StructType([
-    T.StructField("root_cause", T.StringType()),
-    T.StructField("failure_mode", T.StringType()),
-    T.StructField("confidence", T.StringType()),
-    T.StructField("severity_assessment", T.StringType()),
-    T.StructField("evidence", T.ArrayType(T.StringType())),
-    T.StructField("recommended_actions", T.ArrayType(ACTION_TYPE)),
-    T.StructField("parts_at_risk", T.ArrayType(T.StringType())),
-    T.StructField("pattern_notes", T.StringType()),
-    T.StructField("error", T.StringType()),
-    T.StructField("_corrupt_record", T.StringType()),
-])
-
-ISSUE_TYPE = T.StructType([
-    T.StructField("issue", T.StringType()),
-    T.StructField("affected_machines", T.ArrayType(T.StringType())),
-    T.StructField("frequency", T.StringType()),
-    T.StructField("business_impact", T.StringType()),
-])
-PRIORITY_TYPE = T.StructType([
-    T.StructField("action", T.StringType()),
-    T.StructField("machines", T.ArrayType(T.StringType())),
-    T.StructField("priority", T.StringType()),
-    T.StructField("rationale", T.StringType()),
-])
-FLEET_JSON_SCHEMA = T.StructType([
-    T.StructField("executive_summary", T.StringType()),
-    T.StructField("top_issues", T.ArrayType(ISSUE_TYPE)),
-    T.StructField("maintenance_priorities", T.ArrayType(PRIORITY_TYPE)),
-    T.StructField("trend_alerts", T.ArrayType(T.StringType())),
-    T.StructField("estimated_downtime_savings_hours", T.StringType()),
-    T.StructField("error", T.StringType()),
-    T.StructField("_corrupt_record", T.StringType()),
-])
+# Field names of the model's replies. All are read as STRING (a
+# list as its raw JSON) and converted one by one, so an ill-typed value costs
+# only itself.
+DIAGNOSIS_FIELDS = ["root_cause", "failure_mode", "confidence", "severity_assessment", "evidence",
+                    "recommended_actions", "parts_at_risk", "pattern_notes", "error"]
+FLEET_FIELDS = ["executive_summary", "top_issues", "maintenance_priorities", "trend_alerts",
+                "estimated_downtime_savings_hours", "error"]
+
+DIAGNOSIS_JSON_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in DIAGNOSIS_FIELDS])
+FLEET_JSON_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FLEET_FIELDS])

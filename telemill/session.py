@@ -31,12 +31,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the session-level settings that are safe to change at runtime."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
-
-
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder for checkpoints and persisted intermediate tables.
 

@@ -1,28 +1,44 @@
 """CSV machine logs in and out, enriched-table and report sinks.
 
 The CSV reader never infers types: every cell is read as text, missing-value
-tokens become NULL, then each column is cast with ``try_cast``. A row whose
-cell does not cast keeps NULL in that column and its raw cells in
-``_corrupt_record`` (JSON), so bad rows are visible, not lost.
+tokens become NULL, then each known column is cast with ``try_cast``. A row
+whose cell does not cast keeps NULL in that column and its raw cells in
+``_corrupt_record`` (JSON), so bad rows are visible, not lost. Columns beyond
+the known ones are kept as text.
+
+Files are split between tasks by default, which needs one line per row. Logs
+whose notes hold line breaks inside quotes are read with ``multi_line=True``,
+one task per file; read the other way, the lines with too few cells that an
+open quote leaves behind show in ``_corrupt_record``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemill.functions.exprs import nan_to_null, null_if_token
-from telemill.schema import RAW_COLUMNS, SENSORS, OPTIONAL_TEXT
+from telemill.schema import OPTIONAL_TEXT, RAW_COLUMNS, SENSORS
+
+
+_LINE = "_corrupt_line"
+
+
+def read_logs_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE"}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _LINE]])
+    return type_cells(spark.read.options(**options, columnNameOfCorruptRecord=_LINE).schema(schema).csv(path))
 
 
-def read_logs_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = (spark.read
-           .option("header", True)
-           .option("multiLine", True)
-           .option("escape", '"')
-           .option("inferSchema", False)
-           .option("mode", "PERMISSIVE")
-           .csv(path))
+def type_cells(raw: DataFrame) -> DataFrame:
+    """Typed log from text cells: tokens to NULL, casts, ``event_id`` from the content, ``_corrupt_record``.
+
+    Missing optional columns are NULL; a missing required one is an error. A
+    line with too few or too many cells, as an open quote leaves behind, is
+    corrupt with its text (column ``_corrupt_line``, if given).
+    """
     present = set(raw.columns)
     cells = {}
     for name in RAW_COLUMNS:
@@ -32,29 +48,20 @@ def read_logs_csv(spark: SparkSession, path: str) -> DataFrame:
             cells[name] = F.lit(None).cast("string")
         else:
             raise ValueError(f"CSV log lacks required column {name!r}")
+    extra = [c for c in raw.columns if c not in RAW_COLUMNS and c not in ("event_id", "_corrupt_record", _LINE)]
     typed = {"timestamp": cells["timestamp"].try_cast("timestamp_ntz")}
     for s in SENSORS:
         typed[s] = nan_to_null(cells[s].try_cast("double"))
-    failed = [
-        F.when(cells[n].isNotNull() & typed[n].isNull(), F.lit(n))
-        for n in ["timestamp", *SENSORS]
-    ]
+    failed = [F.when(cells[n].isNotNull() & typed[n].isNull(), F.lit(n)) for n in ["timestamp", *SENSORS]]
     bad = F.array_compact(F.array(*failed))
     raw_cells = F.to_json(F.struct(*[cells[n].alias(n) for n in RAW_COLUMNS]))
     # A content hash gives CSV rows a stable id for deterministic tie-breaks.
     row_id = F.xxhash64(*[F.coalesce(cells[n], F.lit("\u0000")) for n in RAW_COLUMNS])
-    out = []
-    for n in RAW_COLUMNS:
-        if n == "timestamp" or n in SENSORS:
-            out.append(typed[n].alias(n))
-        elif n == "operator_notes":
-            # Notes keep '' (an empty note is a value); only real tokens are NULL.
-            out.append((F.col(f"`{n}`") if n in present else F.lit(None).cast("string")).alias(n))
-        else:
-            out.append(cells[n].alias(n))
     return raw.select(
-        row_id.alias("event_id"), *out,
-        F.when(F.size(bad) > 0, raw_cells).alias("_corrupt_record"),
+        row_id.alias("event_id"), *[typed.get(n, cells[n]).alias(n) for n in RAW_COLUMNS],
+        *[F.col(f"`{c}`") for c in extra],
+        F.coalesce(F.col(_LINE) if _LINE in present else F.lit(None).cast("string"),
+                   F.when(F.size(bad) > 0, raw_cells)).alias("_corrupt_record"),
     )
 
 
@@ -65,11 +72,20 @@ def write_logs_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_enriched(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
-    """Processed-log sink. Parquet partitioned by calendar date enables partition pruning."""
-    w = df.write.mode(mode)
+#: Files a calendar date is spread over in the processed table.
+DATE_FILES = 8
+
+
+def write_enriched(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+                   date_files: int = DATE_FILES) -> str:
+    """Processed-log sink. Parquet partitioned by calendar date enables partition pruning;
+    each date goes to at most ``date_files`` files, whatever the number of tasks before."""
     if fmt == "parquet" and "date" in df.columns:
-        w = w.partitionBy("date")
+        salt = F.pmod(F.xxhash64("event_id"), F.lit(date_files))
+        df = df.repartition("date", salt)
+        w = df.write.mode(mode).partitionBy("date")
+    else:
+        w = df.write.mode(mode)
     if fmt == "csv":
         w = w.option("header", True)
     w.format(fmt).save(path)

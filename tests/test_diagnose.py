@@ -1,4 +1,5 @@
 import json
+import os
 import sys
 
 import pytest
@@ -31,7 +32,13 @@ CASES = [
     ('{"error":"boom"}', True, "Analysis failed: boom", 0.0),
     ('{"error":null}', True, "Analysis failed: None", 0.0),
     ('{"confidence":"high","root_cause":"k"}', False, "k", 0.0),
-    ('{"evidence":"one"}', True, "Analysis failed:", 0.0),
+    ('{"evidence":"one","root_cause":"r"}', False, "r", 0.0),
+    ('{"recommended_actions":["x"],"root_cause":"r","confidence":0.75}', False, "r", 0.75),
+    ('{"root_cause":"a"}{"x":1}', True, "Analysis failed:", 0.0),
+    ('{"root_cause":"a"},{"root_cause":"b"}', True, "Analysis failed:", 0.0),
+    ('{"root_cause":"a"}}', True, "Analysis failed:", 0.0),
+    ('{"root_cause":"a"} junk}', True, "Analysis failed:", 0.0),
+    ('{}', False, "Unknown", 0.0),
 ]
 
 
@@ -80,13 +87,6 @@ class FakeModel:
         return "```json\n" + json.dumps(body) + "\n```"
 
 
-class FakeFleet:
-    def __call__(self, system, prompt, max_tokens):
-        assert prompt.startswith("You have analyzed")
-        return json.dumps({"executive_summary": "ok", "top_issues": [{"issue": "i", "affected_machines": ["M-1"]}],
-                           "estimated_downtime_savings_hours": "7.5"})
-
-
 def test_infer_with_model_callable(spark):
     logs = load_machine_logs(spark, SF001)
     d = diagnose.diagnose(logs, call=FakeModel(), max_windows=3).collect()
@@ -96,25 +96,84 @@ def test_infer_with_model_callable(spark):
     prompts = diagnose.window_prompts(sessions.prepared_windows(logs, 3)).collect()
     p = prompts[0]["prompt"]
     assert f"from machine {prompts[0]['machine_id']}." in p and '"severity":' in p and "{{" not in p
+    assert "(chronological):**" in p
+
+
+def _storm(spark):
+    """One window of 5,000 entries and three short ones."""
+    rows = [dict(timestamp=at(seconds=i), machine_id="A", severity="ERROR", error_code="E-201") for i in range(5000)]
+    rows += [dict(timestamp=at(hours=5 + k), machine_id=m, severity="CRITICAL", error_code="E-301")
+             for k, m in enumerate("BCD")]
+    return make_logs(spark, rows)
+
+
+class CountingModel(FakeModel):
+    """Leaves a file for each call."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, system, prompt, max_tokens):
+        import os
+        import uuid
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w", encoding="utf-8") as f:
+            f.write(prompt)
+        return super().__call__(system, prompt, max_tokens)
+
+
+def test_one_diagnosis_for_each_window_of_any_size(spark, tmpdir_path):
+    logs = _storm(spark)
+    d = diagnose.diagnose(logs, call=CountingModel(tmpdir_path), max_windows=4)
+    assert sorted(r["machine_id"] for r in d.collect()) == ["A", "B", "C", "D"]
+    texts = [open(os.path.join(tmpdir_path, f), encoding="utf-8").read() for f in os.listdir(tmpdir_path)]
+    assert len(texts) == 3 + 3  # the storm in three parts
+    assert sum("part 2 of 3" in t for t in texts) == 1
+    p = diagnose.fleet_prompt(d).collect()
+    assert len(p) == 1 and p[0]["num_windows"] == 4 and all(f'"machine_id":"{m}"' in p[0]["prompt"] for m in "ABCD")
+    assert diagnose.diagnose(logs, call=FakeModel(), max_windows=None).count() == 4
+    assert diagnose.diagnose(logs, max_windows=None).count() == 4 and diagnose.diagnose(logs, max_windows=2).count() == 2
+
+
+def test_model_calls_run_in_parallel_and_once(spark, tmpdir_path):
+    prompts = spark.createDataFrame([(i, "Analyze the following failure window") for i in range(200)], "id int, prompt string")
+    out = diagnose.infer(prompts, CountingModel(tmpdir_path), ["id"], partitions=8)
+    assert out.count() == 200 and len(os.listdir(tmpdir_path)) == 200
+    used = out.rdd.glom().map(len).filter(lambda n: n > 0).count()
+    assert used > 1
+
+
+def test_merge_parts_prefers_the_confident_part(spark):
+    rows = [("w", 0, "ok", '{"root_cause":"a","confidence":0.4,"evidence":["e1"],"pattern_notes":"n1"}'),
+            ("w", 1, "ok", '{"root_cause":"b","confidence":0.9,"evidence":["e1","e2"],"pattern_notes":"n2"}'),
+            ("w", 2, "bad", "no json"), ("v", 0, "bad", "no json")]
+    df = spark.createDataFrame([(w, p, t) for w, p, _, t in rows], "k string, part int, response string")
+    m = {r["k"]: r for r in diagnose.merge_parts(
+        diagnose.to_diagnoses(diagnose.parse_responses(df), ["k", "part"]), ["k"]).collect()}
+    assert (m["w"]["root_cause"], m["w"]["evidence"], m["w"]["pattern_notes"]) == ("b", ["e1", "e2"], "n1 n2")
+    assert m["v"]["status"] == "parse_error" and m["v"]["root_cause"].startswith("Analysis failed")
 
 
 def test_fleet_summary_paths(spark):
     logs = load_machine_logs(spark, SF001)
-    diags = diagnose.diagnose(logs, max_windows=5)
+    diags = diagnose.diagnose(logs)
+    n = diags.count()
     offline = fleet_summary(diags).first()
     assert offline["status"] == "ok" and "failure windows analysed" in offline["executive_summary"]
-    rows = diagnose.fleet_prompt(diags, 5).first()
-    assert rows["num_windows"] == 5 and '"time_range":' in rows["prompt"]
+    one = diagnose.fleet_prompt(diags).collect()
+    assert len(one) == 1 and one[0]["num_windows"] == n and one[0]["prompt"].startswith(f"You have analyzed {n} ")
+    several = diagnose.fleet_prompt(diags, per_prompt=20).collect()
+    assert len(several) > 1 and sum(r["num_windows"] for r in several) == n
+    assert all(r["prompt"].startswith(f"Part {r['part'] + 1} of {r['parts']} ") for r in several)
 
     def fleet_call(system, prompt, max_tokens):
-        return FakeFleet()(system, prompt, max_tokens)
-
-    prompt = diagnose.fleet_prompt(diags, 5)
-    resp = diagnose.infer(prompt, fleet_call, ["key"], max_tokens=3000)
-    from telemill.schema import FLEET_JSON_SCHEMA
-    f = diagnose.to_fleet_summary(diagnose.parse_responses(resp, FLEET_JSON_SCHEMA)).first()
-    assert f["executive_summary"] == "ok" and f["estimated_downtime_savings_hours"] == 7.5
-    assert f["top_issues"][0]["affected_machines"] == ["M-1"] and f["trend_alerts"] == []
+        return json.dumps({"executive_summary": "ok", "top_issues": [{"issue": "i", "affected_machines": ["M-1"]}],
+                           "estimated_downtime_savings_hours": "7.5"})
+
+    f = fleet_summary(diags, fleet_call).collect()
+    assert len(f) == 1 and f[0]["executive_summary"] == "ok" and f[0]["estimated_downtime_savings_hours"] == 7.5
+    assert f[0]["top_issues"][0]["affected_machines"] == ["M-1"] and f[0]["trend_alerts"] == []
+    merged = fleet_summary(diags, fleet_call, per_prompt=20).first()
+    assert merged["estimated_downtime_savings_hours"] == 7.5 * len(several) and len(merged["top_issues"]) == len(several)
 
 
 def test_signature_responder_round_trip(spark):

@@ -6,7 +6,8 @@ sensor_anomalies_top20 prepared_windows fleet_prompt failure_window_listing seve
 code_category signature_match out_of_range severity_summary overview anomalies_by_sensor failure_windows
 window_prompts diagnoses parsed_responses fleet_issues fleet_summary fleet_top_issues fleet_priorities
 report_stats report_sections
-recommended_actions""".split()
+recommended_actions load_logs machine_list machine_trend window_notes reply_records window_prompt_entries
+fleet_issue_machines fleet_alerts fleet_section diagnosis_titles action_lines report_rows""".split()
 
 
 def test_entry_and_registry(spark):
@@ -15,3 +16,4 @@ def test_entry_and_registry(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(SURVEY_KEYS) <= set(q)
+    assert set(SURVEY_KEYS) <= set(o)

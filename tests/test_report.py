@@ -73,5 +73,16 @@ def test_fleet_tables(spark):
 
 def test_stats_and_windows_share_source(spark):
     logs = load_machine_logs(spark, SF001)
-    st = summary.report_stats(features.enrich(logs), sessions.failure_windows(logs, ordered=False))
-    assert st.count() == 6
+    st = summary.report_stats(features.enrich(logs), sessions.window_entries(logs), diagnose.diagnose(logs))
+    assert st.count() == 6 + summary.machine_list(logs).count()
+
+
+def test_dashboard_lines(spark):
+    logs = load_machine_logs(spark, SF001)
+    d = diagnose.diagnose(logs)
+    t = report.diagnosis_titles(d).first()["title"]
+    assert t[0] in "🔴🟠" and t.endswith("% confidence)")
+    df = spark.createDataFrame([("A", "s", [("act", None, None, None)])], "machine_id string, start string, "
+                               "recommended_actions array<struct<action:string,priority:string,"
+                               "estimated_downtime_hours:double,estimated_downtime_text:string>>")
+    assert report.action_lines(df).first()["line"] == "- [] act (~?h downtime)"

@@ -43,7 +43,7 @@ def test_f4_entries_and_notes(spark):
 
 
 def test_f4_prepared_windows(spark):
-    p = sessions.prepared_windows(_f4(spark), max_windows=2).collect()
+    p = sessions.prepared_windows(_f4(spark), max_windows=2).orderBy("start").collect()
     assert [(r["machine_id"], r["start"]) for r in p] == [("A", "2025-01-01 10:00:00"), ("B", "2025-01-01 10:20:00")]
     assert p[0]["duration_minutes"] == 60.0 and p[0]["error_codes"] == ["E-201", "E-202"]
     ent = p[0]["entries"]
@@ -55,8 +55,8 @@ def test_f4_prepared_windows(spark):
 
 
 def test_prepared_windows_split_long_windows_into_parts(spark):
-    whole = sessions.prepared_windows(_f4(spark), max_windows=2).collect()
-    split = sessions.prepared_windows(_f4(spark), max_windows=2, part_entries=1).collect()
+    whole = sessions.prepared_windows(_f4(spark), max_windows=2).orderBy("start", "part").collect()
+    split = sessions.prepared_windows(_f4(spark), max_windows=2, part_entries=1).orderBy("start", "part").collect()
     a = [r for r in split if r["machine_id"] == "A"]
     assert [(r["part"], r["parts"]) for r in a] == [(0, 2), (1, 2)]
     assert [len(r["entries"]) for r in a] == [1, 1]
@@ -80,7 +80,7 @@ def test_bucketed_equals_session_window_on_driver_data(spark):
          for r in sessions.failure_windows(logs).collect()}
     b = {tuple(r[c] if not isinstance(r[c], list) else tuple(r[c]) for c in cols)
          for r in sessions.failure_windows(logs, method="session_window").collect()}
-    assert a == b and len(a) == 1145
+    assert a == b and len(a) == 1133
     # fine buckets split chains across many buckets: same answer
     e1 = sessions.window_entries(logs, bucket_minutes=5).select("event_id", "window_start", "seq")
     e2 = sessions.window_entries(logs, bucket_minutes=24 * 60).select("event_id", "window_start", "seq")
@@ -118,3 +118,44 @@ def test_failure_window_plan_shape(spark):
     assert "CartesianProduct" not in plan
     big = [ln for ln in plan.split("\n") if "Exchange hashpartitioning(machine_id" in ln and "_bucket" in ln]
     assert len(big) == 2
+
+
+def test_all_windows_prepared_alike(spark, monkeypatch):
+    logs = load_machine_logs(spark, SF01)
+    few = {(r["machine_id"], r["start"]): r["entries"] for r in sessions.prepared_windows(logs, 20).collect()}
+    every = {(r["machine_id"], r["start"]): r["entries"] for r in sessions.prepared_windows(logs, None).collect()}
+    assert len(few) == 20 and len(every) == 1133 and all(every[k] == v for k, v in few.items())
+    monkeypatch.setattr(sessions, "BROADCAST_WINDOWS", 5)
+    joined = {(r["machine_id"], r["start"]): r["entries"] for r in sessions.prepared_windows(logs, 20).collect()}
+    assert joined == few
+
+
+def test_prepared_windows_plan_has_three_scans(spark):
+    logs = load_machine_logs(spark, SF01)
+    plan = sessions.prepared_windows(logs)._jdf.queryExecution().optimizedPlan().toString()
+    whole = sessions.window_entries(logs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2 * whole.count("Relation [") + 1
+
+
+def test_windows_before_1970(spark):
+    base = dt.datetime(1969, 12, 31, 20, 0)
+    rows = [dict(timestamp=base + dt.timedelta(minutes=m), machine_id="A", severity="ERROR") for m in (0, 50, 100, 170, 225, 300)]
+    w = sessions.failure_windows(make_logs(spark, rows)).collect()
+    assert [r["event_count"] for r in w] == [3, 2, 1]
+
+
+def test_rounding_follows_python(spark):
+    from telemill.functions.exprs import fixed, round1, thousands
+    xs = [12.25, 1.15, 0.15, 12.35, 0.25, 0.05, 2.675, 1e15 + 0.25, 0.0, 12.2, 60.0, 1.05, 0.45, 1234567.95, -0.25, -1.15]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select(
+        "x", round1("x").alias("r"), fixed("x", 1).alias("f"), fixed("x", 0).alias("z"))
+    for r in df.collect():
+        assert r["r"] == round(r["x"], 1), r["x"]
+        if r["x"] >= 0:
+            assert r["f"] == f"{r['x']:.1f}" and r["z"] == f"{r['x']:.0f}", r["x"]
+    assert spark.range(1).select(thousands(F.lit(1234567)).alias("t")).first()["t"] == f"{1234567:,}"
+
+
+def test_notes(spark):
+    n = sessions.window_notes(sessions.window_entries(_f4(spark))).orderBy("machine_id", "start", "seq").collect()
+    assert [(r["machine_id"], r["seq"], r["note"]) for r in n] == [("A", 1, "hot"), ("A", 2, "hot")]

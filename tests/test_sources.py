@@ -25,7 +25,7 @@ def test_f8_csv_cells(spark, tmpdir_path):
         '2025-01-01 00:10:00,LC-01,M. Chen,DAY,SS304,INFO,,,NA,25.0,,0.02,2100.0,9.5,"line one\nline two — ünï"',
         'not a time,LC-02,J. Rodriguez,NIGHT,AL6061,WARNING,,,2000.0,30.0,150.0,0.01,2000.0,9.0,x',
     ])
-    df = read_logs_csv(spark, p).orderBy(F.col("timestamp").asc_nulls_last()).collect()
+    df = read_logs_csv(spark, p, multi_line=True).orderBy(F.col("timestamp").asc_nulls_last()).collect()
     assert len(df) == 3
     assert df[0]["operator_notes"] == 'He said "hot", then left'
     assert df[1]["operator_notes"] == "line one\nline two — ünï"
@@ -55,3 +55,40 @@ def test_csv_round_trip_keeps_results(spark, tmpdir_path):
     a = sessions.failure_windows(logs).select("machine_id", "start", "event_count").collect()
     b = sessions.failure_windows(back).select("machine_id", "start", "event_count").collect()
     assert a == b
+
+
+def test_csv_is_split_by_default_and_shows_open_quotes(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "logs.csv")
+    row = "2025-01-01 00:00:00,LC-01,,,,INFO,,,1,2,3,4,5,6,"
+    _write(p, [HEADER + ",site", *[row + "fine,x"] * 20_000, row + '"line one', 'line two",x'])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        df = read_logs_csv(spark, p)
+        assert df.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert df.where("_corrupt_record IS NULL").count() == 20_000
+    assert df.where("_corrupt_record IS NOT NULL").count() == 2
+    assert df.select("site").distinct().where("site = 'x'").count() == 1
+    whole = read_logs_csv(spark, p, multi_line=True)
+    assert whole.where("_corrupt_record IS NOT NULL").count() == 0 and whole.count() == 20_001
+
+
+def test_missing_value_tokens(spark, tmpdir_path):
+    from telemill.schema import NULL_TOKENS
+    p = os.path.join(tmpdir_path, "logs.csv")
+    _write(p, [HEADER, *[f"2025-01-01 00:00:00,{t},,,,INFO,,,{t},2,3,4,5,6,{t}" for t in NULL_TOKENS]])
+    rows = read_logs_csv(spark, p).collect()
+    assert len(rows) == len(NULL_TOKENS)
+    assert all(r["machine_id"] is None and r["laser_power_w"] is None and r["operator_notes"] is None
+               and r["_corrupt_record"] is None for r in rows)
+
+
+def test_processed_table_has_few_files_a_date(spark, tmpdir_path):
+    from telemill.operators import features
+    from telemill.sources.csv_logs import write_enriched
+    out = os.path.join(tmpdir_path, "processed")
+    write_enriched(features.enrich(load_machine_logs(spark, SF001)), out, date_files=2)
+    for d in os.listdir(out):
+        if d.startswith("date="):
+            assert len([f for f in os.listdir(os.path.join(out, d)) if f.startswith("part-")]) <= 2
