@@ -26,7 +26,8 @@ _LINE = "_corrupt_line"
 
 
 def read_logs_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE"}
+    # all cells are parsed, so that a line with too few of them shows whatever columns are used
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE", "columnPruning": False}
     names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _LINE]])
     return type_cells(spark.read.options(**options, columnNameOfCorruptRecord=_LINE).schema(schema).csv(path))
