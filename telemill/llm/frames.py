@@ -65,7 +65,9 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     del df
-    # the shuffle files behind the table go once nothing refers to them
+    # The shuffle files behind the table go once nothing refers to the plan; the
+    # session's listeners hold on to their last event's plan until another event.
+    spark.sql("SELECT 1").collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
