@@ -116,7 +116,7 @@ class Nodes:
             if len(digits) >= 7:
                 keys.append((2, digits[-7:]))
             for key in keys:
-                if key in seen and seen[key] != k - 1:
+                if key in seen and place[seen[key]] != i - 1:  # neighbours have a chain edge
                     self.edges.append((seen[key], k, key[0]))
                 seen[key] = k
 

@@ -184,7 +184,7 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Hot hubs and buckets are split into many parts, with the same result."""
-    monkeypatch.setattr(minmax, "HUB_PAIRS", 3)
+    monkeypatch.setattr(minmax, "HELD", 3)
     monkeypatch.setattr(minmax, "BLOCK", 4)
     docs = list(enumerate(chain(5, 60) + chain(6, 30)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minmax.near_duplicates(frame(spark, docs)).collect()}
