@@ -336,7 +336,8 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_features:
     """Features and weights learned from labels (doc_id, toxic) of the documents."""
     clean = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
              .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other"))
-    labelled = written(docs.join(clean, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")))
+    # labels grow with the documents: a shuffled join at every size
+    labelled = written(docs.join(clean.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")))
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}  # two rows
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
