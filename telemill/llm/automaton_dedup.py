@@ -199,3 +199,21 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 def op4_suffix_automaton_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_passages(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: All windows of 35 words.
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 34], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)),
+hit AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+b AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM t),
+c AS (SELECT b.doc_id, j, word, coalesce(max(CASE WHEN hit.i IS NOT NULL THEN 1 ELSE 0 END) OVER (
+               PARTITION BY b.doc_id ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+      FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.j = hit.i),
+k AS (SELECT doc_id, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone = 0), '') AS kept
+      FROM c GROUP BY doc_id)
+SELECT t.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from . import minmax
-from .automaton_dedup import op4_suffix_automaton_dedup
+from . import automaton_dedup, minmax, repetition, suffix_dedup
 from .bpe import op7_byte_bpe
 from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
 from .pii import op8_skip_chain_pii
-from .repetition import op6_suffix_repetition
-from .suffix_dedup import op3_suffix_array_dedup
 from .toxicity import op2_noisy_channel_toxicity
 from .weak_labels import op10_weak_label_quality
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
-    "op3_suffix_array_dedup": op3_suffix_array_dedup,
-    "op4_suffix_automaton_dedup": op4_suffix_automaton_dedup,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
+    "op4_suffix_automaton_dedup": automaton_dedup.op4_suffix_automaton_dedup,
     "op5_weighted_sampling": op5_weighted_sampling,
-    "op6_suffix_repetition": op6_suffix_repetition,
+    "op6_suffix_repetition": repetition.op6_suffix_repetition,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
@@ -27,5 +24,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
+    "op4_suffix_automaton_dedup": automaton_dedup.ORACLE_SQL,
+    "op6_suffix_repetition": repetition.ORACLE_SQL,
     "op9_minmax_near_dedup": minmax.ORACLE_SQL,
 }

@@ -221,4 +221,43 @@ def filter_quality(docs: DataFrame, text_col: str = "text", min_words: int = MIN
 
 
 def op6_suffix_repetition(spark, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir))
+    return quality(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
+
+
+def _repeated_windows_sql(k: int) -> str:
+    """(doc_id, i): windows of k words found twice or more in their document."""
+    return f"""SELECT doc_id, i FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM (
+    SELECT doc_id, i, md5_number(array_to_string(w[i:i + {k - 1}], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM t WHERE len(w) >= {k}))) WHERE n > 1"""
+
+
+def _covered_words_sql(windows: str, k: int) -> str:
+    """(doc_id, n): words covered by those windows."""
+    return f"""SELECT doc_id, sum(gone) AS n FROM (
+  SELECT b.doc_id, coalesce(max(CASE WHEN x.i IS NOT NULL THEN 1 ELSE 0 END) OVER (
+           PARTITION BY b.doc_id ORDER BY j ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM b LEFT JOIN {windows} x ON b.doc_id = x.doc_id AND b.j = x.i) GROUP BY doc_id"""
+
+
+#: The same rules from all windows: repeats of at least MIN_WORDS words cover what repeated windows of MIN_WORDS
+#: words cover, and the longest one is too long if a window of MAX_REPEAT + 1 words is repeated.
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+b AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j FROM t),
+five AS (%s), eight AS (%s), long AS (%s),
+c5 AS (%s), c8 AS (%s),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+r AS (SELECT t.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             cast(len(regexp_extract_all(text, '[#*$%%&|<>]')) AS BIGINT) AS n_symbols,
+             cast(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, cast(coalesce(c5.n, 0) AS BIGINT) AS n_repeat_words,
+             coalesce(c8.n, 0) AS covered, t.doc_id IN (SELECT doc_id FROM long) AS too_long
+      FROM t LEFT JOIN lines ON t.doc_id = lines.doc_id LEFT JOIN c5 ON t.doc_id = c5.doc_id LEFT JOIN c8 ON t.doc_id = c8.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND covered <= %s * n_words AND NOT too_long AS kept
+FROM r
+""" % (*(_repeated_windows_sql(k) for k in (5, MIN_WORDS, MAX_REPEAT + 1)), _covered_words_sql("five", 5),
+       _covered_words_sql("eight", MIN_WORDS), MAX_COVERED)

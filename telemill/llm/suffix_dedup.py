@@ -150,3 +150,23 @@ def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     out = remove_repeated_bytes(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All strings of 50 bytes, in hexadecimal.
+ORACLE_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, cast(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+g AS (SELECT doc_id, i, md5_number(substr(hx, 2 * i + 1, 100)) AS h
+      FROM (SELECT doc_id, hx, unnest(range(0, n - 49)) AS i FROM t WHERE n >= 50)),
+hit AS (SELECT g.doc_id, g.i FROM g JOIN (SELECT h, min(doc_id) AS first FROM g GROUP BY h) f ON g.h = f.h AND g.doc_id > f.first),
+b AS (SELECT doc_id, hx, unnest(range(0, n)) AS j FROM t),
+c AS (SELECT b.doc_id, j, substr(hx, 2 * j + 1, 2) AS x,
+             coalesce(max(CASE WHEN hit.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY b.doc_id ORDER BY j
+                      ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+      FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.j = hit.i),
+d AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM c),
+k AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_spans,
+             coalesce(string_agg(x, '' ORDER BY j) FILTER (WHERE gone = 0), '') AS kept FROM d GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       cast(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
