@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from telemill.llm import automaton_dedup, components, minmax, suffix_dedup
-from tests.llm.conftest import frame
+from tests.llm.cases import frame, nothing, odd  # noqa: F401 (fixtures)
 
 
 def brute_bytes(docs, width):

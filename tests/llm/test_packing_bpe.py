@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from telemill.llm import bpe, packing
+from tests.llm.cases import nothing, odd, small_texts  # noqa: F401 (fixtures)
 
 WORDS, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
 

@@ -7,7 +7,7 @@ import public_tokenizers as P
 import __spark_entry__ as entry
 import corpus_pipeline
 from telemill.llm.queries import ORACLE, QUERIES
-from tests.llm.conftest import DIR
+from tests.llm.cases import DIR, nothing, odd  # noqa: F401 (fixtures)
 from tests.llm.test_dedup import brute_near, brute_words
 from tests.llm.test_packing_bpe import check_packing
 from tests.llm.test_text_models import brute_repetition, brute_spans

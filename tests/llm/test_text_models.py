@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from telemill.llm import fingerprints, pii, repetition, text, toxicity, weak_labels
-from tests.llm.conftest import DIR, frame
+from tests.llm.cases import DIR, frame, nothing, odd, small_texts  # noqa: F401 (fixtures)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
