@@ -16,7 +16,8 @@ So a passage that a third of all documents hold sends one entry for each such
 input, not one for each document.
 
 Everything is dealt out by hash into buckets whose number grows with the
-input; each bucket is gathered in one task and has a bounded expected size.
+input; each bucket has a bounded expected size and is gathered in one task,
+which goes through its buckets one after the other.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import buckets, map_batches, total_bytes, written
+from .frames import MOST_TASKS, buckets, map_batches, total_bytes, written
 from .text import _TABLE, mix, powers, prefix_hash, slices, span_hash, window_min, word_spans
 
 #: In memory: anchor and context (names the segment's text) of 48 bits, document, a tag of its text, first window,
@@ -270,7 +271,7 @@ def _by_bucket(df: DataFrame, n: int, fn: Callable) -> DataFrame:
         if held:
             yield from fn(held)
 
-    return map_batches(df.repartition(n, "bucket").sortWithinPartitions("bucket"), run, ROW)
+    return map_batches(df.repartition(min(n, MOST_TASKS), "bucket").sortWithinPartitions("bucket"), run, ROW)
 
 
 def _beside_texts(df: DataFrame, docs: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
@@ -305,7 +306,7 @@ def _beside_texts(df: DataFrame, docs: DataFrame, n: int, fn: Callable, schema:
                         entries, held = e[np.lexsort((e["lo"], e["tag"], e["doc"]))], []
                     yield from fn(entries, *part.columns[3:])
 
-    return map_batches(both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind"), run, schema)
+    return map_batches(both.repartition(min(n, MOST_TASKS), "bucket").sortWithinPartitions("bucket", "kind"), run, schema)
 
 
 def of_documents(entries: np.ndarray, ids: np.ndarray, null: np.ndarray, tags: np.ndarray):

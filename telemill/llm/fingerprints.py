@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import as_text, buckets, documents, map_batches, total_bytes
+from .frames import MOST_TASKS, as_text, buckets, documents, map_batches, total_bytes
 from .text import mix, prefix_hash, slices, span_hash, word_spans
 
 SAMPLES = 128
@@ -163,13 +163,14 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(range, tail, doc_id, text), sorted within partitions so that each document is
     followed by the next one by descending doc_id (after the last: the first).
 
-    doc_ids are cut into ranges of about range_bytes; a range ends with a copy
+    doc_ids are cut into ranges of about range_bytes (MOST_TASKS of them at most;
+    a longer range only streams longer); a range ends with a copy
     (tail 1) of the first document of the range after it. Only ids of ranges
     go through the driver, one for each range. Rows of the same doc_id are
     ordered by text, null ids come last.
     """
     spark = docs.sparkSession
-    n = buckets(total_bytes(docs), range_bytes)
+    n = min(buckets(total_bytes(docs), range_bytes), MOST_TASKS)
     place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
     splits = sorted(set(docs.select(F.col("doc_id").cast("double").alias("p")).na.drop()
                         .approxQuantile("p", [i / n for i in range(1, n)], 0.25 / n)))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most tasks that a shuffle by bucket is dealt to; a task then goes through several buckets, one at a time.
+MOST_TASKS = 20_000
 #: Rows in an Arrow batch, so that a batch of the longest documents fits a worker.
 BATCH_ROWS = 1000
 
