@@ -42,8 +42,9 @@ THRESHOLD = 0.3
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SEPARATORS = " .-_*'`~^/\\,:;#%&="
-#: Costs (nats) of the channel: a letter look-alike, a dropped repeat, a dropped mark, a word's end at a separator.
-ALIKE, REPEAT, DROP, END = 0.7, 0.3, 8.0, 0.5
+#: Costs (nats) of the channel: a letter look-alike, a dropped repeat, a dropped mark, a word's end at a separator,
+#: a vowel behind an asterisk.
+ALIKE, REPEAT, DROP, END, HIDDEN = 0.7, 0.3, 8.0, 0.5, 1.0
 #: Longest place that is restored; longer ones aren't words.
 LONGEST = 48
 
@@ -112,6 +113,8 @@ class Channel:
                 out.append(("", REPEAT))
         else:
             out += [(x, ALIKE) for x in LOOKS_LIKE.get(ch, "")]
+            if ch == "*":
+                out += [(x, HIDDEN) for x in "aeiou"]
             if ch in SEPARATORS:
                 out += [("", 0.0 if ch != "'" else 1.0), (" ", END)]
             else:

@@ -145,9 +145,9 @@ def test_channel_restores_known_words():
         n += np.bincount((k[:-2] * 28 + k[1:-1]) * 28 + k[2:], minlength=28 ** 3)
     channel = toxicity.Channel(n)
     noisy = ["you 1d10t", "s t u p i d man", "stuuuupid clown", "m.o.r.o.n", "w0rthl3ss", "$tupid", "tr@sh", "lo$er!",
-             "id-iot", "plain words stay", "", "c l o w n"]
+             "id-iot", "plain words stay", "", "c l o w n", "st*pid"]
     want = ["you idiot", "stupid man", "stupid clown", "moron", "worthless", "stupid", "trash", "loser!", "idiot",
-            "plain words stay", "", "clown"]
+            "plain words stay", "", "clown", "stupid"]
     assert toxicity.restored(pa.array(noisy), channel).to_pylist() == want
 
 
