@@ -194,7 +194,8 @@ def _with_block_stats(x: DataFrame, frame_us: int, sub_blocks: int, keep: list[s
     middle = _middle(x, frame_us, sub_blocks) if sub_blocks > 1 else None
     y = _copied(x, frame_us, sub_blocks)
     y = y.selectExpr("*", *[e for s in SENSORS for e in _moments(f"CASE WHEN {_SHIFT} = 1 THEN {s} END", down, f"s_{s}")])
-    lag = f"last(CASE WHEN {_SHIFT} = 0 THEN {_TS} END, true) OVER ({part} ORDER BY {_V}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _lag"
+    lag = (f"last(CASE WHEN {_SHIFT} = 0 THEN {_TS} END, true) OVER ({part} ORDER BY {_V}, event_id "
+           f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _lag")
     y = y.selectExpr("*", lag, *[e for s in SENSORS for e in _moments(f"CASE WHEN {_SHIFT} = 0 THEN {s} END", up, f"p_{s}")])
     y = y.where(f"{_SHIFT} = 0")
     extra = [_B, "_lag"]
