@@ -12,9 +12,11 @@ the probability of the Jaccard similarity. Bands of four values name buckets.
    full sets; links give components.
 3. What a star can't see is looked up next: in a bucket that still holds
    several components, the members outside its largest one are compared with
-   all others by signature, in blocks that bound any task, and pairs of
-   different components that agree enough are confirmed as well. So every
-   pair of a bucket is in one component or has been compared.
+   all others by signature, in blocks that bound any task, each pair in the
+   first bucket it shares. Documents that agree enough with one of another
+   component are named once a bucket, and compared there on full sets, again
+   in blocks. So every pair of a bucket is in one component or has been
+   compared, and no list of pairs is ever made.
 
 Hot buckets and hot hubs are split by salts made from their counts.
 
@@ -42,8 +44,8 @@ PERMUTATIONS = 64
 ROWS = 4
 #: Signatures of 128 values that agree in less are not confirmed: four standard errors below 0.75.
 AGREE = 0.6
-#: Pairs of one hub, and members of one bucket, that one task takes.
-HUB_PAIRS, BLOCK = 500, 2000
+#: Documents of one group that a task holds, and that it lets stream by.
+HELD, BLOCK = 500, 2000
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -131,97 +133,181 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, agree: float) -> DataFrame:
     return map_batches(both.select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets.
+def _sets_of(used: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the given representatives (id), written."""
+    # the documents' texts are dealt by id at every size
+    wanted = docs.join(used.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    keys = reps.join(used.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "key")
+    sets = full_sets(wanted, k).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    return written(sets.select(F.col("doc_id").alias("id"), "shingles"))
 
-    The set of a is sent once to each salted part of a's pairs, and held while
-    the sets of its partners stream by.
+
+def _confirmed(star: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) among the pairs (a, b) of a star, on full sets.
+
+    The set of a hub is sent once to each part of its partners, and kept while
+    their sets stream by.
     """
-    used = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = docs.join(used.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keys = reps.join(used, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "key")
-    sets = written(full_sets(wanted, k).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]))
-    count = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts"))
-    partner = (pairs.join(count, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
-               .join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b")
-               .select("a", "salt", "b", "shingles"))
-    hub = (count.join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
-           .select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+    sets = _sets_of(star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct(), docs, reps, k)
+    count = star.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    partner = (star.join(count, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+               .join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "shingles"))
+    hub = (count.join(sets.withColumnRenamed("id", "a"), "a")
+           .select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
                    F.lit(None).cast("long").alias("b"), "shingles"))
-    rows = hub.unionByName(partner).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    rows = hub.unionByName(partner).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         at, held = None, []
         for batch in batches:
             out = ([], [])
-            for a, salt, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, part, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(raw, "<u8")
                 if b is None:
-                    if at != (a, salt):
-                        at, held = (a, salt), []
-                    held.append(s)
-                elif at == (a, salt):
-                    for own in held:
-                        x, y = (own, s) if len(own) >= len(s) else (s, own)
-                        i = np.searchsorted(x, y)
-                        same = int((x[np.minimum(i, len(x) - 1)] == y).sum())
-                        if 100 * same >= percent * (len(x) + len(y) - same):
-                            out[0].append(a)
-                            out[1].append(b)
-                            break
+                    held = [*held, s] if at == (a, part) else [s]
+                    at = (a, part)
+                elif at == (a, part) and any(alike(own, s, percent) for own in held):
+                    out[0].append(a)
+                    out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
 
     return written(map_batches(rows, run, "u long, v long"))
 
 
-def _left_over(members: DataFrame, reps: DataFrame, parts: DataFrame, agree: float) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose signatures agree enough."""
-    placed = (members.where("n > 2").select("bucket", F.col("rep"))
-              .join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-              .withColumn("component", F.coalesce("component", "rep")))
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if len(a) < len(b):
+        a, b = b, a
+    if 100 * len(b) < percent * len(a):
+        return False
+    i = np.searchsorted(a, b)
+    same = int((a[np.minimum(i, len(a) - 1)] == b).sum())
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def _agreement(held, i: int, rep, comp, sig, band: int, rows: int, agree: float) -> np.ndarray:
+    """Which held documents document i is to be compared with.
+
+    held: (rep, component, signature) of documents outside the bucket's largest
+    component. Both agree enough, are of different components, and this band
+    is the first that they share, so a pair is dealt with in one bucket only.
+    """
+    r, c, s = held
+    near = (c != comp[i]) & ((s == sig[i]).mean(axis=1) >= agree)
+    hit = np.flatnonzero(near)
+    if len(hit):
+        first = (s[hit] == sig[i]).reshape(len(hit), -1, rows).all(axis=2).argmax(axis=1)
+        hit = hit[first == band]
+    return hit
+
+
+def _blocks(batch: pa.RecordBatch, columns: int):
+    """(start, end) of runs of rows that agree in the first `columns` columns."""
+    key = np.stack([batch.column(i).to_numpy() for i in range(columns)], axis=1)
+    edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+    return zip([0, *edge], [*edge, len(key)], strict=True)
+
+
+def _left_over(members: DataFrame, reps: DataFrame, placed: DataFrame, agree: float, rows: int) -> DataFrame:
+    """(bucket, band, id, kind): documents that have to be compared in a bucket, once each.
+
+    placed: (rep, component). kind 0: outside the bucket's largest component;
+    kind 1: what those may be linked with.
+    """
+    placed = members.where("n > 2").select("bucket", "band", "rep").join(placed, "rep")
     per = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     # the largest component of a bucket; buckets of one component are done
     main = (per.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"),
                                       F.count("*").alias("kinds"))
             .where("kinds > 1").select("bucket", F.col("top.component").alias("main"), "n",
                                        (F.col("n") - F.col("top.c")).alias("odd")))
-    rows = written(placed.join(main, "bucket").join(reps.select("rep", "sig"), "rep")
-                   .withColumn("blocks", F.ceil(F.col("odd") / BLOCK).cast("int"))
-                   .withColumn("salts", F.ceil(F.col("n") / BLOCK).cast("int")))
+    found = written(placed.join(main, "bucket").join(reps.select("rep", "sig"), "rep")
+                    .withColumn("blocks", F.ceil(F.col("odd") / BLOCK).cast("int"))
+                    .withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    part = lambda c: F.pmod(F.xxhash64("rep"), c).cast("int")
-    odd = (rows.where("component != main").withColumn("block", part("blocks")).withColumn("salt", each("salts"))
-           .select("bucket", "block", "salt", F.lit(0).alias("kind"), "rep", "component", "sig"))
-    other = (rows.withColumn("block", each("blocks")).withColumn("salt", part("salts"))
-             .select("bucket", "block", "salt", F.lit(1).alias("kind"), "rep", "component", "sig"))
-    stream = (odd.unionByName(other).repartition("bucket", "block", "salt")
-              .sortWithinPartitions("bucket", "block", "salt", "kind", "rep"))
+    one = lambda c: F.pmod(F.xxhash64("rep"), c).cast("int")
+    columns = ["bucket", "band", "block", "part", "kind", "rep", "component", "sig"]
+    odd = found.where("component != main").withColumn("block", one("blocks")).withColumn("part", each("parts"))
+    stream = (odd.withColumn("kind", F.lit(0)).select(columns)
+              .unionByName(found.withColumn("block", each("blocks")).withColumn("part", one("parts"))
+                           .withColumn("kind", F.lit(1)).select(columns))
+              .repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "kind", "rep"))
 
     def run(batches):
-        at, held = None, None
+        at, held, told = None, None, set()
         for batch in batches:
             out = []
-            n = batch.num_rows
-            if n:
-                sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(n, -1)
-                key = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2)], axis=1)
-                kind, rep, comp = (batch.column(i).to_numpy() for i in (3, 4, 5))
-                edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1) | (kind[1:] != kind[:-1])) + 1
-                for x, y in zip([0, *edge], [*edge, n], strict=True):
-                    now = tuple(key[x])
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                bucket, band, block, part, kind, rep, comp = (batch.column(i).to_numpy() for i in range(7))
+                for x, y in _blocks(batch, 5):
+                    now = (bucket[x], block[x], part[x])
+                    if kind[x] == 0:
+                        mine = (rep[x:y], comp[x:y], sig[x:y])
+                        if at == now:
+                            held = [np.concatenate(p) for p in zip(held, mine, strict=True)]
+                        else:
+                            at, held, told = now, mine, set()
+                    elif at == now:
+                        for i in range(x, y):
+                            hit = _agreement(held, i, rep, comp, sig, band[x], rows, agree)
+                            if len(hit):
+                                new = set(held[0][hit].tolist()) - told
+                                told |= new
+                                out += [(int(bucket[x]), int(band[x]), j, 0) for j in sorted(new)]
+                                out.append((int(bucket[x]), int(band[x]), int(rep[i]), 1))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], k) for i, k in enumerate(
+                (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["bucket", "band", "id", "kind"])
+
+    return map_batches(stream, run, "bucket long, band int, id long, kind int").distinct()
+
+
+def _settled(named: DataFrame, placed: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int,
+             agree: float, rows: int) -> DataFrame:
+    """Links (u, v) between the documents named by _left_over, on full sets, bucket by bucket.
+
+    A bucket is cut into blocks of kind 0, which are held, and parts of kind
+    1, which stream by; a held document needs one link to a component only.
+    """
+    sets = _sets_of(named.select("id").distinct(), docs, reps, k)
+    size = lambda kind, n: F.greatest(F.lit(1), F.ceil(F.sum((F.col("kind") == kind).cast("int")) / n)).cast("int")
+    counts = named.groupBy("bucket").agg(size(0, HELD).alias("blocks"), size(1, BLOCK).alias("parts"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    known = (named.join(counts, "bucket").join(placed.withColumnRenamed("rep", "id"), "id")
+             .join(reps.select(F.col("rep").alias("id"), "sig"), "id").join(sets, "id"))
+    columns = ["bucket", "band", "block", "part", "kind", "id", "component", "sig", "shingles"]
+    stream = (known.where("kind = 0").withColumn("block", one("blocks")).withColumn("part", each("parts")).select(columns)
+              .unionByName(known.where("kind = 1").withColumn("block", each("blocks")).withColumn("part", one("parts"))
+                           .select(columns))
+              .repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "kind", "id"))
+
+    def run(batches):
+        at, held, kept, linked = None, None, [], set()
+        for batch in batches:
+            out = ([], [])
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                bucket, band, block, part, kind, rep, comp = (batch.column(i).to_numpy() for i in range(7))
+                sets_ = [np.frombuffer(v, "<u8") for v in batch.column(8).to_pylist()]
+                for x, y in _blocks(batch, 5):
+                    now = (bucket[x], block[x], part[x])
                     if kind[x] == 0:
                         mine = (rep[x:y], comp[x:y], sig[x:y])
-                        held = [np.concatenate(p) for p in zip(held, mine, strict=True)] if at == now else mine
-                        at = now
+                        if at == now:
+                            held, kept = [np.concatenate(p) for p in zip(held, mine, strict=True)], kept + sets_[x:y]
+                        else:
+                            at, held, kept, linked = now, mine, sets_[x:y], set()
                     elif at == now:
-                        r, c, s = held
                         for i in range(x, y):
-                            hit = np.flatnonzero((c != comp[i]) & ((s == sig[i]).mean(axis=1) >= agree))
-                            out += [(min(int(r[j]), int(rep[i])), max(int(r[j]), int(rep[i]))) for j in hit]
-            out = list(dict.fromkeys(out))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                            for j in _agreement(held, i, rep, comp, sig, band[x], rows, agree).tolist():
+                                if (j, comp[i]) not in linked and alike(kept[j], sets_[i], percent):
+                                    linked.add((j, comp[i]))
+                                    out[0].append(int(held[0][j]))
+                                    out[1].append(int(rep[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["u", "v"])
 
-    return map_batches(stream, run, "a long, b long").distinct()
+    return written(map_batches(stream, run, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
@@ -233,17 +319,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
                    .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     width = 2 * rows
-    bands = reps.select("rep", F.explode(F.expr(
+    bands = reps.select("rep", F.posexplode(F.expr(
         f"transform(sequence(0, {2 * permutations // rows - 1}), j -> xxhash64(j, substring(sig, {width} * j + 1, {width})))"
-    )).alias("bucket"))
+    )).alias("band", "bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = written(bands.join(hubs, "bucket"))
     star = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(written(_agreeing(star, reps, agree)), docs, reps, k, percent)
+
+    def placed(parts):
+        return (reps.select("rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+                .select("rep", F.coalesce("component", "rep").alias("component")))
+
     parts = components(links)
-    more = written(_left_over(members, reps, parts, agree))
-    if not more.isEmpty():
-        parts = components(links.union(_confirmed(more, docs, reps, k, percent)))
+    now = written(placed(parts))
+    named = written(_left_over(members, reps, now, agree, rows))
+    if not named.isEmpty():
+        parts = components(links.union(_settled(named, now, docs, reps, k, percent, agree, rows)))
     parts = written(parts)
     of_rep = (reps.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
               .select("key", F.coalesce("component", "rep").alias("component")))
