@@ -45,16 +45,18 @@ SEPARATORS = " .-_*'`~^/\\,:;#%&="
 #: Costs (nats) of the channel: a letter look-alike, a dropped repeat, a dropped mark, a word's end at a separator,
 #: a vowel behind an asterisk.
 ALIKE, REPEAT, DROP, END, HIDDEN = 0.7, 0.3, 8.0, 0.5, 1.0
-#: Longest place that is restored; longer ones aren't words.
-LONGEST = 48
+#: Longest place that is remembered; longer ones seldom come again.
+REMEMBERED = 64
 
-#: Letters set apart one by one.
-SPACED = regex.compile(r"(?:\p{L}[ .\-_*]){2,}\p{L}(?![\p{L}\p{N}])")
+#: What ends a row of letters set apart one by one, though its bytes are those of letters.
+NO_LETTER = regex.compile(r"([^\p{L}\x00-\x7f]+)")
 #: What makes a token of letters and marks worth a look.
 ODD = regex.compile(r"\p{L}[^\p{L}]+\p{L}|^[0-9@$!|+]+\p{L}|\p{L}[0-9@$|+]|(\p{L})\1\1", regex.IGNORECASE)
 
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"0123456789@$!|+*.-_'")] = True
+_APART = np.zeros(256, bool)
+_APART[list(b" .-_*")] = True
 _CLASS = np.zeros(256, np.int16)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
@@ -125,8 +127,8 @@ class Channel:
 
     def restore(self, place: str) -> str:
         s = place.lower()
-        if len(s) > LONGEST:
-            return place
+        if len(s) > REMEMBERED:
+            return self.viterbi(s)
         got = self.known.get(s)
         if got is None:
             if len(self.known) > 100_000:
@@ -136,9 +138,11 @@ class Channel:
 
     def viterbi(self, s: str) -> str:
         number = lambda c: ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
-        paths = {(0, 0): (0.0, "")}  # by the last two letters: (cost, text)
+        # by the last two letters: (cost, letters); letters are (last letter, the letters before), shared between the
+        # paths and let go with them, so time and memory grow with the place's length
+        paths = {(0, 0): (0.0, None)}
         for i in range(len(s)):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for letter, price in self.choices(s, i):
                 for (a, b), (cost, text) in paths.items():
                     if letter == "":
@@ -147,14 +151,19 @@ class Channel:
                         if b == 0:
                             key, total, now = (a, b), cost + price, text
                         else:
-                            key, total, now = (0, 0), cost + price + self.cost[a][b][0], text + " "
+                            key, total, now = (0, 0), cost + price + self.cost[a][b][0], (" ", text)
                     else:
                         k = number(letter)
-                        key, total, now = (b, k), cost + price + self.cost[a][b][k], text + letter
+                        key, total, now = (b, k), cost + price + self.cost[a][b][k], (letter, text)
                     if key not in new or total < new[key][0]:
                         new[key] = (total, now)
             paths = new
-        return min(((c + self.cost[a][b][0], t) for (a, b), (c, t) in paths.items()), default=(0, s))[1]
+        (a, b), (_, text) = min(paths.items(), key=lambda p: p[1][0] + self.cost[p[0][0]][p[0][1]][0])
+        out = []
+        while text is not None:
+            letter, text = text
+            out.append(letter)
+        return "".join(reversed(out))
 
     def token(self, token: str) -> str:
         """The token with what lies between its outer marks restored."""
@@ -164,9 +173,19 @@ class Channel:
         at = token.index(core)
         return token[:at] + self.restore(core) + token[at + len(core):]
 
+    def spaced(self, place: str) -> str:
+        """The place with each row of letters set apart restored."""
+        parts = NO_LETTER.split(place)
+        for i in range(0, len(parts), 2):
+            core = parts[i].strip(SEPARATORS)
+            if len(core) > 4:
+                at = parts[i].index(core)
+                parts[i] = parts[i][:at] + self.restore(core) + parts[i][at + len(core):]
+        return "".join(parts)
+
 
 def odd_places(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(start, end, spaced) in bytes: tokens, and single letters where a spaced word may start, worth a look."""
+    """(start, end, spaced) in bytes, apart from each other: tokens worth a look, and rows of single letters."""
     n = len(data)
     if n < 5:
         return [(x, y, False) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) if y > x]
@@ -184,15 +203,25 @@ def odd_places(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, bool]]
     end = np.flatnonzero(token & (first[1:] | np.concatenate((~token[1:], [True])))) + 1
     hit = np.unique(np.searchsorted(begin, np.flatnonzero(flag[:n] & token), side="right") - 1)
     out = [(x, y, False) for x, y in zip(begin[hit].tolist(), end[hit].tolist(), strict=True)]
-    # a word of one letter with two more within the next few characters
+    # words of one letter, one separator between them: from each first to the last of its row
     start = np.flatnonzero(letter & (first[:n] | np.concatenate(([True], ~letter[:-1]))))
     stop = np.flatnonzero(letter & (first[1:] | np.concatenate((~letter[1:], [True])))) + 1
     chars = np.concatenate(([0], np.cumsum(letter & ((low & 0xC0) != 0x80))))
-    single = start[chars[stop] - chars[start] == 1]
-    if len(single) > 2:
-        near = single[:-2][single[2:] - single[:-2] <= 8]
-        out += [(x, x, True) for x in near.tolist()]
-    return sorted(out)
+    single = chars[stop] - chars[start] == 1
+    start, stop = start[single], stop[single]
+    if len(start) > 2:
+        near = (start[1:] - stop[:-1] == 1) & _APART[low[stop[:-1] % n]] & ~first[start[1:]] & ~first[stop[:-1]]
+        new = np.flatnonzero(np.concatenate(([True], ~near)))
+        last = np.concatenate((new[1:], [len(start)])) - 1
+        row = last - new >= 2
+        out += [(x, y, True) for x, y in zip(start[new[row]].tolist(), stop[last[row]].tolist(), strict=True)]
+    apart: list[tuple[int, int, bool]] = []
+    for x, y, spaced in sorted(out):
+        if apart and x < apart[-1][1]:
+            x, y, spaced = apart[-1][0], max(y, apart[-1][1]), spaced or apart[-1][2]
+            apart.pop()
+        apart.append((x, y, spaced))
+    return apart
 
 
 def restored(column: pa.Array, channel: Channel) -> pa.Array:
@@ -202,23 +231,11 @@ def restored(column: pa.Array, channel: Channel) -> pa.Array:
         places = odd_places(data, off)
         if not places:
             continue
-        raw, changed, done, at = data.tobytes(), {}, 0, -1
+        raw, changed = data.tobytes(), {}
         doc = np.searchsorted(off, [p[0] for p in places], side="right") - 1
         for k, (x, y, spaced) in zip(doc.tolist(), places, strict=True):
-            if k != at:
-                at, done = k, 0
-            if x < done:
-                continue
-            if spaced:
-                m = SPACED.match(raw[x:min(x + 8 * LONGEST, int(off[k + 1]))].decode(errors="ignore"))
-                if m is None:
-                    continue
-                old = m.group()
-                y, new = x + len(old.encode()), channel.restore(old)
-            else:
-                old = raw[x:y].decode()
-                new = channel.token(old)
-            done = y
+            old = raw[x:y].decode()
+            new = channel.spaced(old) if spaced else channel.token(old)
             if new != old:
                 changed.setdefault(k, []).append((x, y, new))
         if changed and texts is None:

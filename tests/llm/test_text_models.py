@@ -151,6 +151,30 @@ def test_channel_restores_known_words():
     assert toxicity.restored(pa.array(noisy), channel).to_pylist() == want
 
 
+def _channel(words):
+    rnd = random.Random(1)
+    n = np.zeros(toxicity.SIZE ** 3, np.int64)
+    for _, _, data, _ in text.slices(pa.array([" ".join(rnd.choice(words.split()) for _ in range(4000))])):
+        k = np.concatenate(([0, 0], toxicity._CLASS[data].astype(np.int32), [0, 0]))
+        n += np.bincount((k[:-2] * 28 + k[1:-1]) * 28 + k[2:], minlength=28 ** 3)
+    return toxicity.Channel(n)
+
+
+def test_channel_restores_places_of_any_length():
+    channel = _channel("you are stupid idiot and moron trash clown worthless loser")
+    said = "you are stupid idiot and moron".split()
+    spaced = " ".join("".join(said))
+    chained = ".".join(["clown", "1d10t", "trash", "moron", "worthless", "loser", "stupid", "clown"])
+    noisy = [spaced, " ".join("".join(said * 8)), "stu" + "u" * 100 + "pid", chained, "\u2014 a b \u2014", "i d i o t-clown"]
+    assert len(spaced) > 48 and len(" ".join("".join(said * 8))) > 384 and len(chained) > 48
+    got = toxicity.restored(pa.array(noisy), channel).to_pylist()
+    assert [g.replace(" ", "") for g in got[:2]] == ["".join(said), "".join(said * 8)]
+    assert got[0].split() == said and got[1].split() == said * 8 and got[2] == "stupid"
+    assert got[3].replace(" ", "") == "clownidiottrashmoronworthlessloserstupidclown"
+    assert got[4:] == ["\u2014 a b \u2014", "idiot clown"]
+    assert len(toxicity.restored(pa.array(["stu" + "u" * 200_000 + "pid " + "a b " * 50_000]), channel)[0].as_py()) < 400_000
+
+
 def test_toxicity_learns_and_bears_odd_rows(spark, odd, nothing):
     rnd = random.Random(2)
     plain = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ato", "emi", "ilo", "onu", "ura")]
