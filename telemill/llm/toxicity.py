@@ -3,9 +3,10 @@
 1. A character model (trigrams of letters within words) is counted over all
    documents.
 2. Suspicious places of a text (digits or marks between letters, letters three
-   times or more in a row, letters set apart one by one) become lattices: a
-   mark may stand for letters it looks like, a separator for nothing or a
-   word's end, a repeated letter for nothing. The Viterbi path of least cost
+   times or more in a row, letters or their look-alikes set apart one by one by
+   any number of separators) become lattices: a mark may stand for letters it
+   looks like, a separator for nothing or a word's end, a letter or look-alike
+   that repeats the last letter for nothing. The Viterbi path of least cost
    (channel plus character model) is the restored word.
 3. Words of the restored text, and their first 4 to 8 bytes, occurring once,
    twice or three times and more, are features by hash. Those that labelled
@@ -48,15 +49,23 @@ ALIKE, REPEAT, DROP, END, HIDDEN = 0.7, 0.3, 8.0, 0.5, 1.0
 #: Longest place that is remembered; longer ones seldom come again.
 REMEMBERED = 64
 
+#: What belongs to a token besides letters; what single characters of a row are, and which may follow one as punctuation.
+MARKS = "".join(LOOKS_LIKE) + SEPARATORS.strip()
+PUNCTUATION = "!|+"
 #: What ends a row of letters set apart one by one, though its bytes are those of letters.
 NO_LETTER = regex.compile(r"([^\p{L}\x00-\x7f]+)")
 #: What makes a token of letters and marks worth a look.
 ODD = regex.compile(r"\p{L}[^\p{L}]+\p{L}|^[0-9@$!|+]+\p{L}|\p{L}[0-9@$|+]|(\p{L})\1\1", regex.IGNORECASE)
+LETTER = regex.compile(r"\p{L}")
 
 _MARKS = np.zeros(256, bool)
-_MARKS[list(b"0123456789@$!|+*.-_'")] = True
+_MARKS[list(MARKS.encode())] = True
 _APART = np.zeros(256, bool)
-_APART[list(b" .-_*")] = True
+_APART[list(SEPARATORS.encode())] = True
+_ALIKE = np.zeros(256, bool)
+_ALIKE[list("".join(LOOKS_LIKE).encode())] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(PUNCTUATION.encode())] = True
 _CLASS = np.zeros(256, np.int16)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
@@ -111,8 +120,6 @@ class Channel:
         out = []
         if ch.isalpha():
             out.append((ch, 0.0))
-            if i and s[i - 1] == ch:
-                out.append(("", REPEAT))
         else:
             out += [(x, ALIKE) for x in LOOKS_LIKE.get(ch, "")]
             if ch == "*":
@@ -154,6 +161,10 @@ class Channel:
                             key, total, now = (0, 0), cost + price + self.cost[a][b][0], (" ", text)
                     else:
                         k = number(letter)
+                        if k == b and text[0] == letter:  # the last letter again, whatever was dropped between
+                            key, total = (a, b), cost + price + REPEAT
+                            if key not in new or total < new[key][0]:
+                                new[key] = (total, text)
                         key, total, now = (b, k), cost + price + self.cost[a][b][k], (letter, text)
                     if key not in new or total < new[key][0]:
                         new[key] = (total, now)
@@ -167,7 +178,7 @@ class Channel:
 
     def token(self, token: str) -> str:
         """The token with what lies between its outer marks restored."""
-        core = token.strip(".-_*'!|+")
+        core = token.lstrip(SEPARATORS).rstrip(SEPARATORS + PUNCTUATION)
         if not ODD.search(core):
             return token
         at = token.index(core)
@@ -178,7 +189,7 @@ class Channel:
         parts = NO_LETTER.split(place)
         for i in range(0, len(parts), 2):
             core = parts[i].strip(SEPARATORS)
-            if len(core) > 4:
+            if len(core) > 4 and LETTER.search(core):
                 at = parts[i].index(core)
                 parts[i] = parts[i][:at] + self.restore(core) + parts[i][at + len(core):]
         return "".join(parts)
@@ -203,18 +214,28 @@ def odd_places(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, bool]]
     end = np.flatnonzero(token & (first[1:] | np.concatenate((~token[1:], [True])))) + 1
     hit = np.unique(np.searchsorted(begin, np.flatnonzero(flag[:n] & token), side="right") - 1)
     out = [(x, y, False) for x, y in zip(begin[hit].tolist(), end[hit].tolist(), strict=True)]
-    # words of one letter, one separator between them: from each first to the last of its row
-    start = np.flatnonzero(letter & (first[:n] | np.concatenate(([True], ~letter[:-1]))))
-    stop = np.flatnonzero(letter & (first[1:] | np.concatenate((~letter[1:], [True])))) + 1
-    chars = np.concatenate(([0], np.cumsum(letter & ((low & 0xC0) != 0x80))))
-    single = chars[stop] - chars[start] == 1
-    start, stop = start[single], stop[single]
+    # single letters or look-alikes (punctuation may follow), only separators between: from each first to the last of its row
+    unit = letter | _ALIKE[low]
+    start = np.flatnonzero(unit & (first[:n] | np.concatenate(([True], ~unit[:-1]))))
+    stop = np.flatnonzero(unit & (first[1:] | np.concatenate((~unit[1:], [True])))) + 1
+    chars = np.concatenate(([0], np.cumsum(unit & ((low & 0xC0) != 0x80))))
+    marks = np.concatenate(([0], np.cumsum(_PUNCTUATION[low])))
+    letters = np.concatenate(([0], np.cumsum(letter)))
+    apart_ = np.concatenate(([0], np.cumsum(_APART[low])))
+    docs = np.searchsorted(off, start, side="right")
+    lead = (chars[stop] - chars[start]) - (marks[stop] - marks[start])
+    single = (chars[stop] - chars[start] == 1) | ((lead == 1) & ~_PUNCTUATION[low[start]])
+    start, stop, docs = start[single], stop[single], docs[single]
     if len(start) > 2:
-        near = (start[1:] - stop[:-1] == 1) & _APART[low[stop[:-1] % n]] & ~first[start[1:]] & ~first[stop[:-1]]
+        gap = start[1:] - stop[:-1]
+        near = (gap > 0) & (apart_[start[1:]] - apart_[stop[:-1]] == gap) & (docs[1:] == docs[:-1])
         new = np.flatnonzero(np.concatenate(([True], ~near)))
         last = np.concatenate((new[1:], [len(start)])) - 1
-        row = last - new >= 2
-        out += [(x, y, True) for x, y in zip(start[new[row]].tolist(), stop[last[row]].tolist(), strict=True)]
+        many = marks[stop] - marks[start]
+        end = np.where(chars[stop] - chars[start] > 1, stop - many, stop)  # punctuation behind the last stays
+        x, y = start[new], end[last]
+        row = (last - new >= 2) & (letters[y] > letters[x])
+        out += [(i, j, True) for i, j in zip(x[row].tolist(), y[row].tolist(), strict=True)]
     apart: list[tuple[int, int, bool]] = []
     for x, y, spaced in sorted(out):
         if apart and x < apart[-1][1]:

@@ -175,6 +175,17 @@ def test_channel_restores_places_of_any_length():
     assert len(toxicity.restored(pa.array(["stu" + "u" * 200_000 + "pid " + "a b " * 50_000]), channel)[0].as_py()) < 400_000
 
 
+def test_channel_restores_mixed_noise():
+    channel = _channel("you are stupid idiot and moron trash clown worthless loser")
+    noisy = ["i d 1 0 t", "1 d 1 0 t", "s t u p 1 d", "i  d  i  o  t", "i - d - i - o - t", "stu#pid", "i~d~i~o~t",
+             "m/o/r/o/n", "m,o:r;0%n", "s s t u u u p 1 d!", "t r @ @ s h.", "c=l=0=0=0=w=n", "!diot",
+             "1 2 3 4", "a b", "3 + 4 = 7", "\u2014 \u2014 \u2014", "plain words, and more: of them"]
+    want = ["idiot", "idiot", "stupid", "idiot", "idiot", "stupid", "idiot", "moron", "moron", "stupid!", "trash.",
+            "clown", "idiot", "1 2 3 4", "a b", "3 + 4 = 7", "\u2014 \u2014 \u2014", "plain words, and more: of them"]
+    got = toxicity.restored(pa.array(noisy), channel).to_pylist()
+    assert [(g, w) for g, w in zip(got, want, strict=True) if g != w] == []
+
+
 def test_toxicity_learns_and_bears_odd_rows(spark, odd, nothing):
     rnd = random.Random(2)
     plain = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ato", "emi", "ilo", "onu", "ura")]
