@@ -7,8 +7,9 @@ stages but the last return the columns of `documents`; whatever other columns
 there are pass through unchanged.
 
 Defined cases: an empty table gives an empty result; null texts have no words
-and go with the quality rules; rows without doc_id are never near-duplicates
-and keep their words.
+and go with the quality rules; of repeated rows one stays, and rows of one
+doc_id with unlike texts stay all; rows without doc_id are never
+near-duplicates and keep their words.
 """
 
 from __future__ import annotations
@@ -33,11 +34,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
+    """One row of each group of near-duplicates: the one with the least doc_id."""
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not several.isEmpty():
+        return _near_duplicate_rows(docs)
     gone = minmax.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
+def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """The same where several rows have one doc_id: each row is numbered and judged by its own text."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    named = rows.where("doc_id IS NOT NULL")
+    near = minmax.near_duplicates(named, id_col="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    # texts without words are linked to nothing: rows of one doc_id are the copies there
+    keep = written(near.join(named.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
+                   .groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")),
+                            F.when(F.col("n_shingles") == 0, F.col("_id")))
+                   .agg(F.min(F.struct("_id", "_row")).alias("least")).select("least._row"))
+    kept = named.join(keep, "_row", "left_semi").select(docs.columns)
+    return kept.unionByName(rows.where("doc_id IS NULL").select(docs.columns))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that are repeated anywhere."""
     return _counted(automaton_dedup.rewrite(docs))

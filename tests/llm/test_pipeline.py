@@ -55,6 +55,28 @@ def test_run_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == {i for i, _ in final} and padding <= 0.02 * total
 
 
+def test_repeated_rows_leave_one(spark, tmp_path):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(10 ** 5)}" for _ in range(n)]
+    a, b, c, d = fresh(60), fresh(70), fresh(80), fresh(90)
+    near = [*d[:30], "changed", *d[31:]]
+    texts = [(1, a), (1, a), (1, a), (2, b), (2, c), (3, a), (4, d), (4, near), (5, c), (6, fresh(50))]
+    docs = [(i, " ".join(w), "en", "src", len(" ".join(w))) for i, w in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    stage = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in stage if r["doc_id"] != 4) == sorted(
+        {(i, n) for i, _, _, _, n in docs if i in (1, 2, 6)})
+    left = [r["text"] for r in stage if r["doc_id"] == 4]
+    assert len(left) == 1 and left[0] in (" ".join(d), " ".join(near))
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in rows} == {1, 2, 4, 6}
+    check_packing(rows, [(r["doc_id"], r["text"]) for r in stage if r["doc_id"] != 2])
+    empty = spark.createDataFrame([(7, "", "en", "src", 0)] * 2 + [(8, "", "en", "src", 0)], schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, empty, folder).collect()) == [7, 8]
+
+
 def _passes(t):
     n, _, _, _, repeat, covered, longest = brute_repetition(t)
     return not (n < 10 or 100 * repeat > 20 * n) and covered <= 0.2 * n and longest <= 100
