@@ -6,6 +6,7 @@ from . import automaton_dedup, line_dedup, minmax, repetition, suffix_dedup
 from .bpe import op7_byte_bpe
 from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
+from .periodic_runs import op12_periodic_runs
 from .pii import op8_skip_chain_pii
 from .toxicity import op2_noisy_channel_toxicity
 from .weak_labels import op10_weak_label_quality
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
     "op10_weak_label_quality": op10_weak_label_quality,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_bloom_line_dedup": line_dedup.op13_bloom_line_dedup,
 }
 
@@ -29,5 +31,6 @@ ORACLE: dict[str, str] = {
     "op4_suffix_automaton_dedup": automaton_dedup.ORACLE_SQL,
     "op6_suffix_repetition": repetition.ORACLE_SQL,
     "op9_minmax_near_dedup": minmax.ORACLE_SQL,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_bloom_line_dedup": line_dedup.ORACLE_SQL,
 }
