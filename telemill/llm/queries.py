@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton_dedup, line_dedup, minmax, repetition, suffix_dedup
+from . import automaton_dedup, hard_negatives, line_dedup, minmax, repetition, suffix_dedup
 from .bpe import op7_byte_bpe
 from .fingerprints import op5_weighted_sampling
 from .packing import op1_harmonic_packing
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
     "op10_weak_label_quality": op10_weak_label_quality,
+    "op11_anchor_tree_negatives": hard_negatives.op11_anchor_tree_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_bloom_line_dedup": line_dedup.op13_bloom_line_dedup,
 }
@@ -31,6 +32,8 @@ ORACLE: dict[str, str] = {
     "op4_suffix_automaton_dedup": automaton_dedup.ORACLE_SQL,
     "op6_suffix_repetition": repetition.ORACLE_SQL,
     "op9_minmax_near_dedup": minmax.ORACLE_SQL,
+    "op11_anchor_tree_negatives": hard_negatives.op11_anchor_tree_negatives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op11_anchor_tree_negatives": hard_negatives.ORACLE_SQL,
     "op13_bloom_line_dedup": line_dedup.ORACLE_SQL,
 }
