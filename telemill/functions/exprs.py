@@ -12,25 +12,30 @@ from pyspark.sql import functions as F
 from telemill.schema import NULL_TOKENS
 
 
-def epoch_us(ts: Column | str) -> Column:
-    """Microseconds since the epoch of a naive timestamp (session zone is UTC)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def epoch_us_sql(ts: str) -> str:
+    """SQL text: microseconds since 1970 on the clock that wrote a naive timestamp, in any session zone.
+
+    A cast to TIMESTAMP would read the clock in the session's zone, where hours are missing or come twice.
+    """
+    return (f"(unix_date(CAST({ts} AS DATE)) * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L "
+            f"+ CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT))")
+
+
+def epoch_us(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column, by its own clock."""
+    return F.expr(epoch_us_sql(f"`{ts}`"))
 
 
 def ts_text(ts: Column | str) -> Column:
-    """Text of a timestamp as Python's ``str(Timestamp)`` writes it:
+    """Text of a naive timestamp as Python's ``str(Timestamp)`` writes it:
     ``yyyy-MM-dd HH:mm:ss`` and six fraction digits only when the fraction is non-zero."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.when(
-        F.pmod(epoch_us(c), F.lit(1_000_000)) == 0,
-        F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
-    ).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz").cast("string")
+    return F.when(F.length(c) > 19, F.rpad(c, 26, "0")).otherwise(c)
 
 
 def minute_text(ts: Column | str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_format(c, "yyyy-MM-dd HH:mm")
+    return F.substring(c.cast("timestamp_ntz").cast("string"), 1, 16)
 
 
 def nan_to_null(c: Column) -> Column:

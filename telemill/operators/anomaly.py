@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.functions.exprs import epoch_us
 from telemill.schema import (SENSORS, DEFAULT_Z_THRESHOLD, rolling_mean_col, rolling_std_col,
                              anomaly_col, zscore_col)
 
@@ -79,7 +80,7 @@ def sensor_anomalies_top(enriched: DataFrame, sensor: str = "temperature_c",
     if machine_id is not None:
         df = df.where(F.col("machine_id") == machine_id)
     bucket_us = bucket_hours * 3_600_000_000
-    df = df.withColumn("_b", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(bucket_us)).cast("long"))
+    df = df.withColumn("_b", F.floor(epoch_us("timestamp") / F.lit(bucket_us)).cast("long"))
     local = Window.partitionBy("machine_id", "_b").orderBy("timestamp", "event_id")
     glob = Window.partitionBy("machine_id").orderBy("timestamp", "event_id")
     cand = df.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= n)

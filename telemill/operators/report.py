@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import fixed
+from telemill.functions.exprs import epoch_us_sql, fixed
 
 # ---------------------------------------------------------------------------
 # Report badges by severity and by priority.
@@ -217,9 +217,9 @@ def assemble_report(diagnoses: DataFrame, generated_at: str, fleet: DataFrame |
         parts.append(fleet_section(fleet).select(F.lit(2).alias("section_ord"), F.lit(0).cast("bigint").alias("ord"),
                                                  F.lit("").alias("tie"), "text"))
     parts.append(fixed_rows(3, list(enumerate(DETAILS_HEAD))))
-    start = F.col("start").cast("timestamp_ntz").cast("timestamp")
+    start = F.expr(epoch_us_sql("CAST(start AS TIMESTAMP_NTZ)"))
     parts.append(diagnoses.select(
-        F.lit(4).alias("section_ord"), F.unix_micros(start).alias("ord"),
+        F.lit(4).alias("section_ord"), start.alias("ord"),
         F.col("machine_id").alias("tie"), diagnosis_section().alias("text")))
     out = parts[0]
     for p in parts[1:]:

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import epoch_us, fixed, minute_text, non_blank, round1, ts_text
+from telemill.functions.exprs import epoch_us, epoch_us_sql, fixed, minute_text, non_blank, round1, ts_text
 from telemill.schema import FAILURE_SEVERITIES, SENSORS, DEFAULT_GAP_MINUTES, DEFAULT_MAX_WINDOWS
 
 US_PER_MINUTE = 60_000_000
@@ -67,7 +67,7 @@ def window_entries(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MINUTES,
     gap_us = gap_minutes * US_PER_MINUTE
     bucket_us = bucket_minutes * US_PER_MINUTE
     f = failure_events(logs).selectExpr(
-        "*", f"unix_micros(CAST(`timestamp` AS TIMESTAMP)) AS {_TS}").selectExpr(
+        "*", f"{epoch_us_sql('`timestamp`')} AS {_TS}").selectExpr(
         "*", f"({_TS} - pmod({_TS}, {bucket_us})) div {bucket_us} AS {_B}")  # rounded down also before 1970
 
     w = f"PARTITION BY machine_id, {_B} ORDER BY {_TS}, event_id"

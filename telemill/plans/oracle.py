@@ -414,6 +414,12 @@ SELECT cast(event_id AS varchar) AS source_row, CASE WHEN event_id % 19 = 3 THEN
        CASE WHEN event_id % 13 = 6 THEN NULL ELSE nullif(operator_notes, '') END AS operator_notes,
        cast(NULL AS varchar) AS material, event_id % 19 = 3 OR {_BAD_CELL} AS corrupt
 FROM logs""",
+    "csv_line_breaks": _with(LOGS) + f"""
+SELECT cast(l.event_id AS varchar) AS source_row, l."timestamp", l.machine_id, l.severity, nullif(l.error_code, '') AS error_code,
+       {", ".join("l." + s for s in SENSORS)},
+       CASE WHEN l.event_id % 3 = 0 THEN 'seen "' || e.event_type || '",' || chr(10) || 'then ' || l.event_id || chr(10) || chr(10) || '"'
+            WHEN l.event_id % 3 = 1 THEN e.event_type || ', again' END AS operator_notes, false AS corrupt
+FROM logs l JOIN events e ON l.event_id = e.event_id""",
     "reply_records": _with(LOGS, FAILS) + """,
 kinds AS (SELECT machine_id, start, cast((event_count * 5 + minute(start)) % 8 AS bigint) AS kind FROM windows)
 SELECT machine_id, start, kind,

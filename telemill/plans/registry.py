@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from telemill.sources import csv_logs
 from telemill.sources.events_adapter import load_machine_logs
 from telemill.operators import anomaly, catalog, diagnose, features, report, sessions, summary
-from telemill.schema import SENSORS, rolling_mean_col, rolling_std_col, anomaly_col, zscore_col
+from telemill.schema import RAW_COLUMNS, SENSORS, rolling_mean_col, rolling_std_col, anomaly_col, zscore_col
+from telemill.session import shared_folder
 
 
 
@@ -188,6 +189,21 @@ def q_load_logs(spark, sf_dir):
                       "operator_notes", "material", F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
 
+_BROKEN_NOTE = """CASE WHEN event_id % 3 = 0 THEN concat('seen "', event_type, '",', chr(10), 'then ', event_id, chr(10), chr(10), '"')
+                       WHEN event_id % 3 = 1 THEN concat(event_type, ', again') END AS operator_notes"""
+
+
+def q_csv_line_breaks(spark, sf_dir):
+    """All rows written as CSV, notes with line breaks and quotes, and read back from files split between tasks."""
+    out = shared_folder(spark, "csv-logs")
+    broken = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", _BROKEN_NOTE)
+    logs = _logs(spark, sf_dir).drop("operator_notes").join(broken, "event_id")
+    csv_logs.write_logs_csv(logs.select(F.col("event_id").cast("string").alias("source_row"), *[c for c in RAW_COLUMNS if c in logs.columns]), out)
+    back = csv_logs.read_logs_csv(spark, out)
+    return back.select("source_row", "timestamp", "machine_id", "severity", "error_code", *SENSORS, "operator_notes",
+                       F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
 def q_prepared_windows(spark, sf_dir):
     p = sessions.prepared_windows(_logs(spark, sf_dir), nested=False)
     return p.select("machine_id", "start", "end", "duration_minutes", "event_count", "max_severity",
@@ -397,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "window_prompts": q_window_prompts,
     "report_sections": q_report_sections,
     "load_logs": q_load_logs,
+    "csv_line_breaks": q_csv_line_breaks,
     "machine_list": q_machine_list,
     "machine_trend": q_machine_trend,
     "window_notes": q_window_notes,

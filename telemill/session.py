@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings every telemill job relies on: UTC wall clock (timestamps are
@@ -49,3 +52,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
+
+
+def shared_folder(spark: SparkSession, name: str = "telemill") -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where the setting is missing, a session on one machine gets a temporary
+    folder named in it; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not top:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
+        top = tempfile.mkdtemp(prefix="telemill-shared-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

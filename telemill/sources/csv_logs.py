@@ -6,31 +6,75 @@ whose cell does not cast keeps NULL in that column and its raw cells in
 ``_corrupt_record`` (JSON), so bad rows are visible, not lost. Columns beyond
 the known ones are kept as text.
 
-Files are split between tasks by default, which needs one line per row. Logs
-whose notes hold line breaks inside quotes are read with ``multi_line=True``,
-one task per file; read the other way, the lines with too few cells that an
-open quote leaves behind show in ``_corrupt_record``.
+Files are split between tasks, also where notes hold line breaks inside quotes
+(``quoted_csv``: two passes). Logs known to have one line per row are read in
+one pass with ``line_breaks="none"``; the lines with too few cells that an open
+quote leaves behind show in ``_corrupt_record`` then.
 """
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.functions.exprs import nan_to_null, null_if_token
 from telemill.schema import OPTIONAL_TEXT, RAW_COLUMNS, SENSORS
+from telemill.sources.quoted_csv import quoted_records
 
 
 _LINE = "_corrupt_line"
+# all cells are parsed, so that a line with too few of them shows whatever columns are used
+_OPTIONS = {"header": True, "escape": '"', "mode": "PERMISSIVE", "columnPruning": False, "enforceSchema": False}
+
 
+def read_logs_csv(spark: SparkSession, path: str, multi_line: bool = False, line_breaks: str | None = None) -> DataFrame:
+    """Typed log of all CSV files of a path; columns go by each file's header.
 
-def read_logs_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    # all cells are parsed, so that a line with too few of them shows whatever columns are used
-    options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE", "columnPruning": False}
+    ``line_breaks`` says what a line break inside quotes is: ``quoted`` (the
+    default) part of the cell, with files split between tasks; ``none`` the
+    end of the row, in one pass; ``whole_file`` part of the cell, one task a file
+    (``multi_line=True``). With the latter two all files have one header.
+    """
+    how = line_breaks or ("whole_file" if multi_line else "quoted")
+    if how == "quoted":
+        return type_cells(_cells(*quoted_records(spark, path)))
+    if how not in ("none", "whole_file"):
+        raise ValueError(f"unknown line_breaks {how!r}")
+    options = {**_OPTIONS, "multiLine": how == "whole_file"}
     names = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _LINE]])
-    return type_cells(spark.read.options(**options, columnNameOfCorruptRecord=_LINE).schema(schema).csv(path))
+    return type_cells(spark.read.options(**options, columnNameOfCorruptRecord=_LINE).schema(_text_schema(names)).csv(path))
+
+
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*names, _LINE]])
+
+
+def _header_names(header: str) -> list[str]:
+    """Column names of a header line; nameless ones and repeats get their number."""
+    out: list[str] = []
+    for k, name in enumerate(next(csv.reader([header]), [])):
+        out.append(f"_c{k}" if not name else f"{name}{k}" if name in out else name)
+    return out
+
+
+def _cells(records: DataFrame, headers: list[str]) -> DataFrame:
+    """Text cells by name from records; a column that a file's header lacks is NULL in its rows."""
+    names = [_header_names(h) for h in headers]
+    every = [*dict.fromkeys(c for n in names for c in n), _LINE]
+    if not headers:
+        return records.sparkSession.createDataFrame([], _text_schema(RAW_COLUMNS))
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _LINE}
+    parsed = None
+    for k, own in enumerate(names):
+        ddl = ", ".join("`" + c.replace("`", "``") + "` STRING" for c in [*own, _LINE])
+        cells = F.from_csv("record", ddl, options)
+        if own != every[:-1]:
+            cells = F.struct(*[(cells.getField(c) if c in own or c == _LINE else F.lit(None).cast("string")).alias(c) for c in every])
+        parsed = cells if k == 0 else F.when(F.col("header") == k, cells).otherwise(parsed)
+    return records.select(parsed.alias("c")).select(*[F.col("c").getField(c).alias(c) for c in every])
 
 
 def type_cells(raw: DataFrame) -> DataFrame:

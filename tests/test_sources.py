@@ -1,10 +1,12 @@
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from telemill.operators import sessions
-from telemill.schema import RAW_COLUMNS
+from telemill.schema import RAW_COLUMNS, SENSORS
 from telemill.sources.csv_logs import read_logs_csv, write_logs_csv
 from telemill.sources.events_adapter import load_machine_logs
 
@@ -57,13 +59,13 @@ def test_csv_round_trip_keeps_results(spark, tmpdir_path):
     assert a == b
 
 
-def test_csv_is_split_by_default_and_shows_open_quotes(spark, tmpdir_path):
+def test_csv_by_lines_shows_open_quotes(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "logs.csv")
     row = "2025-01-01 00:00:00,LC-01,,,,INFO,,,1,2,3,4,5,6,"
     _write(p, [HEADER + ",site", *[row + "fine,x"] * 20_000, row + '"line one', 'line two",x'])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
     try:
-        df = read_logs_csv(spark, p)
+        df = read_logs_csv(spark, p, line_breaks="none")
         assert df.rdd.getNumPartitions() > 1
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -92,3 +94,90 @@ def test_processed_table_has_few_files_a_date(spark, tmpdir_path):
     for d in os.listdir(out):
         if d.startswith("date="):
             assert len([f for f in os.listdir(os.path.join(out, d)) if f.startswith("part-")]) <= 2
+
+
+def _quoted_rows(rnd, n):
+    """CSV cells as a writer makes them: quotes doubled, line breaks and commas inside quotes."""
+    out = []
+    for k in range(n):
+        note = rnd.choice(["", "fine", 'said ""hot""', "two\nlines", 'a ""b""\n\n,c', "x" * rnd.randrange(200), '\n""\n', "ünï, ✓"])
+        cells = ["2025-01-01 00:%02d:%02d" % (k // 60 % 60, k % 60), f"LC-{k % 7}", rnd.choice(["INFO", "ERROR"]), f"E-{k}",
+                 *[str(rnd.randrange(100)) for _ in SENSORS]]
+        out.append([*cells, note])
+    return out
+
+
+def _csv_file(path, header, rows, end="\n"):
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        for r in [header, *rows]:
+            f.write(",".join(f'"{c}"' if any(x in c for x in '",\n') else c for c in r) + end)
+
+
+_MINIMAL = ["timestamp", "machine_id", "severity", "error_code", *SENSORS, "operator_notes"]
+
+
+@pytest.mark.parametrize("seed,split", [(1, "300"), (2, "1k"), (3, "90"), (4, "64k")])
+def test_line_breaks_in_quotes_at_any_split(spark, tmpdir_path, seed, split):
+    rnd = random.Random(seed)
+    for k in range(3):
+        _csv_file(os.path.join(tmpdir_path, f"{k}.csv"), _MINIMAL, _quoted_rows(rnd, [400, 1, 0][k]))
+    whole = sorted(map(tuple, read_logs_csv(spark, tmpdir_path, multi_line=True).collect()), key=str)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = read_logs_csv(spark, tmpdir_path)
+        assert sorted(map(tuple, df.collect()), key=str) == whole and len(whole) == 401
+        assert split == "64k" or df.rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_file_with_line_breaks_has_several_tasks(spark, tmpdir_path):
+    rnd = random.Random(9)
+    block = _quoted_rows(rnd, 4000)
+    p = os.path.join(tmpdir_path, "large.csv")
+    _csv_file(p, _MINIMAL, block * 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        df = read_logs_csv(spark, p)
+        assert os.path.getsize(p) > 15_000_000 and df.rdd.getNumPartitions() > 6
+        assert df.count() == 200_000 and df.where("_corrupt_record IS NOT NULL").count() == 0
+        whole = read_logs_csv(spark, p, multi_line=True)
+        marks = [F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))]
+        assert df.agg(*marks).first() == whole.agg(*marks).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_columns_go_by_each_files_header(spark, tmpdir_path):
+    row = ["2025-01-01 00:00:00", "LC-01", "ERROR", "E-201", "1", "2", "3", "4", "5", "6", "one\ntwo"]
+    _csv_file(os.path.join(tmpdir_path, "a.csv"), _MINIMAL, [row])
+    _csv_file(os.path.join(tmpdir_path, "b.csv"), ["\ufeff" + "operator_notes", *_MINIMAL[-2::-1]], [row[::-1]], "\r\n")
+    _csv_file(os.path.join(tmpdir_path, "c.csv"), [*_MINIMAL, "site", "", "site"], [[*row, "north", "7", "9"], row[:5]])
+    got = read_logs_csv(spark, tmpdir_path)
+    assert [c for c in got.columns if c not in RAW_COLUMNS] == ["event_id", "site", "_c12", "site13", "_corrupt_record"]
+    rows = got.collect()
+    assert len(rows) == 4 and sum(r["_corrupt_record"] is not None for r in rows) == 1
+    good = [r for r in rows if r["_corrupt_record"] is None]
+    for r in good:
+        assert (r["machine_id"], r["severity"], r["laser_power_w"], r["coolant_flow_lpm"]) == ("LC-01", "ERROR", 1.0, 6.0)
+        assert r["operator_notes"].replace("\r", "") == "one\ntwo"
+    assert sorted((r["site"], r["_c12"], r["site13"]) for r in good if r["site"]) == [("north", "7", "9")]
+
+
+def test_open_quote_at_the_end_of_a_file_costs_one_record(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "x.csv")
+    row = "2025-01-01 00:00:00,LC-01,INFO,,1,2,3,4,5,6,"
+    _write(p, [",".join(_MINIMAL), row, row + "fine", row + '"never closed'])
+    got = read_logs_csv(spark, p).collect()
+    assert len(got) == 3
+    _write(os.path.join(tmpdir_path, "empty.csv"), [])
+    assert read_logs_csv(spark, tmpdir_path).count() == 3
+
+
+def test_no_rows(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "x.csv")
+    _write(p, [HEADER])
+    got = read_logs_csv(spark, p)
+    assert got.count() == 0 and set(RAW_COLUMNS) <= set(got.columns)
