@@ -13,9 +13,10 @@ that is a handful of huge, skewed tasks. All operators here partition by
   ``explode``, no second scan); prefix moments run up in time order, suffix
   moments run down, and the two are merged by count, mean and sum of squared
   deviations. Nothing is ever subtracted, so one glitch of any size is
-  forgotten as soon as it leaves the frame. ``sub_blocks`` cuts blocks finer
-  for dense machines: whole blocks between the two ends then come from a table
-  of one row per machine and block;
+  forgotten as soon as it leaves the frame. A machine with more than
+  ``block_rows`` rows in a frame gets finer blocks, a power of two to the frame
+  (``machine_levels``): the whole blocks between the two ends then come from
+  a dyadic table of mergeable moments (``_middle``), log2(blocks) merges each;
 * the look-back of ``time_since_last`` is unbounded, so the first row of a
   block takes the last timestamp of the machine's previous non-empty block
   from a small edge table (one row per machine and block).
@@ -48,9 +49,9 @@ _SPREAD = 4096
 _VALID_SQL = "machine_id IS NOT NULL AND timestamp IS NOT NULL"
 
 
-def _block(width_us: int) -> str:
+def _block(width_us: int | str) -> str:
     """Block number of a row, rounded down also before 1970; rows without history are spread by id."""
-    return (f"CASE WHEN {_VALID_SQL} THEN ({_TS} - pmod({_TS}, {width_us})) div {width_us} "
+    return (f"CASE WHEN {_VALID_SQL} THEN ({_TS} - pmod({_TS}, {width_us})) div ({width_us}) "
             f"ELSE pmod(event_id, {_SPREAD}) END")
 
 
@@ -62,14 +63,14 @@ def _with_ts(df: DataFrame) -> DataFrame:
     return df.withColumn(_TS, epoch_us("timestamp"))
 
 
-def _edge_table(df: DataFrame, bucket_us: int) -> DataFrame:
+def _edge_table(df: DataFrame, width_us: int | str) -> DataFrame:
     """(machine_id, bucket) -> last timestamp of the machine's previous non-empty bucket.
 
     One row per machine and bucket: its size is the number of machine-days, not
     the number of events, so the per-machine window below stays small.
     """
     per_bucket = (df.where(_valid())
-                  .groupBy("machine_id", F.expr(_block(bucket_us)).alias(_B))
+                  .groupBy("machine_id", F.expr(_block(width_us)).alias(_B))
                   .agg(F.max(_TS).alias("_last_us")))
     return per_bucket.select(
         "machine_id", _B,
@@ -118,10 +119,64 @@ def _frame_us(window_hours: float) -> int:
     return int(window_hours * US_PER_HOUR)
 
 
-def _block_us(frame_us: int, sub_blocks: int) -> int:
-    if sub_blocks < 1 or frame_us % sub_blocks:
-        raise ValueError("sub_blocks must divide the frame into whole microseconds")
-    return frame_us // sub_blocks
+#: Rows of one machine and block that a task should have to sort at most.
+BLOCK_ROWS = 200_000
+#: Finest blocks: a 4096th of the frame (3.5 seconds of four hours).
+MAX_LEVEL = 12
+#: Machines whose levels are joined by broadcast (some 30 bytes each); more than that share one level.
+LEVEL_MACHINES = 1_000_000
+_SUB = "_sub"
+
+
+def _finest(frame_us: int) -> int:
+    """The most times that a frame of whole microseconds can be halved, up to MAX_LEVEL."""
+    level = 0
+    while level < MAX_LEVEL and frame_us % (2 << level) == 0:
+        level += 1
+    return level
+
+
+def machine_levels(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS, block_rows: int = BLOCK_ROWS) -> dict | int:
+    """How often the frame is halved for each dense machine: {machine_id: level}, or one level for all.
+
+    Counts rows per machine and frame first (one narrow scan, partial counts
+    before the shuffle). Only machines with more than ``block_rows`` rows in
+    some frame are looked at again, in ever finer blocks; a machine gets the
+    coarsest level at which no block has more rows, bursts included.
+    """
+    frame_us, finest = _frame_us(window_hours), _finest(_frame_us(window_hours))
+    x = _with_ts(logs.select("machine_id", "timestamp", "event_id")).where(_VALID_SQL)
+    dense = (x.groupBy("machine_id", F.expr(_block(frame_us)).alias(_B)).count().where(F.col("count") > block_rows)
+             .select("machine_id").distinct().limit(LEVEL_MACHINES + 1).toArrow())
+    if not dense.num_rows or not finest:
+        return {}
+    many = dense.num_rows > LEVEL_MACHINES
+    if not many:
+        x = x.join(F.broadcast(logs.sparkSession.createDataFrame(dense)), "machine_id", "left_semi")
+    cells = x.groupBy("machine_id", F.expr(_block(frame_us >> finest)).alias("cell")).count()
+    levels = cells.select("machine_id", "cell", "count", F.explode(F.sequence(F.lit(1), F.lit(finest))).alias("level"))
+    blocks = (levels.groupBy("machine_id", "level", F.expr(f"shiftright(cell, {finest} - level)").alias(_B))
+              .agg(F.sum("count").alias("n")))
+    full = (blocks.groupBy("machine_id", "level").agg(F.max("n").alias("n")).where(f"n <= {block_rows} OR level = {finest}")
+            .groupBy("machine_id").agg(F.min("level").alias("level")))
+    if many:
+        return full.agg(F.max("level")).first()[0]
+    return {r["machine_id"]: r["level"] for r in full.toLocalIterator()}
+
+
+def _with_sub_blocks(x: DataFrame, frame_us: int, sub_blocks: int | None, levels: dict | int | None) -> tuple[DataFrame, int]:
+    """(rows with the number of blocks in a frame, bits of the greatest such number less one)."""
+    if sub_blocks is not None:
+        if sub_blocks < 1 or frame_us % sub_blocks:
+            raise ValueError("sub_blocks must divide the frame into whole microseconds")
+        return x.withColumn(_SUB, F.lit(sub_blocks).cast("long")), (sub_blocks - 1).bit_length()
+    if isinstance(levels, int):
+        return x.withColumn(_SUB, F.lit(1 << levels).cast("long")), levels
+    if not levels:
+        return x.withColumn(_SUB, F.lit(1).cast("long")), 0
+    table = x.sparkSession.createDataFrame([(m, 1 << k) for m, k in levels.items()], f"machine_id string, {_SUB} long")
+    x = x.join(F.broadcast(table), "machine_id", "left").withColumn(_SUB, F.coalesce(_SUB, F.lit(1).cast("long")))
+    return x, max(levels.values())
 
 
 def _with_frame_stats(x: DataFrame, part: list[str], frame_us: int, keep: list[str]) -> DataFrame:
@@ -135,15 +190,15 @@ def _with_frame_stats(x: DataFrame, part: list[str], frame_us: int, keep: list[s
     return x.selectExpr(*[f"`{c}`" for c in keep], *out)
 
 
-def _copied(x: DataFrame, frame_us: int, sub_blocks: int) -> DataFrame:
+def _copied(x: DataFrame, frame_us: int) -> DataFrame:
     """Each row in its own block (``_shift`` 0) and, as suffix, one frame later.
 
     ``_v`` is the time, for copies moved on by the frame: a copy belongs to the
     frame of a row exactly if its ``_v`` is greater than the row's.
     """
     shifts = f"CASE WHEN {_VALID_SQL} THEN array(0, 1) ELSE array(0) END"
-    return (x.selectExpr("*", f"{_block(_block_us(frame_us, sub_blocks))} AS _own", f"explode({shifts}) AS {_SHIFT}")
-            .selectExpr("*", f"_own + {_SHIFT} * {sub_blocks} AS {_B}", f"{_TS} + {_SHIFT} * {frame_us} AS {_V}")
+    return (x.selectExpr("*", f"{_block(f'{frame_us} div {_SUB}')} AS _own", f"explode({shifts}) AS {_SHIFT}")
+            .selectExpr("*", f"_own + {_SHIFT} * {_SUB} AS {_B}", f"{_TS} + {_SHIFT} * {frame_us} AS {_V}")
             .drop("_own"))
 
 
@@ -162,26 +217,54 @@ def _merged(sensor: str, one: str, two: str, tag: str) -> list[list[str]]:
              f"ELSE _d{tag} * _d{tag} * ({n1} * ({n2} / _n{tag})) END AS _q{tag}"]]
 
 
-def _middle(x: DataFrame, frame_us: int, sub_blocks: int) -> DataFrame:
-    """(machine_id, block) -> moments of the whole blocks between a frame's ends; one row per machine and block."""
-    aggs = [F.expr(e) for s in SENSORS for e in (
-        f"count({s}) AS _n_{s}", f"coalesce(avg({s}), 0D) AS _a_{s}", f"coalesce(var_pop({s}), 0D) * count({s}) AS _q_{s}")]
-    blocks = (x.where(_VALID_SQL).selectExpr("machine_id", f"{_block(_block_us(frame_us, sub_blocks))} AS {_B}", *SENSORS)
-              .groupBy("machine_id", _B).agg(*aggs))
-    w = (f"OVER (PARTITION BY machine_id ORDER BY {_B} "
-         f"RANGE BETWEEN {sub_blocks - 1} PRECEDING AND 1 PRECEDING)")  # at most sub_blocks - 1 rows
-    zero = "named_struct('n', 0L, 'a', 0D, 'q', 0D)"
-    lists = [f"collect_list(named_struct('n', _n_{s}, 'a', _a_{s}, 'q', _q_{s})) {w} AS _l_{s}" for s in SENSORS]
-    merge = ("CASE WHEN r.n = 0 THEN l WHEN l.n = 0 THEN r ELSE named_struct('n', l.n + r.n, "
-             "'a', l.a + (r.a - l.a) * (r.n / (l.n + r.n)), "
-             "'q', l.q + r.q + (r.a - l.a) * (r.a - l.a) * (l.n * (r.n / (l.n + r.n)))) END")
-    sums = [f"aggregate(_l_{s}, {zero}, (l, r) -> {merge}) AS _m_{s}" for s in SENSORS]
-    out = [f"_m_{s}.{k} AS _{k}m_{s}" for s in SENSORS for k in ("n", "a", "q")]
-    return blocks.selectExpr("machine_id", _B, *lists).selectExpr("machine_id", _B, *sums).selectExpr("machine_id", _B, *out)
+_ZERO = "named_struct('n', 0L, 'a', 0D, 'q', 0D)"
+_MERGE = ("CASE WHEN r.n = 0 THEN l WHEN l.n = 0 THEN r ELSE named_struct('n', l.n + r.n, "
+          "'a', l.a + (r.a - l.a) * (r.n / (l.n + r.n)), "
+          "'q', l.q + r.q + (r.a - l.a) * (r.a - l.a) * (l.n * (r.n / (l.n + r.n)))) END")
+
+
+def _joined_parts(parts: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key: the moments ``m`` (an array over the sensors) of its parts, merged in the order of ``at``."""
+    g = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("p"))
+    zero = f"array_repeat({_ZERO}, {len(SENSORS)})"
+    return g.selectExpr(*key, f"aggregate(p, {zero}, (acc, x) -> zip_with(acc, x.m, (l, r) -> {_MERGE})) AS m")
 
 
-def _with_block_stats(x: DataFrame, frame_us: int, sub_blocks: int, keep: list[str]) -> DataFrame:
-    """Block form, O(rows), of rows from ``_copied``; home rows only come out.
+def _middle(x: DataFrame, frame_us: int, level: int) -> DataFrame:
+    """(machine_id, block) -> moments of the whole blocks between a frame's ends; one row per machine and block.
+
+    The frame of a row in block b holds the n - 1 blocks before b, n being the
+    machine's blocks to a frame. A dyadic table has the moments of 2**i blocks
+    from each block on, each from two of half the length; those of the binary
+    digits of n - 1, laid end to end, make up the frame's blocks. So a block
+    takes one merge for each digit.
+    """
+    aggs = [F.expr(f"named_struct('n', count({s}), 'a', coalesce(avg({s}), 0D), 'q', coalesce(var_pop({s}), 0D) * count({s})) AS _m_{s}")
+            for s in SENSORS]
+    blocks = (x.where(f"{_VALID_SQL} AND {_SUB} > 1")
+              .selectExpr("machine_id", _SUB, f"{_block(f'{frame_us} div {_SUB}')} AS {_B}", *SENSORS)
+              .groupBy("machine_id", _SUB, _B).agg(*aggs)
+              .select("machine_id", _SUB, _B, F.array(*[f"_m_{s}" for s in SENSORS]).alias("m")))
+    key = ["machine_id", _SUB, _B]
+    table, shares = blocks, None
+    for i in range(level):
+        if i:
+            # the blocks from b on: those of half the length from b, then from b + half
+            half = 1 << (i - 1)
+            table = _joined_parts(table.where(f"{_SUB} - 1 >= {1 << i}").selectExpr(
+                "machine_id", _SUB, f"explode(array(named_struct('b', {_B}, 'at', 0), named_struct('b', {_B} - {half}, 'at', 1))) AS e", "m")
+                .selectExpr("machine_id", _SUB, f"e.b AS {_B}", "e.at AS at", "m"), key)
+        # the digits up to this one are that many blocks, and these are the farthest of them
+        share = table.where(f"(shiftright({_SUB} - 1, {i}) & 1) = 1").selectExpr(
+            "machine_id", _SUB, f"{_B} + (({_SUB} - 1) & {(2 << i) - 1}) AS {_B}", f"{-i} AS at", "m")
+        shares = share if shares is None else shares.unionByName(share)
+    # only blocks that have rows of their own are asked for
+    merged = _joined_parts(shares, key).join(blocks.select(key), key, "left_semi")
+    return merged.selectExpr("machine_id", _B, *[f"m[{k}].{c} AS _{c}m_{s}" for k, s in enumerate(SENSORS) for c in ("n", "a", "q")])
+
+
+def _with_block_stats(x: DataFrame, frame_us: int, level: int, keep: list[str]) -> DataFrame:
+    """Block form, O(rows), of rows with ``_sub``; home rows only come out.
 
     Two window passes on one partitioning: prefix moments of home rows in time
     order (peers, equal timestamps, are inside the frame as in the sliding
@@ -191,8 +274,8 @@ def _with_block_stats(x: DataFrame, frame_us: int, sub_blocks: int, keep: list[s
     up = f"OVER ({part} ORDER BY {_V} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     down = f"OVER ({part} ORDER BY {_V} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     cols = [f"`{c}`" for c in keep]
-    middle = _middle(x, frame_us, sub_blocks) if sub_blocks > 1 else None
-    y = _copied(x, frame_us, sub_blocks)
+    middle = _middle(x, frame_us, level) if level else None
+    y = _copied(x, frame_us)
     y = y.selectExpr("*", *[e for s in SENSORS for e in _moments(f"CASE WHEN {_SHIFT} = 1 THEN {s} END", down, f"s_{s}")])
     lag = (f"last(CASE WHEN {_SHIFT} = 0 THEN {_TS} END, true) OVER ({part} ORDER BY {_V}, event_id "
            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _lag")
@@ -221,13 +304,16 @@ def _with_block_stats(x: DataFrame, frame_us: int, sub_blocks: int, keep: list[s
     return y.selectExpr(*cols, *[c for c in extra if c not in keep], *out)
 
 
-def rolling_stats(df: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS, sub_blocks: int = 1,
-                  plain: bool = False, method: str = "blocks") -> DataFrame:
+def rolling_stats(df: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS, sub_blocks: int | None = None,
+                  plain: bool = False, method: str = "blocks", levels: dict | int | None = None,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rolling mean and sample std (NULL -> 0) per machine over (t - h, t], all sensors.
 
-    ``method`` is ``blocks`` (O(rows), groups of a machine and one
-    ``sub_blocks``-th of the frame) or ``frame`` (Spark's sliding frame);
-    ``plain`` is the sliding frame over whole machines, for comparison.
+    ``method`` is ``blocks`` (O(rows), groups of a machine and a block) or
+    ``frame`` (Spark's sliding frame); ``plain`` is the sliding frame over
+    whole machines, for comparison. The blocks' length goes by ``levels``; where
+    neither they nor ``sub_blocks`` (blocks to a frame) are given, rows are
+    counted first (``machine_levels``), so that no group has over ``block_rows``.
     """
     cols = df.columns
     frame_us = _frame_us(window_hours)
@@ -235,31 +321,38 @@ def rolling_stats(df: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS, sub
     if plain or method == "frame":
         if plain:
             return _with_frame_stats(x, ["machine_id"], frame_us, cols)
-        y = _copied(x, frame_us, 1)
+        y = _copied(x.withColumn(_SUB, F.lit(1).cast("long")), frame_us)
         # Copies keep their own time here: the frame reaches back to them.
         return (_with_frame_stats(y, ["machine_id", _B], frame_us, [*cols, _SHIFT])
                 .where(F.col(_SHIFT) == 0).drop(_SHIFT))
     if method != "blocks":
         raise ValueError(f"unknown rolling method {method!r}")
-    return _with_block_stats(x, frame_us, sub_blocks, cols).drop(_B, "_lag")
+    if sub_blocks is None and levels is None:
+        levels = machine_levels(df, window_hours, block_rows)
+    x, level = _with_sub_blocks(x, frame_us, sub_blocks, levels)
+    return _with_block_stats(x, frame_us, level, cols).drop(_B, "_lag")
 
 
 def enrich(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
-           z_threshold: float = DEFAULT_Z_THRESHOLD, sub_blocks: int = 1) -> DataFrame:
+           z_threshold: float = DEFAULT_Z_THRESHOLD, sub_blocks: int | None = None, levels: dict | int | None = None,
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """time features + rolling stats + anomaly flags in ONE shuffle of the log.
 
-    The blocks also serve the look-back of ``time_since_last``: a block's
-    first row finds its predecessor in the edge table.
+    The blocks (see ``rolling_stats``) also serve the look-back of
+    ``time_since_last``: a block's first row finds its predecessor in the edge
+    table.
     """
     from telemill.operators.anomaly import flag_anomalies
 
     cols = logs.columns
     frame_us = _frame_us(window_hours)
-    x = _with_ts(logs)
-    edges = _edge_table(x, _block_us(frame_us, sub_blocks))
+    if sub_blocks is None and levels is None:
+        levels = machine_levels(logs, window_hours, block_rows)
+    x, level = _with_sub_blocks(_with_ts(logs), frame_us, sub_blocks, levels)
+    edges = _edge_table(x, f"{frame_us} div {_SUB}")
     # Windows first (one exchange), then the small edge-table join on
     # (machine, block), which the windowed rows already satisfy.
-    y = _with_block_stats(x, frame_us, sub_blocks, [*cols, _TS]).join(edges, ["machine_id", _B], "left")
+    y = _with_block_stats(x, frame_us, level, [*cols, _TS]).join(edges, ["machine_id", _B], "left")
     y = y.withColumn("time_since_last", _time_since_last(F.coalesce(F.col("_lag"), F.col(_PREV))))
     y = _calendar(y)
     ordered = [*cols, "hour", "day_of_week", "date", "time_since_last"]

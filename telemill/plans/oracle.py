@@ -264,6 +264,9 @@ FROM logs""",
     "rolling_stats": _with(LOGS, ENRICHED) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
         f"floor({s}_rolling_mean * 1e6 + 0.499) / 1e6 AS {s}_rolling_mean, floor({s}_rolling_std * 1e6 + 0.499) / 1e6 AS {s}_rolling_std"
         for s in SENSORS) + " FROM enriched",
+    "rolling_stats_dense": _with(LOGS, ENRICHED.replace("14399999999", "28799999999")) + "\nSELECT event_id, machine_id, \"timestamp\", " + ", ".join(
+        f"floor({s}_rolling_mean * 1e6 + 0.499) / 1e6 AS {s}_rolling_mean, floor({s}_rolling_std * 1e6 + 0.499) / 1e6 AS {s}_rolling_std"
+        for s in SENSORS) + " FROM enriched",
     "processed_logs": _with(LOGS, ENRICHED) + """
 SELECT event_id, machine_id, "timestamp", severity, cast(hour("timestamp") AS integer) AS hour,
        cast(isodow("timestamp") - 1 AS integer) AS day_of_week, cast("timestamp" AS date) AS date,

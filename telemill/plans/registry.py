@@ -95,6 +95,12 @@ def q_rolling_stats(spark, sf_dir):
     return r.select("event_id", "machine_id", "timestamp", *stats)
 
 
+def q_rolling_stats_dense(spark, sf_dir):
+    """Rolling statistics with blocks of at most 20 rows where a machine allows it, as for machines far denser than these."""
+    r = features.rolling_stats(_logs(spark, sf_dir), window_hours=8, block_rows=20)
+    return r.select("event_id", "machine_id", "timestamp", *[fix6(c(s)).alias(c(s)) for s in SENSORS for c in (rolling_mean_col, rolling_std_col)])
+
+
 def q_sensor_zscores(spark, sf_dir):
     z = anomaly.sensor_zscores(features.rolling_stats(_logs(spark, sf_dir)))
     return z.select("event_id", "machine_id", "timestamp",
@@ -385,6 +391,7 @@ QUERIES: dict[str, Query] = {
     "window_entries": q_window_entries,
     "time_features": q_time_features,
     "rolling_stats": q_rolling_stats,
+    "rolling_stats_dense": q_rolling_stats_dense,
     "processed_logs": q_processed_logs,
     "sensor_zscores": q_sensor_zscores,
     "anomaly_flags": q_anomaly_flags,

@@ -130,3 +130,43 @@ def test_other_parameters(spark, window_hours, z):
     a = _by_id(features.enrich(logs, window_hours=window_hours, z_threshold=z, sub_blocks=2), ["anomaly_count"])
     b = _by_id(anomaly.flag_anomalies(features.rolling_stats(logs, window_hours=window_hours, plain=True), z), ["anomaly_count"])
     assert a == b
+
+
+def test_dense_machines_get_finer_blocks(spark):
+    """A machine with a burst, a steady dense one and a sparse one: levels by their rows, results as in whole machines."""
+    rows = [{"timestamp": at(seconds=20 * i), "machine_id": "steady", "temperature_c": 20 + i % 13 * 0.7} for i in range(1500)]
+    rows += [{"timestamp": at(hours=30, seconds=i / 10), "machine_id": "burst", "temperature_c": 1e5 + i % 7} for i in range(300)]
+    rows += [{"timestamp": at(hours=i * 0.9), "machine_id": "sparse", "temperature_c": float(i), "gas_pressure_psi": 1.0} for i in range(60)]
+    rows += [{"timestamp": None, "machine_id": "sparse", "temperature_c": 1.0}, {"timestamp": at(1), "machine_id": None}]
+    logs = make_logs(spark, rows)
+    levels = features.machine_levels(logs, block_rows=50)
+    assert set(levels) == {"steady", "burst"} and 4 <= levels["steady"] <= 6 and levels["burst"] >= 10
+    _compare(spark, logs, block_rows=50)
+    _compare(spark, logs, levels=3)
+    assert features.machine_levels(logs) == {}
+    want = _by_id(features.time_features(logs, plain=True), ["time_since_last"])
+    assert _by_id(features.enrich(logs, block_rows=50), ["time_since_last"]) == want
+
+
+def test_a_million_rows_in_a_frame_are_many_groups(spark):
+    """One machine with 10**6 rows in four hours: by default no task has the machine alone."""
+    us = 14_000_000_000 // 10 ** 6
+    logs = spark.range(10 ** 6, numPartitions=4).selectExpr(
+        "id AS event_id", f"CAST(timestamp_micros(1735689600000000 + id * {us}) AS TIMESTAMP_NTZ) AS timestamp", "concat('A', id div 1000000000) AS machine_id",
+        *[f"CAST(pmod(id * {7919 + k}, 1009) AS DOUBLE) AS {s}" for k, s in enumerate(SENSORS)], "'INFO' AS severity")
+    levels = features.machine_levels(logs)
+    assert levels == {"A0": 3}
+    out = features.rolling_stats(logs, levels=levels)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    x, _ = features._with_sub_blocks(features._with_ts(logs), features._frame_us(4), None, levels)
+    groups = features._copied(x, features._frame_us(4)).groupBy("machine_id", "_bucket").count().collect()
+    assert len(groups) >= 8 and max(r["count"] for r in groups) <= 2 * features.BLOCK_ROWS
+    c = rolling_mean_col("temperature_c"), rolling_std_col("temperature_c")
+    late = out.where("event_id % 99991 = 5").select("event_id", *c).collect()
+    assert len(late) == 11
+    for r in late:
+        x = [float(i * 7920 % 1009) for i in range(r["event_id"] + 1)]
+        m = sum(x) / len(x)
+        assert r[c[0]] == pytest.approx(m, rel=1e-9)
+        assert r[c[1]] == pytest.approx((sum((v - m) ** 2 for v in x) / (len(x) - 1)) ** 0.5, rel=1e-9)
