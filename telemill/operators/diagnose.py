@@ -323,8 +323,8 @@ def fleet_prompt(diagnoses: DataFrame, per_prompt: int = FLEET_ITEMS) -> DataFra
 
     Up to ``per_prompt`` diagnoses make one prompt, the reference's. More are
     dealt by key into prompts of about that many, which say what part of the
-    fleet they are; ``merge_fleet`` joins the replies. The diagnoses are
-    counted first, so hand over a written table.
+    fleet they are (``fleet.fleet_tree`` prompts on with the replies until one
+    is left). The diagnoses are counted first, so hand over a written table.
     """
     parts = max(1, -(-diagnoses.count() // per_prompt))
     item = F.struct("machine_id", "time_range", "root_cause", "failure_mode", "severity",
@@ -343,25 +343,6 @@ def fleet_prompt(diagnoses: DataFrame, per_prompt: int = FLEET_ITEMS) -> DataFra
     return agg.select(F.lit("fleet").alias("key"), "part", F.lit(parts).alias("parts"), "num_windows", text.alias("prompt"))
 
 
-def merge_fleet(fleets: DataFrame) -> DataFrame:
-    """One fleet record from the records of all fleet prompts (column ``part``): as many items as the model wrote."""
-    order = F.struct("part", *[c for c in fleets.columns if c != "part"])
-    g = fleets.agg(F.array_sort(F.collect_list(order)).alias("_p"), F.max((F.col("status") == "ok").cast("int")).alias("_ok"))
-    read = F.filter("_p", lambda p: (F.col("_ok") == 0) | (p["status"] == "ok"))
-    g = g.withColumn("_p", read)
-
-    def joined(name: str) -> Column:
-        return F.flatten(F.transform("_p", lambda p: p[name]))
-
-    return g.where(F.size("_p") > 0).select(
-        F.array_join(F.transform("_p", lambda p: p["executive_summary"]), " ").alias("executive_summary"),
-        *[joined(c).alias(c) for c in ("top_issues", "maintenance_priorities", "trend_alerts")],
-        F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["estimated_downtime_savings_hours"])
-         .alias("estimated_downtime_savings_hours"),
-        F.element_at(F.transform("_p", lambda p: p["status"]), 1).alias("status"),
-        F.array_join(F.transform("_p", lambda p: p["raw_response"]), "\n").alias("raw_response"))
-
-
 _ISSUES = "array<struct<issue:string,affected_machines:array<string>,frequency:string,business_impact:string>>"
 _PRIORITIES = "array<struct<action:string,machines:array<string>,priority:string,rationale:string>>"
 
@@ -416,7 +397,8 @@ def scored_windows(entries: DataFrame) -> DataFrame:
 
 
 def diagnose(logs: DataFrame, call: ModelCall | None = None, max_windows: int | None = None,
-             factory: bool = False, partitions: int = MODEL_PARTITIONS, part_entries: int | None = None) -> DataFrame:
+             factory: bool = False, partitions: int = MODEL_PARTITIONS, part_entries: int | None = None,
+             replies_path: str | None = None) -> DataFrame:
     """One diagnosis per failure window; ``max_windows`` keeps the earliest ones, None all.
 
     Without ``call`` records come from the signature scores. With a model
@@ -429,5 +411,9 @@ def diagnose(logs: DataFrame, call: ModelCall | None = None, max_windows: int |
     if call is None:
         return signature_diagnoses(first_windows(scored_windows(window_entries(logs)), max_windows))
     prompts = window_prompts(prepared_windows(logs, max_windows, part_entries=part_entries or DEFAULT_PROMPT_ENTRIES))
-    responses = infer(prompts, call, [*keys, "part"], factory=factory, partitions=partitions)
+    if replies_path:
+        from telemill.operators.replies import resumable_replies
+        responses = resumable_replies(prompts, call, [*keys, "part"], replies_path, factory=factory, partitions=partitions)
+    else:
+        responses = infer(prompts, call, [*keys, "part"], factory=factory, partitions=partitions)
     return merge_parts(to_diagnoses(parse_responses(responses), [*keys, "part"]), keys)

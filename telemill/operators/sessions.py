@@ -30,7 +30,7 @@ N windows that go into prompts, in bounded parts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.exprs import epoch_us, epoch_us_sql, fixed, minute_text, non_blank, round1, ts_text
@@ -39,6 +39,11 @@ from telemill.schema import FAILURE_SEVERITIES, SENSORS, DEFAULT_GAP_MINUTES, DE
 US_PER_MINUTE = 60_000_000
 DEFAULT_SESSION_BUCKET_MINUTES = 60
 
+#: Different categories or codes that one summary row holds; the most frequent where a window has more.
+SET_ITEMS = 1000
+#: Different values counted at once for that; below three quarters of it the counts are exact.
+SET_TRACKED = 10_000
+
 _TS, _B, _ORD, _BRK = "_ts_us", "_bucket", "_ord", "_brk"
 
 
@@ -99,6 +104,31 @@ def window_entries(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MINUTES,
         *[f"`{c}`" for c in cols])
 
 
+def value_set(column: str) -> Column:
+    """The different non-blank texts of a group, sorted: all of them up to ``SET_ITEMS``, else the most frequent.
+
+    A mergeable sketch of bounded size: free text in a log can't make a cell of any
+    size. ``window_values`` has every value as a row.
+    """
+    top = F.expr(f"approx_top_k(CASE WHEN `{column}` <> '' THEN `{column}` END, {SET_ITEMS}, {SET_TRACKED})")
+    return F.array_sort(F.filter(F.transform(top, lambda t: t["item"]), lambda v: v.isNotNull()))
+
+
+def window_values(entries: DataFrame) -> DataFrame:
+    """(machine_id, start, field, value, n): every different category and code of every window, a row each."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), non_blank(F.col(c)).alias("value"))
+                                for c in ("failure_category", "error_code")])).alias("p")
+    return (entries.select("machine_id", F.col("window_start").alias("start"), pairs).where("p.value IS NOT NULL")
+            .groupBy("machine_id", "start", F.col("p.field").alias("field"), F.col("p.value").alias("value"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def window_value_counts(entries: DataFrame) -> DataFrame:
+    """(machine_id, start, n_categories, n_codes): exact numbers of different values."""
+    counted = [F.count(F.when(F.col("field") == c, F.lit(1))).alias(n) for c, n in (("failure_category", "n_categories"), ("error_code", "n_codes"))]
+    return window_values(entries).groupBy("machine_id", "start").agg(*counted)
+
+
 def summarize_windows(entries: DataFrame, extra_aggs: list | None = None) -> DataFrame:
     """One row per failure window from ``window_entries`` rows (all aggregates partial).
 
@@ -109,8 +139,8 @@ def summarize_windows(entries: DataFrame, extra_aggs: list | None = None) -> Dat
          .agg(*extra_aggs, F.max("timestamp").alias("end"),
               F.count(F.lit(1)).alias("event_count"),
               F.max((F.col("severity") == "CRITICAL").cast("int")).alias("_crit"),
-              F.array_sort(F.collect_set(non_blank(F.col("failure_category")))).alias("failure_categories"),
-              F.array_sort(F.collect_set(non_blank(F.col("error_code")))).alias("error_codes")))
+              value_set("failure_category").alias("failure_categories"),
+              value_set("error_code").alias("error_codes")))
     return g.select(
         "machine_id",
         F.col("window_start").alias("start"),
@@ -145,8 +175,8 @@ def _session_window_summary(fails: DataFrame, gap_minutes: int) -> DataFrame:
               F.max("timestamp").alias("end"),
               F.count(F.lit(1)).alias("event_count"),
               F.max((F.col("severity") == "CRITICAL").cast("int")).alias("_crit"),
-              F.array_sort(F.collect_set(non_blank(F.col("failure_category")))).alias("failure_categories"),
-              F.array_sort(F.collect_set(non_blank(F.col("error_code")))).alias("error_codes")))
+              value_set("failure_category").alias("failure_categories"),
+              value_set("error_code").alias("error_codes")))
     return g.select(
         "machine_id", F.col("window_start").alias("start"), "end",
         ((epoch_us("end") - epoch_us("window_start")) / F.lit(6e7)).alias("duration_minutes"),

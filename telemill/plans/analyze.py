@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.operators import diagnose, features, report, sessions, summary
+from telemill.operators import fleet as fleet_tree
 from telemill.functions.exprs import round1
-from telemill.schema import DEFAULT_MAX_WINDOWS, FLEET_JSON_SCHEMA
+from telemill.schema import DEFAULT_MAX_WINDOWS
 from telemill.sources.csv_logs import write_enriched, write_report
 
 
@@ -63,31 +64,36 @@ def signature_fleet(diagnoses: DataFrame) -> DataFrame:
              F.lit(None).cast("string").alias("raw_response"))
 
 
-def fleet_summary(diagnoses: DataFrame, call=None, per_prompt: int = diagnose.FLEET_ITEMS,
-                  factory: bool = False) -> DataFrame:
-    """The fleet record over all diagnoses given."""
+FLEET_COLUMNS = ["executive_summary", "top_issues", "maintenance_priorities", "trend_alerts", "estimated_downtime_savings_hours",
+                 "status", "raw_response"]
+
+
+def fleet_summary(diagnoses: DataFrame, call=None, per_prompt: int = diagnose.FLEET_ITEMS, factory: bool = False,
+                  fan_in: int = fleet_tree.FAN_IN, replies_path: str | None = None) -> DataFrame:
+    """The fleet record over all diagnoses given: one, whatever their number."""
     if call is None:
         return signature_fleet(diagnoses)
-    keys = ["key", "part"]
-    responses = diagnose.infer(diagnose.fleet_prompt(diagnoses, per_prompt), call, keys,
-                               max_tokens=diagnose.FLEET_MAX_TOKENS, factory=factory)
-    return diagnose.merge_fleet(diagnose.to_fleet_summary(
-        diagnose.parse_responses(responses, FLEET_JSON_SCHEMA), ("part",)))
+    return fleet_tree.fleet_tree(diagnoses, call, per_prompt, fan_in, factory, replies_path=replies_path).select(FLEET_COLUMNS)
 
 
 def analyze(spark: SparkSession, logs: DataFrame, out_dir: str, max_windows: int | None = DEFAULT_MAX_WINDOWS,
-            call=None, factory: bool = False, generated_at: str | None = None) -> dict:
-    """Run the whole analysis; returns the output DataFrames (re-read from the sinks)."""
+            call=None, factory: bool = False, generated_at: str | None = None, resume: bool = False) -> dict:
+    """Run the whole analysis; returns the output DataFrames (re-read from the sinks).
+
+    With ``resume`` the model's replies are kept below ``out_dir``: a run that was
+    stopped, or one over a longer log, asks only for windows without a reply.
+    """
     out = out_dir.rstrip("/")
     write_enriched(features.enrich(logs), f"{out}/processed_logs")
     enriched = spark.read.parquet(f"{out}/processed_logs")
     entries = sessions.window_entries(enriched)
     windows = sessions.summarize_windows(entries)
     stats = summary.report_stats(enriched, entries)
-    diagnoses = diagnose.diagnose(enriched, call, max_windows, factory=factory)
+    diagnoses = diagnose.diagnose(enriched, call, max_windows, factory=factory,
+                                  replies_path=f"{out}/replies" if resume else None)
     diagnoses.write.mode("overwrite").parquet(f"{out}/diagnoses")
     diagnoses = spark.read.parquet(f"{out}/diagnoses")
-    fleet = fleet_summary(diagnoses, call, factory=factory)
+    fleet = fleet_summary(diagnoses, call, factory=factory, replies_path=f"{out}/fleet_replies" if resume else None)
     when = generated_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     rows = report.assemble_report(diagnoses, when, fleet, stats)
     write_report(rows, f"{out}/diagnostic_report")

@@ -417,6 +417,30 @@ SELECT cast(event_id AS varchar) AS source_row, CASE WHEN event_id % 19 = 3 THEN
        CASE WHEN event_id % 13 = 6 THEN NULL ELSE nullif(operator_notes, '') END AS operator_notes,
        cast(NULL AS varchar) AS material, event_id % 19 = 3 OR {_BAD_CELL} AS corrupt
 FROM logs""",
+    "fleet_tree": _with(LOGS, FAILS, _sig_ctes()) + """
+SELECT failure_mode AS issue, string_agg(DISTINCT machine_id, ',' ORDER BY machine_id) AS machines, count(*) AS n,
+       (SELECT count(*) FROM diag) AS num_windows, (SELECT count(*) FROM diag) || ' windows' AS executive_summary, 'ok' AS status,
+       cast(0 AS BIGINT) AS failed_parts,
+       round((SELECT sum(CASE WHEN failure_mode <> 'UNKNOWN' THEN downtime ELSE 0e0 END) FROM diag), 1) AS hours
+FROM diag GROUP BY failure_mode""",
+    "model_diagnoses": _with(LOGS, FAILS) + f"""
+SELECT machine_id, {ts_text('start')} AS start, {ts_text('"end"')} AS "end",
+       CASE WHEN event_count % 5 = 4 THEN 'Analysis failed: Failed to parse LLM response'
+            ELSE event_count || ' events on ' || machine_id END AS root_cause,
+       CASE WHEN event_count % 5 = 4 THEN 'UNKNOWN' WHEN event_count > 1 THEN 'THERMAL' ELSE 'OPTICAL' END AS failure_mode,
+       CASE WHEN event_count % 5 = 4 THEN 0e0 ELSE event_count / 16e0 END AS confidence,
+       CASE WHEN event_count % 5 = 4 THEN 'parse_error' ELSE 'ok' END AS status,
+       CASE WHEN event_count % 5 = 4 THEN '' ELSE machine_id END AS evidence
+FROM windows""",
+    "window_values": _with(LOGS, FAILS) + """
+SELECT machine_id, window_start AS start, 'failure_category' AS field, failure_category AS value, count(*) AS n
+FROM entries WHERE failure_category <> '' GROUP BY ALL
+UNION ALL
+SELECT machine_id, window_start, 'error_code', error_code, count(*) FROM entries WHERE error_code <> '' GROUP BY ALL""",
+    "window_value_counts": _with(LOGS, FAILS) + """
+SELECT machine_id, window_start AS start, count(DISTINCT nullif(failure_category, '')) AS n_categories,
+       count(DISTINCT nullif(error_code, '')) AS n_codes
+FROM entries GROUP BY ALL HAVING n_categories + n_codes > 0""",
     "csv_line_breaks": _with(LOGS) + f"""
 SELECT cast(l.event_id AS varchar) AS source_row, l."timestamp", l.machine_id, l.severity, nullif(l.error_code, '') AS error_code,
        {", ".join("l." + s for s in SENSORS)},

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from telemill.sources import csv_logs
 from telemill.sources.events_adapter import load_machine_logs
-from telemill.operators import anomaly, catalog, diagnose, features, report, sessions, summary
+from telemill.operators import anomaly, catalog, diagnose, features, fleet, report, sessions, summary
 from telemill.schema import RAW_COLUMNS, SENSORS, rolling_mean_col, rolling_std_col, anomaly_col, zscore_col
 from telemill.session import shared_folder
 
@@ -161,6 +161,15 @@ def q_window_notes(spark, sf_dir):
     return sessions.window_notes(sessions.window_entries(_logs(spark, sf_dir)))
 
 
+def q_window_values(spark, sf_dir):
+    """Every category and code of every window, a row each, with its count."""
+    return sessions.window_values(sessions.window_entries(_logs(spark, sf_dir)))
+
+
+def q_window_value_counts(spark, sf_dir):
+    return sessions.window_value_counts(sessions.window_entries(_logs(spark, sf_dir)))
+
+
 def q_failure_windows_gap15(spark, sf_dir):
     """Failure windows with a gap of 15 minutes instead of 60."""
     w = sessions.failure_windows(_logs(spark, sf_dir), gap_minutes=15, ordered=False)
@@ -363,6 +372,71 @@ def q_window_prompt_entries(spark, sf_dir):
     return e.select("machine_id", "start", (F.col("pos") + 1).alias("seq"), "e.*")
 
 
+def _rule_fleet_model():
+    """Stands in for a model: counts what a fleet prompt lists, diagnoses or summaries of parts."""
+    def call(system, prompt, max_tokens):
+        import json
+        listed = json.loads(prompt[prompt.index("individual diagnoses:") + 21:prompt.index("Provide a fleet-level")])
+        issues, hours = {}, 0.0
+        for i in listed:
+            if "failure_mode" in i:
+                found = [(i["failure_mode"], 1, [i["machine_id"]])]
+                hours += sum(a["estimated_downtime_hours"] for a in i["recommended_actions"])
+            else:
+                found = [(t["issue"], int(t["frequency"]), t["affected_machines"]) for t in i["top_issues"]]
+                hours += i["estimated_downtime_savings_hours"]
+            for name, n, machines in found:
+                e = issues.setdefault(name, [0, set()])
+                e[0] += n
+                e[1].update(machines)
+        return "```json\n" + json.dumps({
+            "executive_summary": f"{sum(n for n, _ in issues.values())} windows",
+            "top_issues": [{"issue": k, "affected_machines": sorted(m), "frequency": str(n)} for k, (n, m) in sorted(issues.items())],
+            "estimated_downtime_savings_hours": round(hours, 1)}) + "\n```"
+
+    return call
+
+
+def q_fleet_tree(spark, sf_dir):
+    """The fleet record over all diagnoses by a tree of prompts of 40 and replies of a rule, a row an issue."""
+    d = _diagnoses(spark, sf_dir)
+    record = fleet.fleet_tree(d, _rule_fleet_model(), per_prompt=40, fan_in=4, replies_path=shared_folder(spark, "fleet"))
+    top = fleet.issue_rows(record)
+    return top.crossJoin(F.broadcast(record.select("num_windows", "executive_summary", "status", "failed_parts", F.round(
+        "estimated_downtime_savings_hours", 1).alias("hours")))).select(
+        "issue", F.array_join("affected_machines", ",").alias("machines"), F.col("frequency").cast("long").alias("n"),
+        "num_windows", "executive_summary", "status", "failed_parts", "hours")
+
+
+def _rule_window_model():
+    """Stands in for a model: answers from the head of the window prompt; some replies can't be read."""
+    def call(system, prompt, max_tokens):
+        import json
+        import re
+        machine = re.search(r"failure window from machine (\S+)\.", prompt).group(1)
+        events = int(re.search(r"- Events: (\d+)", prompt).group(1))
+        if events % 5 == 4:
+            return "no JSON"
+        return json.dumps({"root_cause": f"{events} events on {machine}", "failure_mode": "THERMAL" if events > 1 else "OPTICAL",
+                           "confidence": events / 16, "evidence": [machine] * min(events, 3)})
+
+    return call
+
+
+def q_model_diagnoses(spark, sf_dir):
+    """Diagnoses of all windows from a rule's replies, asked in batches that a later run takes up."""
+    from telemill.operators.replies import resumable_replies
+    keys = ["machine_id", "start", "end", "part"]
+    prompts = diagnose.window_prompts(sessions.prepared_windows(_logs(spark, sf_dir), None))
+    table = shared_folder(spark, "replies")
+    early = prompts.where("event_count > 1")
+    resumable_replies(early, _rule_window_model(), keys, table, batch_prompts=3000)
+    replies = resumable_replies(prompts, _rule_window_model(), keys, table, batch_prompts=3000)
+    d = diagnose.merge_parts(diagnose.to_diagnoses(diagnose.parse_responses(replies), keys), keys[:3])
+    return d.select("machine_id", "start", "end", "root_cause", "failure_mode", "confidence", "status",
+                    F.array_join("evidence", ",").alias("evidence"))
+
+
 def q_diagnosis_titles(spark, sf_dir):
     return report.diagnosis_titles(_diagnoses(spark, sf_dir))
 
@@ -427,6 +501,10 @@ QUERIES: dict[str, Query] = {
     "failure_windows_gap15": q_failure_windows_gap15,
     "anomaly_flags_1h": q_anomaly_flags_1h,
     "reply_records": q_reply_records,
+    "fleet_tree": q_fleet_tree,
+    "model_diagnoses": q_model_diagnoses,
+    "window_values": q_window_values,
+    "window_value_counts": q_window_value_counts,
     "window_prompt_entries": q_window_prompt_entries,
     "fleet_issue_machines": q_fleet_issue_machines,
     "fleet_alerts": q_fleet_alerts,

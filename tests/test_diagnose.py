@@ -172,8 +172,82 @@ def test_fleet_summary_paths(spark):
     f = fleet_summary(diags, fleet_call).collect()
     assert len(f) == 1 and f[0]["executive_summary"] == "ok" and f[0]["estimated_downtime_savings_hours"] == 7.5
     assert f[0]["top_issues"][0]["affected_machines"] == ["M-1"] and f[0]["trend_alerts"] == []
-    merged = fleet_summary(diags, fleet_call, per_prompt=20).first()
-    assert merged["estimated_downtime_savings_hours"] == 7.5 * len(several) and len(merged["top_issues"]) == len(several)
+
+
+def _listed(prompt):
+    return json.loads(prompt[prompt.index("individual diagnoses:") + 21:prompt.index("Provide a fleet-level")])
+
+
+def test_fleet_tree_is_one_summary_of_many_windows(spark, tmpdir_path):
+    """10**5 diagnoses: no prompt over its number of records, one issue a name, nothing counted twice."""
+    from telemill.operators import fleet
+    from telemill.plans.registry import _rule_fleet_model
+    d = spark.range(100_000, numPartitions=8).selectExpr(
+        "concat('M-', id % 30) AS machine_id", "concat('2025-01-01 ', id) AS start", "'x' AS end", "'c' AS root_cause",
+        "concat('MODE', id % 7) AS failure_mode", "'HIGH' AS severity_assessment",
+        "array(named_struct('action', 'a', 'priority', 'p', 'estimated_downtime_hours', 0.5D)) AS recommended_actions")
+    rule = _rule_fleet_model()
+
+    def call(system, prompt, max_tokens):
+        items = _listed(prompt)
+        limit = 20 if "executive_summary" in items[0] else diagnose.FLEET_ITEMS
+        assert len(items) <= limit
+        return rule(system, prompt, max_tokens)
+
+    r = fleet.fleet_tree(d, call, partitions=8).collect()
+    assert len(r) == 1 and r[0]["levels"] == 3 and r[0]["num_windows"] == 100_000 and r[0]["failed_parts"] == 0
+    assert [(i["issue"], int(i["frequency"])) for i in r[0]["top_issues"]] == [(f"MODE{k}", 14_286 if k < 5 else 14_285) for k in range(7)]
+    assert r[0]["estimated_downtime_savings_hours"] == 50_000.0
+
+
+def test_fleet_tree_leaves_unreadable_parts_out(spark):
+    from telemill.operators import fleet
+    d = spark.range(40).selectExpr("concat('M-', id) AS machine_id", "cast(id AS string) AS start", "'x' AS end", "'c' AS root_cause",
+                                   "'T' AS failure_mode", "'HIGH' AS severity_assessment",
+                                   "cast(array() AS array<struct<action:string,priority:string,estimated_downtime_hours:double>>) AS recommended_actions")
+
+    def call(system, prompt, max_tokens):
+        items = _listed(prompt)
+        if any(i.get("machine_id") == "M-3" for i in items):
+            return "nothing to read"
+        return json.dumps({"executive_summary": f"{len(items)} items"})
+
+    r = fleet.fleet_tree(d, call, per_prompt=10, fan_in=30, partitions=2).first()
+    assert r["failed_parts"] == 1 and r["status"] == "ok" and r["levels"] == 2 and r["num_windows"] < 40
+    bad = fleet.fleet_tree(d, lambda *a: "?", per_prompt=50, partitions=2).collect()
+    assert len(bad) == 1 and bad[0]["status"] == "parse_error"
+    assert fleet.fleet_tree(d.limit(0), call, partitions=2).count() == 0
+
+
+def test_a_stopped_model_run_is_taken_up(spark, tmpdir_path):
+    """A model that fails in the third batch: the next run asks for nothing that was committed."""
+    from telemill.operators.replies import resumable_replies
+    calls, table = os.path.join(tmpdir_path, "calls"), os.path.join(tmpdir_path, "replies")
+    os.makedirs(calls)
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(40)] + [(40, None)], "id int, prompt string")
+
+    def model(limit):
+        def call(system, prompt, max_tokens):
+            if len(os.listdir(calls)) >= limit:
+                raise RuntimeError("stopped")
+            with open(os.path.join(calls, prompt.split()[-1] + "-" + os.urandom(4).hex()), "w"):
+                return prompt.upper()
+        return call
+
+    with pytest.raises(Exception, match="stopped"):
+        resumable_replies(prompts, model(25), ["id"], table, batch_prompts=8, partitions=2)
+    done = {r["id"] for r in spark.read.parquet(table).collect()}
+    before = len(os.listdir(calls))
+    assert 8 <= len(done) < 40 and before >= len(done - {40})
+    out = resumable_replies(prompts, model(10 ** 6), ["id"], table, batch_prompts=8, partitions=2)
+    assert {r["id"]: r["response"] for r in out.collect()} == {**{i: f"PROMPT {i}" for i in range(40)}, 40: None}
+    asked = [f.split("-")[0] for f in os.listdir(calls)]
+    assert all(asked.count(str(i)) == 1 for i in done - {40})
+    n = len(asked)
+    assert resumable_replies(prompts, model(0), ["id"], table, partitions=2).count() == 41 and len(os.listdir(calls)) == n
+    changed = prompts.replace("prompt 7", "prompt 7 and more 7")
+    again = resumable_replies(changed, model(10 ** 6), ["id"], table, partitions=2)
+    assert again.where("id = 7").first()["response"] == "PROMPT 7 AND MORE 7" and len(os.listdir(calls)) == n + 1
 
 
 def test_signature_responder_round_trip(spark):
