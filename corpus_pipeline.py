@@ -8,8 +8,9 @@ there are pass through unchanged.
 
 Defined cases: an empty table gives an empty result; null texts have no words
 and go with the quality rules; of repeated rows one stays, and rows of one
-doc_id with unlike texts stay all; rows without doc_id are never
-near-duplicates and keep their words.
+doc_id with unlike texts stay all; rows without doc_id are near-duplicates as
+others are (one with a doc_id is kept first), but take no part in the third
+stage and keep their words.
 """
 
 from __future__ import annotations
@@ -34,26 +35,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the least doc_id."""
-    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if not several.isEmpty():
-        return _near_duplicate_rows(docs)
-    gone = minmax.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-
-
-def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
-    """The same where several rows have one doc_id: each row is numbered and judged by its own text."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    named = rows.where("doc_id IS NOT NULL")
-    near = minmax.near_duplicates(named, id_col="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    # texts without words are linked to nothing: rows of one doc_id are the copies there
-    keep = written(near.join(named.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
-                   .groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")),
-                            F.when(F.col("n_shingles") == 0, F.col("_id")))
-                   .agg(F.min(F.struct("_id", "_row")).alias("least")).select("least._row"))
-    kept = named.join(keep, "_row", "left_semi").select(docs.columns)
-    return kept.unionByName(rows.where("doc_id IS NULL").select(docs.columns))
+    """One row of each group of near-duplicates: the one with the least doc_id (rows without doc_id come last).
+
+    Rows are numbered, so that repeated rows and rows without doc_id are judged as all others. The
+    row itself lies in a struct beside its number: no column name is in the way.
+    """
+    rows = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")))
+    texts = rows.select("number", F.col("row.text").alias("text"))
+    near = minmax.near_duplicates(texts, id_col="number").select(F.col("doc_id").alias("number"), "n_shingles", "component_id")
+    ids = rows.select("number", F.col("row.doc_id").cast("long").alias("id"))
+    # texts without words are linked to nothing: there rows of one doc_id are the copies
+    group = (F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("kind"), F.col("component_id").alias("of")))
+             .when(F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("id").alias("of")))
+             .otherwise(F.struct(F.lit(2).alias("kind"), F.col("number").alias("of"))))
+    first = F.min(F.struct(F.isnull("id").alias("last"), "id", "number")).alias("first")
+    keep = written(near.join(ids, "number").groupBy(group.alias("group")).agg(first).select("first.number"))
+    return rows.join(keep, "number", "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
