@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import MOST_TASKS, buckets, map_batches, total_bytes, written
-from .text import _TABLE, mix, powers, prefix_hash, slices, span_hash, window_min, word_spans
+from .text import _TABLE, mix, powers, slices, span_hash, window_min, word_spans
 
 #: In memory: anchor and context (names the segment's text) of 48 bits, document, a tag of its text, first window,
 #: number of windows, the anchor's place in the segment, what the rule marked.
@@ -63,7 +63,7 @@ class Windows:
         if not self.words:
             return _TABLE[data], off, None, None
         start, end, words = word_spans(data, off)
-        return span_hash(prefix_hash(data), start, end), words, start, end
+        return span_hash(data, start, end), words, start, end
 
 
 def segments(tokens: np.ndarray, off: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -97,7 +97,7 @@ def segments(tokens: np.ndarray, off: np.ndarray, width: int, gram: int) -> np.n
 
 def text_tags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """16 bits of each text's hash, to tell rows of one doc_id apart."""
-    return (span_hash(prefix_hash(data), off[:-1], off[1:]) >> np.uint64(48)).astype(np.uint16)
+    return (span_hash(data, off[:-1], off[1:]) >> np.uint64(48)).astype(np.uint16)
 
 
 # ---- blobs

@@ -70,10 +70,15 @@ class Coder:
 
     def matches(self, text: str):
         """The pattern's matches; the library counts as white space what Unicode does, without \\x1c to \\x1f."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            text = text.translate({c: 0xE000 + c for c in range(0x1C, 0x20)})
-            back = {0xE000 + c: c for c in range(0x1C, 0x20)}
-            return [m.translate(back) for m in self.pattern.findall(text)]
+        odd = [c for c in range(0x1C, 0x20) if chr(c) in text]
+        if odd:
+            # private characters that the text lacks stand in for them; the pattern treats both as it treats other signs
+            free = (k for k in range(0xE000, 0xF900) if chr(k) not in text)
+            there = dict(zip(odd, free, strict=False))
+            if len(there) < len(odd):
+                raise ValueError("a text with every private character and no safe place")
+            back = {v: k for k, v in there.items()}
+            return [m.translate(back) for m in self.pattern.findall(text.translate(there))]
         return self.pattern.findall(text)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import MOST_TASKS, as_text, buckets, documents, map_batches, total_bytes
-from .text import mix, prefix_hash, slices, span_hash, word_spans
+from .text import mix, slices, span_hash, word_spans
 
 SAMPLES = 128
 #: Bytes of text in a range of doc_ids that one task goes through.
@@ -104,7 +104,7 @@ class Sampler:
             out.append(part)
             if not len(start):
                 continue
-            codes, terms = pd.factorize(span_hash(prefix_hash(data), start, end))
+            codes, terms = pd.factorize(span_hash(data, start, end))
             doc = np.repeat(np.arange(b - a), np.diff(words))
             pair, weight = np.unique(doc * len(terms) + codes, return_counts=True)
             docs, first = np.unique(pair // len(terms), return_index=True)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .frames import as_text, documents, map_batches, written
-from .text import mix, powers, prefix_hash, slices, span_hash, window_hash, word_spans
+from .text import mix, powers, slices, span_hash, window_hash, word_spans
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -54,7 +54,7 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
         upper = (data >= 65) & (data <= 90)
         data = data + upper * np.uint8(32)
         start, end, words = word_spans(data, off)
-        h = span_hash(prefix_hash(data), start, end)
+        h = span_hash(data, start, end)
         g = window_hash(h, k)
         for x, y in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
             if y - x >= k:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import as_text, documents, map_batches
-from .text import IS_SPACE, prefix_hash, slices, span_hash
+from .text import IS_SPACE, slices, span_hash
 
 CAPACITY = 4096
 END_ID = 2
@@ -106,7 +106,7 @@ class WordIds:
             upper = (data >= 65) & (data <= 90)
             data = data + upper * np.uint8(32)
             start, end, words_off = self.spans(data, off)
-            codes, uniques = pd.factorize(span_hash(prefix_hash(data), start, end))
+            codes, uniques = pd.factorize(span_hash(data, start, end))
             if len(self.number) > KNOWN_WORDS:
                 self.clear()
             number = self.number

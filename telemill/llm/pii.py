@@ -37,7 +37,7 @@ from .text import mix, slices, word_spans
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("none", *BASE, "secret")
 KINDS = (*BASE, "secret", *(f"likely_{k}" for k in BASE))
-TRAIN_NODES, BITS, ROUNDS = 20_000, 13, 10
+TRAIN_NODES, BITS, ROUNDS, TOLERANCE = 20_000, 13, 300, 1e-4
 #: Least belief for a span to be added.
 BELIEF = 0.6
 
@@ -205,7 +205,10 @@ def fit_edges(pairs: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def beliefs(unary: np.ndarray, u: np.ndarray, v: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities by loopy sum-product. unary: (nodes, labels) logs; pair: (edges, labels of u, labels of v)."""
+    """Label probabilities by loopy sum-product, until no message changes by more than TOLERANCE, or after `rounds`.
+
+    unary: (nodes, labels) logs; pair: (edges, labels of u, labels of v).
+    """
     there = np.zeros((len(u), unary.shape[1]))
     back = np.zeros_like(there)
     total = unary.copy()
@@ -217,11 +220,15 @@ def beliefs(unary: np.ndarray, u: np.ndarray, v: np.ndarray, pair: np.ndarray, r
     for _ in range(rounds if len(u) else 0):
         new_there = summed((total[u] - back)[:, :, None] + pair, 1)
         new_back = summed((total[v] - there)[:, None, :] + pair, 2)
-        there = 0.5 * there + 0.5 * (new_there - new_there.max(axis=1, keepdims=True))
-        back = 0.5 * back + 0.5 * (new_back - new_back.max(axis=1, keepdims=True))
+        new_there = 0.5 * there + 0.5 * (new_there - new_there.max(axis=1, keepdims=True))
+        new_back = 0.5 * back + 0.5 * (new_back - new_back.max(axis=1, keepdims=True))
+        change = max(np.abs(new_there - there).max(), np.abs(new_back - back).max())
+        there, back = new_there, new_back
         total = unary.copy()
         np.add.at(total, v, there)
         np.add.at(total, u, back)
+        if change < TOLERANCE:
+            break
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -237,7 +244,7 @@ def train(docs: DataFrame, nodes: int = TRAIN_NODES) -> dict:
     if not total:
         return {"unary": None, "pair": None}
     share = min(1.0, nodes / total)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches):
         for b in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import as_text, documents, map_batches
-from .text import (IS_SPACE, mix, places_in_documents, prefix_hash, slices, span_hash, window_hash,
+from .text import (IS_SPACE, mix, places_in_documents, slices, span_hash, window_hash,
                    word_spans)
 
 #: Shortest repeat that counts, in words.
@@ -147,8 +147,7 @@ def measure(column: pa.Array, min_words: int = MIN_WORDS):
     for _, _, data, off in slices(column):
         space = IS_SPACE[data]
         start, end, woff = word_spans(data, off)
-        c = prefix_hash(data)
-        h = span_hash(c, start, end)
+        h = span_hash(data, start, end)
         n_words = np.diff(woff)
         visible = ~space & ((data & 0xC0) != 0x80)
         # lines: from the start of a document or after a line feed
@@ -163,7 +162,7 @@ def measure(column: pa.Array, min_words: int = MIN_WORDS):
         line_end -= (line_end > line) & (data[line_end - 1] == 10)
         has_word = np.concatenate(([0], np.cumsum(~space)))
         real = has_word[line_end] > has_word[line]
-        lh = _salted(span_hash(c, line, line_end), line_off)
+        lh = _salted(span_hash(data, line, line_end), line_off)
         idx = np.flatnonzero(real)
         order = idx[np.argsort(lh[idx], kind="stable")]
         dup = np.zeros(len(line), bool)

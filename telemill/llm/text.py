@@ -2,8 +2,9 @@
 
 An Arrow string column is looked at as one byte buffer with document offsets,
 cut into slices of a bounded number of bytes, so that every temporary array is
-bounded too. Hashes are polynomial prefix hashes over 2**64 with a random
-64-bit value per byte, finished by a 64-bit mixer.
+bounded too. Hashes of words and lines mix eight bytes at a time; hashes of
+windows of a fixed number of bytes or words are differences of polynomial prefix
+sums over 2**64, finished by a 64-bit mixer.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text worked on at once; a longer document is a slice of its own.
 SLICE_BYTES = 2_000_000
@@ -83,17 +85,39 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """c with hash(a, b) = (c[b] - c[a]) * inverse power a."""
+    """c with sum(a, b) = (c[b] - c[a]) * inverse power a."""
     c = np.empty(len(data) + 1, dtype=np.uint64)
     c[0] = 0
     np.cumsum(_TABLE[data] * powers(len(data)), out=c[1:])
     return c
 
 
-def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans from their prefix hash."""
-    inv = powers(len(c), inverse=True)
-    return mix((c[end] - c[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Spans of up to so many bytes are hashed together, eight bytes at a time; longer ones one by one.
+SHORT_SPAN = 64
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans. Each eight bytes go through a mixer: sums of powers, as the windows below have
+    them, collide on long spans of a regular make."""
+    start, length = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    h = length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D)
+    if not len(start):
+        return h
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    live, at = np.flatnonzero((length > 0) & (length <= SHORT_SPAN)), 0
+    while len(live):
+        left = length[live] - at
+        x = eight[start[live] + at] & _KEEP[np.minimum(left, 8)]
+        h[live] = mix(h[live] ^ (x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at + 1)))
+        live, at = live[left > 8], at + 8
+    long = np.flatnonzero(length > SHORT_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:x + n]) for x, n in zip(start[long].tolist(), length[long].tolist(), strict=True)),
+                              np.uint64, len(long))
+    return mix(h)
 
 
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:

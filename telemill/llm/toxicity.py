@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .frames import as_text, documents, map_batches, written
 from .text import mix, powers, prefix_hash, slices
 
-#: Hash buckets of features, features kept, and labelled rows the logistic model is fitted on.
-BITS, FEATURES, FIT_ROWS = 22, 4000, 50_000
+#: Hash buckets of features (2**22; every one that passes the test is kept) and labelled rows the logistic model is fitted on.
+BITS, FIT_ROWS = 22, 50_000
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 #: Letters that digits and marks are written for.
@@ -372,8 +372,7 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, n: int, steps: int = 300
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_features: int = FEATURES,
-          fit_rows: int = FIT_ROWS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, fit_rows: int = FIT_ROWS) -> dict:
     """Features and weights learned from labels (doc_id, toxic) of the documents."""
     clean = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
              .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other"))
@@ -386,9 +385,8 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_features:
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n0 + 1.0)
     both = (F.col("n1") + F.col("n0") + 1.0) / (n1 + n0 + 2.0)
     z = (p1 - p0) / F.sqrt(both * (1 - both) * (1.0 / n1 + 1.0 / n0))
-    best = (class_counts(labelled, counts).withColumn("z", z).where("abs(z) >= 4")
-            .orderBy(F.abs("z").desc(), "feature").limit(max_features).collect())  # at most max_features rows
-    chosen = np.array(sorted(r["feature"] for r in best), np.int64)
+    best = class_counts(labelled, counts).withColumn("z", z).where("abs(z) >= 4").select("feature")
+    chosen = np.sort(best.toArrow().column(0).to_numpy().astype(np.int64))  # at most 2**BITS numbers
     wanted, place = _bases(chosen), np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     share = min(1.0, fit_rows / (n0 + n1))

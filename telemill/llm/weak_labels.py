@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .frames import as_text, documents, map_batches
 from .repetition import _covered, _per_document, repeated_windows
-from .text import mix, prefix_hash, slices, span_hash, word_spans
+from .text import mix, slices, span_hash, word_spans
 
 BITS, EPOCHS = 15, 2
 #: A document is kept from this score on.
@@ -40,7 +40,7 @@ class Slice:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.off = data, off
         self.start, self.end, self.words = word_spans(data, off)
-        self.hash = span_hash(prefix_hash(data), self.start, self.end)
+        self.hash = span_hash(data, self.start, self.end)
         self.n = np.diff(self.words)
 
     def share(self, flags: np.ndarray) -> np.ndarray:

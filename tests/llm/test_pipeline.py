@@ -112,10 +112,20 @@ def test_stages_bear_odd_rows(spark, odd, nothing):
         assert stage(spark, nothing, DIR).count() == 0, name
 
 
+def test_columns_of_any_name_survive_the_second_stage(spark):
+    words = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
+    rows = [(1, words[0], 777, 1, 5, "a"), (1, words[0], 777, 1, 5, "a"), (2, words[1], 778, 2, 6, "b"), (None, words[2], 779, 3, 7, "c"),
+            (None, words[2], 779, 3, 7, "c"), (None, words[1], 780, 4, 8, "d"), (3, words[3], 781, 5, 9, "e")]
+    schema = "doc_id long, text string, _row long, number long, least long, row string"
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), DIR)
+    assert out.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[2]) == [rows[0], rows[2], rows[3], rows[6]]
+
+
 def test_entry_lists_the_queries():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(QUERIES) <= set(q) and set(ORACLE) <= set(o) and "pipeline" in q
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert np.all([k in q for k in o])
     assert P.path("word_bpe_49k.json")
