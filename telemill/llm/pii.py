@@ -37,7 +37,7 @@ from .text import mix, slices, word_spans
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("none", *BASE, "secret")
 KINDS = (*BASE, "secret", *(f"likely_{k}" for k in BASE))
-TRAIN_NODES, BITS, ROUNDS, TOLERANCE = 20_000, 13, 300, 1e-4
+TRAIN_NODES, BITS, ROUNDS, TOLERANCE = 20_000, 13, 300, 1e-8
 #: Least belief for a span to be added.
 BELIEF = 0.6
 
