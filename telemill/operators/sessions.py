@@ -30,6 +30,8 @@ N windows that go into prompts, in bounded parts.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,29 +192,54 @@ def first_windows(windows: DataFrame, max_windows: int | None = DEFAULT_MAX_WIND
     return windows if max_windows is None else windows.orderBy("start", "machine_id").limit(max_windows)
 
 
-#: Up to so many chosen windows are broadcast to the failure rows.
-BROADCAST_WINDOWS = 10_000
+#: Bins in which chosen windows and failure rows meet.
+BIN_US = 3_600_000_000
 
 
 def _chosen_entries(logs: DataFrame, entries: DataFrame, top: DataFrame, max_windows: int | None) -> DataFrame:
     """Failure rows of the chosen windows, with window_start and seq.
 
-    A small bounded choice is matched to the failure rows by machine and time
-    range, and only those rows are numbered; otherwise the numbered entries
-    are joined on the window key.
+    A choice is cut into hours, and rows are joined on (machine, hour), so a row is
+    compared with the few windows of its hour only, whatever the number of
+    windows; only rows found are numbered. Without a choice the numbered entries are there already.
     """
     if max_windows is None:
         return entries
-    if max_windows > BROADCAST_WINDOWS:
-        return entries.join(top.select("machine_id", F.col("start").alias("window_start")),
-                            ["machine_id", "window_start"], "left_semi")
-    keys = F.broadcast(top.select("machine_id", F.col("start").alias("window_start"), F.col("end").alias("_end")))
-    rows = (failure_events(logs).join(keys, "machine_id")
-            .where(F.col("timestamp").between(F.col("window_start"), F.col("_end"))).drop("_end"))
+    bins = F.sequence(F.floor(epoch_us("start") / F.lit(BIN_US)), F.floor(epoch_us("end") / F.lit(BIN_US)))
+    keys = top.select("machine_id", F.col("start").alias("window_start"), F.col("end").alias("_end"), F.explode(bins).alias("_bin"))
+    rows = failure_events(logs).withColumn("_bin", F.floor(epoch_us("timestamp") / F.lit(BIN_US)))
+    rows = (rows.join(keys, ["machine_id", "_bin"])
+            .where(F.col("timestamp").between(F.col("window_start"), F.col("_end"))).drop("_end", "_bin"))
     return rows.selectExpr("window_start", "row_number() OVER (PARTITION BY machine_id, window_start "
                            "ORDER BY `timestamp`, event_id) AS seq", *[f"`{c}`" for c in logs.columns])
 
 
+def first_part(logs: DataFrame, n: int | None, gap_minutes: int = DEFAULT_GAP_MINUTES, days: int = 1) -> DataFrame:
+    """The rows up to a time by which the first n windows are closed: the same first n windows, from fewer dates.
+
+    Looks at the first ``days`` days of the log, then at twice as many, and so on, each
+    time at failure rows before a time that the scan can prune by (also by ``date``, where the
+    log has that column). Hand over a written log.
+    """
+    if n is None:
+        return logs
+    ends = logs.where("timestamp IS NOT NULL").agg(F.min("timestamp"), F.max("timestamp")).first()
+    if ends[0] is None:
+        return logs
+    span = dt.timedelta(days=days)
+    while ends[0] + span <= ends[1]:
+        limit = ends[0] + span
+        part = logs.where(F.col("timestamp") < F.lit(limit))
+        if "date" in logs.columns:
+            part = part.where(F.col("date") <= F.lit(limit.date()))
+        first = summarize_windows(window_entries(part, gap_minutes)).orderBy("start", "machine_id").limit(n)
+        closed = first.where(F.col("end") < F.lit(limit - dt.timedelta(minutes=gap_minutes))).count()
+        if closed == n:
+            return part
+        span *= 2
+    return logs
+
+
 _ENTRY_FIELDS = ["timestamp", "severity", "error_code", *SENSORS, "operator_notes"]
 
 

@@ -52,13 +52,18 @@ def overview(enriched: DataFrame) -> DataFrame:
     number of machines, anomalous rows, time range. The machines themselves are rows (``machine_list``)."""
     anomalies = (F.sum(F.col("is_anomaly").cast("long")) if "is_anomaly" in enriched.columns
                  else F.lit(0).cast("long"))
-    return (enriched.agg(
-                F.count(F.lit(1)).alias("total_entries"),
-                (F.avg(error_flag().cast("double")) * 100).alias("_pct"),
-                F.count_distinct("machine_id").alias("machines"),
-                F.coalesce(anomalies, F.lit(0).cast("long")).alias("sensor_anomalies"),
-                F.min("timestamp").alias("time_start"),
-                F.max("timestamp").alias("time_end"))
+    return overview_row(enriched.agg(
+        F.count(F.lit(1)).alias("total_entries"),
+        (F.avg(error_flag().cast("double")) * 100).alias("_pct"),
+        F.count_distinct("machine_id").alias("machines"),
+        F.coalesce(anomalies, F.lit(0).cast("long")).alias("sensor_anomalies"),
+        F.min("timestamp").alias("time_start"),
+        F.max("timestamp").alias("time_end")))
+
+
+def overview_row(sums: DataFrame) -> DataFrame:
+    """The overview as it is shown, from its sums (``_pct`` is the unrounded error rate)."""
+    return (sums
             .select("total_entries", thousands(F.col("total_entries")).alias("entries_text"),
                     round1("_pct").alias("error_rate"), "machines", "sensor_anomalies", "time_start", "time_end",
                     F.concat(fixed("_pct", 1), F.lit("%")).alias("error_rate_text")))
@@ -76,7 +81,11 @@ def report_stats(enriched: DataFrame, entries: DataFrame, diagnoses: DataFrame |
     ``window_entries`` rows: a window is counted at its first entry. With
     ``diagnoses`` their number is added, as the exported report shows it.
     """
-    o = overview(enriched)
+    return stats_rows(overview(enriched), machine_list(enriched), entries.where("seq = 1"), diagnoses)
+
+
+def stats_rows(o: DataFrame, machine_rows: DataFrame, windows: DataFrame, diagnoses: DataFrame | None = None) -> DataFrame:
+    """The rows of ``report_stats`` from the overview, the machines and the windows (a row each)."""
 
     def row(i, metric, value):
         return F.struct(F.lit(i).alias("ord"), F.lit("").alias("tie"), F.lit(metric).alias("metric"),
@@ -88,14 +97,14 @@ def report_stats(enriched: DataFrame, entries: DataFrame, diagnoses: DataFrame |
         row(5, "Sensor anomalies", F.col("sensor_anomalies").cast("string")),
         row(6, "Error rate", F.col("error_rate_text")),
     )).alias("r")).select("r.*")
-    machines = machine_list(enriched).select(F.lit(3).alias("ord"), F.col("machine_id").alias("tie"),
-                                             F.lit("Machines").alias("metric"), F.col("machine_id").alias("value"))
+    machines = machine_rows.select(F.lit(3).alias("ord"), F.col("machine_id").alias("tie"),
+                                   F.lit("Machines").alias("metric"), F.col("machine_id").alias("value"))
 
     def counted(df, i, metric):
         return df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
             F.lit(i).alias("ord"), F.lit("").alias("tie"), F.lit(metric).alias("metric"), "value")
 
-    rows = rows.unionByName(machines).unionByName(counted(entries.where("seq = 1"), 4, "Failure windows"))
+    rows = rows.unionByName(machines).unionByName(counted(windows, 4, "Failure windows"))
     if diagnoses is not None:
         rows = rows.unionByName(counted(diagnoses, 7, "Failure windows analyzed"))
     return rows

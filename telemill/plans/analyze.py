@@ -84,12 +84,13 @@ def analyze(spark: SparkSession, logs: DataFrame, out_dir: str, max_windows: int
     stopped, or one over a longer log, asks only for windows without a reply.
     """
     out = out_dir.rstrip("/")
-    write_enriched(features.enrich(logs), f"{out}/processed_logs")
+    counts = logs.groupBy(F.to_date("timestamp").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    write_enriched(features.enrich(logs), f"{out}/processed_logs", counts=counts)
     enriched = spark.read.parquet(f"{out}/processed_logs")
     entries = sessions.window_entries(enriched)
     windows = sessions.summarize_windows(entries)
     stats = summary.report_stats(enriched, entries)
-    diagnoses = diagnose.diagnose(enriched, call, max_windows, factory=factory,
+    diagnoses = diagnose.diagnose(sessions.first_part(enriched, max_windows), call, max_windows, factory=factory,
                                   replies_path=f"{out}/replies" if resume else None)
     diagnoses.write.mode("overwrite").parquet(f"{out}/diagnoses")
     diagnoses = spark.read.parquet(f"{out}/diagnoses")

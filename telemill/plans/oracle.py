@@ -481,3 +481,14 @@ UNION ALL SELECT 4, epoch_us(start_ts), machine_id, {_section_sql()} FROM diag""
     "report_sections": _with(LOGS, FAILS, _sig_ctes()) + f"""
 SELECT machine_id, start, {_section_sql()} AS text FROM diag""",
 }
+
+# The same results by another way: catalogs as tables, windows from a part of the log, batch by batch.
+ORACLE["out_of_range_table"] = ORACLE["out_of_range"]
+ORACLE["signature_match_table"] = ORACLE["signature_match"]
+ORACLE["first_window_entries"] = ORACLE["prepared_entries"].replace("LIMIT 10", "LIMIT 500")
+ORACLE["incremental_windows"] = _with(LOGS, FAILS, _sig_ctes(), ENRICHED) + """
+SELECT w.machine_id, w.start, w."end", w.event_count, w.max_severity, s.failure_mode, w.error_codes, o.*
+FROM windows w JOIN sigm s ON w.machine_id = s.machine_id AND w.start = s.start,
+     (SELECT count(*) AS total_entries, cast(sum(cast(is_anomaly AS bigint)) AS bigint) AS sensor_anomalies,
+             cast(printf('%.1f', avg(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 1e0 ELSE 0e0 END) * 100) AS double) AS error_rate,
+             count(DISTINCT machine_id) AS machines, min("timestamp") AS time_start, max("timestamp") AS time_end FROM enriched) o"""

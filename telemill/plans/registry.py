@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from telemill.sources import csv_logs
 from telemill.sources.events_adapter import load_machine_logs
-from telemill.operators import anomaly, catalog, diagnose, features, fleet, report, sessions, summary
+from telemill.operators import anomaly, catalog, diagnose, features, fleet, range_catalog, report, sessions, summary
 from telemill.schema import RAW_COLUMNS, SENSORS, rolling_mean_col, rolling_std_col, anomaly_col, zscore_col
 from telemill.session import shared_folder
 
@@ -170,6 +170,38 @@ def q_window_value_counts(spark, sf_dir):
     return sessions.window_value_counts(sessions.window_entries(_logs(spark, sf_dir)))
 
 
+def q_incremental_windows(spark, sf_dir):
+    """Windows of a store after two batches, cut at the middle of the log's time, beside the overview from its daily rows."""
+    from telemill.operators import partials
+    from telemill.plans.incremental import advance
+    logs, store = _logs(spark, sf_dir), shared_folder(spark, "store")
+    ends = logs.agg(F.min("timestamp"), F.max("timestamp")).first()
+    middle = F.lit(ends[0] + (ends[1] - ends[0]) / 2) if ends[0] else F.lit(None)
+    first = F.coalesce(F.col("timestamp") <= middle, F.lit(True))
+    advance(spark, logs.where(first), store)
+    t = advance(spark, logs.where(~first), store)
+    o = partials.overview(t["daily"]).select("total_entries", "sensor_anomalies", "error_rate", "machines", "time_start", "time_end")
+    w = t["windows"].select("machine_id", "start", "end", "event_count", "max_severity", "failure_mode",
+                            F.array_join("error_codes", ",").alias("error_codes"))
+    return w.crossJoin(F.broadcast(o))  # one row
+
+
+def q_out_of_range_table(spark, sf_dir):
+    """Readings outside the normal ranges, the ranges being a table."""
+    return range_catalog.out_of_range(_logs(spark, sf_dir), range_catalog.built_in_ranges(spark))
+
+
+def q_signature_match_table(spark, sf_dir):
+    """Signature scores, the signatures being a table."""
+    entries = sessions.window_entries(_logs(spark, sf_dir))
+    return range_catalog.signature_match(entries, range_catalog.built_in_signatures(spark))
+
+
+def q_first_window_entries(spark, sf_dir):
+    """Entries of the first 500 windows, from the part of the log they lie in."""
+    return sessions.prepared_entries(sessions.first_part(_logs(spark, sf_dir), 500), 500)
+
+
 def q_failure_windows_gap15(spark, sf_dir):
     """Failure windows with a gap of 15 minutes instead of 60."""
     w = sessions.failure_windows(_logs(spark, sf_dir), gap_minutes=15, ordered=False)
@@ -501,7 +533,11 @@ QUERIES: dict[str, Query] = {
     "failure_windows_gap15": q_failure_windows_gap15,
     "anomaly_flags_1h": q_anomaly_flags_1h,
     "reply_records": q_reply_records,
+    "out_of_range_table": q_out_of_range_table,
+    "signature_match_table": q_signature_match_table,
+    "first_window_entries": q_first_window_entries,
     "fleet_tree": q_fleet_tree,
+    "incremental_windows": q_incremental_windows,
     "model_diagnoses": q_model_diagnoses,
     "window_values": q_window_values,
     "window_value_counts": q_window_value_counts,

@@ -117,18 +117,32 @@ def write_logs_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-#: Files a calendar date is spread over in the processed table.
-DATE_FILES = 8
+#: Rows of a file of the processed table.
+ROWS_PER_FILE = 2_000_000
 
 
-def write_enriched(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                   date_files: int = DATE_FILES) -> str:
-    """Processed-log sink. Parquet partitioned by calendar date enables partition pruning;
-    each date goes to at most ``date_files`` files, whatever the number of tasks before."""
+def dealt_by_date(df: DataFrame, by: str, counts: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows dealt to tasks by date, a date to as many of them as its rows need.
+
+    counts: (``by``, n), one row a date; broadcast, as there are no more dates than folders to write.
+    """
+    files = counts.select(F.col(by).alias("_by"), F.ceil(F.col("n") / rows_per_file).cast("long").alias("_files"))
+    total = files.agg(F.sum("_files")).first()[0] or 1
+    tasks = max(int(total), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = df.columns
+    dealt = df.join(F.broadcast(files), F.col(by).eqNullSafe(F.col("_by")), "left")
+    salt = F.pmod(F.xxhash64(*names), F.coalesce("_files", F.lit(1)))
+    return dealt.repartition(tasks, by, salt).select(*names)
+
+
+def write_enriched(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", counts: DataFrame | None = None,
+                   rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Processed-log sink. Parquet partitioned by calendar date enables partition pruning; each date goes to
+    about one file for every ``rows_per_file`` rows. ``counts`` (date, n) saves a count of df, if known."""
     if fmt == "parquet" and "date" in df.columns:
-        salt = F.pmod(F.xxhash64("event_id"), F.lit(date_files))
-        df = df.repartition("date", salt)
-        w = df.write.mode(mode).partitionBy("date")
+        if counts is None:
+            counts = df.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+        w = dealt_by_date(df, "date", counts, rows_per_file).write.mode(mode).partitionBy("date")
     else:
         w = df.write.mode(mode)
     if fmt == "csv":

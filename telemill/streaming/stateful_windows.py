@@ -147,13 +147,20 @@ def stateful_failure_windows(logs: DataFrame, gap_minutes: int = DEFAULT_GAP_MIN
         non_blank(F.col("failure_category")).alias("category"), non_blank(F.col("error_code")).alias("code"))
     processor = _processor(gap_minutes * US_PER_MINUTE, delay_minutes * US_PER_MINUTE,
                            None if idle_minutes is None else int(idle_minutes * 60_000), SET_ITEMS)
-    return f.groupBy("machine_id").transformWithStateInPandas(processor, _OUT, "append", "ProcessingTime")
+    # with timers a stream goes on as long as it is let, so a run that is to end has none
+    mode = "None" if idle_minutes is None else "ProcessingTime"
+    return f.groupBy("machine_id").transformWithStateInPandas(processor, _OUT, "append", mode)
 
 
 def start_stateful_windows(spark: SparkSession, logs: DataFrame, sink_path: str, checkpoint_location: str | None = None,
                            gap_minutes: int = DEFAULT_GAP_MINUTES, delay_minutes: int = 120, idle_minutes: float | None = None,
                            available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-    """Run the stream into a Parquet sink partitioned by kind. Its state store is RocksDB's, which the query keeps."""
+    """Run the stream into a Parquet sink partitioned by kind. Its state store is RocksDB's, which the query keeps.
+
+    ``available_now`` ends with the input there is; ``idle_minutes`` is for streams that go on.
+    """
+    if available_now and idle_minutes is not None:
+        raise ValueError("a run that ends with its input has no timers")
     loc = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/streams/stateful_windows"
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)

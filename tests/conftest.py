@@ -21,6 +21,15 @@ def spark():
     yield s
 
 
+@pytest.fixture()
+def two_partitions(spark):
+    """For tests of many small jobs, whose time goes by the number of tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="telemill-test-")

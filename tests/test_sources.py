@@ -86,14 +86,17 @@ def test_missing_value_tokens(spark, tmpdir_path):
                and r["_corrupt_record"] is None for r in rows)
 
 
-def test_processed_table_has_few_files_a_date(spark, tmpdir_path):
+def test_processed_table_has_files_by_the_rows_of_a_date(spark, tmpdir_path):
     from telemill.operators import features
     from telemill.sources.csv_logs import write_enriched
-    out = os.path.join(tmpdir_path, "processed")
-    write_enriched(features.enrich(load_machine_logs(spark, SF001)), out, date_files=2)
-    for d in os.listdir(out):
-        if d.startswith("date="):
-            assert len([f for f in os.listdir(os.path.join(out, d)) if f.startswith("part-")]) <= 2
+    logs = load_machine_logs(spark, SF001)
+    for k, (rows, most) in enumerate(((10 ** 6, 1), (10, 8))):
+        out = os.path.join(tmpdir_path, f"processed{k}")
+        counts = logs.groupBy(F.to_date("timestamp").alias("date")).agg(F.count("*").alias("n"))
+        write_enriched(features.enrich(logs), out, counts=counts, rows_per_file=rows)
+        files = [len([f for f in os.listdir(os.path.join(out, d)) if f.startswith("part-")]) for d in os.listdir(out) if d.startswith("date=")]
+        assert max(files) <= most and (most == 1 or max(files) > 2)
+        assert spark.read.parquet(out).count() == logs.count()
 
 
 def _quoted_rows(rnd, n):

@@ -2,7 +2,6 @@ import datetime as dt
 import os
 import time
 
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -58,15 +57,6 @@ def _tuples(df):
     return sorted(map(str, df.select(*_COLS).collect()))
 
 
-@pytest.fixture()
-def two_partitions(spark):
-    """State stores cost seconds each here."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 def test_stateful_stream_equals_batch_for_all_windows(spark, tmpdir_path, two_partitions):
     events = spark.read.parquet(f"{SF01}/events.parquet")
     src, sink, ckpt = (os.path.join(tmpdir_path, x) for x in ("in", "out", "ckpt"))
@@ -87,8 +77,8 @@ def test_late_rows_are_kept_aside_and_runs_go_on(spark, tmpdir_path, two_partiti
         return {"event_id": i, "timestamp": at(minutes=minutes), "machine_id": machine, "severity": severity, "error_code": code}
 
     first = [row(1, 0), row(2, 30), row(3, 200, code="E-301", severity="CRITICAL"), row(4, 10, "B")]
-    # A's time is closed up to minute 380: 390 joins nothing before it, 100 and 379 are late; B lags and is not
-    second = [row(5, 500), row(6, 100), row(7, 60, "B")]
+    # A's time is closed up to minute 80, then up to 380: 70 and 379 are late, 390 is not; B lags and is not
+    second = [row(5, 500), row(6, 70), row(7, 60, "B")]
     third = [row(8, 390), row(9, 379), row(10, 455), row(11, 1000, "B")]
     _stream(spark, tmpdir_path, [first])
     before = _tuples(open_windows(spark, os.path.join(tmpdir_path, "ckpt")))
@@ -96,7 +86,7 @@ def test_late_rows_are_kept_aside_and_runs_go_on(spark, tmpdir_path, two_partiti
     _, sink, ckpt = _stream(spark, tmpdir_path, [second])
     _, sink, ckpt = _stream(spark, tmpdir_path, [third])
     late = {r["event_id"]: r["timestamp"] for r in late_rows(spark, sink).collect()}
-    assert late == {6: at(minutes=100), 9: at(minutes=379)}
+    assert late == {6: at(minutes=70), 9: at(minutes=379)}
     kept = [r for r in first + second + third if r["event_id"] not in late]
     want = _tuples(sessions.failure_windows(make_logs(spark, kept), ordered=False))
     assert _tuples(closed_windows(spark, sink).unionByName(open_windows(spark, ckpt))) == want
