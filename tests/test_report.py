@@ -43,6 +43,22 @@ def test_analyze_end_to_end(spark, tmpdir_path):
     assert e.count() == 1000 and "is_anomaly" in e.columns
 
 
+def test_analyze_taken_up_asks_for_nothing_twice(spark, tmpdir_path, two_partitions):
+    calls, out = os.path.join(tmpdir_path, "calls"), os.path.join(tmpdir_path, "out")
+    os.makedirs(calls)
+
+    def model(system, prompt, max_tokens):
+        with open(os.path.join(calls, os.urandom(8).hex()), "w"):
+            return '{"root_cause": "r", "executive_summary": "s"}'
+
+    logs = load_machine_logs(spark, SF001)
+    first = analyze(spark, logs, out, 4, model, generated_at="now", resume=True)
+    assert first["diagnoses"].count() == 4 and len(os.listdir(calls)) == 5  # four windows and the fleet
+    again = analyze(spark, logs, out, 6, model, generated_at="now", resume=True)
+    assert again["diagnoses"].count() == 6 and len(os.listdir(calls)) == 8
+    assert again["fleet"].first()["executive_summary"] == "s"
+
+
 def test_fleet_section_text(spark):
     f = spark.createDataFrame(
         [("sum", [("i", ["M-1", "M-2"], None, "big")], [("act", ["M-1"], "IMMEDIATE", "why")], ["a1"], 2.25)],
