@@ -16,13 +16,15 @@ one task, so work grows with the input.
 
 Defined cases: null text has no words; a text below `width` words keeps all;
 equal rows are copies of each other; rows of one doc_id are documents of their
-own; a row without doc_id takes no part and keeps all.
+own; a row without doc_id takes part under a
+name made from its text, and keeps the null.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,14 +155,21 @@ def _kept(data: np.ndarray, off: np.ndarray, gone: np.ndarray, toff: np.ndarray)
     return removed, keep
 
 
+def _named(carried: DataFrame) -> DataFrame:
+    """Rows without doc_id take part under a name made from their text; who carries them knows that they have none."""
+    return carried.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))
+
+
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
-    docs, own = as_text(docs, id_col, text_col), rule(width, hot)
-    spans, n = repeats(docs, own, lambda e, c, o: repeated_segments(e, c, o, width))
+    docs = _named(as_text(docs, id_col, text_col, F.struct(docs[id_col].isNull().alias("null")).alias("rest")))
+    own = rule(width, hot)
+    spans, n = repeats(docs.drop("rest"), own, lambda e, c, o: repeated_segments(e, c, o, width))
 
     def result(ids, texts, rest, data, off, gone, toff):
         removed, keep = _kept(data, off, gone, toff)
+        ids = pc.if_else(pc.struct_field(rest, "null"), pa.scalar(None, pa.int64()), ids)
         return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(toff)), pa.array(removed), pa.array(keep, pa.string())],
                                           ["doc_id", "n_words", "n_removed", "kept"])
 
@@ -172,7 +181,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """The documents with all their columns; a text that loses words is its kept words joined by one space."""
     names, own = docs.columns, rule(width, hot)
     kind = docs.schema[text_col].dataType
-    carried = as_text(docs, id_col, text_col, F.struct(*(docs[c] for c in names)).alias("rest"))
+    carried = _named(as_text(docs, id_col, text_col, F.struct(*(docs[c] for c in names)).alias("rest")))
     spans, n = repeats(carried.drop("rest"), own, lambda e, c, o: repeated_segments(e, c, o, width))
 
     def result(ids, texts, rest, data, off, gone, toff):

@@ -105,6 +105,18 @@ def test_automaton_counts_windows():
             assert shard.repeated(s, width) == [p for p in range(len(s) - width + 1) if n[tuple(s[p:p + width])] > 1]
 
 
+def test_passages_of_rows_without_id_count(spark):
+    rnd = random.Random(12)
+    shared, own = (" ".join(f"{rnd.choice('abcd')}{rnd.randrange(10 ** 6)}" for _ in range(50)) for _ in range(2))
+    docs = frame(spark, [(1, f"one {shared}"), (None, f"{shared} two"), (None, own), (None, own), (2, "nothing shared here")]).repartition(3)
+    got = sorted(tuple(r) for r in automaton_dedup.remove_repeated_passages(docs).select("n_words", "n_removed", "kept").collect())
+    assert got == [(3, 0, "nothing shared here"), (50, 50, ""), (50, 50, ""), (51, 50, "one"), (51, 50, "two")]
+    ids = automaton_dedup.remove_repeated_passages(docs).select("doc_id").collect()
+    assert sorted((r[0] is None, r[0] or 0) for r in ids) == [(False, 1), (False, 2), (True, 0), (True, 0), (True, 0)]
+    out = automaton_dedup.rewrite(docs)
+    assert out.where("doc_id IS NULL").count() == 3 and sorted(r["text"] for r in out.collect())[:3] == ["", "", "nothing shared here"]
+
+
 def test_odd_rows(spark, odd, nothing):
     rows = suffix_dedup.remove_repeated_bytes(odd).collect()
     assert len(rows) == odd.count()
