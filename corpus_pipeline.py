@@ -9,8 +9,7 @@ there are pass through unchanged.
 Defined cases: an empty table gives an empty result; null texts have no words
 and go with the quality rules; of repeated rows one stays, and rows of one
 doc_id with unlike texts stay all; rows without doc_id are near-duplicates as
-others are (one with a doc_id is kept first), but take no part in the third
-stage and keep their words.
+others are (one with a doc_id is kept first) and take part in all stages.
 """
 
 from __future__ import annotations
