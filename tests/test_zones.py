@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-import pytest
-
 from conftest import make_logs
 from telemill.operators import anomaly, diagnose, features, report, sessions, summary
 
@@ -29,12 +27,12 @@ def _everything(spark):
     return [sorted(map(str, f.collect())) for f in frames]
 
 
-@pytest.mark.parametrize("zone", ["America/New_York", "Pacific/Apia", "Asia/Kathmandu"])
-def test_results_do_not_depend_on_the_session_zone(spark, zone):
+def test_results_do_not_depend_on_the_session_zone(spark, two_partitions):
     want = _everything(spark)
-    spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        assert _everything(spark) == want
+        for zone in ("America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert _everything(spark) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
