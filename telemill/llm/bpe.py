@@ -7,7 +7,8 @@ integers in a binary column; decoding joins the tokens' raw bytes, which need
 not be valid UTF-8 for a part of a text.
 
 Defined cases: null text counts as empty and gives no ids (decoded: no
-bytes); equal rows are encoded each; an empty table gives an empty table.
+bytes); equal rows are encoded each; an empty table gives an empty table; other
+columns take no part in `encode` and stay in `decode`.
 """
 
 from __future__ import annotations

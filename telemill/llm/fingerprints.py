@@ -13,7 +13,8 @@ the 16-bit hashes of all samples in hexadecimal; the likeness of two is the
 share of samples in which they agree, less what agrees by chance.
 
 Defined cases: null text counts as empty; texts without a word share one
-fingerprint (all zeros, alike in every sample) and are unlike all others.
+fingerprint (all zeros, alike in every sample) and are unlike all others;
+other columns take no part. The gamma samples are taken from 4,096 quantiles.
 """
 
 from __future__ import annotations

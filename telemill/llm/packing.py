@@ -16,7 +16,8 @@ are partition number * 2**40 + a running number, so a task that is run again
 gives the same ids.
 
 Defined cases: null text counts as empty: a document of the end id alone;
-equal rows are packed each; a null doc_id stays null.
+equal rows are packed each; a null doc_id stays null; other columns take no
+part.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ All patterns are applied in linear time, however long a text or a run of
 digits is.
 
 Defined cases: null or empty text has no spans; equal rows have equal spans;
-without a document to train on only base spans remain.
+without a document to train on only base spans remain; other columns take no
+part in the spans and stay in `redact`.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ weights are averaged by the number of their documents, in `epochs` rounds. No
 given label is used.
 
 Defined cases: null or empty text gets the votes of a text without words and
-is not kept; equal rows score alike; an empty table gives an empty table.
+is not kept; equal rows score alike; an empty table gives an empty table; other
+columns take no part.
 """
 
 from __future__ import annotations
