@@ -19,7 +19,8 @@ enters a score.
 
 Defined cases: null or empty text scores as the model's base rate; equal rows
 score alike; labels that are null or contradict each other for one doc_id are
-left out; without labels of both classes every score is 0.
+left out; without labels of both classes every score is 0; other columns take
+no part, and a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -356,19 +358,44 @@ def class_counts(labelled: DataFrame, counts: np.ndarray) -> DataFrame:
     return map_batches(parts, add, "feature int, n0 long, n1 long")
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, n: int, steps: int = 300, ridge: float = 2.0):
-    """Weights and bias by gradient steps with momentum; each row lists its features."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+#: Numbers gathered at once while the model is fitted.
+FIT_BLOCK = 1 << 20
+
+
+class _Sums:
+    """Sums of values[index[start[k]:start[k + 1]]] for each k, a block at a time."""
+
+    def __init__(self, index: np.ndarray, start: np.ndarray):
+        self.index, self.start, self.n = index, start, len(start) - 1
+        full = np.flatnonzero(np.diff(start))
+        cut = np.unique(np.searchsorted(start[full], np.arange(FIT_BLOCK, max(int(start[-1]), 1), FIT_BLOCK)))
+        self.blocks = [x for x in np.split(full, cut) if len(x)]
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for k in self.blocks:
+            lo, hi = self.start[k[0]], self.start[k[-1] + 1]
+            out[k] = np.add.reduceat(values[self.index[lo:hi]], self.start[k] - lo)
+        return out
+
+
+def fit_logistic(col: np.ndarray, off: np.ndarray, y: np.ndarray, n: int, steps: int = 300, ridge: float = 2.0):
+    """Weights and bias by gradient steps with momentum. Row k has the features col[off[k]:off[k + 1]].
+
+    The numbers are held once by row and once by feature; beside them only a block's values.
+    """
+    count = np.bincount(col, minlength=n)
+    by_row = _Sums(col, off)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(off))
+    by_feature = _Sums(row[np.argsort(col, kind="stable")], np.concatenate(([0], np.cumsum(count))))
     w, bias = np.zeros(n), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    size = np.bincount(col, minlength=n) + ridge
-    v, vb = np.zeros(n), 0.0
+    size, v, vb = count + ridge, np.zeros(n), 0.0
     for _ in range(steps):
-        z = np.bincount(at, weights=w[col], minlength=len(rows)) + bias
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = (np.bincount(col, weights=e[at], minlength=n) + ridge * w) / size
-        v, vb = 0.9 * v - 0.2 * g, 0.9 * vb - 0.2 * e.mean()
+        e = 1 / (1 + np.exp(-np.clip(by_row(w) + bias, -30, 30))) - y
+        v, vb = 0.9 * v - 0.2 * (by_feature(e) + ridge * w) / size, 0.9 * vb - 0.2 * e.mean()
         w, bias = w + v, bias + vb
+        if max(np.abs(v).max(initial=0.0), abs(vb)) < 1e-4:
+            break
     return w, bias
 
 
@@ -408,9 +435,16 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, fit_rows: int
                         rows[a + d[x]] = p[x:y].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.binary())], ["toxic", "row"])
 
-    got = map_batches(sample, run, "toxic int, row binary").collect()  # about fit_rows short rows
-    weights, bias = fit_logistic([np.frombuffer(r["row"], "<i4").astype(np.int64) for r in got],
-                                 np.array([r["toxic"] for r in got], float), len(chosen))
+    got = map_batches(sample, run, "toxic int, row binary").toArrow().combine_chunks()  # about fit_rows short rows
+    if not got.num_rows:
+        return {"chosen": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -30.0}
+    column = pc.cast(got.column(1).combine_chunks(), pa.large_binary())
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, edges, data = column.buffers()
+    off = np.frombuffer(edges, "<i8", count=len(column) + 1 + column.offset)[column.offset:] // 4
+    col = np.frombuffer(data, "<i4") if data is not None else np.zeros(0, "<i4")
+    weights, bias = fit_logistic(col, off, got.column(0).to_numpy().astype(float), len(chosen))
     return {"chosen": chosen, "weights": weights, "bias": bias}
 
 
