@@ -15,8 +15,8 @@ that is a handful of huge, skewed tasks. All operators here partition by
   deviations. Nothing is ever subtracted, so one glitch of any size is
   forgotten as soon as it leaves the frame. A machine with more than
   ``block_rows`` rows in a frame gets finer blocks, a power of two to the frame
-  (``machine_levels``): the whole blocks between the two ends then come from
-  a dyadic table of mergeable moments (``_middle``), log2(blocks) merges each;
+  (``machine_levels``): the whole blocks between the two ends are again a
+  suffix and a prefix, of stretches of blocks as long as the frame (``_middle``);
 * the look-back of ``time_since_last`` is unbounded, so the first row of a
   block takes the last timestamp of the machine's previous non-empty block
   from a small edge table (one row per machine and block).
@@ -153,12 +153,17 @@ def machine_levels(logs: DataFrame, window_hours: float = DEFAULT_WINDOW_HOURS,
     many = dense.num_rows > LEVEL_MACHINES
     if not many:
         x = x.join(F.broadcast(logs.sparkSession.createDataFrame(dense)), "machine_id", "left_semi")
-    cells = x.groupBy("machine_id", F.expr(_block(frame_us >> finest)).alias("cell")).count()
-    levels = cells.select("machine_id", "cell", "count", F.explode(F.sequence(F.lit(1), F.lit(finest))).alias("level"))
-    blocks = (levels.groupBy("machine_id", "level", F.expr(f"shiftright(cell, {finest} - level)").alias(_B))
-              .agg(F.sum("count").alias("n")))
-    full = (blocks.groupBy("machine_id", "level").agg(F.max("n").alias("n")).where(f"n <= {block_rows} OR level = {finest}")
-            .groupBy("machine_id").agg(F.min("level").alias("level")))
+    # dealt by frames, every coarser level is counted from the finer one where its blocks lie, without further shuffles
+    blocks = (x.groupBy("machine_id", F.expr(_block(frame_us >> finest)).alias(_B)).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("frame", F.expr(f"shiftright({_B}, {finest})")).repartition("machine_id", "frame"))
+    for level in range(finest, 0, -1):
+        most = [f"most_{k}" for k in range(level + 1, finest + 1)]
+        blocks = (blocks.selectExpr("machine_id", "frame", f"shiftright({_B}, 1) AS {_B}", "n", f"n AS most_{level}", *most)
+                  .groupBy("machine_id", "frame", _B)
+                  .agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in [f"most_{level}", *most]]))
+    most = blocks.groupBy("machine_id").agg(*[F.max(f"most_{k}").alias(f"most_{k}") for k in range(1, finest + 1)])
+    enough = " ".join(f"WHEN most_{k} <= {block_rows} THEN {k}" for k in range(1, finest + 1))
+    full = most.selectExpr("machine_id", f"CASE {enough} ELSE {finest} END AS level")
     if many:
         return full.agg(F.max("level")).first()[0]
     return {r["machine_id"]: r["level"] for r in full.toLocalIterator()}
@@ -217,50 +222,45 @@ def _merged(sensor: str, one: str, two: str, tag: str) -> list[list[str]]:
              f"ELSE _d{tag} * _d{tag} * ({n1} * ({n2} / _n{tag})) END AS _q{tag}"]]
 
 
-_ZERO = "named_struct('n', 0L, 'a', 0D, 'q', 0D)"
-_MERGE = ("CASE WHEN r.n = 0 THEN l WHEN l.n = 0 THEN r ELSE named_struct('n', l.n + r.n, "
-          "'a', l.a + (r.a - l.a) * (r.n / (l.n + r.n)), "
-          "'q', l.q + r.q + (r.a - l.a) * (r.a - l.a) * (l.n * (r.n / (l.n + r.n)))) END")
+def _running(y: DataFrame, order: str, shift: int, tag: str) -> DataFrame:
+    """Adds count, mean and squared deviations (_n, _a, _q) of the copies ``shift`` that come before a block in ``order``.
 
-
-def _joined_parts(parts: DataFrame, key: list[str]) -> DataFrame:
-    """One row a key: the moments ``m`` (an array over the sensors) of its parts, merged in the order of ``at``."""
-    g = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("p"))
-    zero = f"array_repeat({_ZERO}, {len(SENSORS)})"
-    return g.selectExpr(*key, f"aggregate(p, {zero}, (acc, x) -> zip_with(acc, x.m, (l, r) -> {_MERGE})) AS m")
-
-
-def _middle(x: DataFrame, frame_us: int, level: int) -> DataFrame:
+    Two passes on one sort: counts and sums, then the squared deviations. A
+    block adds its own and those of its mean from the mean of all before it, so
+    that nothing is subtracted.
+    """
+    over = f"OVER (PARTITION BY machine_id, _super ORDER BY {order} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    copies = f"CASE WHEN {_SHIFT} = {shift} THEN"
+    y = y.selectExpr("*", *[e for s in SENSORS for e in (f"coalesce(sum({copies} _n_{s} END) {over}, 0L) AS _n{tag}_{s}",
+                                                         f"sum({copies} _n_{s} * _a_{s} END) {over} AS _t{tag}_{s}")])
+    y = y.selectExpr("*", *[f"CASE WHEN _n{tag}_{s} > 0 THEN _t{tag}_{s} / _n{tag}_{s} ELSE 0D END AS _a{tag}_{s}" for s in SENSORS])
+    y = y.selectExpr("*", *[f"_a_{s} - _a{tag}_{s} AS _d{tag}_{s}" for s in SENSORS])
+    added = [f"_q_{s} + CASE WHEN _n_{s} = 0 OR _n{tag}_{s} = 0 THEN 0D "
+             f"ELSE _d{tag}_{s} * _d{tag}_{s} * (_n{tag}_{s} * (_n_{s} / (_n{tag}_{s} + _n_{s}))) END" for s in SENSORS]
+    return y.selectExpr("*", *[f"coalesce(sum({copies} {e} END) {over}, 0D) AS _q{tag}_{s}" for s, e in zip(SENSORS, added)])
+
+
+def _middle(x: DataFrame, frame_us: int) -> DataFrame:
     """(machine_id, block) -> moments of the whole blocks between a frame's ends; one row per machine and block.
 
     The frame of a row in block b holds the n - 1 blocks before b, n being the
-    machine's blocks to a frame. A dyadic table has the moments of 2**i blocks
-    from each block on, each from two of half the length; those of the binary
-    digits of n - 1, laid end to end, make up the frame's blocks. So a block
-    takes one merge for each digit.
+    machine's blocks to a frame. What ``_with_block_stats`` does with rows is
+    done with blocks once more: in stretches of n blocks these are a suffix of
+    the stretch before and a prefix of b's own. Each block is copied once; a
+    group has at most 2 * n of them, however many rows they hold.
     """
-    aggs = [F.expr(f"named_struct('n', count({s}), 'a', coalesce(avg({s}), 0D), 'q', coalesce(var_pop({s}), 0D) * count({s})) AS _m_{s}")
-            for s in SENSORS]
+    aggs = [F.expr(e) for s in SENSORS for e in (f"count({s}) AS _n_{s}", f"coalesce(avg({s}), 0D) AS _a_{s}",
+                                                 f"coalesce(var_pop({s}), 0D) * count({s}) AS _q_{s}")]
     blocks = (x.where(f"{_VALID_SQL} AND {_SUB} > 1")
               .selectExpr("machine_id", _SUB, f"{_block(f'{frame_us} div {_SUB}')} AS {_B}", *SENSORS)
-              .groupBy("machine_id", _SUB, _B).agg(*aggs)
-              .select("machine_id", _SUB, _B, F.array(*[f"_m_{s}" for s in SENSORS]).alias("m")))
-    key = ["machine_id", _SUB, _B]
-    table, shares = blocks, None
-    for i in range(level):
-        if i:
-            # the blocks from b on: those of half the length from b, then from b + half
-            half = 1 << (i - 1)
-            table = _joined_parts(table.where(f"{_SUB} - 1 >= {1 << i}").selectExpr(
-                "machine_id", _SUB, f"explode(array(named_struct('b', {_B}, 'at', 0), named_struct('b', {_B} - {half}, 'at', 1))) AS e", "m")
-                .selectExpr("machine_id", _SUB, f"e.b AS {_B}", "e.at AS at", "m"), key)
-        # the digits up to this one are that many blocks, and these are the farthest of them
-        share = table.where(f"(shiftright({_SUB} - 1, {i}) & 1) = 1").selectExpr(
-            "machine_id", _SUB, f"{_B} + (({_SUB} - 1) & {(2 << i) - 1}) AS {_B}", f"{-i} AS at", "m")
-        shares = share if shares is None else shares.unionByName(share)
-    # only blocks that have rows of their own are asked for
-    merged = _joined_parts(shares, key).join(blocks.select(key), key, "left_semi")
-    return merged.selectExpr("machine_id", _B, *[f"m[{k}].{c} AS _{c}m_{s}" for k, s in enumerate(SENSORS) for c in ("n", "a", "q")])
+              .groupBy("machine_id", _SUB, _B).agg(*aggs))
+    y = (blocks.selectExpr("*", f"explode(array(0, 1)) AS {_SHIFT}")
+         .selectExpr("*", f"{_B} + {_SHIFT} * {_SUB} AS {_V}")
+         .selectExpr("*", f"({_V} - pmod({_V}, {_SUB})) div {_SUB} AS _super"))
+    y = _running(_running(y, f"{_V} DESC", 1, "s"), _V, 0, "p").where(f"{_SHIFT} = 0")
+    for step in zip(*[_merged(s, f"s_{s}", f"p_{s}", f"m_{s}") for s in SENSORS]):
+        y = y.selectExpr("*", *[e for part in step for e in part])
+    return y.selectExpr("machine_id", f"{_V} AS {_B}", *[f"_{c}m_{s}" for s in SENSORS for c in "naq"])
 
 
 def _with_block_stats(x: DataFrame, frame_us: int, level: int, keep: list[str]) -> DataFrame:
@@ -274,7 +274,7 @@ def _with_block_stats(x: DataFrame, frame_us: int, level: int, keep: list[str])
     up = f"OVER ({part} ORDER BY {_V} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     down = f"OVER ({part} ORDER BY {_V} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     cols = [f"`{c}`" for c in keep]
-    middle = _middle(x, frame_us, level) if level else None
+    middle = _middle(x, frame_us) if level else None
     y = _copied(x, frame_us)
     y = y.selectExpr("*", *[e for s in SENSORS for e in _moments(f"CASE WHEN {_SHIFT} = 1 THEN {s} END", down, f"s_{s}")])
     lag = (f"last(CASE WHEN {_SHIFT} = 0 THEN {_TS} END, true) OVER ({part} ORDER BY {_V}, event_id "

@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 
 import pytest
@@ -170,3 +171,29 @@ def test_a_million_rows_in_a_frame_are_many_groups(spark):
         m = sum(x) / len(x)
         assert r[c[0]] == pytest.approx(m, rel=1e-9)
         assert r[c[1]] == pytest.approx((sum((v - m) ** 2 for v in x) / (len(x) - 1)) ** 0.5, rel=1e-9)
+
+
+def test_finer_blocks_take_no_more_shuffles(spark):
+    """The moments of whole blocks are shuffled as often for 4096 blocks to a frame as for 8; gaps, NULLs and a glitch as in whole machines."""
+    rows = [{"timestamp": at(seconds=i * i % 86400), "machine_id": f"m{i % 2}", "temperature_c": None if i % 11 == 0 else 1e9 if i == 40 else 20 + i % 13 * 0.7,
+             "gas_pressure_psi": 140.0 if i % 90 == 0 else None} for i in range(700)]
+    logs = make_logs(spark, rows)
+    count = {}
+    for level in (3, 12):
+        out = features.rolling_stats(logs, window_hours=8, levels=level)
+        count[level] = out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert count[12] == count[3] <= 4
+    _compare(spark, logs, levels=12)
+
+
+def test_levels_are_the_coarsest_that_suffice(spark):
+    """By counting every block of every level, also before 1970."""
+    rows = [{"timestamp": dt.datetime(1969, 12, 31, 20) + dt.timedelta(seconds=i * i % 40000 / 3), "machine_id": f"m{i % 3}"} for i in range(900) if i % 3 < 2 or i % 60 == 2]
+    frame_us = 4 * features.US_PER_HOUR
+    want = {}
+    for m in ("m0", "m1", "m2"):
+        us = [(r["timestamp"] - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for r in rows if r["machine_id"] == m]
+        most = [max(collections.Counter(u // (frame_us >> k) for u in us).values()) for k in range(features.MAX_LEVEL + 1)]
+        if most[0] > 15:
+            want[m] = next((k for k in range(1, features.MAX_LEVEL) if most[k] <= 15), features.MAX_LEVEL)
+    assert features.machine_levels(make_logs(spark, rows), block_rows=15) == want and len(want) >= 2
